@@ -11,7 +11,8 @@ Documents are sets of word-shingle hashes (see ``shingles``); two link when
   are cut into blocks by set size, and a probe visits only the two blocks whose sizes can match; inside
   a block, positions bound the intersection, so pairs whose positions are too far in are skipped, as
   are pairs that a pivot has joined.
-* Every pair left is verified on whole sets.
+* Every pair left is screened by parity bitmaps, whose distance never exceeds the number of shingles
+  that only one of the sets has, and then verified on whole sets.
 
 Nothing here collects sets, pairs or components to the driver; the one list that is broadcast holds
 shingles that at least one document in ``1 / COMMON`` has, at most mean set size / COMMON of them.
@@ -39,7 +40,9 @@ COMMON = 0.001
 #: Shingle hashes counted together when common ones are looked for.
 BLOCK = 4_000_000
 #: Min-hashes for pivots, pivots for each, and the group size from which pivots are used.
-KEYS, PIVOTS, GROUP = 3, 3, 8
+KEYS, PIVOTS, GROUP = 3, 3, 16
+#: Bits of a parity bitmap, as a power of two.
+BITS = 10
 
 
 def _longs(sets: list[np.ndarray]) -> pa.Array:
@@ -53,6 +56,11 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=_U, keepdims=True) + _U(len(s))).view(np.int64)[0])
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> _U(64 - BITS)).astype(np.int64), minlength=1 << BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(_U)
+
+
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """Sorted hashes of the shingles that about COMMON of all documents or more have."""
 
@@ -84,22 +92,24 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def sketches(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per row: doc_id, n (set size), sid (fingerprint of the set), keys (min-hashes), prefix."""
+    """Per row: doc_id, text_hash, n (set size), sid (fingerprint of the set), keys (min-hashes), bits, prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last = shared.value
         for batch in batches:
-            size, sid, keys, prefix = [], [], [], []
+            size, sid, keys, bits, prefix = [], [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 size.append(len(s))
                 if not len(s):
                     sid.append(None)
                     keys.append(s)
+                    bits.append(s)
                     prefix.append(s)
                     continue
                 sid.append(_fingerprint(s))
                 keys.append(np.array([mix(s ^ _U(0x9E3779B97F4A7C15 * k % 2**64)).min() for k in range(1, KEYS + 1)], dtype=_U))
+                bits.append(_parity(s))
                 p = _prefix_length(len(s), percent)
                 if len(rare_last):
                     at = np.minimum(np.searchsorted(rare_last, s), len(rare_last) - 1)
@@ -107,9 +117,9 @@ def sketches(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> D
                     rare = s[~hit]
                     s = np.concatenate([rare, s[hit]]) if len(rare) < p else rare
                 prefix.append(s[:p])
-            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), _longs(keys), _longs(prefix)], names=["doc_id", "n", "sid", "keys", "prefix"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), _longs(keys), _longs(bits), _longs(prefix)], names=["doc_id", "text_hash", "n", "sid", "keys", "bits", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n long, sid long, keys array<long>, prefix array<long>")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(sketch, "doc_id long, text_hash long, n long, sid long, keys array<long>, bits array<long>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -124,12 +134,20 @@ def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, p
     asked = written(asked.join(owner, "sid").select("doc_id", "sid"))
     asked = broadcast_if_small(asked)
     texts = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    known = texts.mapInArrow(sets, "sid long, s array<long>").join(asked.select("sid"), "sid", "left_semi")
-    known = written(known.dropDuplicates(["sid"]))  # repeated rows
+    known = written(texts.mapInArrow(sets, "sid long, s array<long>").join(asked.select("sid"), "sid", "left_semi"))
     both = pairs.join(known.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(known.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
     k = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * k >= percent * (F.size("sa") + F.size("sb") - k)).select("a", "b")
+    return both.where(100 * k >= percent * (F.size("sa") + F.size("sb") - k)).select("a", "b").distinct()
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bitmaps do not rule out."""
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    low, high, both = F.least("na", "nb"), F.greatest("na", "nb"), F.col("na") + F.col("nb")
+    return pairs.where((100 * low >= percent * high) & ((100 + percent) * apart <= (100 - percent) * both)).select("a", "b")
 
 
 def _pivot_pairs(sets: DataFrame) -> DataFrame:
@@ -169,24 +187,37 @@ def _index_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs, which needs doc_id and text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, n_shingles, component_id, text_hash) for every row of docs, which needs doc_id and text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     known = docs.where("doc_id is not null")
     rows = written(sketches(docs, width, percent, common_shingles(docs, width)))
     whole = rows.where("doc_id is not null and n > 0")
     owner = written(whole.groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     sets = whole.join(broadcast_if_small(owner), ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"])
-    sets = written(sets.select("sid", "n", "keys", "prefix"))
+    sets = written(sets.select("sid", "n", "keys", "bits", "prefix"))
 
-    first = written(_verified(written(_pivot_pairs(sets)), owner, known, width, percent))
+    first = written(_verified(written(_possible(_pivot_pairs(sets), sets, percent)), owner, known, width, percent))
     joined = components(first)
     rooted = sets.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    second = _verified(written(_index_pairs(rooted, percent)), owner, known, width, percent)
+    second = _verified(written(_possible(_index_pairs(rooted, percent), sets, percent)), owner, known, width, percent)
     found = written(components(first.union(second)))
 
     root = owner.join(found, owner.sid == found.node, "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     lowest = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = written(root.join(lowest, "root").select("sid", "component_id").where("component_id is not null"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid")
+    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sid")
     out = out.join(broadcast_if_small(of), "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that have the smallest doc_id of their component, each text of an id once.
+
+    Rows without doc_id link with nothing and stay; so do wordless ones."""
+    found = written(jaccard_components(docs, width, percent))
+    others = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    again = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("rows")).where("rows > 1")
+    again = broadcast_if_small(written(again.select("__id", "__hash")))
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    kept = docs.join(broadcast_if_small(others), same, "left_anti")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
