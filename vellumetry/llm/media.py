@@ -155,7 +155,9 @@ class MediaReader(DataSourceReader):
                 out += [ByteRange(f"{self.path}/{info.base_name}", at, min(at + self.range_bytes, info.size)) for at in range(0, info.size, self.range_bytes)]
         return out
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a folder without archives
+            return
         store, path = opened(part.archive[:-4] + ".idx")
         with store.open_input_stream(path) as f:
             index = np.frombuffer(f.read(), dtype="<i8").reshape(-1, 3)

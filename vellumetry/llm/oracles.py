@@ -1,5 +1,30 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express, each written another way than the operator works."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_normaliser": """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest, n) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to, true AS intact FROM f""",
+    "op7_url_filters": """
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT page_id, r.h || r.p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC) AS k
+FROM h JOIN r ON (h.host = r.h OR ends_with(h.host, '.' || r.h)) AND starts_with(h.path, r.p))
+SELECT h.page_id, host, path, m.rule, coalesce(m.v, 'allow') AS verdict FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.k = 1""",
+    "op8_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY 1),
+p AS (SELECT source, ss, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+w AS (SELECT *, [3, 1, 2][((place - 1) % 3 + 1)::INT] AS w, (SELECT sum(ss) FROM s) AS t FROM p),
+o AS (SELECT *, sum(2 * ss) OVER (ORDER BY 2.0 * ss / w, place ROWS UNBOUNDED PRECEDING) - 2 * ss AS cb, sum(w) OVER (ORDER BY 2.0 * ss / w, place ROWS UNBOUNDED PRECEDING) - w AS wb, sum(w) OVER () AS wt FROM w),
+c AS (SELECT *, (150 * t - 100 * cb)::DOUBLE * w > (200 * ss)::DOUBLE * (wt - wb) AS capped FROM o),
+k AS (SELECT coalesce(sum(2 * ss) FILTER (WHERE capped), 0) AS used, coalesce(sum(w) FILTER (WHERE capped), 0) AS wu FROM c),
+g AS (SELECT source, ss, CASE WHEN capped THEN (2 * ss)::DOUBLE ELSE (150 * t - 100 * used)::DOUBLE * w::DOUBLE / (100 * (wt - wu))::DOUBLE END AS target FROM c, k),
+x AS (SELECT d.doc_id, d.size, g.ss AS source_size, g.target, floor(g.target)::BIGINT AS goal, d.source, md5(d.doc_id::VARCHAR || ':17') AS h FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+y AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY ('0x' || h[1:3])::INT % 512, h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM x)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(start + size, goal % source_size) - start) END::BIGINT AS taken FROM y""",
+}
