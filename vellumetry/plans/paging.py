@@ -137,9 +137,9 @@ def clamp_warning(spark, t):
     return got.select("doc_id", F.size("pages").cast("long").alias("pages"), F.array_min(F.col("pages")["effective_dpi"]).alias("lowest"))
 
 
-@query("SELECT p_partkey AS doc_id, round_even(p_retailprice / 72 * 25.4, 2) AS mm FROM part")
+@query("SELECT p_partkey AS doc_id, round_even((p_size * 7 + 595.276::DOUBLE) / 72 * 25.4::DOUBLE, 2) AS mm FROM part")
 def page_mm(spark, t):
-    return t("part").select(F.col("p_partkey").alias("doc_id"), P.mm(F.col("p_retailprice")).alias("mm"))
+    return t("part").select(F.col("p_partkey").alias("doc_id"), P.mm(F.col("p_size") * 7 + F.lit(595.276)).alias("mm"))
 
 
 @query("""
