@@ -1,14 +1,17 @@
 """From raw documents to a training mix, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. ``run`` writes
-each stage's result to the shared folder and reads it again.
+each stage's result to the shared folder and reads it again. As a stage's input is a stored table, a stage
+first deletes the tables that earlier stages of the session wrote for themselves.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumetry.llm.common import written
+from vellumetry.llm.common import release, shared_folder
 from vellumetry.llm.decontaminate import clean
 from vellumetry.llm.jaccard import one_of_each
 from vellumetry.llm.language import accepted, train
@@ -16,26 +19,40 @@ from vellumetry.llm.mixing import mix
 from vellumetry.llm.secrets import redact
 
 
+def stage(work):
+    @functools.wraps(work)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return work(spark, docs, sf_dir)
+
+    return begun
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the labelled languages; the others go."""
     return accepted(docs, train(docs))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of smallest doc_id, for each group linked at 0.8 on five-word shingles."""
     return one_of_each(docs)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind in brackets and n_chars counted again."""
     return redact(docs)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes words of, and how many; texts stay in the stage before, by doc_id."""
     return mix(docs, keep=("lang", "n_chars")).where("taken > 0")
@@ -55,6 +72,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for _, work in STAGES[:-1]:
+        path = shared_folder(spark)
+        work(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,14 +6,16 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import DOCS, odd  # noqa: F401
-from vellumetry.llm.common import written
+from vellumetry.llm.common import shared_folder
 
 
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = shared_folder(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
         assert docs.columns == columns
         counts.append(docs.count())
     assert counts[1] >= 0.99 * counts[0] and counts[4] == counts[3]

@@ -22,13 +22,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Paths of written tables that nobody has released.
+_SCRATCH: dict[str, None] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: it is computed once, and a lost executor
     costs only the tasks that were running."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    _SCRATCH[path] = None
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; without names, all that are left."""
+    paths = [t._written for t in tables if getattr(t, "_written", None)] if tables else list(_SCRATCH)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _SCRATCH.pop(path, None)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -64,7 +81,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select("a", "b").distinct())
     mark = None
     while True:
-        edges = written(star(star(edges, True), False))
+        old, edges = edges, written(star(star(edges, True), False))
+        release(edges.sparkSession, old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == mark:
             break

@@ -4,15 +4,16 @@ Documents are sets of word-shingle hashes (see ``shingles``); two link when
 ``100 * |intersection| >= percent * |union|``. The result is exact and names the connected components.
 
 * Equal sets are one set: its answers are computed once and shared by all copies.
-* Answer skipping. Where many sets share a min-hash, a few of them serve as pivots. The others are
-  verified against the pivots only, in linear work; sets that a pivot joins already belong to one
+* Answer skipping. Of the sets that share a min-hash, a few serve as pivots. Each set is verified
+  against its most promising pivot only, in linear work; sets that a pivot joins already belong to one
   component, so no pair between them needs an answer of its own.
 * Index skipping. The inverted lists hold prefixes under one global order, common shingles last. Lists
   are cut into blocks by set size, and a probe visits only the two blocks whose sizes can match; inside
   a block, positions bound the intersection, so pairs whose positions are too far in are skipped, as
   are pairs that a pivot has joined.
-* Every pair left is screened by parity bitmaps, whose distance never exceeds the number of shingles
-  that only one of the sets has, and then verified on whole sets.
+* Pairs are screened by parity bitmaps, whose distance never exceeds the number of shingles that only
+  one of the sets has: by a short one inside the index join, by one that fits the size of the sets
+  before the sets are fetched. Every pair left is verified on whole sets.
 
 Nothing here collects sets, pairs or components to the driver; the one list that is broadcast holds
 shingles that at least one document in ``1 / COMMON`` has, at most mean set size / COMMON of them.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, written
+from .common import broadcast_if_small, components, release, written
 from .shingles import mix, shingle_sets
 
 _U = np.uint64
@@ -39,10 +40,10 @@ _U = np.uint64
 COMMON = 0.001
 #: Shingle hashes counted together when common ones are looked for.
 BLOCK = 4_000_000
-#: Min-hashes for pivots, pivots for each, and the group size from which pivots are used.
-KEYS, PIVOTS, GROUP = 3, 3, 16
-#: Bits of a parity bitmap, as a power of two.
-BITS = 10
+#: Min-hashes for pivots, and pivots for each.
+KEYS, PIVOTS = 3, 2
+#: A parity bitmap has as many bits as the set has members, rounded up to one of these.
+BITMAPS = [1 << b for b in (10, 13, 16, 19, 22)]
 
 
 def _longs(sets: list[np.ndarray]) -> pa.Array:
@@ -56,8 +57,9 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=_U, keepdims=True) + _U(len(s))).view(np.int64)[0])
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s >> _U(64 - BITS)).astype(np.int64), minlength=1 << BITS) & 1
+def _parity(s: np.ndarray, size: int = 0) -> np.ndarray:
+    size = size or next((b for b in BITMAPS if len(s) <= b), BITMAPS[-1])
+    odd = np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(_U)
 
 
@@ -92,23 +94,26 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def sketches(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per row: doc_id, text_hash, n (set size), sid (fingerprint of the set), keys (min-hashes), bits, prefix."""
+    """Per row: doc_id, text_hash, n (set size), sid (fingerprint of the set), keys (min-hashes), short and
+    bits (parity bitmaps), prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare_last = shared.value
         for batch in batches:
-            size, sid, keys, bits, prefix = [], [], [], [], []
+            size, sid, keys, short, bits, prefix = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), width):
                 size.append(len(s))
                 if not len(s):
                     sid.append(None)
                     keys.append(s)
+                    short.append(s)
                     bits.append(s)
                     prefix.append(s)
                     continue
                 sid.append(_fingerprint(s))
                 keys.append(np.array([mix(s ^ _U(0x9E3779B97F4A7C15 * k % 2**64)).min() for k in range(1, KEYS + 1)], dtype=_U))
+                short.append(_parity(s, 256))
                 bits.append(_parity(s))
                 p = _prefix_length(len(s), percent)
                 if len(rare_last):
@@ -117,9 +122,9 @@ def sketches(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> D
                     rare = s[~hit]
                     s = np.concatenate([rare, s[hit]]) if len(rare) < p else rare
                 prefix.append(s[:p])
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), _longs(keys), _longs(bits), _longs(prefix)], names=["doc_id", "text_hash", "n", "sid", "keys", "bits", "prefix"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), _longs(keys), _longs(short), _longs(bits), _longs(prefix)], names=["doc_id", "text_hash", "n", "sid", "keys", "short", "bits", "prefix"])
 
-    return docs.select("doc_id", "text", "text_hash").mapInArrow(sketch, "doc_id long, text_hash long, n long, sid long, keys array<long>, bits array<long>, prefix array<long>")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(sketch, "doc_id long, text_hash long, n long, sid long, keys array<long>, short array<long>, bits array<long>, prefix array<long>")
 
 
 def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -138,42 +143,55 @@ def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, p
     both = pairs.join(known.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(known.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
     k = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * k >= percent * (F.size("sa") + F.size("sb") - k)).select("a", "b").distinct()
+    links = both.where(100 * k >= percent * (F.size("sa") + F.size("sb") - k)).select("a", "b").distinct()
+    links = written(links)
+    release(docs.sparkSession, pairs, asked, known)
+    return links
+
+
+def _apart(a: str, b: str) -> Column:
+    """Distance of two bitmaps; null if they differ in size."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parity bitmaps do not rule out."""
+    """The pairs (a, b) that sizes and parity bitmaps do not rule out, with their bitmaps' distance."""
     for x in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     low, high, both = F.least("na", "nb"), F.greatest("na", "nb"), F.col("na") + F.col("nb")
-    return pairs.where((100 * low >= percent * high) & ((100 + percent) * apart <= (100 - percent) * both)).select("a", "b")
+    # Bitmaps of different sizes say nothing of each other; such pairs go on to be verified.
+    apart = F.when(F.size("bitsa") == F.size("bitsb"), _apart("bitsa", "bitsb")).otherwise(0)
+    pairs = pairs.withColumn("apart", apart)
+    return pairs.where((100 * low >= percent * high) & ((100 + percent) * F.col("apart") <= (100 - percent) * both)).drop("na", "nb", "bitsa", "bitsb")
 
 
-def _pivot_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): each set of a large min-hash group with the pivots of that group."""
+def _pivot_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with the nearest, by bitmaps, of the pivots of its min-hash groups."""
     keyed = sets.select("sid", F.posexplode("keys").alias("k", "key"))
     pivots = [F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid"))["sid"].alias(f"p{r}") for r in range(PIVOTS)]
-    groups = keyed.groupBy("k", "key").agg(F.count("*").alias("size"), *pivots).where(F.col("size") >= GROUP)
-    near = keyed.join(groups, ["k", "key"]).select("sid", F.explode(F.array(*[f"p{r}" for r in range(PIVOTS)])).alias("p"))
-    return near.where("sid <> p").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
+    groups = keyed.groupBy("k", "key").agg(F.count("*").alias("size"), *pivots).where("size > 1")
+    near = keyed.join(groups, ["k", "key"]).select(F.col("sid").alias("a"), F.explode(F.array(*[f"p{r}" for r in range(PIVOTS)])).alias("b"))
+    near = _possible(near.where("a <> b").distinct(), sets, percent)
+    return near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
 
 
 def _index_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) from the blocked inverted lists; sets has sid, n, root, prefix."""
+    """Candidate pairs (a, b) from the blocked inverted lists; sets has sid, n, root, short, prefix."""
     far = (100 - percent) / (100 + percent)
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    lists = sets.select("sid", "n", "root", block.alias("block"), F.posexplode("prefix").alias("i", "token"))
+    words = [F.get("short", F.lit(i)).alias(f"w{i}") for i in range(4)]
+    lists = sets.select("sid", "n", "root", *words, block.alias("block"), F.posexplode("prefix").alias("i", "token"))
     shared = lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
     lists = written(lists.join(shared, "token"))
     probe = lists.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"))))
 
     def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("token", "block", *[F.col(c).alias(c + x) for c in ("sid", "n", "root", "i")])
+        return df.select("token", "block", *[F.col(c).alias(c + x) for c in ("sid", "n", "root", "i", "w0", "w1", "w2", "w3")])
 
     def smaller(x: str, y: str) -> Column:
         return F.struct(f"n{x}", f"sid{x}") < F.struct(f"n{y}", f"sid{y}")
 
+    apart = sum(F.bit_count(F.col(f"w{i}a").bitwiseXOR(F.col(f"w{i}b"))) for i in range(4))
     met = side(lists, "a").join(
         side(probe, "b"),
         ["token", "block"],
@@ -182,24 +200,31 @@ def _index_pairs(sets: DataFrame, percent: int) -> DataFrame:
         & (F.col("roota") != F.col("rootb"))
         & (100 * F.col("na") >= percent * F.col("nb"))
         & (F.col("ia") + F.col("ib") <= far * (F.col("na") + F.col("nb")) + 1e-6)
+        & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
     )
-    return met.select(F.least("sida", "sidb").alias("a"), F.greatest("sida", "sidb").alias("b")).distinct()
+    met = written(met.select(F.least("sida", "sidb").alias("a"), F.greatest("sida", "sidb").alias("b")).distinct())
+    release(sets.sparkSession, lists)
+    return met
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash) for every row of docs, which needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     known = docs.where("doc_id is not null")
-    rows = written(sketches(docs, width, percent, common_shingles(docs, width)))
-    whole = rows.where("doc_id is not null and n > 0")
-    owner = written(whole.groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    sets = whole.join(broadcast_if_small(owner), ["sid", "doc_id"], "left_semi").dropDuplicates(["sid"])
-    sets = written(sets.select("sid", "n", "keys", "bits", "prefix"))
-
-    first = written(_verified(written(_possible(_pivot_pairs(sets), sets, percent)), owner, known, width, percent))
-    joined = components(first)
-    rooted = sets.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    second = _verified(written(_possible(_index_pairs(rooted, percent), sets, percent)), owner, known, width, percent)
+    spark = docs.sparkSession
+    full = written(sketches(docs, width, percent, common_shingles(docs, width)))
+    rows = written(full.select("doc_id", "text_hash", "n", "sid"))
+    owner = written(rows.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+    sets = full.where("n > 0").join(broadcast_if_small(owner), ["sid", "doc_id"], "left_semi")
+    sets = written(sets.select("sid", "n", "keys", "short", "bits", "prefix"))
+    release(spark, full)
+
+    first = _verified(written(_pivot_pairs(sets, percent)), owner, known, width, percent)
+    joined = written(components(first))
+    rooted = sets.select("sid", "n", "short", "prefix").join(broadcast_if_small(joined.withColumnRenamed("node", "sid")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    met = _index_pairs(rooted, percent)
+    second = _verified(written(_possible(met, sets, percent).select("a", "b")), owner, known, width, percent)
+    release(spark, met, joined, sets)
     found = written(components(first.union(second)))
 
     root = owner.join(found, owner.sid == found.node, "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
