@@ -35,7 +35,7 @@ def test_names(spark):
 
 
 def test_markup_values(spark):
-    assert values(spark, T.font_rung, ["12px", "1pc", "14pt", "31pt", "2em", "50%"]) == ["1", "3", "4", "7", None, None]
+    assert values(spark, T.font_rung, ["12px", "1pc", "14pt", "31pt", "2em", "50%"]) == ["2", "3", "4", "7", None, None]
     assert values(spark, T.css_value, ["'#abc'", '"x"', "red"]) == ["#aabbcc", "x", "red"]
     assert values(spark, T.declarations, ["A: 1; b:2;a:3;;c:"]) == [{"b": "2", "a": "3"}]
     patched = values(spark, T.landscape_patch, ["<worksheet><pageSetup a='1'/></worksheet>", "<worksheet></worksheet>", "<x/>"])
