@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -320,3 +321,24 @@ def test_licenses_by_wording(spark):
     got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
     assert got.license.to_dict() == {0: "CC-BY-NC-4.0", 1: "CC-BY-4.0", 2: "GPL-3.0", 3: "GPL-2.0", 5: "BSD-3-Clause"}
     assert rank("Released under the MIT License.", TEMPLATES)[0][1] == "MIT"
+
+
+def test_whole_license_texts_under_dated_copyright_lines(spark):
+    from vellumetry.llm.licenses import TEMPLATES, licenses_in
+
+    folder = Path(Q.__file__).parent / "license_texts"
+    names = ["MIT", "ISC", "BSD-3-Clause", "Unlicense"]
+    whole = {n: (folder / f"{n}.txt").read_text().replace("<year>", "2023").replace("<owner>", "The Apache Software Foundation") for n in names}
+    for name, text in whole.items():
+        (hit,) = licenses_in(f"Prose about birds.\n{text}", {}, TEMPLATES)
+        assert hit[0] == name and hit[2] - hit[1] >= 0.9 * len(text.strip())
+    (hit,) = licenses_in(" ".join(whole["MIT"].split()), {}, TEMPLATES)
+    assert hit[0] == "MIT" and not hit[4]
+    gpl = "Copyright (C) 2019 Bob Roe\nThis program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY. See the GNU General Public License for more details."
+    assert [h[0] for h in licenses_in(gpl, {}, TEMPLATES)] == ["GPL-3.0"]
+    assert [h[0] for h in licenses_in(gpl.replace("General", "Affero General"), {}, TEMPLATES)] == ["AGPL-3.0"]
+    assert {h[0] for h in licenses_in((folder / "GPL-2.0.txt").read_text(), {}, TEMPLATES)} == {"GPL-2.0"}
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    assert licenses_in(notice + "\n" + "The&&& annd*** onndble%%% thea*** ndor*** " * 300, {}, TEMPLATES)[0][:3] == ("GPL-3.0", 0, 69)
+    two = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    assert [h[:3] for h in licenses_in(two, {}, TEMPLATES)] == [("MIT", 0, 30), ("Apache-2.0", 32, 78)]

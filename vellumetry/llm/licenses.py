@@ -2,13 +2,19 @@
 
 Candidate blocks are runs of sentences or lines with words that licenses use. Each block is compressed
 by zstandard alone and with each template as a raw dictionary; the templates are ranked by how much
-their dictionary reduces the size. The winner is confirmed by the exact wording differences: the words
-of the block that the template has not in that order, and the template's words that the block skips
-between its first and last match. It stands if enough of the block is the template's wording and no
-differing word is a number or one that changes the terms; else the next in rank is looked at.
+their dictionary reduces the size. The first four of the rank whose size falls are confirmed by wording.
+A template is the notices of a license, then its whole text where ``license_texts`` has it.
+
+Wording is aligned in segments: stretches of the block in which at least MATCHED of the words are the
+template's, in its order. A differing word that is a number or changes the terms ends a segment, and a
+segment is cut back where the template's next word in the sentence is such a word, so "version 2" is
+never half of "version 3". Dated copyright statements are left out of the comparison. A segment stands
+if it is LONG words, or a whole sentence of the template, or MATCHED of the sentences it lies in with
+wording that no other template has as well. Of segments that overlap, that with most wording stands, so
+a block gives several licenses; neighbouring segments of one license are one row.
 
 Defined results: null and empty texts have no blocks; repeated rows give their rows each; a document
-without a confirmed block gives no row; other columns of the input are ignored.
+without a confirmed segment gives no row; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,14 +22,16 @@ from __future__ import annotations
 import difflib
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Short wordings of licenses.
+#: Notices of licenses; their whole texts, where there are files, follow.
 TEMPLATES = {
     "MIT": "Released under the MIT License. Licensed under the MIT License. The MIT License (MIT). Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -40,6 +48,17 @@ TEMPLATES = {
     "CC0-1.0": "Licensed under CC0 1.0. To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. Dedicated to the public domain.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
 }
+#: Full notices that the short wordings above stop in.
+_NOTICES = {
+    "GPL-3.0": "See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-2.0": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "LGPL-3.0": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.",
+    "AGPL-3.0": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "Apache-2.0": "See the License for the specific language governing permissions and limitations under the License.",
+}
+for _name, _text in TEMPLATES.items():
+    _file = Path(__file__).parent / "license_texts" / f"{_name}.txt"
+    TEMPLATES[_name] = "\n\n".join([" ".join([_text, _NOTICES.get(_name, "")]).strip(), *([_file.read_text()] if _file.exists() else [])])
 
 CUE = r"(?i)licen[cs]|copyright|permission is hereby|permission to use|redistribut|warrant|public domain|creative commons|free software"
 _CUE = re.compile(CUE)
@@ -47,7 +66,11 @@ _PIECE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*")
 #: Words that change the terms when they differ, beside numbers.
 DECISIVE = frozenset("not no non nc nd sa by lesser affero by-nc by-sa by-nd by-nc-sa by-nc-nd noncommercial noderivatives sharealike attribution-noncommercial attribution-sharealike mit apache gnu general bsd mozilla isc except".split())
-MATCHED, GAP = 0.75, 1
+MATCHED, GAP = 0.75, 8
+#: Words of a segment that stand by themselves, and words of a whole sentence that does.
+LONG, SENTENCE = 12, 4
+_STATEMENT = re.compile(r"(?i)(?:copyright|\(c\)|\u00a9)[^\n]{0,16}?(?:[12][0-9]{3}|<year>)[^\n]*?(?=[.](?:\s|$)|\n|$|all rights|permission|licen[cs]ed|released|redistribution|this )")
+_END = re.compile(r"[.!?:;](?=\s+[^0-9\s])|\n\s*\n")
 
 
 def blocks_of(text: str) -> list[tuple[int, int]]:
@@ -86,48 +109,166 @@ def rank(block: str, templates: dict[str, str]) -> list[tuple[float, str]]:
     return sorted(((1 - len(c.compress(data)) / size, name) for name, c in given.items()), key=lambda x: (-x[0], x[1]))
 
 
-def differences(block: str, template: str) -> tuple[list[str], list[str], int]:
-    """(words only the block has, words the template has in between, words matched)."""
-    a, b = ([w.lower() for w in _WORD.findall(t)] for t in (template, block))
-    parts = [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
-    if not parts:
-        return b, [], 0
-    matched = sum(m.size for m in parts)
-    used = {i for m in parts for i in range(m.b, m.b + m.size)}
-    added = [w for i, w in enumerate(b) if i not in used]
-    spanned = {i for m in parts for i in range(m.a, m.a + m.size)}
-    missing = [a[i] for i in range(parts[0].a, parts[-1].a + parts[-1].size) if i not in spanned]
-    return added, missing, matched
+def _critical(word: str) -> bool:
+    return word in DECISIVE or any(c.isdigit() for c in word)
+
+
+def _words(text: str) -> tuple[list[str], list[tuple[int, int]], list[int]]:
+    """(words in lower case, their places, the sentence of each), without dated copyright statements."""
+    plain = _STATEMENT.sub(lambda m: " " * len(m[0]), text)
+    found = list(_WORD.finditer(plain))
+    ends = [m.end() for m in _END.finditer(plain)]
+    return [m[0].lower() for m in found], [m.span() for m in found], [bisect_right(ends, m.start()) for m in found]
+
+
+@functools.lru_cache(maxsize=1000)
+def _template(text: str) -> tuple[list[str], list[int]]:
+    words, _, sentence = _words(text)
+    return words, sentence
+
+
+def segments(block: list[str], template: list[str], sentence: list[int]) -> list[list[tuple[int, int, int]]]:
+    """Runs (template place, block place, length) of each stretch of aligned wording."""
+    chains: list[list[tuple[int, int, int]]] = []
+    parts = [tuple(m) for m in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    for part in parts:
+        if chains:
+            i, j, n = chains[-1][-1]
+            added, missing = block[j + n : part[1]], template[i + n : part[0]]
+            joined = part[0] > i + n and sentence[i + n] == sentence[i + n - 1]
+            if not any(map(_critical, added)) and not (joined and _critical(missing[0])):
+                chains[-1].append(part)
+                continue
+        chains.append([part])
+    cost, out = MATCHED / (1 - MATCHED), []
+    for chain in chains:
+        while chain:
+            # The stretch of the chain with the largest matched - cost * added, then those before and after.
+            best, at, total, first = 0.0, (0, 0), 0.0, 0
+            for k, (_, j, n) in enumerate(chain):
+                added = j - chain[k - 1][1] - chain[k - 1][2] if k else 0
+                if total - cost * added <= 0:
+                    total, first = 0.0, k
+                else:
+                    total -= cost * added
+                total += n
+                if total > best:
+                    best, at = total, (first, k + 1)
+            out.append(chain[at[0] : at[1]])
+            chains.append(chain[: at[0]])
+            chain = chain[at[1] :]
+    return [s for s in (_whole(s, template, sentence) for s in out) if s]
+
+
+def _whole(runs: list[tuple[int, int, int]], template: list[str], sentence: list[int]) -> list[tuple[int, int, int]]:
+    """The segment without ends whose sentence goes on in the template with a word that decides."""
+    while runs:
+        i, j, n = runs[-1]
+        end = i + n
+        if end == len(template) or sentence[end] != sentence[end - 1] or not _critical(template[end]):
+            break
+        keep = [k for k in range(n) if sentence[i + k] != sentence[end - 1]]
+        runs = [*runs[:-1], (i, j, len(keep))] if keep else runs[:-1]
+        if keep:
+            break
+        while runs and sentence[runs[-1][0]] == sentence[end - 1]:
+            runs = runs[:-1]
+        if runs and sentence[runs[-1][0] + runs[-1][2] - 1] == sentence[end - 1]:
+            i, j, n = runs[-1]
+            runs = [*runs[:-1], (i, j, sum(sentence[i + k] != sentence[end - 1] for k in range(n)))]
+    while runs:
+        i, j, n = runs[0]
+        if not i or sentence[i - 1] != sentence[i] or not _critical(template[i - 1]):
+            break
+        cut = sum(sentence[i + k] == sentence[i] for k in range(n))
+        own = sentence[i]
+        runs = [(i + cut, j + cut, n - cut), *runs[1:]] if cut < n else runs[1:]
+        while runs and sentence[runs[0][0]] == own:
+            i, j, n = runs[0]
+            cut = sum(sentence[i + k] == own for k in range(n))
+            runs = [(i + cut, j + cut, n - cut), *runs[1:]] if cut < n else runs[1:]
+    return runs
+
+
+def identify(block: str, templates: dict[str, str]) -> list[tuple[str, int, int, float, list[str], list[str]]]:
+    """(license, start, end, saving, added, missing) of the block's confirmed segments, by start."""
+    words, places, pieces = _words(block)
+    found = []
+    for order, (saving, name) in enumerate(rank(block, templates)[:4]):
+        if saving <= 0:
+            break
+        template, sentence = _template(templates[name])
+        for runs in segments(words, template, sentence):
+            first, last = runs[0][1], runs[-1][1] + runs[-1][2]
+            matched = sum(n for _, _, n in runs)
+            if matched < 3:
+                continue
+            used = {j + k for _, j, n in runs for k in range(n)}
+            spanned = {i + k for i, _, n in runs for k in range(n)}
+            full: dict[int, int] = {}
+            for i in spanned:
+                full[sentence[i]] = full.get(sentence[i], 0) + 1
+            low, high = runs[0][0], runs[-1][0] + runs[-1][2]
+            complete = any(
+                n >= SENTENCE and n == sentence.count(s) and (n >= LONG or any(_critical(template[i]) for i in spanned if sentence[i] == s)) for s, n in full.items()
+            )
+            around = sum(p in set(pieces[first:last]) for p in pieces)
+            firm = matched >= LONG or complete
+            if firm or matched >= MATCHED * around:
+                added = [words[j] for j in range(first, last) if j not in used]
+                missing = [template[i] for i in range(low, high) if i not in spanned]
+                found.append((matched - len(added) * MATCHED / (1 - MATCHED), order, firm, first, last, name, saving, added, missing))
+    taken: list[tuple] = []
+    for x in sorted(found, key=lambda x: (-x[0], x[1])):
+        shared = not x[2] and any(y[5] != x[5] and y[3] <= x[3] and x[4] <= y[4] and y[0] >= x[0] for y in found)
+        if not shared and all(x[4] <= t[3] or t[4] <= x[3] for t in taken):
+            taken.append(x)
+    out: list[tuple] = []
+    for _, _, _, first, last, name, saving, added, missing in sorted(taken, key=lambda t: t[3]):
+        start, end = places[first][0], places[last - 1][1]
+        if out and out[-1][0] == name:
+            out[-1] = (name, out[-1][1], end, saving, out[-1][4] + added, out[-1][5] + missing)
+        else:
+            out.append((name, start, end, saving, added, missing))
+    return out
+
+
+def licenses_in(text: str, known: dict[str, list[tuple]], templates: dict[str, str]) -> list[tuple[str, int, int, float, list[str], list[str]]]:
+    """The confirmed segments of a text. A long one that ends with its block is followed into the pieces after it."""
 
+    def named(block: str) -> list[tuple]:
+        if block not in known:
+            if len(known) >= 10_000:
+                known.clear()
+            known[block] = identify(block, templates)
+        return known[block]
 
-def identify(block: str, templates: dict[str, str]) -> tuple[str, float, list[str], list[str]] | None:
-    for saving, name in rank(block, templates)[:4]:
-        added, missing, matched = differences(block, templates[name])
-        odd = any(w in DECISIVE or any(c.isdigit() for c in w) for w in added)
-        if saving > 0 and matched >= 3 and matched >= MATCHED * (matched + len(added)) and not odd:
-            return name, saving, added, missing
-    return None
+    out, blocks = [], blocks_of(text)
+    for (start, end), (limit, _) in zip(blocks, [*blocks[1:], (len(text), 0)]):
+        hits = named(text[start:end])
+        if hits and len(_WORD.findall(text, start + hits[-1][2], end)) == 0 and len(_WORD.findall(text, start + hits[-1][1], end)) >= LONG:
+            after = [m.end() for _, m in zip(range(GAP), _PIECE.finditer(text, end, limit))]
+            more = named(text[start : after[-1]]) if after else []
+            # What the longer block dilutes is not lost: only a segment that goes on replaces the block's own.
+            if {h[0] for h in hits} <= {h[0] for h in more} and more[-1][2] > hits[-1][2]:
+                hits = more
+        out += [(name, start + a, start + b, *rest) for name, a, b, *rest in hits]
+    return out
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, license, start, end, saving, added, missing): one row a confirmed block."""
+    """(doc_id, license, start, end, saving, added, missing): one row a confirmed segment."""
     templates = dict(templates or TEMPLATES)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple | None] = {}
+        known: dict[str, list[tuple]] = {}
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for start, end in blocks_of(text):
-                    block = text[start:end]
-                    if block not in known:
-                        if len(known) >= 10_000:
-                            known.clear()
-                        known[block] = identify(block, templates)
-                    if hit := known[block]:
-                        at.append(i)
-                        rows.append((hit[0], start, end, hit[1], hit[2], hit[3]))
+                for hit in licenses_in(text, known, templates):
+                    at.append(i)
+                    rows.append(hit)
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", "license", "start", "end", "saving", "added", "missing"])
