@@ -342,3 +342,12 @@ def test_whole_license_texts_under_dated_copyright_lines(spark):
     assert licenses_in(notice + "\n" + "The&&& annd*** onndble%%% thea*** ndor*** " * 300, {}, TEMPLATES)[0][:3] == ("GPL-3.0", 0, 69)
     two = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
     assert [h[:3] for h in licenses_in(two, {}, TEMPLATES)] == [("MIT", 0, 30), ("Apache-2.0", 32, 78)]
+
+
+def test_license_template_ranked_after_many_variants(monkeypatch):
+    from vellumetry.llm import licenses
+
+    block = "Licensed under the Foo License, version 9."
+    templates = {f"Foo-{i}": f"Licensed under the Foo License, version {i}." for i in range(1, 10)}
+    monkeypatch.setattr(licenses, "rank", lambda b, t: [(0.9 - i / 100, n) for i, n in enumerate(sorted(t))])
+    assert [h[0] for h in licenses.identify(block, templates)] == ["Foo-9"]

@@ -2,7 +2,7 @@
 
 Candidate blocks are runs of sentences or lines with words that licenses use. Each block is compressed
 by zstandard alone and with each template as a raw dictionary; the templates are ranked by how much
-their dictionary reduces the size. The first four of the rank whose size falls are confirmed by wording.
+their dictionary reduces the size. All in the rank whose size falls are compared by wording.
 A template is the notices of a license, then its whole text where ``license_texts`` has it.
 
 Wording is aligned in segments: stretches of the block in which at least MATCHED of the words are the
@@ -194,7 +194,7 @@ def identify(block: str, templates: dict[str, str]) -> list[tuple[str, int, int,
     """(license, start, end, saving, added, missing) of the block's confirmed segments, by start."""
     words, places, pieces = _words(block)
     found = []
-    for order, (saving, name) in enumerate(rank(block, templates)[:4]):
+    for order, (saving, name) in enumerate(rank(block, templates)):
         if saving <= 0:
             break
         template, sentence = _template(templates[name])
