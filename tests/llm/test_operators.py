@@ -351,3 +351,16 @@ def test_license_template_ranked_after_many_variants(monkeypatch):
     templates = {f"Foo-{i}": f"Licensed under the Foo License, version {i}." for i in range(1, 10)}
     monkeypatch.setattr(licenses, "rank", lambda b, t: [(0.9 - i / 100, n) for i, n in enumerate(sorted(t))])
     assert [h[0] for h in licenses.identify(block, templates)] == ["Foo-9"]
+
+
+def test_decontamination_of_slots_passages_and_split_items(spark):
+    from vellumetry.llm.decontaminate import find
+
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))
+    twice = "the old mill grinds 9 sacks of barley before noon while the young miller counts all the 9 sacks twice and sings about the river"
+    items = [(1, "What is 12 * 7 + 3?"), (2, long), (3, twice), (4, " ".join(f"y{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)))]
+    split = items[3][1].split()
+    broken = " ".join([*split[:17], "added", *split[17:30], "more", "words"])
+    texts = ["So, What is 12 * 7 + 3?", "before " + " ".join(long.split()[40:70]) + " after", twice.replace("the 9 sacks", "the 8 sacks"), broken, "So, What is 12 * 7 + 4?", " ".join(long.split()[40:55])]
+    got = find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).toPandas()
+    assert set(zip(got.doc_id, got.item_id)) == {(0, 1), (1, 2), (2, 3), (3, 4)}

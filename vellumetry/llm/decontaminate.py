@@ -3,10 +3,12 @@
 Words are runs of letters and digits. Typed placeholders stand for what a re-parameterised question
 changes: NUM for a word with a digit, UNIT for a unit word after a NUM, NAME for a capitalised word that
 does not begin a sentence. Windows of WINDOW template words (an item with fewer words is one window)
-are hashed and joined with the windows of the benchmark; windows that are mostly placeholders are left
-out on both sides. Along each alignment of a document with an item, slots must be consistent: one
-value of the item stands for one value of the document, and the other way round. An item is found in a
-document if its consistent windows cover at least ``least`` of it.
+are hashed and joined with the windows of the benchmark; windows that are mostly placeholders are hashed
+by their literal words on both sides. Along each alignment of a document with an item, changed slots must
+be consistent: one value of the item stands for one value of the document, and the other way round; a
+window with another changed slot does not count. An item is found in a document if the windows of
+alignments no further apart than the item is long cover at least ``least`` of it, of its windows that
+are not literal or of all; or if RUN words of it stand in the document unchanged and in one run.
 
 Document windows are screened by a bit array of fixed size before they are joined. That array only
 saves work; the join decides. Its size does not grow with the benchmark.
@@ -21,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, written
 from .shingles import chunks, combine, words_in
 
 WINDOW, LEAST = 8, 0.3
+#: Words of an item that are found whatever share of it they are.
+RUN = 20
 #: log2 of the bits of the screen.
 SCREEN = 24
 #: Unit words.
@@ -46,6 +50,7 @@ _STOP[[ord(c) for c in ".!?:;\n\""]] = True
 _IS_DIGIT = np.zeros(256, dtype=bool)
 _IS_DIGIT[48:58] = True
 _NUM, _UNIT, _NAME = (_U(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
+_LITERAL = _U(0x4444444444444444)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -53,11 +58,11 @@ def _unit_hashes() -> np.ndarray:
     return np.unique(words_in(data, np.array([0, len(data)]), _GAP)[0])
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash of each word, whether it is a slot, starts, ends, first words) of a chunk."""
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash of each word, whether it is a slot, starts, ends, first words, literal hashes) of a chunk."""
     words, starts, ends, at = words_in(data, offsets, _GAP)
     if not len(words):
-        return words, np.zeros(0, dtype=bool), starts, ends, at
+        return words, np.zeros(0, dtype=bool), starts, ends, at, words
     digits = np.concatenate([[0], np.cumsum(_IS_DIGIT[data])])
     number = digits[ends] > digits[starts]
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
@@ -74,23 +79,23 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     unit[1:] = (units[place] == words)[1:] & number[:-1]
     unit[at[:-1][at[:-1] < len(words)]] = False
     out = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, words)))
-    return out, number | unit | name, starts, ends, at
+    return out, number | unit | name, starts, ends, at, words
 
 
-def _windows(column: pa.Array, widths: list[int], screen: np.ndarray | None) -> Iterator[tuple[int, int, int, int, list[str]]]:
-    """(row, position, words of the row, hash, slot values) of the windows that pass the screen.
+def _windows(column: pa.Array, widths: list[int], screen: np.ndarray | None) -> Iterator[tuple[int, int, int, int, list[str], bool]]:
+    """(row, position, words of the row, hash, slot values, whether literal) of the windows that pass the screen.
 
     Without a screen, which is the benchmark's side, each row has windows of the one width that fits."""
     for first, last, data, offsets in chunks(column):
-        template, slot, starts, ends, at = canonical(data, offsets)
+        template, slot, starts, ends, at, words = canonical(data, offsets)
         slots = np.concatenate([[0], np.cumsum(slot)])
         for width in widths:
             if len(template) < width:
                 continue
-            h = combine(template, width)
-            ok = 2 * (slots[width:] - slots[:-width]) <= width
+            literal = 2 * (slots[width:] - slots[:-width]) > width
+            h = np.where(literal, combine(words, width) ^ _LITERAL, combine(template, width))
             row = np.searchsorted(at, np.arange(len(h)), side="right") - 1
-            ok &= np.arange(len(h)) + width <= at[row + 1]
+            ok = np.arange(len(h)) + width <= at[row + 1]
             if screen is None:
                 ok &= np.minimum(at[row + 1] - at[row], max(widths)) == width
             else:
@@ -99,15 +104,15 @@ def _windows(column: pa.Array, widths: list[int], screen: np.ndarray | None) ->
             for i in np.flatnonzero(ok).tolist():
                 values = [data[starts[j] : ends[j]].tobytes().decode("utf-8", "replace").lower() for j in range(i, i + width) if slot[j]]
                 r = int(row[i])
-                yield first + r, i - int(at[r]), int(at[r + 1] - at[r]), int(h[i : i + 1].view(np.int64)[0]), values
+                yield first + r, i - int(at[r]), int(at[r + 1] - at[r]), int(h[i : i + 1].view(np.int64)[0]), values, bool(literal[i])
 
 
 def template_windows(rows: DataFrame, keys: list[str], widths: list[int], screen: np.ndarray | None = None) -> DataFrame:
-    """keys, pos, words, h, slots: the windows of ``text``, those that pass the screen if one is given."""
+    """keys, pos, words, h, slots, literal: the windows of ``text``, those that pass the screen if one is given."""
     kept = rows.select(*keys, F.col("text").alias("__text"))
     shared = rows.sparkSession.sparkContext.broadcast(screen)
     kinds = [kept.schema[k] for k in keys]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", pos long, words long, h long, slots array<string>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", pos long, words long, h long, slots array<string>, literal boolean"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +125,10 @@ def template_windows(rows: DataFrame, keys: list[str], widths: list[int], screen
             yield made(batch, held)
 
     def made(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
-        row, pos, words, h, slots = zip(*held) if held else ((), (), (), (), ())
+        row, pos, words, h, slots, literal = zip(*held) if held else ((), (), (), (), (), ())
         at = pa.array(row, pa.int64())
         columns = [batch.column(i).take(at) for i in range(len(keys))]
-        return pa.record_batch([*columns, pa.array(pos, pa.int64()), pa.array(words, pa.int64()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))], names=[*keys, "pos", "words", "h", "slots"])
+        return pa.record_batch([*columns, pa.array(pos, pa.int64()), pa.array(words, pa.int64()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(literal, pa.bool_())], names=[*keys, "pos", "words", "h", "slots", "literal"])
 
     return kept.mapInArrow(cut, schema)
 
@@ -144,21 +149,41 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: flo
     docs has doc_id and text, benchmark has item_id and text."""
     widths = list(range(1, window + 1))
     items = written(template_windows(benchmark, ["item_id"], widths).withColumnsRenamed({"pos": "item_pos", "slots": "item_slots", "words": "item_words"}))
-    whole = written(items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows")))
+    whole = written(items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("all"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("plain")))
     used = [r[0] for r in items.select(F.least("item_words", F.lit(window)).cast("int").alias("w")).distinct().collect()]  # at most ``window`` numbers
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     met = template_windows(keyed, ["doc_id", "text_hash"], sorted(used), _screen_of(items.select("h"))) if used else template_windows(keyed.limit(0), ["doc_id", "text_hash"], [window])
-    pairs = met.join(broadcast_if_small(items), "h")
+    pairs = met.drop("literal", "words").join(broadcast_if_small(items), "h")
     slot = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    along = pairs.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), slot.alias("slot"))
+    keys = ["doc_id", "text_hash", "item_id"]
+    one = F.struct(F.col("item_pos").alias("pos"), "literal", slot.alias("slot"))
     # Grouped by alignment: no more windows, and no more slots, than the item has.
-    along = along.groupBy("doc_id", "text_hash", "item_id", "shift").agg(F.countDistinct("item_pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set("slot"))).alias("slot"))
-    a, b = (F.size(F.array_distinct(F.col("slot")[x])) for x in ("a", "b"))
-    along = along.where((F.size("slot") == a) & (F.size("slot") == b))
-    changed = F.exists("slot", lambda s: s["a"] != s["b"])
-    best = along.groupBy("doc_id", "text_hash", "item_id").agg(F.max("windows").alias("windows"), F.max_by(changed, "windows").alias("reparameterised"))
-    out = best.join(broadcast_if_small(whole), "item_id").withColumn("coverage", F.col("windows") / F.col("item_windows"))
-    return out.where(F.col("coverage") >= least).select("doc_id", "text_hash", "item_id", "windows", "item_windows", "coverage", "reparameterised")
+    along = pairs.select(*keys, "item_words", (F.col("pos") - F.col("item_pos")).alias("shift"), one.alias("w")).groupBy(*keys, "item_words", "shift").agg(F.collect_set("w").alias("w"))
+    along = along.withColumn("slot", F.array_distinct(F.flatten("w.slot")))
+    clash = F.filter("slot", lambda p: (p["a"] != p["b"]) & F.exists("slot", lambda q: (q["a"] == p["a"]) != (q["b"] == p["b"])))
+    along = along.withColumn("clash", clash).withColumn("w", F.filter("w", lambda w: ~F.arrays_overlap(w["slot"], F.col("clash"))))
+    same = F.array_sort(F.transform(F.filter("w", lambda w: ~F.exists(w["slot"], lambda p: p["a"] != p["b"])), lambda w: w["pos"]))
+    zero = F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = F.when(x == s["last"] + 1, s["n"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), n.alias("n"), F.greatest(s["best"], n).alias("best"))
+
+    along = along.where(F.size("w") > 0).withColumn("run", F.aggregate(same, zero, step, lambda s: s["best"]))
+    # Alignments at most an item's length apart share a cell.
+    cell = F.floor(F.col("shift") / F.col("item_words"))
+    near = along.withColumn("cell", F.explode(F.array(cell, cell + 1)))
+    near = near.groupBy(*keys, "cell").agg(F.array_distinct(F.flatten(F.collect_set("w"))).alias("w"), F.max("run").alias("run"))
+    count = lambda some: F.size(F.array_distinct(F.transform(some, lambda w: w["pos"])))
+    changed = F.exists("w", lambda w: F.exists(w["slot"], lambda s: s["a"] != s["b"]))
+    near = near.select(*keys, "run", changed.alias("changed"), count(F.col("w")).alias("all_met"), count(F.filter("w", lambda w: ~w["literal"])).alias("plain_met"))
+    near = near.join(broadcast_if_small(whole), "item_id")
+    part = F.coalesce(F.col("plain_met") / F.nullif(F.col("plain"), F.lit(0)), F.lit(0.0))
+    by_all = F.col("all_met") / F.col("all") > part
+    near = near.select(*keys, "run", "changed", F.when(by_all, F.col("all_met")).otherwise(F.col("plain_met")).cast("long").alias("windows"), F.when(by_all, F.col("all")).otherwise(F.col("plain")).alias("item_windows"))
+    near = near.withColumn("coverage", F.col("windows") / F.col("item_windows"))
+    best = near.groupBy(*keys).agg(F.max("run").alias("run"), F.max_by(F.struct("windows", "item_windows", "coverage", F.col("changed").alias("reparameterised")), "coverage").alias("best"))
+    return best.where((F.col("best.coverage") >= least) | (F.col("run") >= max(1, RUN - window + 1))).select(*keys, "best.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
