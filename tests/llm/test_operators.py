@@ -364,3 +364,16 @@ def test_decontamination_of_slots_passages_and_split_items(spark):
     texts = ["So, What is 12 * 7 + 3?", "before " + " ".join(long.split()[40:70]) + " after", twice.replace("the 9 sacks", "the 8 sacks"), broken, "So, What is 12 * 7 + 4?", " ".join(long.split()[40:55])]
     got = find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).toPandas()
     assert set(zip(got.doc_id, got.item_id)) == {(0, 1), (1, 2), (2, 3), (3, 4)}
+
+
+def test_field_runs_without_base_spans_and_reaches_far_mentions():
+    from vellumetry.llm.pii import FEATURES, Field, find
+
+    node = np.zeros((FEATURES, 5))
+    node[1, 1] = 6.0
+    skip = np.full((5, 5), -3.0) + 6 * np.eye(5)
+    _, every = find(Field(node, np.zeros((5, 5)), skip), ["ask admin@intranet today"])
+    assert every == [[(0, 4, 18)]]
+    text = "write to maria.k9@site.example today\n" + "some words then maria.k9 again\n" * 30
+    _, every = find(Field(np.zeros((FEATURES, 5)), np.zeros((5, 5)), skip), [text])
+    assert len(every[0]) == 31

@@ -3,8 +3,10 @@
 The field's nodes are the document's tokens with a digit or an at sign. Labels are ``O`` and the four
 kinds. Neighbouring nodes share chain potentials. Tokens that repeat, or that are similar (the same
 name before the at sign, or digits that end alike), share skip potentials however far apart they are;
-each group of such tokens is linked one to the next, so the number of edges grows with the tokens. Base
-matches are evidence. Loopy message passing then gives every token its marginals, and a token outside
+each group of such tokens is linked one to the next, and a group of over two also to a hub, so evidence
+is two steps away and the number of edges grows with the tokens. Base matches are evidence, and documents
+without any are run too. Loopy message passing, until no message changes by more than ``tolerance`` (or
+``rounds``, where it does not settle), then gives every token its marginals, and a token outside
 base spans whose best kind is sure enough is added as a span of that kind.
 
 Potentials are fitted piece by piece on a bounded sample (at most about ``sample_docs`` texts with such
@@ -134,7 +136,8 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
     sure: float = 0.9
-    rounds: int = 8
+    rounds: int = 200
+    tolerance: float = 1e-7
 
     def marginals(self, shapes: np.ndarray, evidence: np.ndarray, edges: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Loopy sum-product; edges (E, 2) of node numbers, kinds 0 chain, 1 skip; evidence -1 if none."""
@@ -160,7 +163,10 @@ class Field:
             from_a -= from_a.max(axis=1, keepdims=True)
             new = np.log(np.einsum("ei,eij->ej", np.exp(from_a), pair) + 1e-30)
             new -= new.max(axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
+            new = 0.5 * message + 0.5 * new
+            moved, message = np.abs(new - message).max(), new
+            if moved < self.tolerance:
+                break
         belief = unary.copy()
         np.add.at(belief, b, message)
         belief -= belief.max(axis=1, keepdims=True)
@@ -189,6 +195,16 @@ def graph(nodes: list[tuple[int, int, int, str]], first: int, text: str) -> tupl
     return shapes, edges, kinds
 
 
+def hubs(nodes: list[tuple[int, int, int, str]], first: int, hub: int) -> list[tuple[int, int]]:
+    """Edges from each mention to the hub of its key, for keys of over two mentions; hubs are numbered from ``hub``."""
+    groups: dict[str, list[int]] = {}
+    for i, node in enumerate(nodes):
+        for key in skip_keys(node[3]):
+            groups.setdefault(key, []).append(first + i)
+    many = {tuple(g) for g in groups.values() if len(g) > 2}
+    return [(i, hub + k) for k, g in enumerate(sorted(many)) for i in g]
+
+
 def find(field: Field | None, texts: list[str]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
     """Base spans and all spans of each text; the graphs of a batch are passed messages together."""
     base = [base_spans(t) for t in texts]
@@ -198,19 +214,23 @@ def find(field: Field | None, texts: list[str]) -> tuple[list[list[tuple[int, in
     shapes, edges, kinds, owners = [], [], [], []
     for i, text in enumerate(texts):
         nodes = nodes_of(text, base[i])
-        if any(n[2] >= 0 for n in nodes) and any(n[2] < 0 for n in nodes):
-            s, e, k = graph(nodes, len(shapes), text)
-            shapes += s
-            edges += e
-            kinds += k
-            owners += [(i, *n) for n in nodes]
+        if any(n[2] < 0 for n in nodes):
+            first = len(shapes)
+            s, e, k = graph(nodes, first, text)
+            h = hubs(nodes, first, first + len(nodes))
+            extra = max((b for _, b in h), default=first + len(nodes) - 1) + 1 - first - len(nodes)
+            shapes += s + [[0.0] * FEATURES] * extra
+            edges += e + h
+            kinds += k + [1] * len(h)
+            owners += [(i, *n) for n in nodes] + [(i, -1, -1, -1, "")] * extra
     if shapes:
         evidence = np.array([o[3] for o in owners])
         p = field.marginals(np.array(shapes), evidence, np.array(edges, dtype=int).reshape(-1, 2), np.array(kinds, dtype=int))
         best = p.argmax(axis=1)
         for n in np.flatnonzero((evidence < 0) & (best > 0) & (p.max(axis=1) >= field.sure)):
             i, start, end, _, _ = owners[n]
-            every[i].append((int(best[n]) - 1, start, end))
+            if start >= 0:
+                every[i].append((int(best[n]) - 1, start, end))
     return base, [sorted(s) for s in every]
 
 
