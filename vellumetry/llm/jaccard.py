@@ -4,23 +4,29 @@ Documents are sets of word-shingle hashes (see ``shingles``); two link when
 ``100 * |intersection| >= percent * |union|``. The result is exact and names the connected components.
 
 * Equal sets are one set: its answers are computed once and shared by all copies.
-* Answer skipping. Of the sets that share a min-hash, a few serve as pivots. Each set is verified
-  against its most promising pivot only, in linear work; sets that a pivot joins already belong to one
-  component, so no pair between them needs an answer of its own.
-* Index skipping. The inverted lists hold prefixes under one global order, common shingles last. Lists
-  are cut into blocks by set size, and a probe visits only the two blocks whose sizes can match; inside
-  a block, positions bound the intersection, so pairs whose positions are too far in are skipped, as
-  are pairs that a pivot has joined.
+* Pivots are elected in rounds. In each group of sets that share a min-hash, the set nearest to what the
+  group has in common is the pivot; every other set is verified against its most promising pivot and, if
+  they link, becomes a member. Members take no further part; rounds go on until few sets join.
+* Index skipping. The inverted lists hold prefixes under one global order, rare shingles first. A list
+  has one entry for each pivot with its members, not one for each set, and a shingle that only one of
+  these has is no list. Lists are sorted by set size, and a probe visits only the block of sizes that can
+  match; positions bound the intersection, so entries too far in are skipped. A list of over HOT entries
+  is cut into chunks that meet two at a time, each in a task of its own.
+* Derived answers. Only pivots that met in a list are verified against each other. How far a member is
+  from its pivot bounds how far it is from the other pivot's members, so members are asked, first against
+  the other pivot and then against each other, only where that bound leaves a link open.
 * Pairs are screened by parity bitmaps, whose distance never exceeds the number of shingles that only
-  one of the sets has: by a short one inside the index join, by one that fits the size of the sets
-  before the sets are fetched. Every pair left is verified on whole sets.
+  one of the sets has. Every pair left is verified on whole sets.
 
-Nothing here collects sets, pairs or components to the driver; the one list that is broadcast holds
-shingles that at least one document in ``1 / COMMON`` has, at most mean set size / COMMON of them.
+Links inside a pivot's group are not counted one by one: a group of copies would have all its pairs.
+
+Nothing here collects sets, pairs or components to the driver; the one list that is broadcast orders the
+ORDERED most frequent shingles at most, whatever the input's size (any order gives the same result).
 
 Defined results: null and wordless texts have the empty set and link with nothing; repeated rows each
 get their row; a null id gets component null and links nothing; an empty table gives an empty result;
-other columns of the input are ignored.
+other columns of the input are ignored. Of equally good pivots that with more copies, then that with the
+smallest hash serves; the components do not depend on it. Very long texts are sets like any other.
 """
 
 from __future__ import annotations
@@ -32,18 +38,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, release, written
+from .common import Scratch, broadcast_if_small, components
 from .shingles import mix, shingle_sets
 
 _U = np.uint64
-#: A shingle is common if at least this share of the documents has it.
-COMMON = 0.001
-#: Shingle hashes counted together when common ones are looked for.
-BLOCK = 4_000_000
-#: Min-hashes for pivots, and pivots for each.
-KEYS, PIVOTS = 3, 2
+#: Shingles that are ordered by how frequent they are; the others come before them.
+ORDERED = 200_000
+#: Shingle hashes counted together when frequent ones are looked for.
+BLOCK = 2_000_000
+#: Min-hashes that group sets, those that compare them inside a group, and the least that must agree.
+KEYS, MARKS, AGREE = 4, 32, 16
+#: Rounds of election at most; sets that have not joined by then meet in the index.
+ROUNDS = 4
 #: A parity bitmap has as many bits as the set has members, rounded up to one of these.
 BITMAPS = [1 << b for b in (10, 13, 16, 19, 22)]
+#: Entries of a list that are compared in one task, and pairs that are looked at together there.
+HOT, PAIRS = 20_000, 1_000_000
+#: Pairs of one set that are verified in one task.
+SPLIT = 64
 
 
 def _longs(sets: list[np.ndarray]) -> pa.Array:
@@ -57,192 +69,360 @@ def _fingerprint(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=_U, keepdims=True) + _U(len(s))).view(np.int64)[0])
 
 
-def _parity(s: np.ndarray, size: int = 0) -> np.ndarray:
-    size = size or next((b for b in BITMAPS if len(s) <= b), BITMAPS[-1])
+def _parity(s: np.ndarray) -> np.ndarray:
+    size = next((b for b in BITMAPS if len(s) <= b), BITMAPS[-1])
     odd = np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(_U)
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of the shingles that about COMMON of all documents or more have."""
+def _least_of_ranges(s: np.ndarray, n: int) -> np.ndarray:
+    """The least hash in each of n equal ranges of hashes (of a range without any: the next there is)."""
+    edges = np.arange(n, dtype=_U) << _U(64 - n.bit_length() + 1)
+    return s[np.searchsorted(s, edges) % len(s)]
+
+
+def frequent_shingles(docs: DataFrame, width: int, most: int = ORDERED) -> np.ndarray:
+    """Hashes of at most ``most`` shingles, the most frequent ones, least frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, rows = [], 0, 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held or [np.zeros(0, dtype=_U)]), return_counts=True)
-            keep = n >= max(2, COMMON / 2 * rows)
+            keep = n >= 2
             return pa.record_batch([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
         for batch in batches:
             for s in shingle_sets(batch.column(0), width):
                 held.append(s)
-                size, rows = size + len(s), rows + 1
+                size += len(s)
                 if size >= BLOCK:
                     yield flush()
-                    held, size, rows = [], 0, 0
+                    held, size = [], 0
         yield flush()
 
-    least = docs.count() * COMMON / 2
-    found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.where(F.col("n") >= max(2.0, least)).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(dtype=np.int64).view(_U))
+    with Scratch(docs.sparkSession) as tmp:
+        found = tmp.write(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+        # How many shingles have each power of 1.1 as their count: a few hundred rows.
+        level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.1))).cast("int")
+        levels = sorted(((r["level"], r["count"]) for r in found.groupBy(level.alias("level")).count().collect()), reverse=True)
+        total, least = 0, None
+        for at, n in levels:
+            if total + n > most:
+                break
+            total, least = total + n, at
+        if least is None:
+            return np.zeros(0, dtype=_U)
+        rows = found.where(level >= least).toPandas().sort_values(["n", "token"])
+    return rows["token"].to_numpy(dtype=np.int64).view(_U)
 
 
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def sketches(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per row: doc_id, text_hash, n (set size), sid (fingerprint of the set), keys (min-hashes), short and
-    bits (parity bitmaps), prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def sketches(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """Per row: doc_id, text_hash, n (set size), sid (fingerprint of the set), keys and marks (min-hashes),
+    bits (parity bitmap), prefix."""
+    by_hash = np.argsort(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare_last = shared.value
-        for batch in batches:
-            size, sid, keys, short, bits, prefix = [], [], [], [], [], []
-            for s in shingle_sets(batch.column(1), width):
-                size.append(len(s))
-                if not len(s):
-                    sid.append(None)
-                    keys.append(s)
-                    short.append(s)
-                    bits.append(s)
-                    prefix.append(s)
-                    continue
-                sid.append(_fingerprint(s))
-                keys.append(np.array([mix(s ^ _U(0x9E3779B97F4A7C15 * k % 2**64)).min() for k in range(1, KEYS + 1)], dtype=_U))
-                short.append(_parity(s, 256))
-                bits.append(_parity(s))
-                p = _prefix_length(len(s), percent)
-                if len(rare_last):
-                    at = np.minimum(np.searchsorted(rare_last, s), len(rare_last) - 1)
-                    hit = rare_last[at] == s
-                    rare = s[~hit]
-                    s = np.concatenate([rare, s[hit]]) if len(rare) < p else rare
-                prefix.append(s[:p])
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), _longs(keys), _longs(short), _longs(bits), _longs(prefix)], names=["doc_id", "text_hash", "n", "sid", "keys", "short", "bits", "prefix"])
-
-    return docs.select("doc_id", "text", "text_hash").mapInArrow(sketch, "doc_id long, text_hash long, n long, sid long, keys array<long>, short array<long>, bits array<long>, prefix array<long>")
-
-
-def _verified(pairs: DataFrame, owner: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The links among candidate pairs (a, b) of set ids, by exact intersection of the whole sets."""
+        known, rank = shared.value
+        none = np.zeros(0, dtype=_U)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                batch = whole.slice(first, 2048)
+                size, sid, keys, marks, bits, prefix = [], [], [], [], [], []
+                for s in shingle_sets(batch.column(1), width):
+                    size.append(len(s))
+                    if not len(s):
+                        sid.append(None)
+                        for column in (keys, marks, bits, prefix):
+                            column.append(none)
+                        continue
+                    sid.append(_fingerprint(s))
+                    least = _least_of_ranges(s, MARKS)
+                    marks.append(least >> _U(32))
+                    keys.append(np.unique(np.minimum.reduceat(least, np.arange(0, MARKS, MARKS // KEYS))))
+                    bits.append(_parity(s))
+                    p = _prefix_length(len(s), percent)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        hit = known[at] == s
+                        rare = s[~hit]
+                        s = np.concatenate([rare, s[hit][np.argsort(rank[at[hit]])]]) if len(rare) < p else rare
+                    prefix.append(s[:p])
+                yield pa.record_batch([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), _longs(keys), _longs(marks), _longs(bits), _longs(prefix)], names=["doc_id", "text_hash", "n", "sid", "keys", "marks", "bits", "prefix"])
+
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(sketch, "doc_id long, text_hash long, n long, sid long, keys array<long>, marks array<long>, bits array<long>, prefix array<long>")
+
+
+def _links(k: str, percent: int) -> Column:
+    return 100 * F.col(k) >= percent * (F.col("na") + F.col("nb") - F.col(k))
+
+
+def overlaps(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, tmp: Scratch) -> DataFrame:
+    """pairs (a, b and others) of set ids with na, nb and k, the exact size of the intersection.
+
+    A set in more than SPLIT pairs as ``b`` is sent to several tasks, each with a part of the pairs."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(batch.column(0), width))
-            yield pa.record_batch([pa.array([_fingerprint(s) for s in found], pa.int64()), _longs(found)], names=["sid", "s"])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    asked = written(asked.join(owner, "sid").select("doc_id", "sid"))
-    asked = broadcast_if_small(asked)
-    texts = docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    known = written(texts.mapInArrow(sets, "sid long, s array<long>").join(asked.select("sid"), "sid", "left_semi"))
-    both = pairs.join(known.select(F.col("sid").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(known.select(F.col("sid").alias("b"), F.col("s").alias("sb")), "b")
-    k = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(100 * k >= percent * (F.size("sa") + F.size("sb") - k)).select("a", "b").distinct()
-    links = written(links)
-    release(docs.sparkSession, pairs, asked, known)
-    return links
+            for first in range(0, batch.num_rows, 512):
+                found = list(shingle_sets(batch.column(0).slice(first, 512), width))
+                yield pa.record_batch([pa.array([_fingerprint(s) for s in found], pa.int64()), _longs(found)], names=["sid", "s"])
+
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+    parts = tmp.write(parts)
+    asked = pairs.select("a").distinct().select(F.col("a").alias("sid")).union(parts.select("b")).distinct()
+    asked = tmp.write(asked.join(heads.select("sid", "doc_id"), "sid"))
+    texts = docs.join(broadcast_if_small(asked).select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    known = texts.mapInArrow(sets, "sid long, s array<long>").join(broadcast_if_small(asked).select("sid"), "sid", "left_semi")
+    known = tmp.write(known)
+    left = known.select(F.col("sid").alias("a"), F.col("s").alias("sa"))
+    right = known.select(F.col("sid").alias("b"), F.col("s").alias("sb")).join(broadcast_if_small(parts), "b")
+    right = right.select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(broadcast_if_small(parts), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    both = dealt.join(left, "a").join(right, ["b", "part"]).drop("part")
+    k = F.size(F.array_intersect("sa", "sb")).cast("long")
+    out = both.withColumns({"na": F.size("sa").cast("long"), "nb": F.size("sb").cast("long"), "k": k}).drop("sa", "sb")
+    out = tmp.write(out.dropDuplicates(["a", "b"]))
+    tmp.drop(parts, asked, known)
+    return out
+
+
+def _stars(grouped: DataFrame) -> DataFrame:
+    """(a, b): each set with the pivot, of those of its groups, that agrees with it in most marks.
+
+    grouped has key, sid, n, copies, marks, a row for each set of each group. Pivots are paired with none."""
+    votes = grouped.select("key", F.posexplode("marks").alias("j", "v")).groupBy("key", "j", "v").agg(F.count("*").alias("c"))
+    votes = votes.groupBy("key", "j").agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+    usual = votes.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("usual"))
+
+    def agree(x: str, y: str) -> Column:
+        return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
+
+    scored = grouped.join(usual, "key").withColumn("score", agree("marks", "usual"))
+    best = F.struct("score", "copies", (-F.col("sid")).alias("h"))
+    pivots = scored.groupBy("key").agg(F.max_by(F.struct(F.col("sid").alias("b"), F.col("marks").alias("pmarks"), F.col("n").alias("pn")), best).alias("p")).select("key", "p.*")
+    near = grouped.join(pivots, "key").where("sid <> b").withColumn("match", agree("marks", "pmarks")).where(F.col("match") >= AGREE)
+    near = near.join(pivots.select(F.col("b").alias("sid")).distinct(), "sid", "left_anti")
+    return near.groupBy(F.col("sid").alias("a")).agg(F.max_by("b", F.struct("match", "b")).alias("b"))
+
+
+def elect(heads: DataFrame, docs: DataFrame, width: int, percent: int, tmp: Scratch) -> DataFrame:
+    """(sid, n, root, far) of the sets that have joined a pivot; far is at least the number of shingles
+    that only one of the two has. Roots are no members."""
+    keyed = heads.select("sid", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
+    grouped = tmp.write(keyed.join(shared, "key").join(heads.select("sid", "n", "copies", "marks"), "sid"))
+    members = tmp.write(docs.sparkSession.createDataFrame([], "sid long, n long, root long, far long"))
+    for _ in range(ROUNDS):
+        pairs = tmp.write(_stars(grouped))
+        done = pairs.isEmpty()
+        if not done:
+            tried = overlaps(pairs, heads, docs, width, tmp)
+            won = tmp.write(tried.where(_links("k", percent)).select("a", "b", "na", (F.col("na") + F.col("nb") - 2 * F.col("k")).alias("far")))
+            joined, known = won.count(), members.count()
+            old = (members, grouped)
+            step = broadcast_if_small(won).select(F.col("a").alias("root"), "b", F.col("far").alias("more"))
+            moved = members.join(step, "root", "left").select("sid", "n", F.coalesce("b", "root").alias("root"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+            members = tmp.write(moved.union(won.select("a", "na", "b", "far")))
+            grouped = tmp.write(grouped.join(broadcast_if_small(won).select(F.col("a").alias("sid")), "sid", "left_anti"))
+            tmp.drop(tried, won, *old)
+            done = joined <= known // 50
+        tmp.drop(pairs)
+        if done:
+            break
+    tmp.drop(grouped)
+    return members
+
+
+def _met(token: np.ndarray, cluster: np.ndarray, meta: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of clusters that meet in whole lists; rows are sorted by list, then cluster.
+
+    meta holds a set's size, its position in the prefix and its part of a list that was cut."""
+    n, i, part = meta >> 32, (meta >> 2) & ((1 << 30) - 1), meta & 3
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (cluster[1:] != cluster[:-1])
+    at = np.flatnonzero(new)
+    low, high, i = np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.minimum.reduceat(i, at)
+    token, cluster, part = token[at], cluster[at], part[at]
+    first = np.ones(len(token), dtype=bool)
+    first[1:] = token[1:] != token[:-1]
+    which = np.cumsum(first) - 1
+    alone = (np.bincount(which) == 1)[which]
+    low, high, i, cluster, part, which = (x[~alone] for x in (low, high, i, cluster, part, which))
+    order = np.lexsort((low, which))
+    low, high, i, cluster, part, which = (x[order] for x in (low, high, i, cluster, part, which))
+    # The block of the list whose sizes can match: those up to 100 / percent of this one.
+    stop = np.searchsorted(which * (1 << 32) + low, which * (1 << 32) + high * 100 // percent, side="right")
+    count = np.maximum(stop - np.arange(len(low)) - 1, 0)
+    far, begin = (100 - percent) / (100 + percent), 0
+    upto = np.cumsum(count)
+    while begin < len(low):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, side="right")))
+        c = count[begin:end]
+        a = np.repeat(np.arange(begin, end), c)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
+        ok = (i[a] + i[b] <= far * (high[a] + high[b]) + 1e-6) & ((part[a] != part[b]) | (part[a] == 0))
+        x, y = cluster[a[ok]], cluster[b[ok]]
+        yield np.minimum(x, y), np.maximum(x, y)
+        begin = end
+
+
+def index_pairs(sets: DataFrame, members: DataFrame, frequent: np.ndarray, percent: int, tmp: Scratch) -> DataFrame:
+    """(a, b): roots that have, or whose members have, a prefix shingle in common; sets has sid, n, prefix."""
+    spark = sets.sparkSession
+    of = broadcast_if_small(members).select("sid", "root")
+    lists = sets.join(of, "sid", "left").select(F.coalesce("root", "sid").alias("cluster"), "n", F.posexplode("prefix").alias("i", "token"))
+    # A rare shingle's list is short; of the frequent ones, at most ORDERED, the long lists are found by counting.
+    some = spark.createDataFrame(pa.table({"token": pa.array(frequent.view(np.int64))}))
+    hot = lists.join(F.broadcast(some), "token", "left_semi").groupBy("token").count().where(F.col("count") > HOT)
+    hot = tmp.write(hot.select("token", F.ceil(F.col("count") / HOT).cast("int").alias("chunks")))
+    meta = (F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("i").cast("long"), 2)).alias("meta")
+    plain = lists.join(F.broadcast(hot), "token", "left_anti").select(F.col("token").alias("list"), "cluster", meta)
+    cut = lists.join(F.broadcast(hot), "token").withColumn("own", F.pmod(F.xxhash64("cluster"), F.col("chunks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cut = cut.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "cluster", (meta + part).alias("meta"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 3
+
+        def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for a, b in _met(*rows, percent) if len(rows[0]) else ():
+                if len(a):
+                    both = np.unique(np.stack([a, b]), axis=1) if len(a) < PAIRS else np.stack([a, b])
+                    yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
+        for batch in batches:
+            rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            if last < BLOCK // 8 and last < len(rows[0]) // 2:  # a list that is not whole yet, or few rows
+                held = rows
+                continue
+            yield from pairs([r[:last] for r in rows])
+            held = [r[last:].copy() for r in rows]
+        yield from pairs(held)
 
-def _apart(a: str, b: str) -> Column:
-    """Distance of two bitmaps; null if they differ in size."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    dealt = plain.unionByName(cut).repartition("list").sortWithinPartitions("list", "cluster")
+    return tmp.write(dealt.mapInArrow(meet, "a long, b long").distinct())
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parity bitmaps do not rule out, with their bitmaps' distance."""
-    for x in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
-    low, high, both = F.least("na", "nb"), F.greatest("na", "nb"), F.col("na") + F.col("nb")
-    # Bitmaps of different sizes say nothing of each other; such pairs go on to be verified.
-    apart = F.when(F.size("bitsa") == F.size("bitsb"), _apart("bitsa", "bitsb")).otherwise(0)
-    pairs = pairs.withColumn("apart", apart)
-    return pairs.where((100 * low >= percent * high) & ((100 + percent) * F.col("apart") <= (100 - percent) * both)).drop("na", "nb", "bitsa", "bitsb")
-
-
-def _pivot_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with the nearest, by bitmaps, of the pivots of its min-hash groups."""
-    keyed = sets.select("sid", F.posexplode("keys").alias("k", "key"))
-    pivots = [F.min(F.struct(F.xxhash64("sid", F.lit(r)).alias("h"), "sid"))["sid"].alias(f"p{r}") for r in range(PIVOTS)]
-    groups = keyed.groupBy("k", "key").agg(F.count("*").alias("size"), *pivots).where("size > 1")
-    near = keyed.join(groups, ["k", "key"]).select(F.col("sid").alias("a"), F.explode(F.array(*[f"p{r}" for r in range(PIVOTS)])).alias("b"))
-    near = _possible(near.where("a <> b").distinct(), sets, percent)
-    return near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-
-
-def _index_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) from the blocked inverted lists; sets has sid, n, root, short, prefix."""
-    far = (100 - percent) / (100 + percent)
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    words = [F.get("short", F.lit(i)).alias(f"w{i}") for i in range(4)]
-    lists = sets.select("sid", "n", "root", *words, block.alias("block"), F.posexplode("prefix").alias("i", "token"))
-    shared = lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    lists = written(lists.join(shared, "token"))
-    probe = lists.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"))))
-
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("token", "block", *[F.col(c).alias(c + x) for c in ("sid", "n", "root", "i", "w0", "w1", "w2", "w3")])
-
-    def smaller(x: str, y: str) -> Column:
-        return F.struct(f"n{x}", f"sid{x}") < F.struct(f"n{y}", f"sid{y}")
-
-    apart = sum(F.bit_count(F.col(f"w{i}a").bitwiseXOR(F.col(f"w{i}b"))) for i in range(4))
-    met = side(lists, "a").join(
-        side(probe, "b"),
-        ["token", "block"],
-    ).where(
-        smaller("a", "b")
-        & (F.col("roota") != F.col("rootb"))
-        & (100 * F.col("na") >= percent * F.col("nb"))
-        & (F.col("ia") + F.col("ib") <= far * (F.col("na") + F.col("nb")) + 1e-6)
-        & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
-    )
-    met = written(met.select(F.least("sida", "sidb").alias("a"), F.greatest("sida", "sidb").alias("b")).distinct())
-    release(sets.sparkSession, lists)
-    return met
+def _apart(a: str, b: str) -> Column:
+    """Distance of two bitmaps, 0 if they differ in size and so say nothing of each other."""
+    distance = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), distance).otherwise(0)
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash) for every row of docs, which needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    known = docs.where("doc_id is not null")
-    spark = docs.sparkSession
-    full = written(sketches(docs, width, percent, common_shingles(docs, width)))
-    rows = written(full.select("doc_id", "text_hash", "n", "sid"))
-    owner = written(rows.where("doc_id is not null and n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-    sets = full.where("n > 0").join(broadcast_if_small(owner), ["sid", "doc_id"], "left_semi")
-    sets = written(sets.select("sid", "n", "keys", "short", "bits", "prefix"))
-    release(spark, full)
-
-    first = _verified(written(_pivot_pairs(sets, percent)), owner, known, width, percent)
-    joined = written(components(first))
-    rooted = sets.select("sid", "n", "short", "prefix").join(broadcast_if_small(joined.withColumnRenamed("node", "sid")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    met = _index_pairs(rooted, percent)
-    second = _verified(written(_possible(met, sets, percent).select("a", "b")), owner, known, width, percent)
-    release(spark, met, joined, sets)
-    found = written(components(first.union(second)))
-
-    root = owner.join(found, owner.sid == found.node, "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
-    lowest = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = written(root.join(lowest, "root").select("sid", "component_id").where("component_id is not null"))
-    out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sid")
-    out = out.join(broadcast_if_small(of), "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash")
+    with Scratch(docs.sparkSession) as tmp:
+        frequent = frequent_shingles(docs, width)
+        full = tmp.write(sketches(docs, width, percent, frequent))
+        sets = full.where("doc_id is not null and n > 0")
+        heads = sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+        heads = tmp.write(heads)
+        known = docs.where("doc_id is not null")
+        members = elect(heads, known, width, percent, tmp)
+        met = index_pairs(sets, members, frequent, percent, tmp)
+        links = between(met, members, heads, sets, known, width, percent, tmp)
+        tmp.drop(met)
+
+        joined = components(links)
+        tmp.tables.append(joined)
+        top = broadcast_if_small(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        of = heads.select("sid", "doc_id").join(broadcast_if_small(members).select("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        of = of.join(top, "root", "left").select("sid", "doc_id", F.coalesce("top", "root").alias("root"))
+        lowest = of.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("sets")).where("sets > 1").select("root", "component_id")
+        of = tmp.write(of.join(lowest, "root", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id")))
+        out = full.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "sid").join(of, "sid", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        return tmp.keep(tmp.write(out.select("doc_id", "n_shingles", component, "text_hash")))
+
+
+def between(met: DataFrame, members: DataFrame, heads: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, tmp: Scratch) -> DataFrame:
+    """Links (a, b) of roots: where the roots, or some of their members, link. met has pairs of roots.
+
+    If X and Y link, at most ``ratio`` times their sizes' sum is in only one of them. So roots at a distance
+    ``gap`` can have linking members only if gap <= far(X) + that + far(Y), and answers for members
+    follow from the answers for their roots."""
+    ratio = (100 - percent) / (100 + percent)
+    asked = tmp.write(met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "root"))
+    span = members.join(broadcast_if_small(asked), "root", "left_semi").groupBy("root").agg(F.max("far").alias("far"), F.max("n").alias("most"))
+    about = sets.join(broadcast_if_small(asked).withColumnRenamed("root", "sid"), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    about = about.join(span.withColumnRenamed("root", "sid"), "sid", "left").select("sid", "bits", F.coalesce("far", F.lit(0)).alias("far"), F.greatest("n", "most").alias("n"))
+    about = tmp.write(about)
+    pairs = met
+    for x in ("a", "b"):
+        pairs = pairs.join(about.select(F.col("sid").alias(x), F.col("bits").alias(f"bits{x}"), F.col("far").alias(f"far{x}"), F.col("n").alias(f"most{x}")), x)
+    reach = F.col("fara") + F.col("farb") + ratio * (F.col("mosta") + F.col("mostb")) + 1e-6
+    pairs = tmp.write(pairs.where(_apart("bitsa", "bitsb") <= reach).drop("bitsa", "bitsb"))
+    tmp.drop(asked)
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    if pairs.isEmpty():
+        return tmp.write(none)
+
+    tried = overlaps(pairs, heads, docs, width, tmp)
+    links = tmp.write(tried.where(_links("k", percent)).select("a", "b"))
+    gap = F.col("na") + F.col("nb") - 2 * F.col("k")
+    unsure = tried.where(~_links("k", percent)).select("a", "b", "na", "nb", "fara", "farb", "mosta", "mostb", gap.alias("gap"))
+    unsure = tmp.write(unsure.where((F.col("gap") <= reach) & (F.col("fara") + F.col("farb") > 0)))
+    tmp.drop(tried, pairs)
+    unsure = _still_apart(unsure, links, tmp)
+    if unsure.isEmpty():
+        return links
+
+    # Members of either side against the other side's root.
+    own = members.select(F.col("sid").alias("x"), "n", "root", "far")
+    a_side = unsure.join(own, F.col("root") == F.col("a")).where(F.col("gap") <= F.col("far") + F.col("farb") + ratio * (F.col("n") + F.col("mostb")) + 1e-6)
+    b_side = unsure.join(own, F.col("root") == F.col("b")).where(F.col("gap") <= F.col("far") + F.col("fara") + ratio * (F.col("n") + F.col("mosta")) + 1e-6)
+    ask = a_side.select("x", F.col("b").alias("y"), "a", "b", "far").union(b_side.select("x", F.col("a").alias("y"), "a", "b", "far"))
+    ask = tmp.write(ask.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("a").alias("ra"), F.col("b").alias("rb"), "far"))
+    if ask.isEmpty():
+        return links
+    tried = overlaps(ask, heads, docs, width, tmp)
+    links = tmp.write(links.union(tried.where(_links("k", percent)).select("ra", "rb")).distinct())
+    unsure = _still_apart(unsure, links, tmp)
+
+    # Members of both sides against each other, where the distances so far leave a link open.
+    some = tried.select(F.col("a").alias("x"), F.col("b").alias("y"), "ra", "rb", "far", F.col("na").alias("n"), (F.col("na") + F.col("nb") - 2 * F.col("k")).alias("gap"))
+    some = some.join(unsure.select(F.col("a").alias("ra"), F.col("b").alias("rb")), ["ra", "rb"], "left_semi")
+    left = some.where("y = rb").select("ra", "rb", F.col("x").alias("a"), F.col("n").alias("n1"), F.col("far").alias("far1"), F.col("gap").alias("gap1"))
+    right = some.where("y = ra").select("ra", "rb", F.col("x").alias("b"), F.col("n").alias("n2"), F.col("far").alias("far2"), F.col("gap").alias("gap2"))
+    each = ratio * (F.col("n1") + F.col("n2")) + 1e-6
+    ask = left.join(right, ["ra", "rb"]).where((F.col("gap1") <= each + F.col("far2")) & (F.col("gap2") <= each + F.col("far1")))
+    ask = tmp.write(ask.select("a", "b", "ra", "rb"))
+    if ask.isEmpty():
+        return links
+    tried = overlaps(ask, heads, docs, width, tmp)
+    return tmp.write(links.union(tried.where(_links("k", percent)).select("ra", "rb")).distinct())
+
+
+def _still_apart(pairs: DataFrame, links: DataFrame, tmp: Scratch) -> DataFrame:
+    """The pairs of roots (a, b) that links do not yet put into one component."""
+    joined = components(links)
+    tmp.tables.append(joined)
+    for x in ("a", "b"):
+        top = broadcast_if_small(joined).select(F.col("node").alias(x), F.col("root").alias(f"top{x}"))
+        pairs = pairs.join(top, x, "left").withColumn(f"top{x}", F.coalesce(f"top{x}", x))
+    return tmp.write(pairs.where("topa <> topb").drop("topa", "topb"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that have the smallest doc_id of their component, each text of an id once.
 
     Rows without doc_id link with nothing and stay; so do wordless ones."""
-    found = written(jaccard_components(docs, width, percent))
-    others = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    again = found.where("component_id = doc_id").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("rows")).where("rows > 1")
-    again = broadcast_if_small(written(again.select("__id", "__hash")))
+    with Scratch(docs.sparkSession) as tmp:
+        found = jaccard_components(docs, width, percent)
+        tmp.tables.append(found)
+        key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+        others = tmp.keep(tmp.write(found.where("component_id <> doc_id").select(*key).distinct()))
+        again = found.where("component_id = doc_id").groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
+        again = broadcast_if_small(tmp.keep(tmp.write(again.select("__id", "__hash"))))
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     kept = docs.join(broadcast_if_small(others), same, "left_anti")
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
