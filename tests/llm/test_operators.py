@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from pathlib import Path
@@ -10,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pytest
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tests.same import from_duckdb, rows
@@ -132,6 +134,88 @@ def test_jaccard_on_a_large_group_with_a_shared_passage(spark):
     assert components([shingles(t, 4) for t in texts], ids, 85) == dict(zip(got.doc_id, got.component_id))
 
 
+def test_jaccard_candidates_of_many_near_copies(spark):
+    """2,000 near copies meet their pivot, not each other, and the components are whole."""
+    from vellumetry.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 3))):
+            w[at] = f"x{rng.integers(0, 10**9)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"y{i}_{j}" for j in range(50)) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, real = [], jaccard.overlaps
+
+    def counted(pairs, *more):
+        asked.append(pairs.count())
+        return real(pairs, *more)
+
+    jaccard.overlaps = counted
+    try:
+        got = jaccard.jaccard_components(docs, 4, 85).toPandas().set_index("doc_id").component_id
+    finally:
+        jaccard.overlaps = real
+    assert sum(asked) <= 2 * 2000
+    assert (got.loc[:1999] == 0).all() and all(got.loc[i] == i for i in range(2000, 2100))
+
+
+def test_jaccard_links_between_members_only(spark):
+    """Groups whose pivots are too far apart to link, but some of whose members link."""
+    from vellumetry.llm.jaccard import jaccard_components
+
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(12):
+        w = [f"g{g}w{i}" for i in range(150)]
+        chain = []
+        for step in range(9):
+            chain += [" ".join(w)] * (5 if step in (0, 8) else 1)
+            for at in rng.integers(0, 150, 2):
+                w[at] = f"n{rng.integers(0, 10**9)}"
+        texts += chain
+    ids = list(range(len(texts)))
+    for percent in (80, 85, 90):
+        got = jaccard_components(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), 4, percent).toPandas()
+        assert components([shingles(t, 4) for t in texts], ids, percent) == dict(zip(got.doc_id, got.component_id))
+
+
+def test_long_lists_meet_in_parts(spark, monkeypatch):
+    """Documents that are mostly one passage: its lists are cut, and no link is lost."""
+    from vellumetry.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT", 7)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} {' '.join(f'q{i}_{j}' for j in range(i % 9))}" for i in range(60)]
+    ids = list(range(len(texts)))
+    got = jaccard.jaccard_components(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), 4, 85).toPandas()
+    assert components([shingles(t, 4) for t in texts], ids, 85) == dict(zip(got.doc_id, got.component_id))
+
+
+def test_results_own_their_tables(spark, odd):
+    """Two lazy results outlive the pipeline's stages and other operators."""
+    from tests.same import rows as plain
+
+    first, second = Q.op8_source_mixing(spark, odd["odd"]), Q.op9_secret_scan(spark, odd["odd"])
+    before = [plain(first.toPandas()), plain(second.toPandas())]
+    Q.op3_ngram_jaccard_join(spark, odd["odd"]).count()
+    corpus_pipeline.run(spark, odd["odd"]).count()
+    assert [plain(first.toPandas()), plain(second.toPandas())] == before
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from vellumetry.llm.common import shared_folder
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(session)
+
+
 def test_language_on_held_out_rows(spark, sf_dir, docs):
     got = Q.op4_language_id(spark, sf_dir).toPandas().set_index("doc_id").join(docs.set_index("doc_id").lang)
     held = got[got.held_out]
@@ -230,17 +314,83 @@ def test_secret_base_spans_are_brute_force(spark, sf_dir, docs):
     assert clean[10**6 + 1] == "\U0001f600 [assign]" and clean[10**6 + 4] == "key [random] and the"
 
 
-def test_battery_tells_random_from_patterned(spark):
+ALPHABETS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def battery_p(token, encoding):
+    """The combined p-value, by Python's own error function and loops."""
+    alphabet = ALPHABETS[encoding]
+    v = [alphabet.index(c if encoding in ("base32", "base64") else c.upper() if encoding == "hex" else c.lower()) for c in token]
+    n, size = len(v), len(alphabet)
+
+    def tail(z):
+        return math.erfc(z / math.sqrt(2)) / 2
+
+    chi = sum((v.count(k) - n / size) ** 2 / (n / size) for k in range(size))
+    df = size - 1
+    uniform = tail(((max(chi, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    up = [x >= size / 2 for x in v]
+    runs = 1 + sum(x != y for x, y in zip(up, up[1:]))
+    expected = 1 + 2 * sum(up) * (n - sum(up)) / n
+    run = 2 * tail(abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-3)))
+    mean, var = (size - 1) / 2, (size * size - 1) / 12
+    serial = 2 * tail(abs(sum((x - mean) * (y - mean) for x, y in zip(v, v[1:])) / (var * math.sqrt(n - 1))))
+    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, run, serial))
+    return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
+
+
+def test_battery_is_brute_force(spark):
     from vellumetry.llm.secrets import battery
 
     rng = np.random.default_rng(5)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    random = ["".join(rng.choice(list(letters), 48)) for _ in range(200)]
+    random = ["".join(rng.choice(list(a), 40)) for a in ALPHABETS.values() for _ in range(50)]
     patterned = ["abcabcabc1" * 5, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1"]
     got = battery(spark.createDataFrame([(t,) for t in random + patterned], "token string")).toPandas().set_index("token")
+    for t in random + patterned:
+        assert got.p.loc[t] == pytest.approx(battery_p(t, got.encoding.loc[t]), rel=1e-3, abs=1e-6)
     assert (got.p.loc[random] < 0.01).mean() < 0.06 and (got.p.loc[patterned] < 1e-6).all()
 
 
+def test_random_secrets_of_each_encoding(spark, docs):
+    """Planted secrets are found, glued words are not, whatever prefix a secret has."""
+    from vellumetry.llm.secrets import digest
+
+    rng = np.random.default_rng(7)
+    words = sorted({w for t in docs.text for w in re.findall("[A-Za-z]{3,}", t)})
+    planted = [prefix + "".join(rng.choice(list(a), int(rng.integers(32, 56)))) for prefix, a in zip(["sk-", "", "", ""], ALPHABETS.values()) for _ in range(50)]
+    glued = ["".join(w.capitalize() if i % 2 else w.lower() for w in rng.choice(words, 12))[: int(rng.integers(20, 50))] for i in range(200)]
+    texts = [f"the key {t} and more" for t in planted + glued]
+    rows = pd.concat([docs[["doc_id", "text"]], pd.DataFrame({"doc_id": range(10**6, 10**6 + len(texts)), "text": texts})])
+    got = digest(spark.createDataFrame(rows)).toPandas().set_index("doc_id").spans
+    found = got.loc[10**6 : 10**6 + 199].str.contains("random")
+    assert all(found.iloc[k : k + 50].mean() >= 0.9 for k in range(0, 200, 50))
+    assert got.loc[10**6 + 200 :].str.contains("random").mean() <= 0.02
+
+
+def test_false_discovery_limits_are_brute_force(spark):
+    from vellumetry.llm.secrets import RATE, limits
+
+    rng = np.random.default_rng(9)
+    rows = [(c, int(b)) for c in (1, 2, 3) for b in np.concatenate([rng.exponential(3, 200), rng.uniform(10, 60, 20 * (c - 1))])]
+    got = {r["class"]: r["cut"] for r in limits(spark.createDataFrame(rows, "class int, bin int")).collect()}
+    for c in (1, 2, 3):
+        bins = [b for k, b in rows if k == c]
+        fit = [b for b in set(bins) if 10 ** (-b / 10) <= RATE * sum(x >= b for x in bins) / len(bins)]
+        assert got.get(c) == (min(fit) if fit else None)
+
+
+def test_a_text_with_very_many_matches(spark):
+    from vellumetry.llm.secrets import digest, redact
+
+    text = "\U0001f600 token=abcdefgh " * 20_000
+    docs = spark.createDataFrame([(1, text, "b", "s")], "doc_id long, text string, base string, spans string")
+    got = digest(docs).first()
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token=[a-z]+", text))
+    assert got.n_assign == 20_000 and got.spans == want
+    clean = redact(docs).first()
+    assert clean.text == "\U0001f600 [assign] " * 20_000 and (clean.base, clean.spans) == ("b", "s")
+
+
 def test_pii_base_spans_are_brute_force(spark, sf_dir, docs):
     from vellumetry.llm.pii import fit, scan
 
@@ -292,19 +442,34 @@ def test_loopy_messages_are_exact_on_a_tree():
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=1e-6)
 
 
-def test_url_rules_of_many_hosts(spark):
-    from vellumetry.llm.url_filter import judge
+def test_url_rules_of_many_hosts(spark, monkeypatch):
+    """Nested hosts and paths, 10,000 rules on one host, small blocks; other columns have the method's names."""
+    from vellumetry.llm import url_filter
 
+    monkeypatch.setattr(url_filter, "BLOCK", 200)
     rng = np.random.default_rng(2)
     hosts = [".".join(rng.choice(list("abc"), int(n))) for n in rng.integers(1, 5, 60)]
-    rules = sorted({(h, p) for h in hosts[:25] for p in rng.choice(["/", "/x", "/x/y", ""], 2)})
-    rules = [(h, p, "block" if len(h + p) % 2 else "allow") for h, p in rules]
-    urls = [(i, f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/x/y?q', '/z#x'])}") for i in range(400)]
-    got = judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), salts=3).toPandas().set_index("page_id")
-    for i, u in urls:
+    rules = {(h, p) for h in hosts[:25] for p in rng.choice(["/", "/x", "/x/y", ""], 2)}
+    rules |= {("big.org", "/" + "/".join(rng.choice(list("pqrstu"), int(n)))) for n in rng.integers(2, 9, 10_000)}
+    rules = [(h, p, "block" if len(h + p) % 2 else "allow") for h, p in sorted(rules)]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/x/y?q', '/z#x'])}" for _ in range(200)]
+    urls += [f"http://{rng.choice(['', 'www.', 'a.b.'])}big.org/{'/'.join(rng.choice(list('pqrstu'), int(rng.integers(1, 12))))}" for _ in range(200)]
+    pages = [(i, u, "host", "key", "stack", 1, 2) for i, u in enumerate(urls)]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, host string, key string, stack string, range int, uid int"), spark.createDataFrame(rules, "host string, path string, verdict string")).toPandas().set_index("page_id")
+    assert set(got.columns) >= {"key", "stack", "range", "uid"} and len(got) == len(urls)
+    by_host = {}
+    for h, p, v in rules:
+        by_host.setdefault(h, []).append((p, v))
+    for i in range(len(urls)):
         host, path = got.host.loc[i], got.path.loc[i]
-        fit = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        assert (got.rule.loc[i], got.verdict.loc[i]) in [(r, v) for n, r, v in fit if n == max(f[0] for f in fit)] or (not fit and got.verdict.loc[i] == "allow"), u
+        labels = host.split(".")
+        fit = [(len(h + p), h + p, v) for k in range(len(labels)) for h in [".".join(labels[k:])] for p, v in by_host.get(h, []) if path.startswith(p)]
+        assert (got.rule.loc[i], got.verdict.loc[i]) == (max(fit)[1:] if fit else (None, "allow")), urls[i]
+
+
+def test_url_rules_are_swept_without_a_global_window(spark, sf_dir):
+    plan = Q.op7_url_filters(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
 def test_mix_comes_near_its_targets(spark, sf_dir, docs):
