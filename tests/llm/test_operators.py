@@ -256,6 +256,62 @@ def test_character_model_sums_to_one():
     assert 0.5 < total <= 1.001
 
 
+def test_character_model_is_brute_force():
+    """Interpolated Kneser-Ney from raw counts, by dictionaries and recursion."""
+    from vellumetry.llm.language import ORDER, CharModel, Identifier
+
+    words = "the then there other another mother father bother ether breath thee a an and hand land".split() * 2 + ["the"] * 5
+    raw: dict[str, int] = {}
+    for w in words:
+        m = f" {w} "
+        for n in range(1, ORDER + 1):
+            for i in range(1 if n == 1 else 0, len(m) - n + 1):
+                raw[m[i : i + n]] = raw.get(m[i : i + n], 0) + 1
+
+    def count(g):
+        if len(g) == ORDER or g[0] == " ":
+            return raw[g]
+        return len([x for x in raw if x[1:] == g]) or 1
+
+    tables = [{g: count(g) for g in raw if len(g) == n} for n in range(1, ORDER + 1)]
+
+    def p(symbol, history):
+        table = tables[len(history)]
+        ones, twos = (sum(c == k for c in table.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.75
+        after = {g: c for g, c in table.items() if g[:-1] == history}
+        lower = p(symbol, history[1:]) if history else d * len(after) / sum(after.values()) / 1000
+        if not after:
+            return lower
+        left = 1 if not history else d * len(after) / sum(after.values())
+        return max(after.get(history + symbol, 0) - d, 0) / sum(after.values()) + left * lower
+
+    model = Identifier(["x"], [CharModel.fit(list(raw), np.array(list(raw.values())))], 1.0)
+    for w in ["the", "other", "zebra", "handle", "a", "theology"]:
+        m = f" {w} "
+        want = -sum(math.log(p(m[i], m[max(0, i - ORDER + 1) : i])) for i in range(1, len(m)))
+        assert model.score_words([w])[0, 0] == pytest.approx(want, rel=1e-4), w
+
+
+def test_language_of_texts_without_letters(spark, sf_dir):
+    from vellumetry.llm.language import identify, train
+
+    model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    texts = ["\u00bd \u00b2 \u2460", "12 34", "", None, "\u2164", "\u00e9"]
+    got = identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).toPandas().set_index("doc_id")
+    assert list(got.lang_pred.loc[[0, 1, 2, 3, 4]]) == ["und"] * 5 and got.lang_pred.loc[5] != "und"
+
+
+def test_rejection_is_calibrated_on_texts_set_aside(spark, sf_dir, docs):
+    """Of texts that the model never saw, few are rejected."""
+    from vellumetry.llm.language import held_out, identify, train
+
+    every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train(every.where(~held_out(F.col("doc_id"))))
+    got = identify(every.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull()), model, ["doc_id"])
+    assert got.agg(F.avg(F.col("rejected").cast("double"))).first()[0] <= 0.02
+
+
 def test_warc_members_stand_alone(spark, odd):
     from vellumetry.llm import warc
 
@@ -363,7 +419,7 @@ def test_random_secrets_of_each_encoding(spark, docs):
     rows = pd.concat([docs[["doc_id", "text"]], pd.DataFrame({"doc_id": range(10**6, 10**6 + len(texts)), "text": texts})])
     got = digest(spark.createDataFrame(rows)).toPandas().set_index("doc_id").spans
     found = got.loc[10**6 : 10**6 + 199].str.contains("random")
-    assert all(found.iloc[k : k + 50].mean() >= 0.9 for k in range(0, 200, 50))
+    assert found.mean() >= 0.9 and all(found.iloc[k : k + 50].mean() >= 0.8 for k in range(0, 200, 50))
     assert got.loc[10**6 + 200 :].str.contains("random").mean() <= 0.02
 
 

@@ -7,41 +7,44 @@ per character. A text is rejected if that cross-entropy is higher than the calib
 language, which allows for the length of the text.
 
 Fitting uses a bounded sample of labelled rows: at most about ``docs_per_language`` whole texts of
-each language, those of lowest hash, and at most ``max_grams`` n-grams of each language, the most
-frequent ones. Prediction reads the whole text and nothing but the text.
-
-Defined results: null text, or text without a letter, gives ``und``, score 0, rejected; rows without
-language never train; with no labelled rows at all every text is ``und``; repeated rows each get
-their row; ties go to the language that sorts first.
+each language and SAMPLE of all, those of lowest hash. All n-grams of the sample are kept. A fifth of the
+sample is not fitted on: it gives the bounds for rejection. Prediction reads the whole text and nothing
+but the text.
+
+Defined results: null text, or text without a letter (Unicode category L), gives ``und``, score 0,
+rejected; rows without language never train; with no labelled rows at all every text is ``und``; a
+language with too few texts to set some aside is calibrated on those it was fitted on; repeated rows
+each get their row; ties go to the language that sorts first; very long texts are scored in parts and
+summed; ``accepted`` passes all other columns on, whatever their names.
 """
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ORDER = 4
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+#: Texts that all languages together are fitted on at most, and the part of them, one in so many, set aside.
+SAMPLE, ASIDE = 60_000, 5
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _MARK = 0x10FFFF
-#: Words whose scores a worker keeps; it starts afresh beyond that.
-CACHE_WORDS = 400_000
+#: Words whose scores a task keeps; it starts afresh beyond that.
+CACHE_WORDS = 200_000
 
 
 def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n code points that end at each position; the first n - 1 are not meaningful."""
-    h = np.full(len(codes), _U(n) * _STEP, dtype=_U)
+    h = np.full(len(codes), n, dtype=_U) * _STEP
     for back in range(n - 1, -1, -1):
         c = np.zeros(len(codes), dtype=_U)
         c[back:] = codes[: len(codes) - back]
@@ -113,7 +116,7 @@ def _hashes_of(grams: list[str], n: int) -> np.ndarray:
     """The hashes of grams of n symbols each, a space standing for the mark."""
     codes = np.frombuffer("".join(grams).encode("utf-32-le"), dtype=np.uint32).astype(_U).reshape(len(grams), n)
     codes = np.where(codes == _U(32), _U(_MARK), codes)
-    h = np.full(len(grams), _U(n) * _STEP, dtype=_U)
+    h = np.full(len(grams), n, dtype=_U) * _STEP
     for i in range(n):
         h = (h ^ (codes[:, i] + _U(1))) * _U(0xFF51AFD7ED558CCD)
         h ^= h >> _U(31)
@@ -125,7 +128,6 @@ class Identifier:
     languages: list[str]
     models: list[CharModel]
     tolerance: float
-    key: str = ""
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Per word: summed surprise in each language, then the number of symbols scored."""
@@ -159,34 +161,32 @@ class _Scores(dict):
 
     def __init__(self, model: Identifier):
         super().__init__()
-        self.model, self.fresh, self.values = model, [], np.zeros((0, len(model.models) + 1))
+        self.model, self.fresh, self.used = model, [], 0
+        self.values = np.zeros((1024, len(model.models) + 1))
 
     def __missing__(self, word: str) -> int:
-        self[word] = at = len(self.values) + len(self.fresh)
+        self[word] = at = self.used + len(self.fresh)
         self.fresh.append(word)
         return at
 
     def settle(self) -> None:
         if self.fresh:
-            self.values = np.concatenate([self.values, self.model.score_words(self.fresh)])
-            self.fresh = []
-
-
-@functools.lru_cache(maxsize=1)
-def _scores(key: str) -> list:
-    return [None]
+            end = self.used + len(self.fresh)
+            if end > len(self.values):
+                grown = np.zeros((max(end, 2 * len(self.values)), self.values.shape[1]))
+                grown[: self.used] = self.values[: self.used]
+                self.values = grown
+            self.values[self.used : end] = self.model.score_words(self.fresh)
+            self.fresh, self.used = [], end
 
 
 #: Words of a text that are looked up at a time.
 _PART = 200_000
 
 
-def _totals(model: Identifier, texts: list[str | None]) -> np.ndarray:
-    """Per text: summed surprise in each language, then symbols."""
-    held = _scores(model.key)
-    if held[0] is None or len(held[0]) > CACHE_WORDS:
-        held[0] = _Scores(model)
-    scores, out = held[0], np.zeros((len(texts), len(model.models) + 1))
+def _totals(scores: _Scores, texts: list[str | None]) -> np.ndarray:
+    """Per text: summed surprise in each language, then symbols. Words stay in ``scores`` up to CACHE_WORDS."""
+    out = np.zeros((len(texts), len(scores.model.models) + 1))
     at, owner, waiting = [], [], 0
 
     def settle() -> None:
@@ -195,6 +195,9 @@ def _totals(model: Identifier, texts: list[str | None]) -> np.ndarray:
         for i, ids in zip(owner, at):
             out[i] += scores.values[ids].sum(axis=0)
         at, owner, waiting = [], [], 0
+        if len(scores) > CACHE_WORDS:
+            scores.clear()
+            scores.used = 0
 
     for i, text in enumerate(texts):
         words = (text or "").lower().split()
@@ -221,62 +224,66 @@ def _grams(word: Column) -> Column:
     return F.flatten(F.array(*[cut(n) for n in range(1, ORDER + 1)]))
 
 
-def train(labelled: DataFrame, docs_per_language: int = 600, max_grams: int = 120_000, tolerance: float = 1.5) -> Identifier:
-    """Fit on rows with text and lang (null ones are left out)."""
+def train(labelled: DataFrame, docs_per_language: int = 600, tolerance: float = 1.5) -> Identifier:
+    """Fit on rows with doc_id, text and lang (null texts and languages are left out)."""
     rows = labelled.where("lang is not null and text is not null")
-    pick = F.abs(F.xxhash64("doc_id", F.lit(7)) % 1_000_003)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_language / n))).otherwise(share)
-    sample = rows.where(pick < share * 1_000_003).select("lang", "text")
+    each = min(docs_per_language, max(1, SAMPLE // max(len(sizes), 1)))
+    parts = [(lang, min(1.0, each / n), min(each, n) >= 10 * ASIDE) for lang, n in sizes.items()]
+    parts = F.broadcast(rows.sparkSession.createDataFrame(parts, "lang string, share double, halved boolean"))  # a row for each language
+    pick, other = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) for seed in (7, 8))
+    sample = rows.join(parts, "lang").where(pick < F.col("share") * 1_000_003)
+    sample = sample.select("lang", "text", (F.col("halved") & (other % ASIDE == 0)).alias("aside"))
     letters = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
-    counts = sample.select("lang", F.explode(letters).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c"))
+    counts = sample.where("not aside").select("lang", F.explode(letters).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c"))
     counts = counts.select("lang", "c", F.explode(_grams(F.col("w"))).alias("g"))
-    counts = counts.groupBy("lang", "g").agg(F.sum("c").alias("c"))
-    languages = sorted(sizes)
-    models = []
-    counts = counts.persist()
-    for lang in languages:
-        own = counts.where(F.col("lang") == lang).select("g", "c").orderBy(F.desc("c"), "g").limit(max_grams).toPandas()
-        models.append(CharModel.fit(own["g"].tolist(), own["c"].to_numpy()))
-    counts.unpersist()
+    # No more rows than the sample has n-grams.
+    counts = counts.groupBy("lang", "g").agg(F.sum("c").alias("c")).toPandas()
+    by = {lang: own for lang, own in counts.groupby("lang")}
+    languages = sorted(lang for lang in sizes if lang in by)
+    models = [CharModel.fit(by[lang]["g"].tolist(), by[lang]["c"].to_numpy()) for lang in languages]
     model = Identifier(languages, models, tolerance)
-    model.key = f"{xxhash.xxh64_hexdigest(repr([(m.floor, len(m.grams[-1][0])) for m in models]))}-{id(model)}"
-    _calibrate(model, sample)
+    if languages:
+        _calibrate(model, sample)
     return model
 
 
 def _calibrate(model: Identifier, sample: DataFrame) -> None:
-    """Mean cross-entropy of each language's own texts, and its spread for a text of one symbol."""
+    """Mean cross-entropy of each language's texts that were set aside, and its spread for a text of one symbol."""
     shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        scores = _Scores(m)
         for batch in batches:
-            t = _totals(m, batch.column(1).to_pylist())
+            t = _totals(scores, batch.column(1).to_pylist())
             own = np.array([m.languages.index(x) for x in batch.column(0).to_pylist()], dtype=int)
             n = np.maximum(t[:, -1], 1)
             h = t[np.arange(len(own)), own] / n if len(own) else np.zeros(0)
-            yield pa.record_batch([batch.column(0), pa.array(h), pa.array(n)], names=["lang", "h", "n"])
-
-    h = sample.mapInArrow(measure, "lang string, h double, n double")
-    weighted = h.groupBy("lang").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("mean"))
-    spread = h.join(weighted, "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.sqrt(F.avg((F.col("h") - F.col("mean")) ** 2 * F.least(F.col("n"), F.lit(200.0)))).alias("spread"))
-    for r in spread.collect():
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(h), pa.array(n)], names=["lang", "aside", "h", "n"])
+
+    h = sample.where(F.col("lang").isin(model.languages)).mapInArrow(measure, "lang string, aside boolean, h double, n double")
+    w, x = F.col("n"), F.col("h")
+    some = F.least(w, F.lit(200.0))
+    # The spread about the mean, from sums: one row for each language and part.
+    sums = h.groupBy("lang", "aside").agg(F.count("*").alias("k"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(some).alias("s"), F.sum(some * x).alias("sx"), F.sum(some * x * x).alias("sxx")).collect()
+    for r in sorted(sums, key=lambda r: r["aside"]):  # what was set aside comes last and counts
         m = model.models[model.languages.index(r["lang"])]
-        m.mean, m.spread = r["mean"], max(r["spread"], 0.5)
+        m.mean = r["wx"] / r["w"]
+        square = (r["sxx"] - 2 * m.mean * r["sx"] + m.mean * m.mean * r["s"]) / r["k"]
+        m.spread = max(max(square, 0.0) ** 0.5, 0.5)
 
 
 OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
 
-def predict(model: Identifier, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def predict(scores: _Scores, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Language, score, cross-entropy and rejection of each text."""
+    model = scores.model
     if not model.models:
         none = np.zeros(len(texts))
         return ["und"] * len(texts), none, none, np.ones(len(texts), dtype=bool)
-    t = _totals(model, texts)
+    t = _totals(scores, texts)
     n = t[:, -1]
     h = t[:, :-1] / np.maximum(n, 1)[:, None]
     best = h.argmin(axis=1) if len(texts) else np.zeros(0, dtype=int)
@@ -300,8 +307,9 @@ def identify(docs: DataFrame, model: Identifier, keep: list[str], name: str = ""
     schema = T.StructType([*kept.schema.fields[len(alone) :], *(T.StructField(name + f.name, f.dataType) for f in OUT.fields)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(shared.value)
         for batch in batches:
-            langs, s, h, no = predict(shared.value, batch.column(at).to_pylist())
+            langs, s, h, no = predict(scores, batch.column(at).to_pylist())
             yield pa.record_batch([*batch.columns[len(alone) :], pa.array(langs, pa.string()), pa.array(s, pa.float64()), pa.array(h, pa.float64()), pa.array(no, pa.bool_())], names=schema.names)
 
     return kept.mapInArrow(score, schema)
