@@ -50,6 +50,8 @@ def test_formats(spark):
 def test_exact_scanner_lines(spark):
     assert S.parse_line('{"Format":"QRCode","Text":"a\\"b\\x","EC":null,"M":true}') == {"Format": "QRCode", "Text": 'a"bx', "EC": None, "M": "true"}
     assert S.parse_line('{"a":"b"') is None and S.parse_line("nonsense") is None
+    assert S.parse_line('{"a":"\\u0041\\b\\f\\n", "b" : 12 ,"c":}') == {"a": "u0041bf\n", "b": "12", "c": ""}
+    assert S.parse_line('{"a":1}"b":2}') is None and S.parse_line("{}") == {}
     assert values(spark, S.exact_lines, ['{"a":"1"}\nbad\n{"b":null}']) == [[{"a": "1"}, {"b": None}]]
 
 
@@ -137,3 +139,104 @@ def test_streams_count_like_tables(spark, sf_dir, tmp_path):
         q = stream.writeStream.outputMode("complete").format("memory").queryName(f"got_{name}").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination()
         assert {tuple(r) for r in spark.table(f"got_{name}").collect()} == {tuple(r) for r in f(events).collect()}
+
+
+def test_package_gate_and_budgets(spark):
+    """A 600 MB member fails the gate and the budget, however good the other entries look."""
+    rows = [(1, 0, "[Content_Types].xml", 100, 200), (1, 1, "word/document.xml", 1000, 5000), (1, 2, "x.bin", 600_000, 600 << 20), (2, 0, "[Content_Types].xml", 100, 200)]
+    e = spark.createDataFrame(rows, "doc_id long, pos int, name string, compress_size long, file_size long")
+    got = e.groupBy("doc_id").agg(F.collect_list("name").alias("n"), F.collect_list("compress_size").alias("c"), F.collect_list("file_size").alias("s"))
+    assert {r[0]: r[1] for r in got.select("doc_id", D.ooxml_gate(F.col("n"), F.col("c"), F.col("s"))).collect()} == {1: False, 2: True}
+    assert {r.doc_id for r in C.within_budget(e).collect()} == {2}
+    assert C.within_budget(e, count=2).where("doc_id = 1").isEmpty()
+
+
+def test_cascade_by_its_rules(spark):
+    kinds = "path string, length long, clf_label string, clf_score double, clf_mime string, libmagic_mime string, is_zip boolean, package_ok boolean, entity_count int, is_mht boolean, odf_marker string, zip_dirs array<string>, is_rtf boolean, streams array<string>, entries array<struct<name:string,size:long>>"
+
+    def file(path, label, mime="application/octet-stream", score=0.9, is_zip=False, ok=False, entities=0, mht=False, rtf=False, dirs=(), streams=(), entries=(), length=10, magic=None):
+        return (path, length, label, score, mime, magic, is_zip, ok, entities, mht, None, list(dirs), rtf, list(streams), list(entries))
+
+    rows = [
+        (file("/a/x.foo", "xml", "text/xml"), (None, "magika_unknown_extension_mismatch")),
+        (file("/a/x.fodt", "xml", entities=64), ("odt", "extension", 0.0, ["magika_labeled_as_xml"])),
+        (file("/a/x.fodt", "xml", entities=65), (None, "magika_unknown_extension_mismatch")),
+        (file("/a/x.docx", "zip", ok=True), ("docx", "extension", 0.0, ["magika_labeled_as_zip"])),
+        (file("/a/x.docx", "unknown"), ("docx", "extension", 0.0, ["magika_unrecognized_content"])),
+        (file("/a/x.docx", "unknown", is_zip=True), (None, "ooxml_structural_check_failed")),
+        (file("/a/x.odt", "unknown", is_zip=True), ("odt", "extension", 0.0, ["magika_unrecognized_content"])),
+        (file("/a/x", "unknown"), (None, "magika_unknown_extension_mismatch")),
+        (file("/a/x.docx", "docx"), (None, "ooxml_structural_check_failed")),
+        (file("/a/x.xlsb", "xlsb"), ("xlsb", "magika", 0.9, [])),
+        (file("/a/x.docx", "docx", ok=True, entries=[("word/document.xml", 0)]), ("docx", "magika", 0.9, ["ooxml_empty_core_document"])),
+        (file("/a/x.doc", "doc", streams=["VBA/dir"]), ("doc", "magika", 0.9, ["ole_macro_only_payload"])),
+        (file("/a/x.doc", "doc", dirs=["xl/a"]), ("doc", "magika", 0.9, [])),
+        (file("/a/x.docx", "docx", dirs=["xl/a"], ok=True), ("xlsx", "magika", 0.9, [])),
+        (file("/a/x.docx", "docx", mht=True), ("mht", "magika", 0.9, [])),
+        (file("/a/x.py", "python", "text/x-python"), ("txt", "magika", 0.9, ["rendered_as_text_from_python"])),
+        (file("/a/x.docx", "pdf"), (None, "unsupported_type")),
+        (file("/a/x.bin", "pdf", rtf=True), ("rtf", "magika", 0.9, [])),
+        (file("/a/x.txt", "txt", length=99), (None, "input_too_large")),
+    ]
+    got = D.detect(spark.createDataFrame([(*f, i) for i, (f, _) in enumerate(rows)], kinds + ", i int"), 50).orderBy("i").collect()
+    for r, (_, want) in zip(got, rows):
+        seen = (None, r.reject_reason) if r.label is None else (r.label, r.source, r.confidence, r.warnings)
+        assert seen == want, r
+
+
+def test_message_parts_and_names(spark):
+    def part(head, body):
+        return f"--b\n{head}\n\n{body}\n"
+
+    message = 'MIME-Version: 1.0\nContent-Type: multipart/related; boundary="b"\n\n' + part("Content-Type: image/png\nContent-Location: http://x/a.png", "one") + part("Content-Type: text/html\nContent-Location: http://x/page.html", "<p>") + part("Content-Type: text/html\nContent-Location: C:\\d\\a.png", "two") + part("Content-Type: image/png\nContent-ID: <K@x>", "three") + part("Content-Type: image/png", "") + "--b--\n"
+    got = C.mht_parts(spark.createDataFrame([(1, bytearray(message.encode()))], "doc_id long, content binary")).orderBy("pos").collect()
+    import hashlib
+
+    assert [(r.root, r.local_name) for r in got] == [(False, "a.png"), (True, None), (False, "a.png_1"), (False, f"part-{hashlib.sha1(b'three').hexdigest()[:10]}.bin")]
+    assert got[3].cid == "k@x"
+
+
+def test_page_budget(spark):
+    from vellumetry.operators.pages import max_page_px
+
+    assert values(spark, lambda x: max_page_px(x), [0.0, 0.001, 1.0, 64.0], "double") == [100_000_000, 1_000_000, 33_554_432, 100_000_000]
+    assert values(spark, lambda x: max_page_px(F.lit(1.0), x), ["5", "999999999", "-1", "x", "2000000"]) == [1_000_000, 200_000_000, 33_554_432, 33_554_432, 2_000_000]
+
+
+def test_image_channels_and_gradients(spark):
+    image = "struct<height:int,width:int,nChannels:int,data:binary>"
+    pictures = [(1, 2, 1, bytearray([7, 9])), (1, 1, 3, bytearray([1, 2, 3])), (1, 1, 4, bytearray([1, 2, 3, 255]))]
+    assert [bytes(r.data) for r in values(spark, R.from_image, pictures, image)] == [b"\7\7\7\t\t\t", b"\3\2\1", b"\3\2\1"]
+    # Growing light has a mean and negative odd coefficients along its axis, falling light positive ones; the rest are 0.
+    ramp = np.repeat(np.repeat(np.arange(0, 256, 8, dtype=np.uint8)[None, :, None], 32, axis=0), 3, axis=2)
+    n = np.arange(32)
+    row = [float(np.sum(ramp[0, :, 0] * np.cos(np.pi * (2 * n + 1) * k / 64))) * 32 for k in range(8)]
+    low = np.round(np.concatenate([row, np.zeros(56)]), 6)
+    assert R.phash(ramp) == f"{int(''.join('1' if x > np.median(low) else '0' for x in low), 2):016x}" == "8000000000000000"
+    assert R.phash(ramp.transpose(1, 0, 2)[::-1]) == "8080008000800080" and R.phash(ramp[:, ::-1]) == "d500000000000000"
+    big = np.repeat(np.repeat(ramp, 50, axis=0), 50, axis=1)
+    assert R.downscaled(big).shape == (1024, 1024, 3)
+
+
+def test_limits_and_environment():
+    from vellumetry.config import Limits
+
+    got = Limits.from_env({"VELLUMETRY_DPI": "300", "VELLUMETRY_SKIP_BLANKS": "No", "VELLUMETRY_DISCLOSE_INTERNALS": "maybe", "OTHER": "x"}, max_pages=7)
+    assert (got.dpi, got.skip_blanks, got.disclose_internals, got.max_pages) == (300, False, False, 7)
+    with pytest.raises(ValueError, match="VELLUMETRY_DPI"):
+        Limits.from_env({"VELLUMETRY_DPI": "many"})
+    for bad in ({"dpi": 35}, {"max_pages": 1001}, {"rasterizer": "none"}):
+        with pytest.raises(ValueError):
+            Limits(**bad)
+
+
+def test_scans_and_sinks(spark, tmp_path):
+    from vellumetry.sources import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"abc")
+    got = files.scan_files(spark, str(tmp_path / "in")).collect()
+    assert len(got) == 1 and got[0].sha256 == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    assert got[0].ext == "txt" and files.scan_files(spark, str(tmp_path / "in"), "*.doc").count() == 0
+    files.write_records(spark.createDataFrame([(1, None), (2, "x")], "doc_id long, note string"), str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"doc_id":1}', '{"doc_id":2,"note":"x"}']

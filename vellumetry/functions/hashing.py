@@ -41,11 +41,14 @@ def blank_signature(phash: Column, colorhash: Column) -> Column:
 
 
 def median_bits(values: Column) -> Column:
-    """Bit i (most significant first) says whether value i is above the median of 64 values."""
-    doubles = F.transform(values, lambda x: x.cast("double"))
-    ordered = F.array_sort(doubles)
-    median = (F.get(ordered, F.lit(31)) + F.get(ordered, F.lit(32))) / 2
-    return F.aggregate(doubles, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > median, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
+    """Bit i (most significant first) says whether value i is above the median of 64 values.
+
+    The median is an element of a one-element array that a lambda reads, so it is computed once a row."""
+    doubles = values.cast("array<double>")
+    ordered = F.sort_array(doubles)
+    median = F.array((F.get(ordered, F.lit(31)) + F.get(ordered, F.lit(32))) / 2)
+    zero, one = (F.lit(x).cast("long") for x in (0, 1))
+    return F.get(F.transform(median, lambda m: F.aggregate(doubles, zero, lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > m, one).otherwise(zero)))), F.lit(0))
 
 
 def hex16(w: Column) -> Column:

@@ -87,9 +87,9 @@ FOCUSABLE = "xlsx xlsm xls xlsb ods fods csv".split()
 
 #: Barcode format names in plain-text scanner output.
 QR_FORMATS = {
-    "qrcode": "qrcode",
-    "microqrcode": "microqrcode",
-    "rmqrcode": "rmqrcode",
+    "qrcode": "qr_code",
+    "microqrcode": "micro_qr_code",
+    "rmqrcode": "rmqr_code",
     "datamatrix": "data_matrix",
     "aztec": "aztec",
     "pdf417": "pdf417",

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import email
 import email.policy
+import hashlib
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -16,10 +18,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.lookups import ALTCHUNK_TYPES
-from ..functions.text import safe_filename
 
 MEMBER_BYTES, TOTAL_BYTES, ENTRIES = 256 << 20, 512 << 20, 10_000
 MHT_PARTS, MHT_BYTES = 4000, 512 << 20
@@ -55,16 +55,13 @@ def zip_entries(files: DataFrame) -> DataFrame:
 
 
 def within_budget(entries: DataFrame, total: int = TOTAL_BYTES, count: int = ENTRIES) -> DataFrame:
-    """The entries up to where a pass over the package runs out of bytes or entries, in order."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = entries.withColumn("upto", F.sum("file_size").over(w)).withColumn("place", F.count("*").over(w))
-    return seen.where((F.col("upto") <= total) & (F.col("place") <= count)).drop("upto", "place")
+    """The entries of packages whose pass stays within bytes and entries; a package that does not gives none."""
+    whole = entries.groupBy("doc_id").agg(F.sum("file_size").alias("size"), F.count("*").alias("n"))
+    return entries.join(whole.where((F.col("size") > total) | (F.col("n") > count)).select("doc_id"), "doc_id", "left_anti")
 
 
 def zip_members(files: DataFrame, names: str, total: int = TOTAL_BYTES, count: int = ENTRIES) -> DataFrame:
-    """(doc_id, name, data) of members whose name matches a pattern, under the pass budget."""
-    import re
-
+    """(doc_id, name, data) of members whose name matches a pattern; a pass over its budget fails and gives none."""
     wanted = re.compile(names)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,6 +76,7 @@ def zip_members(files: DataFrame, names: str, total: int = TOTAL_BYTES, count: i
                             n += 1
                             data = bounded_read(z, e.filename, min(MEMBER_BYTES, left)) if n <= count else None
                             if data is None:
+                                out = []
                                 break
                             left -= len(data)
                             out.append((doc_id, e.filename, data))
@@ -123,48 +121,89 @@ def altchunk_policy(chunks: DataFrame) -> DataFrame:
     return out.select("doc_id", F.when(F.col("bad") > 0, "unsupported_type").when(F.col("good") > 1, "several").otherwise("substitute").alias("action"))
 
 
+_UNSAFE = re.compile(r"[^A-Za-z0-9._-]")
+
+
+def _file_name(name: str) -> str:
+    return _UNSAFE.sub("_", name.replace("\\", "/").rpartition("/")[2]).strip("._")
+
+
 def mht_parts(files: DataFrame) -> DataFrame:
-    """(doc_id, pos, ctype, cid, cloc, payload): leaf parts of MIME messages, within the caps."""
+    """(doc_id, pos, root, ctype, cid, cloc, local_name, payload): leaf parts of MIME messages, within the caps.
+
+    The first HTML part is the root and has no local name. Another part is named for its location, or for
+    its digest; a name that is taken gets ``_1``, ``_2`` … at its end. Empty parts are left out. The caps are
+    looked at before a part is taken, so the last one may overshoot; the root does not count."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
-                out, size = [], 0
+                out, size, taken, rooted = [], 0, set(), False
                 for part in email.message_from_bytes(content or b"", policy=email.policy.compat32).walk():
-                    # The cap is looked at before a part is taken, so the last one may overshoot.
-                    if part.is_multipart():
+                    data = None if part.is_multipart() else part.get_payload(decode=True)
+                    if not data:
                         continue
-                    if len(out) > MHT_PARTS or size >= MHT_BYTES:
+                    kind, cid, place = part.get_content_type(), (part.get("Content-ID") or "").strip().strip("<>").lower(), (part.get("Content-Location") or "").strip()
+                    root, name = kind == "text/html" and not rooted, None
+                    if root:
+                        rooted = True
+                    elif len(taken) >= MHT_PARTS or size >= MHT_BYTES:
                         break
-                    data = part.get_payload(decode=True) or b""
-                    size += len(data)
-                    cid = (part.get("Content-ID") or "").strip().strip("<>").lower()
-                    out.append((doc_id, len(out), part.get_content_type(), cid or None, part.get("Content-Location"), data))
-                yield pd.DataFrame(out, columns=["doc_id", "pos", "ctype", "cid", "cloc", "payload"])
+                    else:
+                        base = _file_name(place) or f"part-{hashlib.sha1(data).hexdigest()[:10]}.bin"
+                        name, again = base, 0
+                        while name in taken:
+                            again += 1
+                            name = f"{base}_{again}"
+                        taken.add(name)
+                        size += len(data)
+                    out.append((doc_id, len(out), root, kind, cid or None, place or None, name, data))
+                yield pd.DataFrame(out, columns=["doc_id", "pos", "root", "ctype", "cid", "cloc", "local_name", "payload"])
 
-    return files.select("doc_id", "content").mapInPandas(read, "doc_id long, pos int, ctype string, cid string, cloc string, payload binary")
+    return files.select("doc_id", "content").mapInPandas(read, "doc_id long, pos int, root boolean, ctype string, cid string, cloc string, local_name string, payload binary")
 
 
-def local_names(parts: DataFrame) -> DataFrame:
-    """Adds local_name: a safe file name, ``_1``, ``_2`` … where names of a document repeat."""
-    base = safe_filename(F.coalesce("cloc", "cid", F.lit("")), F.concat(F.lit("part"), F.col("pos").cast("string")))
-    named = parts.withColumn("base", base)
-    again = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("pos")) - 1
-    stem, ext = F.regexp_extract("base", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("base", r"^(.*?)(\.[^.]*)?$", 2)
-    return named.withColumn("again", again).withColumn("local_name", F.when(F.col("again") == 0, F.col("base")).otherwise(F.concat(stem, F.lit("_"), F.col("again").cast("string"), ext))).drop("base", "again")
+def _names(parts: DataFrame, key: Column) -> DataFrame:
+    """(doc_id, names): a map from keys to local names; of equal keys the later part's holds."""
+    last = parts.where("not root").select("doc_id", key.alias("key"), "local_name", "pos").where("key <> ''").groupBy("doc_id", "key").agg(F.max_by("local_name", "pos").alias("name"))
+    return last.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "name"))).alias("names"))
 
 
 def rewrite_cids(html: DataFrame, parts: DataFrame) -> DataFrame:
     """(doc_id, html) with every ``cid:`` of a known part replaced by its local name.
 
-    html has doc_id and html; parts has doc_id, cid and local_name. A document's names are one map."""
-    maps = parts.where("cid is not null").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cid", "local_name"))).alias("names"))
+    html has doc_id and html; parts are those of ``mht_parts``. A document's names are one map."""
     pattern = r"cid:[^\"'>)\s]+"
     found = F.regexp_extract_all("html", F.lit(f"(?i)({pattern})"), F.lit(1))
     between = F.split("html", f"(?i){pattern}", -1)
-    new = F.transform(found, lambda m: F.coalesce(F.element_at("names", F.lower(F.regexp_replace(F.substring(m, 5, 1_000_000), "^<|>$", ""))), m))
+    new = F.transform(found, lambda m: F.coalesce(F.element_at("names", F.lower(F.regexp_replace(F.substring(m, F.lit(5), F.length(m)), "^<+|[<>]+$", ""))), m))
     joined = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return html.join(maps, "doc_id", "left").select("doc_id", F.when(F.col("names").isNull(), F.col("html")).otherwise(joined).alias("html"))
+    return html.join(_names(parts, F.col("cid")), "doc_id", "left").select("doc_id", F.when(F.col("names").isNull(), F.col("html")).otherwise(joined).alias("html"))
+
+
+#: Fixed value: the attributes whose quoted values are rewritten.
+URL_ATTRIBUTE = r"(?i)((?:src|href|background)\s*=\s*)(\"[^\"]*\"|'[^']*')"
+
+
+def rewrite_urls(html: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, html) with the locations of the document's own parts, and the last segments of these, replaced
+    by local names in quoted src, href and background values, the longest first."""
+    known = parts.where("not root and cloc is not null")
+    short = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.regexp_replace("cloc", r"\\", "/"), "/"), -1), "[^A-Za-z0-9._-]", "_"), "^[._]+|[._]+$", "")
+    both = known.select("doc_id", "root", "pos", "local_name", F.explode(F.array_distinct(F.array(F.col("cloc"), short))).alias("key"))
+    names = _names(both, F.col("key"))
+    # Longest keys first; of keys of one length, in the order of the parts' keys.
+    ordered = F.array_sort(F.transform(F.map_entries("names"), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("key"), e["value"].alias("name"))))
+    found = F.regexp_extract_all("html", F.lit(URL_ATTRIBUTE), F.lit(0))
+    between = F.split("html", URL_ATTRIBUTE, -1)
+
+    def changed(m: Column) -> Column:
+        value = F.regexp_extract(m, URL_ATTRIBUTE, 2)
+        return F.concat(F.regexp_extract(m, URL_ATTRIBUTE, 1), F.aggregate("ordered", value, lambda v, e: F.replace(v, e["key"], e["name"])))
+
+    joined = F.array_join(F.flatten(F.zip_with(between, F.transform(found, changed), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    rows = html.join(names, "doc_id", "left").withColumn("ordered", ordered)
+    return rows.select("doc_id", F.when(F.col("names").isNull(), F.col("html")).otherwise(joined).alias("html"))
 
 
 def css_rules(html: DataFrame) -> DataFrame:
@@ -179,12 +218,3 @@ def css_rules(html: DataFrame) -> DataFrame:
     rules = rules.where(F.col("selector").rlike(r"^([A-Za-z][A-Za-z0-9]*)?(\.[A-Za-z_-][A-Za-z0-9_-]*)?$") & (F.col("selector") != "") & F.contains("p", F.lit(":")))
     named = rules.select("doc_id", "selector", F.lower(F.trim(F.substring_index("p", ":", 1))).alias("prop"), F.trim(F.regexp_extract("p", r"(?s)^[^:]*:(.*)$", 1)).alias("value"), F.struct("r", "i").alias("at"))
     return named.where("prop <> '' and value <> ''").groupBy("doc_id", "selector", "prop").agg(F.max_by("value", "at").alias("value"))
-
-
-def rewrite_urls(html: Column, table: dict[str, str]) -> Column:
-    """Quoted src, href and background values with the keys of a fixed table replaced, longest first."""
-    out = html
-    for key in sorted(table, key=lambda k: (-len(k), k)):
-        quoted = "".join("\\" + c if not c.isalnum() else c for c in key)
-        out = F.regexp_replace(out, rf"(?i)((?:src|href|background)\s*=\s*[\"'][^\"']*?){quoted}", "$1" + table[key].replace("\\", "\\\\").replace("$", "\\$"))
-    return out

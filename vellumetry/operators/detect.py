@@ -1,8 +1,9 @@
 """Type detection as one chain of columns.
 
 Input columns: path, length, clf_label, clf_score, clf_mime, libmagic_mime, and facts about the bytes
-that the container operators supply: zip_ok, is_bomb, entity_count, is_mht, odf_marker, zip_dirs,
-is_rtf. A rejection is a pair of columns, never an exception.
+that the container operators supply: is_zip, package_ok (the package gate over all entries), entity_count,
+is_mht, odf_marker, zip_dirs, is_rtf, streams (names in a compound file) and entries (name, size). A
+rejection is a pair of columns, never an exception.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from ..functions import text as T
 
 MAX_INPUT = 100 * 1024 * 1024
 MAX_RATIO, MAX_ENTRIES, MAX_ENTITIES = 100.0, 5000, 64
+#: Labels whose files are zip packages with content types, and compound files.
+PACKAGES, COMPOUND = ["docx", "xlsx", "pptx"], ["doc", "xls", "ppt"]
 
 
 def ooxml_gate(names: Column, compressed: Column, sizes: Column) -> Column:
@@ -46,13 +49,13 @@ def rtf_magic(content: Column) -> Column:
 
 
 def magic_label(label: Column, mime: Column, zip_dirs: Column) -> Column:
-    """What the magic library says of a label that is re-checked; else the one family of its folders."""
+    """What the magic library says of a label that is re-checked; else, for packages, the one family of its folders."""
     out = F.lit(None).cast("string")
     for pattern, to in reversed(L.MAGIC):
         out = F.when(F.contains(mime, F.lit(pattern)), to).otherwise(out)
     ppt, word, xl = (F.exists(zip_dirs, _starts(p)) for p in ("ppt/", "word/", "xl/"))
     n = sum(F.when(x, 1).otherwise(0) for x in (ppt, word, xl))
-    family = F.when(n == 1, F.when(ppt, "pptx").when(word, "docx").otherwise("xlsx"))
+    family = F.when(label.isin(PACKAGES) & (n == 1), F.when(ppt, "pptx").when(word, "docx").otherwise("xlsx"))
     return F.when(label.isin(L.RECHECKED), F.coalesce(out, family, label)).otherwise(label)
 
 
@@ -85,42 +88,48 @@ def ooxml_warnings(entries: Column) -> Column:
 
 
 def detect(df: DataFrame, max_input: int = MAX_INPUT) -> DataFrame:
-    """Adds ext, label, mime, source, agreed, confidence, warning, reject_reason."""
-    ext = T.extension_hint(F.col("path"))
-    df = df.withColumn("ext", ext)
-    label = odf_label(magic_label(F.col("clf_label"), F.col("libmagic_mime"), F.col("zip_dirs")), F.col("odf_marker"))
-    label = F.when(F.col("is_mht"), "mht").otherwise(label)
-    known = L.supported_label(label)
-    allowed = L.extension_label(F.col("ext"))
-    known = F.when(known.isNull() & F.col("is_rtf"), "rtf").otherwise(known)
-    ooxml = known.isin("docx", "xlsx", "pptx", "xlsb")
-    generic = F.col("clf_label").isin("zip", "xml")
-    gate = F.when(F.col("clf_label") == "zip", F.col("zip_ok") & ~F.col("is_bomb")).otherwise(F.col("entity_count") <= MAX_ENTITIES)
-    unknown = F.col("clf_label") == "unknown"
+    """Adds ext, label, mime, source, agreed, confidence, warnings, reject_reason.
+
+    Four ways to a label, in this order: a label that is supported; a generic container or an unknown file
+    whose extension is on the list; text of any kind. Where the extension decides, confidence is 0."""
+    df = df.withColumn("ext", T.extension_hint(F.col("path")))
+    full = F.col("length") > 0
+    first = F.coalesce("clf_label", F.lit("unknown"))
+    label = F.when(full, odf_label(magic_label(first, F.col("libmagic_mime"), F.col("zip_dirs")), F.col("odf_marker"))).otherwise(first)
+    df = df.withColumn("__seen", F.when(full & F.col("is_mht"), "mht").otherwise(label))
+    seen = F.col("__seen")
+    structural = F.when(full & seen.isin(COMPOUND), ole_warnings(F.col("streams"))).when(full & seen.isin(PACKAGES), ooxml_warnings(F.col("entries")))
+    df = df.withColumn("__structural", F.coalesce(structural, F.array().cast("array<string>")))
+    df = df.withColumn("__seen", F.when(L.supported_label(seen).isNull() & F.col("is_rtf"), "rtf").otherwise(seen))
+    known, allowed = L.supported_label(seen), L.extension_label(F.col("ext"))
+    generic, unknown = seen.isin("zip", "xml"), seen == "unknown"
     text = L.is_text_mime(F.coalesce("clf_mime", F.lit("")))
+    sane = F.coalesce("package_ok", F.lit(False))
+    gate = F.when(seen == "zip", sane).otherwise(F.coalesce("entity_count", F.lit(0)) <= MAX_ENTITIES)
+    by_name = known.isNull() & (generic | unknown)
     reason = (
         F.when(F.col("length") > max_input, "input_too_large")
-        .when(known.isNotNull(), F.when(ooxml & ~(F.col("zip_ok") & ~F.col("is_bomb")), "ooxml_structural_check_failed"))
-        .when(generic & allowed.isNotNull(), F.when(~gate, "magika_unknown_extension_mismatch"))
-        .when(unknown & allowed.isNotNull(), F.when(F.col("is_bomb"), "ooxml_structural_check_failed"))
-        .when(text, F.lit(None))
-        .otherwise("unsupported_type")
+        .when(known.isNotNull(), F.when(seen.isin(PACKAGES) & ~sane, "ooxml_structural_check_failed"))
+        .when(by_name & allowed.isNull(), "magika_unknown_extension_mismatch")
+        .when(generic, F.when(~gate, "magika_unknown_extension_mismatch"))
+        .when(unknown, F.when(allowed.isin(PACKAGES) & F.coalesce("is_zip", F.lit(False)) & ~sane, "ooxml_structural_check_failed"))
+        .when(~text, "unsupported_type")
     )
-    chosen = F.when(known.isNotNull(), known).when((generic | unknown) & allowed.isNotNull(), allowed).when(text, "txt")
-    by = F.when(known.isNotNull() | (~generic & ~unknown), "magika").otherwise("extension")
-    warning = (
-        F.when(known.isNotNull(), F.lit(None))
-        .when(generic & allowed.isNotNull(), F.concat(F.lit("magika_labeled_as_"), F.col("clf_label")))
-        .when(unknown & allowed.isNotNull(), "magika_unrecognized_content")
-        .when(text, F.concat(F.lit("rendered_as_text_from_"), F.col("clf_label")))
-    )
-    out = df.withColumn("reject_reason", reason).withColumn("label", F.when(F.col("reject_reason").isNull(), chosen))
-    plain = known.isNull() & ~((generic | unknown) & allowed.isNotNull()) & text
-    agreed = F.when(plain, F.col("ext") == "txt").otherwise((F.col("ext") == F.col("label")) | F.coalesce(allowed == F.col("label"), F.lit(False)))
-    return (
-        out.withColumn("mime", L.mime_of(F.col("label")))
-        .withColumn("source", F.when(F.col("label").isNotNull(), by))
-        .withColumn("agreed", F.when(F.col("label").isNotNull(), agreed))
-        .withColumn("confidence", T.clamp_confidence(F.col("clf_score")))
-        .withColumn("warning", F.when(F.col("label").isNotNull(), warning))
+    warnings = (
+        F.when(known.isNotNull(), F.col("__structural"))
+        .when(generic, F.array(F.concat(F.lit("magika_labeled_as_"), seen)))
+        .when(unknown, F.array(F.lit("magika_unrecognized_content")))
+        .otherwise(F.array(F.concat(F.lit("rendered_as_text_from_"), seen)))
     )
+    agreed = F.when(by_name, True).when(known.isNull(), F.col("ext") == "txt").otherwise((F.col("ext") == known) | F.coalesce(allowed == known, F.lit(False)))
+    score = F.when(by_name, F.lit(0.0)).otherwise(T.clamp_confidence(F.col("clf_score")))
+    taken = F.col("reject_reason").isNull()
+    out = df.withColumn("reject_reason", reason)
+    out = out.withColumn("label", F.when(taken, F.when(known.isNotNull(), known).when(by_name, allowed).otherwise("txt")))
+    return out.withColumns({
+        "mime": L.mime_of(F.col("label")),
+        "source": F.when(taken, F.when(by_name, "extension").otherwise("magika")),
+        "agreed": F.when(taken, agreed),
+        "confidence": F.when(taken, score),
+        "warnings": F.when(taken, warnings),
+    }).drop("__seen", "__structural")

@@ -92,9 +92,15 @@ def effective_dpi(dpi: int, peak_px: Column, max_px: int) -> Column:
     return F.when(peak_px > max_px, F.least(lower, F.lit(dpi))).otherwise(F.lit(dpi)).cast("int")
 
 
-def max_page_px(memory_gb: Column) -> Column:
-    budget = F.greatest(F.lit(1e6), memory_gb * (1024**3) / 8 / 4)
-    return F.least(F.lit(2e8), F.lit(1e8), budget).cast("long")
+def max_page_px(memory_gb: Column, override: Column | None = None) -> Column:
+    """Pixels of the largest page: a positive override within its bounds, else an eighth of the memory at four
+    bytes a pixel. Memory of 0, which is what a malformed figure is read as, counts as 4 GB."""
+    memory = F.when(memory_gb > 0, memory_gb).otherwise(4.0)
+    derived = F.least(F.lit(2e8), F.lit(1e8), F.greatest(F.lit(1e6), F.floor(memory * (1024**3) / 8 / 4)))
+    if override is None:
+        return derived.cast("long")
+    own = override.try_cast("long")
+    return F.when(own > 0, F.least(F.lit(200_000_000), F.greatest(F.lit(1_000_000), own))).otherwise(derived).cast("long")
 
 
 def concurrent_ops(memory_gb: Column, peak: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..functions import text as T
 
 
 def export_plan(label: Column) -> dict[str, Column]:
@@ -50,15 +51,56 @@ def warnings_in_order(pages: DataFrame, doc: str, page: str, before: list[tuple[
     return got.select(doc, F.concat(flags(before), F.col("w")["code"], flags(after)).alias("codes"))
 
 
+#: Characters of each field that a record keeps.
+FIELD_LIMITS = {"ocr_text": 10_000, "warning_code": 64, "warning_message": 2000, "scan_error": 500, "fallback_error": 200}
+
+
+def cut(field: str, value: Column) -> Column:
+    """The beginning of a value, as much as its field keeps."""
+    return F.substring(value, 1, FIELD_LIMITS[field])
+
+
+def warning(code: Column, message: Column) -> Column:
+    """A warning as the record has it: cut to size, and never without a code."""
+    code = F.when(F.coalesce(code, F.lit("")) == "", "warning").otherwise(code)
+    return F.struct(cut("warning_code", code).alias("code"), cut("warning_message", F.coalesce(message, F.lit(""))).alias("message"))
+
+
+def page_node() -> Column:
+    """A page of the record: its size, its picture, and those of its hashes that are well formed."""
+    hashes = [F.when(T.valid_hash(F.col(c), n).isNotNull(), F.struct(F.lit(c).alias("algo"), F.col(c).alias("value"))) for c, n in (("phash", 16), ("colorhash", None), ("sha256", 64))]
+    dims = F.struct(F.col("width_mm").alias("width"), F.col("height_mm").alias("height"), F.lit("mm").alias("unit"))
+    return F.struct(F.col("page").alias("index"), dims.alias("dims"), F.concat(F.lit("p"), F.col("page").cast("string")).alias("image"), F.array_compact(F.array(*hashes)).alias("hashes"))
+
+
 def envelope(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """One nested record a document: status, ordered pages, summed time. A rejection is a status.
+    """One nested record a document: status, detection, pages in order, artifacts, warnings, summed time.
 
-    Pages of rejected documents are left out before the shuffle."""
+    docs has doc_id, reject_reason, label, mime, confidence, has_pdf and warnings (an array of code and
+    message); pages has doc_id, page, ms, file, trimmed_file, focused_file (null where there is none),
+    width_mm, height_mm, phash, colorhash and sha256. A rejection is a status, and such a record has no pages,
+    artifacts or detection; its pages are left out before the shuffle."""
     live = docs.where("reject_reason is null").select("doc_id")
-    got = pages.join(live, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "ms"))).alias("pages"), F.sum("ms").alias("total_ms"))
+    files = F.array(*[F.struct(F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(tail)).alias("id"), F.col(c).alias("path"), F.lit("image").alias("kind")) for c, tail in (("file", ""), ("trimmed_file", "-trimmed"), ("focused_file", "-focused"))])
+    files = F.filter(files, lambda f: f["path"].isNotNull())
+    got = pages.join(live, "doc_id", "left_semi").select("doc_id", "ms", F.struct("page", page_node().alias("node"), files.alias("files")).alias("p"))
+    got = got.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("ms").alias("total_ms"))
     out = docs.join(got, "doc_id", "left")
-    none = F.array().cast(got.schema["pages"].dataType)
-    return out.select("doc_id", F.when(F.col("reject_reason").isNotNull(), "rejected").otherwise("ok").alias("status"), "reject_reason", F.coalesce("pages", none).alias("pages"), F.coalesce("total_ms", F.lit(0)).cast("long").alias("total_ms"))
+    ok = F.col("reject_reason").isNull()
+
+    def listed(values: Column, kind: str) -> Column:
+        return F.coalesce(F.when(ok, values), F.array().cast(kind))
+
+    node, file = (got.select(F.col("p")[0][c].alias("x")).schema["x"].dataType for c in ("node", "files"))
+    pdf = F.when(F.col("has_pdf"), F.array(F.struct(F.lit("document-pdf").alias("id"), F.lit("document.pdf").alias("path"), F.lit("pdf").alias("kind")))).otherwise(F.array().cast(file))
+    seen = F.struct(F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("mime", F.lit("application/octet-stream")).alias("mime"), T.clamp_confidence(F.col("confidence")).alias("confidence"))
+    return out.select(
+        "doc_id", F.when(ok, "ok").otherwise("rejected").alias("status"), "reject_reason", F.when(ok, seen).alias("detected"),
+        listed(F.transform("p", lambda x: x["node"]), f"array<{node.simpleString()}>").alias("pages"),
+        listed(F.concat(F.coalesce(F.flatten(F.transform("p", lambda x: x["files"])), F.array().cast(file)), pdf), file.simpleString()).alias("artifacts"),
+        F.transform(F.coalesce("warnings", F.array().cast("array<struct<code:string,message:string>>")), lambda w: warning(w["code"], w["message"])).alias("warnings"),
+        F.coalesce("total_ms", F.lit(0)).cast("long").alias("total_ms"),
+    )
 
 
 def json_record(record: Column) -> Column:

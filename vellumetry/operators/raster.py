@@ -1,14 +1,18 @@
-"""Page pictures: crops and perceptual signatures, in Arrow-fed pandas functions.
+"""Page pictures: crops and perceptual signatures, in one pass over Arrow batches.
 
 A raster column is a struct (height, width, data) with data the RGB bytes row by row; ``from_image``
-turns Spark's image source, whose bytes are BGR, into it.
+turns Spark's image source, whose bytes are grey, BGR or BGRA, into it. ``page_facts`` opens a picture
+once for everything that is asked of it and holds one picture at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,18 +27,25 @@ def pixels(height: int, width: int, data: bytes) -> np.ndarray:
 
 
 def from_image(image: Column) -> Column:
-    """Spark's image struct as a raster; the channel order is turned by the functions below."""
-    return F.struct(image["height"].alias("height"), image["width"].alias("width"), bgr_to_rgb(image["data"]).alias("data"))
+    """Spark's image struct as a raster: one, three or four channels become red, green and blue."""
+    return F.struct(image["height"].alias("height"), image["width"].alias("width"), to_rgb(image["data"], image["nChannels"]).alias("data"))
 
 
 @F.pandas_udf(T.BinaryType())
-def bgr_to_rgb(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else np.frombuffer(b, dtype=np.uint8).reshape(-1, 3)[:, ::-1].tobytes())
+def to_rgb(data: pd.Series, channels: pd.Series) -> pd.Series:
+    def one(b: bytes | None, n: int) -> bytes | None:
+        if b is None:
+            return None
+        a = np.frombuffer(b, dtype=np.uint8).reshape(-1, int(n))
+        return np.repeat(a, 3, axis=1).tobytes() if n == 1 else a[:, 2::-1].tobytes()
+
+    return pd.Series([one(b, n) for b, n in zip(data, channels)])
 
 
 def deviation(a: np.ndarray, background: np.ndarray) -> np.ndarray:
     """Largest difference from the background over the channels, for each pixel."""
-    return np.abs(a.astype(np.int16) - background.astype(np.int16)).max(axis=2)
+    far = np.abs(a.astype(np.int16) - background.astype(np.int16))
+    return np.maximum(np.maximum(far[..., 0], far[..., 1]), far[..., 2])
 
 
 def sampled_hot(a: np.ndarray, background: np.ndarray, tolerance: int, axis: int) -> np.ndarray:
@@ -100,12 +111,16 @@ def grow(a: np.ndarray, least: int) -> np.ndarray:
     return np.repeat(np.repeat(a, -(-least // a.shape[0]), axis=0), -(-least // a.shape[1]), axis=1) if min(a.shape[:2]) < least else a
 
 
+def _light(a: np.ndarray) -> np.ndarray:
+    """Luminance times 1000."""
+    return a[..., 0] * np.int32(299) + a[..., 1] * np.int32(587) + a[..., 2] * np.int32(114)
+
+
 def phash(a: np.ndarray) -> str:
     """64 bits of the low cosine coefficients above their median, most significant first.
 
     Coefficients are rounded, so that a flat picture has its one coefficient and no noise."""
-    grey = grow(a, 32).astype(np.float64) @ np.array([0.299, 0.587, 0.114])
-    small = shrink(np.rint(grey), 32, 32)
+    small = shrink(np.rint(_light(grow(a, 32)) / 1000), 32, 32)
     n = np.arange(32)
     cosine = np.cos(np.pi * (2 * n[None, :] + 1) * n[:8, None] / 64)
     low = np.round(cosine @ small @ cosine.T, 6).ravel()
@@ -119,20 +134,18 @@ def colorhash(a: np.ndarray) -> str:
     """14 hex digits: black, grey, six faint and six bright hues.
 
     Black and grey are shares of all pixels, hues are shares of the coloured ones of their kind."""
-    x = a.reshape(-1, 3).astype(np.float64)
-    light = x @ np.array([0.299, 0.587, 0.114])
-    top, low = x.max(axis=1), x.min(axis=1)
+    x = a.reshape(-1, 3)
+    top, low = (f(f(x[:, 0], x[:, 1]), x[:, 2]).astype(np.int32) for f in (np.maximum, np.minimum))
     span = top - low
-    saturation = np.where(top > 0, span / np.maximum(top, 1) * 255, 0)
-    black = light < 32
-    grey = ~black & (saturation < 255 / 3)
+    black = _light(x) < 32_000
+    grey = ~black & (3 * span < top)
     rest = ~black & ~grey
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r, g, b = ((top - x[:, i]) / span for i in range(3))
-    hue = np.where(top == x[:, 0], b - g, np.where(top == x[:, 1], 2 + r - b, 4 + g - r))
-    bin_of = (np.nan_to_num(hue) % 6).astype(int) % 6
-    bright = rest & (saturation > 255 * 2 / 3)
-    faint = rest & ~bright
+    c, top, span = x[rest].astype(np.float64), top[rest], span[rest]
+    r, g, b = ((top - c[:, i]) / np.maximum(span, 1) for i in range(3))
+    hue = np.where(top == c[:, 0], b - g, np.where(top == c[:, 1], 2 + r - b, 4 + g - r))
+    bin_of = (hue % 6).astype(int) % 6
+    bright = 3 * span > 2 * top
+    faint = ~bright
     coloured = max(1, int(rest.sum()))
     shares = [black.mean(), grey.mean()]
     for part in (faint, bright):
@@ -148,28 +161,29 @@ def downscaled(a: np.ndarray) -> np.ndarray:
     return np.rint(shrink(a, max(1, int(h * ratio)), max(1, int(w * ratio)))).astype(np.uint8)
 
 
-def _over(raster: pd.DataFrame, work, columns: list[str]) -> pd.DataFrame:
-    rows = []
-    for h, w, data in zip(raster["height"], raster["width"], raster["data"]):
-        got = work(pixels(int(h), int(w), data)) if data is not None and h and w else None
-        rows.append([None if got is None else got[c] for c in columns])
-    return pd.DataFrame(rows, columns=columns)
-
-
-@F.pandas_udf(TRIM)
-def trimmed(raster: pd.DataFrame) -> pd.DataFrame:
-    return _over(raster, trim_bottom, ["crop_height", "removed_percent", "background"])
+def facts(a: np.ndarray) -> dict:
+    """Everything that is known of one picture; crops that are not worth it are None."""
+    small = downscaled(a)
+    return {"trimmed": trim_bottom(a), "focused": focus(a), "phash": phash(small), "colorhash": colorhash(small)}
 
 
-@F.pandas_udf(FOCUS)
-def focused(raster: pd.DataFrame) -> pd.DataFrame:
-    return _over(raster, focus, ["crop_box", "removed_percent"])
+def page_facts(pages: DataFrame, keys: list[str], raster: str = "raster") -> DataFrame:
+    """keys, trimmed, focused, phash and colorhash of each row; all null where there is no picture.
 
+    One pass: a picture goes to Python once and only its facts come back."""
+    rows = pages.select(*keys, raster)
+    kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("trimmed", TRIM), T.StructField("focused", FOCUS), *HASHES.fields])
 
-@F.pandas_udf(HASHES)
-def signatures(raster: pd.DataFrame) -> pd.DataFrame:
-    def both(a: np.ndarray) -> dict:
-        small = downscaled(a)
-        return {"phash": phash(small), "colorhash": colorhash(small)}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w, data = (batch.column(len(keys)).field(c) for c in ("height", "width", "data"))
+            got = []
+            for i in range(batch.num_rows):
+                there = batch.column(len(keys))[i].is_valid and data[i].is_valid and h[i].as_py() and w[i].as_py()
+                got.append(facts(np.frombuffer(data[i].as_buffer(), dtype=np.uint8).reshape(h[i].as_py(), w[i].as_py(), 3)) if there else {})
+            trim = pa.struct([("crop_height", pa.int32()), ("removed_percent", pa.float64()), ("background", pa.string())])
+            box = pa.struct([("crop_box", pa.list_(pa.int32())), ("removed_percent", pa.float64())])
+            made = [pa.array([g.get(c) for g in got], k) for c, k in (("trimmed", trim), ("focused", box), ("phash", pa.string()), ("colorhash", pa.string()))]
+            yield pa.record_batch([*batch.columns[: len(keys)], *made], names=kinds.names)
 
-    return _over(raster, both, ["phash", "colorhash"])
+    return rows.mapInArrow(work, kinds)

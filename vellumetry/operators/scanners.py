@@ -82,16 +82,24 @@ def json_lines(stdout: Column) -> Column:
 
 
 def plain_blocks(stdout: Column) -> Column:
-    """Results of blank-line-separated blocks of ``key: value`` lines, as (format, value)."""
+    """Results of blocks of ``key: value`` lines that blank lines part; of repeated keys the last line holds.
+
+    A format that is not in the table is put into normal form; quotes come off the text in pairs only."""
     table = F.create_map(*[F.lit(x) for kv in QR_FORMATS.items() for x in kv])
-    blocks = F.filter(F.split(stdout, r"\n\s*\n"), lambda b: F.contains(b, F.lit("Format:")))
+    blocks = F.split(F.regexp_replace(stdout, r"\r\n?", "\n"), r"\n[^\S\n]*\n")
 
     def field(b: Column, name: str) -> Column:
-        return F.trim(F.regexp_extract(b, rf"(?m)^\s*{name}:\s*(.*)$", 1))
+        line = rf"(?ms)\A(?:.*^)?[^\S\n]*{name}[^\S\n]*:([^\n]*)$"
+        return F.when(b.rlike(line), F.trim(F.regexp_extract(b, line, 1)))
 
     def made(b: Column) -> Column:
-        key = F.regexp_replace(F.lower(field(b, "Format")), "[^a-z0-9]", "")
-        return F.struct(F.coalesce(F.element_at(table, key), key).alias("format"), F.regexp_replace(field(b, "Text"), r'^"|"$', "").alias("value"))
+        raw, text = F.coalesce(field(b, "Format"), F.lit("")), F.coalesce(field(b, "Text"), F.lit(""))
+        named = F.coalesce(F.element_at(table, F.translate(F.lower(raw), "-_ ", "")), normal_format(raw))
+        bare = F.when(text == '"', "").when(text.startswith('"') & text.endswith('"'), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+        return F.struct(
+            named.alias("format"), bare.alias("value"), field(b, "Position").alias("position"), field(b, "EC Level").alias("error_correction_level"),
+            (F.lower(F.coalesce(field(b, "IsMirrored"), F.lit("false"))) == "true").alias("is_mirrored"), field(b, "Bytes").alias("raw_bytes_hex"),
+        )
 
     return F.filter(F.transform(blocks, made), lambda r: r["format"] != "")
 
@@ -109,68 +117,32 @@ def found_nothing(stdout: Column) -> Column:
     return F.contains(stdout, F.lit("No barcode found"))
 
 
-_TOKEN = re.compile(r"[^\s,:{}\[\]\"]+")
+#: One member: commas and blanks, a key in quotes, a colon, a value in quotes or a bare word.
+_MEMBER = re.compile(r'[ \t,]*"((?:[^"\\]|\\.)*)"[ \t]*:[ \t]*(?:"((?:[^"\\]|\\.)*)"|((?!")[^,}]*))', re.DOTALL)
+_ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
 def parse_line(line: str) -> dict[str, str | None] | None:
     """One flat object by the scanner's own grammar: string keys, values that are strings or bare words.
 
-    A bare null is None and other bare words stay text; an unknown escape stands for its character. None
-    if the line does not follow the grammar."""
-    plain = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
-    i, n = 0, len(line)
-
-    def blank(i: int) -> int:
-        while i < n and line[i].isspace():
-            i += 1
-        return i
-
-    def quoted(i: int) -> tuple[str, int]:
-        out, i = [], i + 1
-        while i < n and line[i] != '"':
-            if line[i] == "\\":
-                i += 1
-                if i >= n:
-                    raise ValueError
-                if line[i] == "u":
-                    out.append(chr(int(line[i + 1 : i + 5], 16)))
-                    i += 4
-                else:
-                    out.append(plain.get(line[i], line[i]))
-            else:
-                out.append(line[i])
-            i += 1
-        if i >= n:
-            raise ValueError
-        return "".join(out), i + 1
-
-    try:
-        i = blank(0)
-        if i >= n or line[i] != "{":
-            return None
-        out: dict[str, str | None] = {}
-        i = blank(i + 1)
-        while line[i] != "}":
-            if line[i] != '"':
-                return None
-            key, i = quoted(i)
-            i = blank(i)
-            if line[i] != ":":
-                return None
-            i = blank(i + 1)
-            if line[i] == '"':
-                out[key], i = quoted(i)
-            else:
-                m = _TOKEN.match(line, i)
-                if not m:
-                    return None
-                out[key], i = (None if m[0] == "null" else m[0]), m.end()
-            i = blank(i)
-            if line[i] == ",":
-                i = blank(i + 1)
-        return out if blank(i + 1) == n else None
-    except (IndexError, ValueError):
+    A bare null is None and other bare words stay text. Of escapes only ``n``, ``r`` and ``t`` mean another
+    character; any other stands for the character after the backslash. None if the line does not follow."""
+
+    def plain(s: str) -> str:
+        return _ESCAPE.sub(lambda m: {"n": "\n", "r": "\r", "t": "\t"}.get(m[1], m[1]), s)
+
+    line = line.strip()
+    if len(line) < 2 or line[0] != "{" or line[-1] != "}":
         return None
+    body, at, out = line[1:-1], 0, {}
+    while body[at:].strip(" \t,"):
+        m = _MEMBER.match(body, at)
+        if not m:
+            return None
+        bare = (m[3] or "").strip()
+        out[plain(m[1])] = plain(m[2]) if m[2] is not None else None if bare == "null" else bare
+        at = m.end()
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))

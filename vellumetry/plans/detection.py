@@ -17,47 +17,55 @@ def _case(key: str, table: dict, other: str = "NULL") -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {other} END"
 
 
-_CLF = ["docx", "zip", "unknown", "odt", "python", "markdown", "xml", "pdf", "xlsx"]
-_EXT = ["docx", "pptm", "txt", "ods", "exe", "csv", "fodt", "html"]
+_CLF = ["docx", "zip", "unknown", "doc", "python", "markdown", "xml", "pdf", "xlsx"]
+_EXT = ["docx", "pptm", "txt", "ods", "exe", "csv", "fodt", "html", "foo", "xlsb"]
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-_FACTS = f"""(SELECT doc_id, length(text) AS length, ({_LIST(_CLF)})[(doc_id % 9)::INT + 1] AS clf, ({_LIST(_EXT)})[(doc_id % 8)::INT + 1] AS ext,
-CASE WHEN doc_id % 5 = 0 THEN 'text/x-code' ELSE 'application/octet-stream' END AS mime, doc_id % 7 <> 0 AS zip_ok, doc_id % 11 = 0 AS bomb, (doc_id % 130) AS entities,
-doc_id % 13 = 0 AS mht, doc_id % 17 = 0 AS rtf, (doc_id % 150) / 100.0 - 0.1 AS score FROM documents)"""
+_FACTS = f"""(SELECT doc_id, length(text) AS length, ({_LIST(_CLF)})[(length(text) % 9)::INT + 1] AS clf, ({_LIST(_EXT)})[(doc_id % 10)::INT + 1] AS ext,
+CASE WHEN contains(text, 'au') THEN 'text/x-code' ELSE 'application/octet-stream' END AS mime, length(text) % 7 <> 0 AS is_zip, doc_id % 3 <> 0 AS sane, length(text) - length(replace(text, 'e', '')) AS entities,
+starts_with(text, 'I') AS mht, contains(text, 'AKIA') AS rtf, (doc_id % 150) / 100.0 - 0.1 AS score, contains(text, 'a') AS vba, contains(text, 'x') AS content, contains(text, 'z') AS hollow FROM documents)"""
 
 
 def _facts(t):
-    d = F.col("doc_id")
+    """Stand-ins for what a classifier and the container operators say of a file, read off the document."""
+    d, n = F.col("doc_id"), F.length("text")
 
-    def pick(xs):
-        return F.get(F.array(*[F.lit(x) for x in xs]), (d % len(xs)).cast("int"))
+    def pick(xs, k):
+        return F.get(F.array(*[F.lit(x) for x in xs]), (k % len(xs)).cast("int"))
 
+    def has(word):
+        return F.contains("text", F.lit(word))
+
+    streams = F.array_compact(F.array(F.when(has("a"), "VBA/dir"), F.when(has("x"), "WordDocument")))
+    entry = F.struct(F.lit("word/document.xml").alias("name"), F.when(has("z"), 0).otherwise(9).cast("long").alias("size"))
     return t("documents").select(
-        "doc_id", F.concat(F.lit("/in/f"), d.cast("string"), F.lit("."), F.upper(pick(_EXT))).alias("path"), F.length("text").alias("length"), pick(_CLF).alias("clf_label"), ((d % 150) / 100.0 - 0.1).alias("clf_score"),
-        F.when(d % 5 == 0, "text/x-code").otherwise("application/octet-stream").alias("clf_mime"), F.lit(None).cast("string").alias("libmagic_mime"), (d % 7 != 0).alias("zip_ok"), (d % 11 == 0).alias("is_bomb"),
-        (d % 130).alias("entity_count"), (d % 13 == 0).alias("is_mht"), F.lit(None).cast("string").alias("odf_marker"), F.array().cast("array<string>").alias("zip_dirs"), (d % 17 == 0).alias("is_rtf"),
+        "doc_id", F.concat(F.lit("/in/f"), d.cast("string"), F.lit("."), F.upper(pick(_EXT, d))).alias("path"), n.alias("length"), pick(_CLF, n).alias("clf_label"), ((d % 150) / 100.0 - 0.1).alias("clf_score"),
+        F.when(has("au"), "text/x-code").otherwise("application/octet-stream").alias("clf_mime"), F.lit(None).cast("string").alias("libmagic_mime"), (n % 7 != 0).alias("is_zip"), (d % 3 != 0).alias("package_ok"),
+        (n - F.length(F.replace("text", F.lit("e"), F.lit("")))).alias("entity_count"), F.startswith("text", F.lit("I")).alias("is_mht"), F.lit(None).cast("string").alias("odf_marker"), F.array().cast("array<string>").alias("zip_dirs"), has("AKIA").alias("is_rtf"),
+        streams.alias("streams"), F.array(entry).alias("entries"),
     )
 
 
-_DETECTED = f"""(WITH a AS (SELECT *, CASE WHEN mht THEN 'mht' ELSE clf END AS lab, {_case("ext", L.EXTENSIONS)} AS allowed FROM {_FACTS}),
-b AS (SELECT *, coalesce({_case("lab", L.LABELS)}, CASE WHEN rtf THEN 'rtf' END) AS known FROM a),
-c AS (SELECT *, clf IN ('zip', 'xml') AS generic, clf = 'unknown' AS unk, starts_with(mime, 'text/') AS is_text FROM b),
-r AS (SELECT *, CASE WHEN length > 20000 THEN 'input_too_large'
-WHEN known IS NOT NULL THEN CASE WHEN known IN ('docx', 'xlsx', 'pptx', 'xlsb') AND NOT (zip_ok AND NOT bomb) THEN 'ooxml_structural_check_failed' END
-WHEN generic AND allowed IS NOT NULL THEN CASE WHEN NOT (CASE WHEN clf = 'zip' THEN zip_ok AND NOT bomb ELSE entities <= 64 END) THEN 'magika_unknown_extension_mismatch' END
-WHEN unk AND allowed IS NOT NULL THEN CASE WHEN bomb THEN 'ooxml_structural_check_failed' END
-WHEN is_text THEN NULL ELSE 'unsupported_type' END AS reject_reason FROM c)
-SELECT *, CASE WHEN reject_reason IS NULL THEN CASE WHEN known IS NOT NULL THEN known WHEN (generic OR unk) AND allowed IS NOT NULL THEN allowed WHEN is_text THEN 'txt' END END AS label FROM r)"""
+#: The cascade as the reference's rules state it: each way in turn, with its own gate.
+_DETECTED = f"""(WITH a AS (SELECT *, CASE WHEN mht AND length > 0 THEN 'mht' ELSE clf END AS l1, {_case("ext", L.EXTENSIONS)} AS allowed FROM {_FACTS}),
+b AS (SELECT *, CASE WHEN {_case("l1", L.LABELS)} IS NULL AND rtf THEN 'rtf' ELSE l1 END AS l2 FROM a),
+c AS (SELECT *, {_case("l2", L.LABELS)} AS known, CASE WHEN l1 IN ('doc', 'xls', 'ppt') AND vba AND NOT content THEN 'ole_macro_only_payload' WHEN l1 IN ('docx', 'xlsx', 'pptx') AND hollow THEN 'ooxml_empty_core_document' ELSE '' END AS structural FROM b),
+supported AS (SELECT doc_id, known AS label, 'magika' AS source, greatest(0.0, least(1.0, score))::DOUBLE AS confidence, ext = known OR coalesce(allowed = known, false) AS agreed, structural AS warnings,
+ CASE WHEN l2 IN ('docx', 'xlsx', 'pptx') AND NOT sane THEN 'ooxml_structural_check_failed' END AS why FROM c WHERE known IS NOT NULL),
+generic AS (SELECT doc_id, allowed AS label, 'extension' AS source, 0.0::DOUBLE AS confidence, true AS agreed, 'magika_labeled_as_' || l2 AS warnings,
+ CASE WHEN allowed IS NULL OR (l2 = 'zip' AND NOT sane) OR (l2 = 'xml' AND entities > 64) THEN 'magika_unknown_extension_mismatch' END AS why FROM c WHERE known IS NULL AND l2 IN ('zip', 'xml')),
+opaque AS (SELECT doc_id, allowed AS label, 'extension' AS source, 0.0::DOUBLE AS confidence, true AS agreed, 'magika_unrecognized_content' AS warnings,
+ CASE WHEN allowed IS NULL THEN 'magika_unknown_extension_mismatch' WHEN allowed IN ('docx', 'xlsx', 'pptx') AND is_zip AND NOT sane THEN 'ooxml_structural_check_failed' END AS why FROM c WHERE known IS NULL AND l2 = 'unknown'),
+plain AS (SELECT doc_id, 'txt' AS label, 'magika' AS source, greatest(0.0, least(1.0, score))::DOUBLE AS confidence, ext = 'txt' AS agreed, 'rendered_as_text_from_' || l2 AS warnings,
+ CASE WHEN NOT starts_with(mime, 'text/') THEN 'unsupported_type' END AS why FROM c WHERE known IS NULL AND l2 NOT IN ('zip', 'xml', 'unknown')),
+every AS (SELECT * FROM supported UNION ALL SELECT * FROM generic UNION ALL SELECT * FROM opaque UNION ALL SELECT * FROM plain)
+SELECT c.doc_id, c.ext, CASE WHEN c.length > 20000 THEN 'input_too_large' ELSE why END AS reject_reason, label, source, confidence, agreed, warnings FROM c JOIN every USING (doc_id))"""
 
 
 @query(f"""
-SELECT doc_id, ext, label, {_case("label", L.MIME)} AS mime, reject_reason,
-CASE WHEN label IS NOT NULL THEN CASE WHEN known IS NOT NULL OR NOT (generic OR unk) THEN 'magika' ELSE 'extension' END END AS source,
-CASE WHEN label IS NOT NULL THEN CASE WHEN known IS NULL AND NOT ((generic OR unk) AND allowed IS NOT NULL) THEN ext = 'txt' ELSE ext = label OR coalesce(allowed = label, false) END END AS agreed,
-greatest(0.0, least(1.0, score))::DOUBLE AS confidence,
-CASE WHEN label IS NULL OR known IS NOT NULL THEN NULL WHEN generic AND allowed IS NOT NULL THEN 'magika_labeled_as_' || clf WHEN unk AND allowed IS NOT NULL THEN 'magika_unrecognized_content' ELSE 'rendered_as_text_from_' || clf END AS warning
-FROM {_DETECTED}""")
+SELECT doc_id, ext, reject_reason, CASE WHEN reject_reason IS NULL THEN label END AS label, CASE WHEN reject_reason IS NULL THEN {_case("label", L.MIME)} END AS mime, CASE WHEN reject_reason IS NULL THEN source END AS source,
+CASE WHEN reject_reason IS NULL THEN agreed END AS agreed, CASE WHEN reject_reason IS NULL THEN confidence END AS confidence, CASE WHEN reject_reason IS NULL THEN warnings END AS warnings FROM {_DETECTED}""")
 def detect_cascade(spark, t):
-    return D.detect(_facts(t), 20000).select("doc_id", "ext", "label", "mime", "reject_reason", "source", "agreed", "confidence", "warning")
+    return D.detect(_facts(t), 20000).select("doc_id", "ext", "label", "mime", "reject_reason", "source", "agreed", "confidence", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query(f"SELECT reject_reason AS reason, count(*) AS n FROM {_DETECTED} WHERE reject_reason IS NOT NULL GROUP BY 1")
@@ -98,9 +106,19 @@ def css_rules(spark, t):
     return C.css_rules(t("pages").select(F.col("page_id").alias("doc_id"), "html"))
 
 
-@query("""SELECT page_id, md5(regexp_replace(regexp_replace(html, '((?:src|href|background)\\s*=\\s*["''][^"'']*?)/The', '\\1local_1', 'gi'), '((?:src|href|background)\\s*=\\s*["''][^"'']*?)/th', '\\1l2', 'gi')) AS digest FROM pages""")
+@query("""
+WITH p AS (SELECT page_id, list_distinct(regexp_extract_all(html, '<a href="(/[A-Za-z0-9]+)"', 1)) AS links FROM pages),
+k AS (SELECT page_id, links, list_transform(list_sort(list_transform(list_distinct(list_concat(links, list_transform(links, lambda x: x[2:]))), lambda x: {'n': -length(x), 'k': x})), lambda x: x.k) AS keys FROM p),
+l AS (SELECT page_id, keys, unnest(links) AS link FROM k)
+SELECT page_id, '<a href="' || list_reduce(list_prepend(link, keys), lambda a, x: replace(a, x, '_' || length(replace(x, '/', ''))::VARCHAR || '_')) || '">' || link || '</a>' AS html FROM l""")
 def href_rewrite(spark, t):
-    return t("pages").select("page_id", F.md5(C.rewrite_urls(F.col("html"), {"/th": "l2", "/The": "local_1"})).alias("digest"))
+    """A page's links, each rewritten by the names of all of the page's own parts; the text of a link stays."""
+    links = t("pages").select("page_id", F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="(/[A-Za-z0-9]+)"'), F.lit(1))).alias("links"))
+    each = links.select("page_id", "links", F.posexplode("links").alias("at", "link")).withColumn("doc_id", F.col("page_id") * 1000 + F.col("at"))
+    parts = each.select("doc_id", F.lit(False).alias("root"), F.posexplode("links").alias("pos", "cloc"))
+    parts = parts.withColumn("local_name", F.concat(F.lit("_"), (F.length("cloc") - 1).cast("string"), F.lit("_")))
+    html = each.select("doc_id", F.concat(F.lit('<a href="'), "link", F.lit('">'), "link", F.lit("</a>")).alias("html"))
+    return C.rewrite_urls(html, parts).select(F.floor(F.col("doc_id") / 1000).alias("page_id"), "html")
 
 
 _BASE = "regexp_extract(replace(url, chr(92), '/'), '([^/]*)$', 1)"
@@ -182,6 +200,25 @@ def hamming_pairs_banded(spark, t):
     return S.pairs_within(_flipped(t), 4)
 
 
+@query(f"""
+WITH c AS (SELECT w, count(*) AS n FROM {_FLIPPED} GROUP BY w)
+SELECT printf('%016x', least(x.w, y.w)) AS word, printf('%016x', greatest(x.w, y.w)) AS other, CASE WHEN x.w <= y.w THEN x.n ELSE y.n END AS n_word, CASE WHEN x.w <= y.w THEN y.n ELSE x.n END AS n_other, bit_count(xor(x.w, y.w))::INT AS distance
+FROM c x JOIN c y ON x.w::HUGEINT + CASE WHEN x.w >= 9223372036854775808 THEN -18446744073709551616::HUGEINT ELSE 0 END <= y.w::HUGEINT + CASE WHEN y.w >= 9223372036854775808 THEN -18446744073709551616::HUGEINT ELSE 0 END WHERE bit_count(xor(x.w, y.w)) <= 4""")
+def hamming_classes(spark, t):
+    """Words within a radius, with the number of rows of each: as many rows as there are near words."""
+    near = S.near_words(_flipped(t), 4)
+    a, b = H.hex16(F.col("wa")), H.hex16(F.col("wb"))
+    return near.select(F.least(a, b).alias("word"), F.greatest(a, b).alias("other"), F.when(a <= b, F.col("na")).otherwise(F.col("nb")).alias("n_word"), F.when(a <= b, F.col("nb")).otherwise(F.col("na")).alias("n_other"), "distance")
+
+
+@query(f"SELECT id // 4 AS doc_id, id % 4 AS page, printf('%016x', w) AS phash FROM {_W} WHERE id % 7 <> 3")
+def page_originals(spark, t):
+    """Pages with crops beside them; only the originals are searched."""
+    w = _words(t).select(F.floor(F.col("id") / 4).alias("doc_id"), (F.col("id") % 4).alias("page"), F.when(F.col("id") % 7 == 3, "focused").alias("variant"), "w")
+    crops = w.withColumn("variant", F.lit("trimmed")).withColumn("w", F.col("w") - 1)
+    return S.original_pages(w.union(crops)).select("doc_id", "page", H.hex16(F.col("w")).alias("phash"))
+
+
 @query(f"""
 WITH f AS (SELECT id, w FROM {_FLIPPED}), d AS (SELECT x.id AS query, y.id AS id, bit_count(xor(x.w, y.w))::INT AS distance FROM f x, f y WHERE x.id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS r FROM d WHERE distance <= 7) SELECT query, id, distance FROM r WHERE r <= 3""")

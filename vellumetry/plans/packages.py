@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import containers as C
@@ -39,7 +40,7 @@ def _packages(t):
 
 @query("SELECT conv_id AS doc_id, conv_id % 4 <> 0 AND conv_id % 5 <> 0 AS ok, (CASE WHEN conv_id % 4 <> 0 THEN 3 ELSE 2 END)::BIGINT AS entries FROM conversations GROUP BY conv_id")
 def ooxml_gate(spark, t):
-    e = C.within_budget(C.zip_entries(_packages(t)))
+    e = C.zip_entries(_packages(t))
     got = e.groupBy("doc_id").agg(F.collect_list("name").alias("names"), F.collect_list("compress_size").alias("packed"), F.collect_list("file_size").alias("sizes"))
     return got.select("doc_id", D.ooxml_gate(F.col("names"), F.col("packed"), F.col("sizes")).alias("ok"), F.size("names").cast("long").alias("entries"))
 
@@ -50,48 +51,61 @@ def sheet_xml(spark, t):
     return xml.select("doc_id", "s.name", "s.state", "s.type")
 
 
-@query("""SELECT conv_id AS doc_id, '<p>' || string_agg('<img src="img' || turn::VARCHAR || '.png">', '' ORDER BY turn) || '<img src="cid:none"></p>' AS html FROM (SELECT DISTINCT conv_id, turn FROM conversations) GROUP BY conv_id""")
+@query("""
+WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2)
+SELECT conv_id AS doc_id, '<p>' || string_agg('<img src="img' || turn::VARCHAR || '.png"><a href="img' || turn::VARCHAR || '.png">http://x.example/a/img' || turn::VARCHAR || '.png</a>', '' ORDER BY turn) || '<img src="cid:none"></p>' AS html,
+sum(octet_length(encode(text)))::BIGINT AS bytes FROM c WHERE text <> '' GROUP BY conv_id""")
 def mht_unpack(spark, t):
-    c = t("conversations").select(F.col("conv_id").alias("doc_id"), "turn").distinct()
+    """A message a conversation: a page, and a part for each turn that holds its text."""
+    c = t("conversations").groupBy(F.col("conv_id").alias("doc_id"), "turn").agg(F.min("text").alias("text")).where("text <> ''")
     turn = F.col("turn").cast("string")
-    images = F.concat(F.lit('\n--b\nContent-Type: image/png\nContent-ID: <Pic'), turn, F.lit("@x>\nContent-Location: http://x.example/a/img"), turn, F.lit(".png\n\nbytes"))
-    tags = F.concat(F.lit('<img src="cid:pic'), turn, F.lit('@X">'))
+    images = F.concat(F.lit("\n--b\nContent-Type: image/png\nContent-Transfer-Encoding: base64\nContent-ID: <Pic"), turn, F.lit("@x>\nContent-Location: http://x.example/a/img"), turn, F.lit(".png\n\n"), F.base64(F.encode("text", "UTF-8")))
+    tags = F.concat(F.lit('<img src="cid:pic'), turn, F.lit('@X"><a href="http://x.example/a/img'), turn, F.lit('.png">http://x.example/a/img'), turn, F.lit(".png</a>"))
     parts = c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("turn", images.alias("part"), tags.alias("tag")))).alias("p"))
     html = F.concat(F.lit("<p>"), F.array_join(F.col("p")["tag"], ""), F.lit('<img src="cid:none"></p>'))
     message = F.concat(F.lit('MIME-Version: 1.0\nContent-Type: multipart/related; boundary="b"\n\n--b\nContent-Type: text/html\n\n'), html, F.array_join(F.col("p")["part"], ""), F.lit("\n--b--\n"))
-    found = C.local_names(C.mht_parts(parts.select("doc_id", message.cast("binary").alias("content"))))
-    pages = found.where("ctype = 'text/html'").select("doc_id", F.trim(F.decode("payload", "UTF-8")).alias("html"))
-    return C.rewrite_cids(pages, found.select("doc_id", "cid", "local_name"))
+    found = C.mht_parts(parts.select("doc_id", message.cast("binary").alias("content")))
+    pages = found.where("root").select("doc_id", F.trim(F.decode("payload", "UTF-8")).alias("html"))
+    pages = C.rewrite_urls(C.rewrite_cids(pages, found), found)
+    sizes = found.where("not root").groupBy("doc_id").agg(F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
+    return pages.join(sizes, "doc_id")
 
 
 def _rasters(t):
-    """A white page with a box of a colour; every third is plain."""
+    """A white page with a box of a colour, its place and colour by the part's key; every third page is plain."""
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for pdf in frames:
-            out = []
-            for k in pdf["p_partkey"]:
-                a = np.full((240, 240, 3), 255, dtype=np.uint8)
-                if k % 3:
-                    a[70:150, 80:170] = (0, 64, 160)
-                out.append((k, 240, 240, a.tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "height", "width", "data"])
-
-    pages = t("part").select("p_partkey").mapInPandas(draw, "doc_id long, height int, width int, data binary")
+        for batch in batches:
+            # A few pictures at a time: 32 pages are 5.5 MB.
+            for first in range(0, batch.num_rows, 32):
+                part = batch.column(0).slice(first, 32)
+                out = []
+                for k in part.to_pylist():
+                    a = np.full((240, 240, 3), 255, dtype=np.uint8)
+                    if k % 3:
+                        top, left = 40 + 3 * (k % 10), 20 + k % 70
+                        a[top : top + 80, left : left + 90] = (0, 64, 100 + k % 100)
+                    out.append(a.tobytes())
+                side = pa.array([240] * len(out), pa.int32())
+                yield pa.record_batch([part, side, side, pa.array(out, pa.binary())], names=["doc_id", "height", "width", "data"])
+
+    pages = t("part").select(F.col("p_partkey").cast("long")).mapInArrow(draw, "doc_id long, height int, width int, data binary")
     return pages.select("doc_id", F.struct("height", "width", "data").alias("raster"))
 
 
 @query("""
-SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 3 <> 0 THEN 170 END::INT AS crop_height, CASE WHEN p_partkey % 3 <> 0 THEN 29.2 END::DOUBLE AS trimmed_percent,
-CASE WHEN p_partkey % 3 <> 0 THEN '68,58,182,162' END AS box, p_partkey % 3 = 0 AS blank FROM part""")
+WITH p AS (SELECT p_partkey AS k, 40 + 3 * (p_partkey % 10) AS top, 20 + p_partkey % 70 AS lft, p_partkey % 3 <> 0 AS box FROM part)
+SELECT k AS doc_id, CASE WHEN box THEN top + 100 END::INT AS crop_height, CASE WHEN box THEN round((1 - (top + 100) / 240.0) * 100, 1) END::DOUBLE AS trimmed_percent,
+CASE WHEN box THEN (lft - 12)::VARCHAR || ',' || (top - 12)::VARCHAR || ',' || (lft + 102)::VARCHAR || ',' || (top + 92)::VARCHAR END AS box, NOT box AS blank,
+CASE WHEN box THEN '0e000000000f00' ELSE '0f000000000000' END AS colorhash FROM p""")
 def raster_crops(spark, t):
     from ..functions.hashing import blank_signature
 
-    r = _rasters(t).select("doc_id", R.trimmed("raster").alias("t"), R.focused("raster").alias("f"), R.signatures("raster").alias("h"))
-    blank = blank_signature(F.col("h.phash"), F.col("h.colorhash"))
-    return r.select("doc_id", "t.crop_height", F.col("t.removed_percent").alias("trimmed_percent"), F.array_join("f.crop_box", ",").alias("box"), blank.alias("blank"))
+    r = R.page_facts(_rasters(t), ["doc_id"])
+    blank = blank_signature(F.col("phash"), F.col("colorhash"))
+    return r.select("doc_id", F.col("trimmed.crop_height").alias("crop_height"), F.col("trimmed.removed_percent").alias("trimmed_percent"), F.array_join("focused.crop_box", ",").alias("box"), blank.alias("blank"), "colorhash")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2")

@@ -144,12 +144,12 @@ def page_mm(spark, t):
 
 @query("""
 WITH m AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size * 64 / 1024.0 WHEN 2 THEN 0.0 ELSE p_size * 1048576.0 / 1073741824 END AS gb FROM part)
-SELECT p_partkey, gb, least(1e8, greatest(1e6, gb * 1073741824 / 8 / 4))::BIGINT AS max_px, greatest(1, least(8, floor(0.5 * gb * 1024 / 250.0)))::INT AS ops FROM m""")
+SELECT p_partkey, gb, CASE WHEN p_partkey % 5 = 0 AND p_partkey > 0 THEN least(200000000, greatest(1000000, p_partkey * 100000)) ELSE least(1e8, greatest(1e6, floor(CASE WHEN gb > 0 THEN gb ELSE 4 END * 1073741824 / 8 / 4))) END::BIGINT AS max_px, greatest(1, least(8, floor(0.5 * gb * 1024 / 250.0)))::INT AS ops FROM m""")
 def page_budgets(spark, t):
     spec = F.when(F.col("p_size") % 4 == 0, F.concat(F.col("p_size").cast("string"), F.lit("g"))).when(F.col("p_size") % 4 == 1, F.concat((F.col("p_size") * 64).cast("string"), F.lit("M")))
     spec = spec.when(F.col("p_size") % 4 == 2, "lots").otherwise((F.col("p_size") * 1048576).cast("string"))
     m = t("part").select("p_partkey", T.memory_gb(spec).alias("gb"))
-    return m.select("p_partkey", "gb", F.floor(P.max_page_px(F.col("gb"))).alias("max_px"), P.concurrent_ops(F.col("gb"), F.lit(250.0)).alias("ops"))
+    return m.select("p_partkey", "gb", P.max_page_px(F.col("gb"), F.when(F.col("p_partkey") % 5 == 0, (F.col("p_partkey") * 100_000).cast("string")).otherwise("none")).alias("max_px"), P.concurrent_ops(F.col("gb"), F.lit(250.0)).alias("ops"))
 
 
 @query("""

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import containers as C
 from ..operators import jobs as J
 from ..operators import scanners as S
-from ..operators.plans import envelope, export_plan, option_clamp, security_block, warnings_in_order
+from ..operators.plans import cut, envelope, export_plan, option_clamp, security_block, warning, warnings_in_order
 from .registry import query
 
 _C = "conversations"
@@ -58,10 +58,27 @@ def qr_parse_json(spark, t):
     return rows.select("conv_id", "turn", "r.format", "r.value", "r.is_mirrored")
 
 
-@query("SELECT conv_id, turn, 'data_matrix' AS format, role AS value FROM conversations UNION ALL SELECT conv_id, turn, 'upc_a', turn::VARCHAR FROM conversations")
+@query("""
+SELECT conv_id, turn, 'qr_code' AS format, '"' || role AS value, '1x1 2x2' AS position, 'M' AS level, turn % 2 = 0 AS mirrored, NULL AS bytes FROM conversations
+UNION ALL SELECT conv_id, turn, 'upc_a', turn::VARCHAR, NULL, NULL, false, 'AB' FROM conversations UNION ALL SELECT conv_id, turn, 'new_code_7', role, NULL, NULL, false, NULL FROM conversations""")
 def qr_parse_plain(spark, t):
-    out = F.concat(F.lit('Text: "'), "role", F.lit('"\nFormat: DataMatrix\n\nText: '), F.col("turn").cast("string"), F.lit("\nFormat:   UPC-A\n"))
-    return t(_C).select("conv_id", "turn", F.explode(S.plain_blocks(out)).alias("r")).select("conv_id", "turn", "r.format", "r.value")
+    turn = F.col("turn").cast("string")
+    mirrored = F.when(F.col("turn") % 2 == 0, "True").otherwise("no")
+    out = F.concat(
+        F.lit('Text: "old"\nText: "'), "role", F.lit("\nFormat: QRCode\nPosition: 1x1 2x2\nEC Level:  M\nIsMirrored: "), mirrored, F.lit("\n \nText: "), turn,
+        F.lit("\nFormat:   UPC-A\nBytes: AB\n\nText: no format\n\n\nFormat: NewCode-7\r\nText: \""), "role", F.lit('"\n'),
+    )
+    r = t(_C).select("conv_id", "turn", F.explode(S.plain_blocks(out)).alias("r"))
+    return r.select("conv_id", "turn", "r.format", "r.value", "r.position", F.col("r.error_correction_level").alias("level"), F.col("r.is_mirrored").alias("mirrored"), F.col("r.raw_bytes_hex").alias("bytes"))
+
+
+@query("""SELECT conv_id, turn, text AS value, 'u0041b' AS odd, '12' AS bare, true AS none FROM conversations WHERE text IS NOT NULL""")
+def qr_strict_lines(spark, t):
+    """Each turn's text through the scanner's own line grammar, escapes and all; a broken line is dropped."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n"), "\r", r"\\r")
+    line = F.concat(F.lit('{"Text":"'), text, F.lit('", "odd" : "\\u0041\\b","bare":12 ,"none":null}\n{"broken":"x}\n'))
+    r = t(_C).where("text is not null").select("conv_id", "turn", F.explode(S.exact_lines(line)).alias("r"))
+    return r.select("conv_id", "turn", F.col("r")["Text"].alias("value"), F.col("r")["odd"].alias("odd"), F.col("r")["bare"].alias("bare"), F.col("r")["none"].isNull().alias("none"))
 
 
 _JOBS = """(SELECT event_id::VARCHAR AS job_id, 'File' || user_id::VARCHAR || '.' || CASE event_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' ELSE 'csv' END AS filename,
@@ -174,16 +191,39 @@ def warning_union(spark, t):
     return got.select("doc_id", F.array_join("codes", ",").alias("codes"))
 
 
-@query("SELECT conv_id, turn, text[1:40] AS message, CASE WHEN conv_id % 2 = 0 THEN 'secure' ELSE 'hidden' END AS backend FROM conversations")
+@query("""
+SELECT doc_id, md5(text[1:10000]) AS ocr_text, CASE WHEN text = '' THEN 'warning' ELSE text[1:64] END AS code, md5(text[1:2000]) AS message, text[1:500] AS scan_error, text[1:200] AS fallback_error,
+CASE WHEN doc_id % 2 = 0 THEN 'secure' ELSE 'hidden' END AS backend FROM documents WHERE text IS NOT NULL""")
 def envelope_truncation(spark, t):
-    sec = security_block(F.lit("secure"), F.col("conv_id") % 2 == 0)
-    return t(_C).select("conv_id", "turn", F.substring("text", 1, 40).alias("message"), F.coalesce(sec["backend"], F.lit("hidden")).alias("backend"))
+    """The five fields that a record cuts, on whole documents, many of them longer than any limit."""
+    sec, w = security_block(F.lit("secure"), F.col("doc_id") % 2 == 0), warning(F.col("text"), F.col("text"))
+    return t("documents").where("text is not null").select(
+        "doc_id", F.md5(cut("ocr_text", F.col("text"))).alias("ocr_text"), w["code"].alias("code"), F.md5(w["message"]).alias("message"), cut("scan_error", F.col("text")).alias("scan_error"),
+        cut("fallback_error", F.col("text")).alias("fallback_error"), F.coalesce(sec["backend"], F.lit("hidden")).alias("backend"),
+    )
 
 
 @query("""
-SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'rejected' ELSE 'ok' END AS status, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE count(l_orderkey) END AS pages,
-CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce(sum(l_linenumber), 0) END::BIGINT AS total_ms FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR) AS h, l_linenumber % 2 = 0 AS trimmed, max(l_discount) > 0.05 AS focused, max(l_quantity) AS w, max(l_tax) AS x FROM lineitem GROUP BY 1, 2),
+p AS (SELECT k, count(*) AS pages, sum(n) AS ms, string_agg('p' || n::VARCHAR || '=page-' || lpad(n::VARCHAR, 3, '0') || '.png' || CASE WHEN trimmed THEN ';p' || n::VARCHAR || '-trimmed=page-' || lpad(n::VARCHAR, 3, '0') || '-trimmed.png' ELSE '' END
+ || CASE WHEN focused THEN ';p' || n::VARCHAR || '-focused=page-' || lpad(n::VARCHAR, 3, '0') || '-focused.png' ELSE '' END, ';' ORDER BY n) AS files,
+ string_agg(n::VARCHAR || CASE WHEN x > 0.04 THEN '' ELSE ':phash=' || h[1:16] END || ':colorhash=' || h[1:14] || ':sha256=' || h || h, ';' ORDER BY n) AS hashes, sum(w) AS width FROM l GROUP BY k)
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'rejected' ELSE 'ok' END AS status, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce(pages, 0) END AS pages, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce(ms, 0) END::BIGINT AS total_ms,
+CASE WHEN o_orderstatus = 'F' THEN '' ELSE concat_ws(';', files, CASE WHEN o_orderkey % 3 = 0 THEN 'document-pdf=document.pdf' END) END AS artifacts, CASE WHEN o_orderstatus = 'F' THEN '' ELSE coalesce(hashes, '') END AS hashes,
+CASE WHEN o_orderstatus <> 'F' THEN greatest(0.0, least(1.0, o_totalprice / 200000)) END::DOUBLE AS confidence, repeat(o_orderpriority, 20)[1:64] AS code FROM orders LEFT JOIN p ON k = o_orderkey""")
 def envelopes(spark, t):
-    pages = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_linenumber").alias("ms"))
-    docs = t("orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "unsupported_type").alias("reject_reason"))
-    return envelope(docs, pages).select("doc_id", "status", F.size("pages").cast("long").alias("pages"), "total_ms")
+    """Orders as documents and lines as pages, each with its files and hashes, of which some are malformed."""
+    n = F.col("l_linenumber")
+    h = F.md5(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), n.cast("string")))
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_discount", "l_quantity", "l_tax")])
+    pages = lines.select(
+        F.col("l_orderkey").alias("doc_id"), n.alias("page"), n.alias("ms"), T.page_file(n).alias("file"), F.when(n % 2 == 0, T.page_file(n, "trimmed")).alias("trimmed_file"), F.when(F.col("l_discount") > 0.05, T.page_file(n, "focused")).alias("focused_file"),
+        F.col("l_quantity").alias("width_mm"), F.col("l_quantity").alias("height_mm"), F.when(F.col("l_tax") > 0.04, "no hash").otherwise(F.substring(h, 1, 16)).alias("phash"), F.substring(h, 1, 14).alias("colorhash"), F.concat(h, h).alias("sha256"),
+    )
+    docs = t("orders").select(
+        F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "unsupported_type").alias("reject_reason"), F.lit("docx").alias("label"), F.lit("x").alias("mime"), (F.col("o_totalprice") / 200_000).alias("confidence"),
+        (F.col("o_orderkey") % 3 == 0).alias("has_pdf"), F.array(F.struct(F.repeat("o_orderpriority", F.lit(20)).alias("code"), F.lit(None).cast("string").alias("message"))).alias("warnings"),
+    )
+    files = F.array_join(F.transform("artifacts", lambda a: F.concat(a["id"], F.lit("="), a["path"])), ";")
+    hashes = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["index"].cast("string"), F.transform(p["hashes"], lambda x: F.concat(x["algo"], F.lit("="), x["value"])))), ";")
+    return envelope(docs, pages).select("doc_id", "status", F.size("pages").cast("long").alias("pages"), "total_ms", files.alias("artifacts"), hashes.alias("hashes"), F.col("detected.confidence").alias("confidence"), F.col("warnings")[0]["code"].alias("code"))
