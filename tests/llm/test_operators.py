@@ -75,7 +75,7 @@ def test_a_broken_member_is_a_row_with_an_error(spark, tmp_path):
     folder = str(tmp_path / "a")
     texts = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
     name = media.write_archives(texts, folder).first().archive
-    index = np.fromfile(name[:-4] + ".idx", dtype="<i8").reshape(-1, 3)
+    index = np.fromfile(name[:-4] + ".idx", dtype="<i8").reshape(-1, 4)
     with open(name, "r+b") as f:
         f.seek(int(index[7, 0]))
         f.write(b"\xff" * 512)
@@ -83,6 +83,51 @@ def test_a_broken_member_is_a_row_with_an_error(spark, tmp_path):
     assert len(got) == 20 and got.error.notna().sum() == 1 and set(got.doc_id.dropna()) == set(range(20)) - {7}
 
 
+def test_members_are_read_again_alone(spark, tmp_path, monkeypatch):
+    """A read that fails, and one that brings damaged bytes, are made again by the member's own offset."""
+    from vellumetry.llm import archives, media
+
+    folder = str(tmp_path / "a")
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    manifest = media.write_archives(texts, folder)
+    (tmp_path / "a" / "media-999999-0000.tar").write_bytes(b"of an attempt that failed")
+    asked, real = [], archives.opened
+
+    class Flaky:
+        def __init__(self, file):
+            self.file, self.at = file, 0
+
+        def seek(self, at):
+            self.at = at
+            self.file.seek(at)
+
+        def read(self, n):
+            asked.append(self.at)
+            data = self.file.read(n)
+            if len(asked) % 3 == 0:
+                raise OSError("lost")
+            return data[:-1] + b"?" if len(asked) % 5 == 0 else data
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    class Store:
+        def __init__(self, store):
+            self.store = store
+
+        def open_input_file(self, path):
+            return Flaky(self.store.open_input_file(path)) if path.endswith(".tar") else self.store.open_input_file(path)
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+    monkeypatch.setattr(archives, "opened", lambda uri: (lambda s, p: (Store(s), p))(*real(uri)))
+    reader = media.MediaReader({"path": folder, "manifest": manifest._written, "tries": 3})
+    rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    assert len(rows) == 20 and all(r["error"] is None for r in rows) and len(asked) > 20
+    assert max(asked.count(a) for a in asked) > 1 and min(asked.count(a) for a in asked) == 1
+
+
 def components(sets, ids, percent):
     parent = list(range(len(ids)))
 
@@ -324,6 +369,25 @@ def test_warc_members_stand_alone(spark, odd):
         list(warc.records_of(iter([data + b"rest"])))
 
 
+def test_warc_sidecar_finds_each_record(spark, sf_dir, tmp_path):
+    """Each line of a sidecar is the place of one gzip member, and the members are the whole file."""
+    import zlib as z
+
+    from vellumetry.llm import warc
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").coalesce(2)
+    made = warc.normalise(warc.write_streams(warc.plan(pages), str(tmp_path / "whole")), str(tmp_path / "split"))
+    index = warc.read_index(made).toPandas()
+    assert len(index) == pages.count() == sum(r.records for r in made.collect())
+    for name, own in index.groupby("archive"):
+        data, upto = Path(name.removeprefix("file:")).read_bytes(), 0
+        for r in own.sort_values("offset").itertuples():
+            record = z.decompress(data[r.offset : r.offset + r.length], 31)
+            assert r.offset == upto and record.startswith(b"WARC/1.1") and r.id.encode() in record
+            upto += r.length
+        assert upto == len(data)
+
+
 def test_decontamination_finds_items_and_changed_slots(spark, sf_dir, docs):
     from vellumetry.llm.decontaminate import find
 
@@ -528,6 +592,29 @@ def test_url_rules_are_swept_without_a_global_window(spark, sf_dir):
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+def test_schedule_is_brute_force_and_even(spark, sf_dir, docs):
+    """Slots in order give each source its share at every point, and their words are the documents' own."""
+    from vellumetry.llm.mixing import GOLDEN, ONE, golden_point, pieces
+
+    ids = [0, 1, 77, 10**9, 2**40 + 3]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").select(golden_point(F.col("i"))).collect()]
+    assert got == [(i + 1) * GOLDEN % ONE for i in ids]
+    every = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = Q.op8_source_mixing(spark, sf_dir).toPandas().set_index("doc_id")
+    parts = pieces(every).toPandas()
+    texts = docs.set_index("doc_id")
+    for r in parts.itertuples():
+        assert r.text.split(" ") == re.findall(r"[^\x20\x09-\x0D]+", texts.text.loc[r.doc_id])[r.first_word : r.first_word + r.words]
+    assert parts.groupby("doc_id").words.sum().to_dict() == mixed.taken[mixed.taken > 0].to_dict()
+    assert parts.groupby("doc_id").slot.min().to_dict() == mixed.first_slot.dropna().to_dict()
+    parts["source"] = texts.source.loc[parts.doc_id].to_numpy()
+    slots = parts.sort_values("slot").groupby("slot").source.first()
+    share = slots.value_counts(normalize=True)
+    for source, part in share.items():
+        ahead = (slots == source).cumsum() - part * np.arange(1, len(slots) + 1)
+        assert ahead.abs().max() <= 3 + len(slots) ** 0.5 / 4
+
+
 def test_mix_comes_near_its_targets(spark, sf_dir, docs):
     got = Q.op8_source_mixing(spark, sf_dir).toPandas().merge(docs[["doc_id", "source"]], on="doc_id")
     by = got.groupby("source").agg(target=("target", "first"), size=("source_size", "first"), taken=("taken", "sum"))
@@ -587,6 +674,65 @@ def test_decontamination_of_slots_passages_and_split_items(spark):
     assert set(zip(got.doc_id, got.item_id)) == {(0, 1), (1, 2), (2, 3), (3, 4)}
 
 
+def test_reparameterised_questions_are_found(spark, docs):
+    """Items with new names, numbers and units in their slots, inconsistent ones, and documents without any."""
+    from vellumetry.llm.decontaminate import find
+
+    rng = np.random.default_rng(8)
+    names, units, things = "Natalia Bob Maria Ken Alice Omar Ines Tom".split(), "kilograms liters miles hours".split(), "clips apples stamps marbles books coins".split()
+    verbs = "sold bought counted carried found packed".split()
+
+    def question(k, name, a, b, unit):
+        v = rng_of[k]
+        return f"{name} {v[0]} {a} {v[1]} in the {v[2]} market and then {v[3]} {b} {unit} more. If {name} had {a} at first, how many {unit} did the {v[2]} {v[1]} weigh after {name} went home with the {v[4]} basket?"
+
+    rng_of = {k: [verbs[k % 6], things[k % 5], f"town{chr(97 + k // 26)}{chr(97 + k % 26)}", verbs[(k // 6) % 6], f"shade{chr(97 + k % 26)}{chr(97 + k // 26)}"] for k in range(60)}
+    items, texts = [], []
+    for k in range(60):
+        a, b, c, d = rng.choice(90, 4, replace=False) + 5
+        n1, n2 = rng.choice(names, 2, replace=False)
+        items.append((k, question(k, n1, a, b, units[k % 4])))
+        texts.append("Some words before it. " + question(k, n2, c, d, units[(k + 1) % 4]) + " And some after.")
+    clean = [t for t in docs.text[:60]]
+    got = find(spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).toPandas()
+    assert (got.doc_id < 60).all()
+    right = got[got.doc_id == got.item_id]
+    assert right.doc_id.nunique() >= 0.9 * 60 and right.reparameterised.all()
+
+
+def template_of(text):
+    """Words of a text with their placeholders, by regular expressions and loops."""
+    from vellumetry.llm.decontaminate import OPENERS, UNITS
+
+    out, last, end = [], None, 0
+    for m in re.finditer(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", text):
+        w = m[0]
+        opens = not out or re.search(r'[.!?:;\n"]', text[end : m.start()])
+        if re.search("[0-9]", w):
+            kind = "NUM"
+        elif last == "NUM" and w.lower() in UNITS.split():
+            kind = "UNIT"
+        elif re.match("[A-Z\u00c0-\u00de]", w) and not (opens and w.lower() in OPENERS.split()):
+            kind = "NAME"
+        else:
+            kind = None
+        out.append((kind or w.lower(), w))
+        last, end = kind, m.end()
+    return out
+
+
+def test_placeholders_are_brute_force(docs):
+    from vellumetry.llm.decontaminate import _NAME, _NUM, _UNIT, canonical
+
+    texts = ["Natalia sold 48 clips. The 7 kg bag cost 3 dollars; Bob Roe paid", "\u00c9mile ran 5 miles"] + list(docs.text[:40])
+    for text in texts:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        template, slot, *_ = canonical(data, np.array([0, len(data)]))
+        want = [k for k, _ in template_of(text)]
+        got = [{int(_NUM): "NUM", int(_UNIT): "UNIT", int(_NAME): "NAME"}.get(int(h)) for h in template]
+        assert [g or w for g, w in zip(got, want)] == want and [bool(x) for x in slot] == [w in ("NUM", "UNIT", "NAME") for w in want]
+
+
 def test_field_runs_without_base_spans_and_reaches_far_mentions():
     from vellumetry.llm.pii import FEATURES, Field, find
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
 from pyarrow import fs
 
 
@@ -17,16 +21,20 @@ def make_folder(uri: str) -> None:
     store.create_dir(path, recursive=True)
 
 
-def put(uri: str, parts: list[bytes]) -> None:
-    """Write a file whole under another name, then move it: a repeated task leaves one whole copy."""
-    import uuid
-
+@contextmanager
+def writing(uri: str) -> Iterator:
+    """A stream to a file that gets its name only when it is whole: a repeated task leaves one whole copy."""
     store, path = opened(uri)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part) as out:
+        yield out
+    store.move(part, path)
+
+
+def put(uri: str, parts: Iterable[bytes]) -> None:
+    with writing(uri) as out:
         for p in parts:
             out.write(p)
-    store.move(part, path)
 
 
 class Files:
@@ -35,17 +43,19 @@ class Files:
     def __init__(self, tries: int = 3):
         self.tries, self.uri, self.file = tries, None, None
 
-    def read(self, uri: str, offset: int, size: int) -> bytes:
+    def read(self, uri: str, offset: int = 0, size: int | None = None, good=lambda data: True) -> bytes:
+        """Some bytes of a file, or all; read again, from a file opened anew, if that fails or ``good`` says no."""
         for left in reversed(range(self.tries)):
             try:
                 if self.uri != uri or self.file is None:
                     self.close()
                     store, path = opened(uri)
                     self.file, self.uri = store.open_input_file(path), uri
+                want = self.file.size() - offset if size is None else size
                 self.file.seek(offset)
-                data = self.file.read(size)
-                if len(data) != size:
-                    raise OSError(f"{uri}: {len(data)} of {size} bytes at {offset}")
+                data = self.file.read(want)
+                if len(data) != want or not good(data):
+                    raise OSError(f"{uri}: {len(data)} of {want} bytes at {offset}, or damaged ones")
                 return data
             except OSError:
                 self.close()

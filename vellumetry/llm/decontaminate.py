@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Words are runs of letters and digits. Typed placeholders stand for what a re-parameterised question
-changes: NUM for a word with a digit, UNIT for a unit word after a NUM, NAME for a capitalised word that
-does not begin a sentence. Windows of WINDOW template words (an item with fewer words is one window)
+changes: NUM for a word with a digit, UNIT for a unit word after a NUM, NAME for a capitalised word, at a
+sentence's start only if it is none of the words that usually open one. Windows of WINDOW template words (an item with fewer words is one window)
 are hashed and joined with the windows of the benchmark; windows that are mostly placeholders are hashed
 by their literal words on both sides. Along each alignment of a document with an item, changed slots must
 be consistent: one value of the item stands for one value of the document, and the other way round; a
@@ -14,11 +14,14 @@ Document windows are screened by a bit array of fixed size before they are joine
 saves work; the join decides. Its size does not grow with the benchmark.
 
 Defined results: null and wordless texts have no windows; repeated rows are found each, and come out as
-one row if their doc_id and text are equal; a null doc_id stays null; an empty benchmark finds nothing.
+one row if their doc_id and text are equal; a null doc_id stays null; an empty benchmark finds nothing; of
+equally covered places of an item the one with more windows is told, then that with a changed slot; very
+long texts are cut into windows whole; ``find`` ignores other columns, ``clean`` passes them on.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import Scratch, broadcast_if_small
 from .shingles import chunks, combine, words_in
 
 WINDOW, LEAST = 8, 0.3
@@ -41,6 +44,14 @@ UNITS = (
     "cent cents dollar dollars usd euro euros eur percent degree degrees watt watts kw volt volts meter meters metre metres mph kmh"
 )
 
+#: Words that open sentences and are no names, however they are written.
+OPENERS = (
+    "a about after all although an and another any are as assume at because before both but by calculate can compare complete compute consider consists could describe determine did do does during each "
+    "either estimate evaluate every everyone explain express few find finally first following for from give given had has have he her here his how however i if imagine in initially is it its let list "
+    "many may more most my name no none not note now of on once one only or other our out over read select several she should show simplify since so solve some someone state suppose that the their then "
+    "there therefore these they this those three to today two under until up use using was we were what when where which while who whom whose why will with without would write yesterday yet you your"
+)
+
 _U = np.uint64
 _GAP = np.ones(256, dtype=bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -53,11 +64,16 @@ _NUM, _UNIT, _NAME = (_U(x) for x in (0x1111111111111111, 0x2222222222222222, 0x
 _LITERAL = _U(0x4444444444444444)
 
 
-def _unit_hashes() -> np.ndarray:
-    data = np.frombuffer(UNITS.encode(), dtype=np.uint8)
+@functools.cache
+def _hashes(words: str) -> np.ndarray:
+    data = np.frombuffer(words.encode(), dtype=np.uint8)
     return np.unique(words_in(data, np.array([0, len(data)]), _GAP)[0])
 
 
+def _among(words: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, words), len(table) - 1)] == words
+
+
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(template hash of each word, whether it is a slot, starts, ends, first words, literal hashes) of a chunk."""
     words, starts, ends, at = words_in(data, offsets, _GAP)
@@ -72,11 +88,9 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     lead = data[starts]
     second = data[np.minimum(starts + 1, len(data) - 1)]
     capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    name = capital & ~opens & ~number
-    units = _unit_hashes()
+    name = capital & ~number & ~(opens & _among(words, _hashes(OPENERS)))
     unit = np.zeros(len(words), dtype=bool)
-    place = np.minimum(np.searchsorted(units, words), len(units) - 1)
-    unit[1:] = (units[place] == words)[1:] & number[:-1]
+    unit[1:] = _among(words, _hashes(UNITS))[1:] & number[:-1]
     unit[at[:-1][at[:-1] < len(words)]] = False
     out = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, words)))
     return out, number | unit | name, starts, ends, at, words
@@ -147,9 +161,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: flo
     """(doc_id, text_hash, item_id, windows, item_windows, coverage, reparameterised) of items found.
 
     docs has doc_id and text, benchmark has item_id and text."""
+    with Scratch(docs.sparkSession) as tmp:
+        return tmp.keep(tmp.write(_found(docs, benchmark, window, least, tmp)))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, least: float, tmp: Scratch) -> DataFrame:
     widths = list(range(1, window + 1))
-    items = written(template_windows(benchmark, ["item_id"], widths).withColumnsRenamed({"pos": "item_pos", "slots": "item_slots", "words": "item_words"}))
-    whole = written(items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("all"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("plain")))
+    items = tmp.write(template_windows(benchmark, ["item_id"], widths).withColumnsRenamed({"pos": "item_pos", "slots": "item_slots", "words": "item_words"}))
+    whole = tmp.write(items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("all"), F.countDistinct(F.when(~F.col("literal"), F.col("item_pos"))).alias("plain")))
     used = [r[0] for r in items.select(F.least("item_words", F.lit(window)).cast("int").alias("w")).distinct().collect()]  # at most ``window`` numbers
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     met = template_windows(keyed, ["doc_id", "text_hash"], sorted(used), _screen_of(items.select("h"))) if used else template_windows(keyed.limit(0), ["doc_id", "text_hash"], [window])
@@ -182,11 +201,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: flo
     by_all = F.col("all_met") / F.col("all") > part
     near = near.select(*keys, "run", "changed", F.when(by_all, F.col("all_met")).otherwise(F.col("plain_met")).cast("long").alias("windows"), F.when(by_all, F.col("all")).otherwise(F.col("plain")).alias("item_windows"))
     near = near.withColumn("coverage", F.col("windows") / F.col("item_windows"))
-    best = near.groupBy(*keys).agg(F.max("run").alias("run"), F.max_by(F.struct("windows", "item_windows", "coverage", F.col("changed").alias("reparameterised")), "coverage").alias("best"))
-    return best.where((F.col("best.coverage") >= least) | (F.col("run") >= max(1, RUN - window + 1))).select(*keys, "best.*")
+    best = near.groupBy(*keys).agg(F.max("run").alias("run"), F.max(F.struct("coverage", "windows", F.col("changed").alias("reparameterised"), "item_windows")).alias("best"))
+    return best.where((F.col("best.coverage") >= least) | (F.col("run") >= max(1, RUN - window + 1))).select(*keys, "best.windows", "best.item_windows", "best.coverage", "best.reparameterised")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in whose text no item is found. Null texts stay."""
-    found = written(find(docs, benchmark).select(F.col("text_hash").alias("__found")).distinct())
+    with Scratch(docs.sparkSession) as tmp:
+        met = find(docs, benchmark)
+        tmp.tables.append(met)
+        found = tmp.keep(tmp.write(met.select(F.col("text_hash").alias("__found")).distinct()))
     return docs.join(broadcast_if_small(found), F.xxhash64("text") == F.col("__found"), "left_anti")

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -109,7 +110,7 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
                 info = tarfile.TarInfo("null.png" if doc_id is None else f"{doc_id}.png")
                 info.size = len(image)
                 head = info.tobuf(tarfile.USTAR_FORMAT)
-                index.append((size, size + len(head), len(image)))
+                index.append((size, size + len(head), len(image), zlib.crc32(image)))
                 parts += [head, image, b"\0" * (-len(image) % 512)]
                 size += len(head) + len(image) + (-len(image) % 512)
                 if size >= ARCHIVE_BYTES:
@@ -128,7 +129,8 @@ class ByteRange(InputPartition):
 
 
 class MediaArchives(DataSource):
-    """Options: path (a folder of archives), range_bytes, tries."""
+    """Options: path (a folder of archives), manifest (a stored table of the archives' names and sizes: only
+    these are read; without it all in the folder), range_bytes, tries."""
 
     @classmethod
     def name(cls) -> str:
@@ -143,33 +145,31 @@ class MediaArchives(DataSource):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.manifest = options["path"], options.get("manifest")
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.tries = int(options.get("tries", 3))
 
     def partitions(self) -> list[ByteRange]:
-        store, path = opened(self.path)
-        out = []
-        for info in store.get_file_info(fs.FileSelector(path)):
-            if info.base_name.endswith(".tar"):
-                out += [ByteRange(f"{self.path}/{info.base_name}", at, min(at + self.range_bytes, info.size)) for at in range(0, info.size, self.range_bytes)]
-        return out
+        store, path = opened(self.manifest or self.path)
+        if self.manifest:
+            table = dataset(path, filesystem=store, format="parquet").to_table(columns=["archive", "bytes"])
+            known = zip(table["archive"].to_pylist(), table["bytes"].to_pylist())
+        else:
+            known = ((f"{self.path}/{i.base_name}", i.size) for i in store.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(".tar"))
+        return [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size in known for at in range(0, size, self.range_bytes)]
 
     def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # a folder without archives
             return
-        store, path = opened(part.archive[:-4] + ".idx")
-        with store.open_input_stream(path) as f:
-            index = np.frombuffer(f.read(), dtype="<i8").reshape(-1, 3)
-        mine = index[(index[:, 0] >= part.start) & (index[:, 0] < part.end)]
         files, rows, held = Files(self.tries), [], 0
-        for header, start, size in mine.tolist():
+        index = np.frombuffer(files.read(part.archive[:-4] + ".idx"), dtype="<i8").reshape(-1, 4)
+        mine = index[(index[:, 0] >= part.start) & (index[:, 0] < part.end)]
+        for header, start, size, crc in mine.tolist():
+            lead = start - header
             try:
-                data = files.read(part.archive, header, start - header + size)
-                info = tarfile.TarInfo.frombuf(data[:512], "utf-8", "strict")
-                if info.size != size:
-                    raise OSError(f"member at {header} has {info.size} bytes, not {size}")
-                rows.append((part.archive, header, info.name, data[start - header :], None))
+                # A member is read again by its offset, alone, if it does not come whole or its checksum is wrong.
+                data = files.read(part.archive, header, lead + size, lambda d: zlib.crc32(d[lead:]) == crc)
+                rows.append((part.archive, header, tarfile.TarInfo.frombuf(data[:512], "utf-8", "strict").name, data[lead:], None))
             except (OSError, tarfile.HeaderError) as e:
                 rows.append((part.archive, header, None, None, str(e)))
             held += size
@@ -220,5 +220,5 @@ def features(members: DataFrame) -> DataFrame:
 def media_features(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    write_archives(docs, folder)
-    return features(read_archives(spark, folder))
+    manifest = write_archives(docs, folder)
+    return features(read_archives(spark, folder, manifest=manifest._written))

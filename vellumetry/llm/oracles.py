@@ -23,8 +23,16 @@ w AS (SELECT *, [3, 1, 2][((place - 1) % 3 + 1)::INT] AS w, (SELECT sum(ss) FROM
 o AS (SELECT *, sum(2 * ss) OVER (ORDER BY 2.0 * ss / w, place ROWS UNBOUNDED PRECEDING) - 2 * ss AS cb, sum(w) OVER (ORDER BY 2.0 * ss / w, place ROWS UNBOUNDED PRECEDING) - w AS wb, sum(w) OVER () AS wt FROM w),
 c AS (SELECT *, (150 * t - 100 * cb)::DOUBLE * w > (200 * ss)::DOUBLE * (wt - wb) AS capped FROM o),
 k AS (SELECT coalesce(sum(2 * ss) FILTER (WHERE capped), 0) AS used, coalesce(sum(w) FILTER (WHERE capped), 0) AS wu FROM c),
-g AS (SELECT source, ss, CASE WHEN capped THEN (2 * ss)::DOUBLE ELSE (150 * t - 100 * used)::DOUBLE * w::DOUBLE / (100 * (wt - wu))::DOUBLE END AS target FROM c, k),
-x AS (SELECT d.doc_id, d.size, g.ss AS source_size, g.target, floor(g.target)::BIGINT AS goal, d.source, md5(d.doc_id::VARCHAR || ':17') AS h FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-y AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY ('0x' || h[1:3])::INT % 512, h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM x)
-SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(start + size, goal % source_size) - start) END::BIGINT AS taken FROM y""",
+g AS (SELECT source, place, ss, CASE WHEN capped THEN (2 * ss)::DOUBLE ELSE (150 * t - 100 * used)::DOUBLE * w::DOUBLE / (100 * (wt - wu))::DOUBLE END AS target FROM c, k),
+x AS (SELECT row_number() OVER (ORDER BY d.doc_id, d.size) AS uid, d.doc_id, d.size, g.ss AS source_size, g.target, floor(g.target)::BIGINT AS goal, place, md5(d.doc_id::VARCHAR || ':17') AS h FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+y AS (SELECT *, (sum(size) OVER (PARTITION BY place ORDER BY ('0x' || h[1:3])::INT % 512, h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM x),
+q AS (SELECT DISTINCT place, source_size, goal, (source_size + 511) // 512 AS blocks, goal // source_size * ((source_size + 511) // 512) + (goal % source_size + 511) // 512 AS need FROM y WHERE goal > 0),
+e AS (SELECT *, sum(need) OVER (ORDER BY place) - need AS low, sum(need) OVER (ORDER BY place) AS high, sum(need) OVER () AS n FROM q),
+i AS (SELECT unnest(range(coalesce((SELECT max(n) + 64 + 8 * floor(sqrt(max(n)))::BIGINT FROM e), 0)::BIGINT)) AS slot),
+v AS (SELECT slot, ((slot + 1)::HUGEINT * 2654435769 % 4294967296)::HUGEINT AS point FROM i),
+r AS (SELECT slot, place, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS k FROM v JOIN e ON point >= low::HUGEINT * 4294967296 // n AND point < high::HUGEINT * 4294967296 // n),
+z AS (SELECT r.slot, r.place, r.k, e.need, e.blocks, e.source_size, e.goal FROM r JOIN e USING (place) WHERE r.k < e.need),
+b AS (SELECT slot, place, k % blocks AS block, least(512, source_size - k % blocks * 512, goal - (k // blocks * source_size + k % blocks * 512)) AS words FROM z),
+m AS (SELECT uid, min(slot) AS first_slot FROM (SELECT uid, place, start, size, unnest(range(start // 512, (start + size - 1) // 512 + 1)) AS block FROM y WHERE size > 0) l JOIN b USING (place, block) WHERE greatest(start, block * 512) < least(start + size, block * 512 + words) GROUP BY uid)
+SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE (goal // source_size) * size + greatest(0, least(start + size, goal % source_size) - start) END::BIGINT AS taken, first_slot FROM y LEFT JOIN m USING (uid)""",
 }

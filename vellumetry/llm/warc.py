@@ -11,7 +11,9 @@ only: its digest, the length of the payload, and the record it refers to.
 
 Defined results: null html is the empty payload; a null page_id is written without an id and read as
 null, and such a page is never the response of others; repeated rows with the largest page_id are all
-responses; an empty table gives an empty result. Control characters in a URL are percent-encoded.
+responses; an empty table gives an empty result. Control characters in a URL are percent-encoded. Of
+several rows with the largest page_id all are responses, and what revisits them names the page. A very long
+html is one record, inflated whole, other records beside it are not. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .archives import Files, make_folder, opened, put
+from .archives import Files, make_folder, opened, put, writing
 from .common import broadcast_if_small, shared_folder, written
 
 LEAST = 1000
@@ -136,28 +138,44 @@ def _inflated(uri: str) -> Iterator[bytes]:
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """Rewrite each archive named in ``archive``; returns the index (archive, offset, length, id)."""
+    """Rewrite each archive named in ``archive``; returns (archive, records) of the new files.
+
+    Records go out as they come in: a task holds one record and the index of one archive."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                out = f"{folder}/{name.rpartition('/')[2].replace('whole-', 'split-')}"
-                parts, rows, at = [], [], 0
-                for data in records_of(_inflated(name)):
-                    z = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    member = z.compress(data) + z.flush()
-                    rows.append((out, at, len(member), headers_of(data[: data.index(_END)])["warc-record-id"]))
-                    parts.append(member)
-                    at += len(member)
-                put(out, parts)
-                put(out[:-8] + ".cdx", [f"{offset} {length} {record_id}\n".encode() for _, offset, length, record_id in rows])
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-                columns = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["archive", "offset", "length", "id"])
+                new = f"{folder}/{name.rpartition('/')[2].replace('whole-', 'split-')}"
+                at, index = 0, []
+                with writing(new) as out:
+                    for data in records_of(_inflated(name)):
+                        z = zlib.compressobj(1, zlib.DEFLATED, 31)
+                        member = z.compress(data) + z.flush()
+                        index.append(f"{at} {len(member)} {headers_of(data[: data.index(_END)])['warc-record-id']}\n".encode())
+                        out.write(member)
+                        at += len(member)
+                put(new[:-8] + ".cdx", index)
+                yield pa.record_batch([pa.array([new]), pa.array([len(index)], pa.int64())], names=["archive", "records"])
 
     make_folder(folder)
     n = max(1, min(archives.count(), 4 * archives.sparkSession.sparkContext.defaultParallelism))
-    return written(archives.select("archive").repartition(n).mapInArrow(rewrite, "archive string, offset long, length long, id string"))
+    return written(archives.select("archive").repartition(n).mapInArrow(rewrite, "archive string, records long"))
+
+
+def read_index(archives: DataFrame) -> DataFrame:
+    """(archive, offset, length, id) of every record, from the sidecar of each archive."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = Files()
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows = [line.split(" ") for line in files.read(name[:-8] + ".cdx").decode().splitlines()]
+                offset, length, record_id = zip(*rows) if rows else ((), (), ())
+                columns = [pa.array([name] * len(rows), pa.string()), *(pa.array(map(int, c), pa.int64()) for c in (offset, length)), pa.array(record_id, pa.string())]
+                yield pa.record_batch(columns, names=["archive", "offset", "length", "id"])
+        files.close()
+
+    return archives.select("archive").mapInArrow(read, "archive string, offset long, length long, id string")
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
@@ -193,4 +211,4 @@ def read_records(index: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     whole = write_streams(plan(pages), shared_folder(spark))
-    return read_records(normalise(whole, shared_folder(spark)))
+    return read_records(read_index(normalise(whole, shared_folder(spark))))
