@@ -1,17 +1,23 @@
 """From raw documents to a training mix, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. ``run`` writes
-each stage's result to the shared folder and reads it again. As a stage's input is a stored table, a stage
-first deletes the tables that earlier stages of the session wrote for themselves.
+each stage's result to the shared folder and reads it again. A stage's result reads tables of its own only,
+so results of one call never depend on what another call deletes.
+
+Defined results, for every stage: a null in any column is passed on as it is; null and empty texts are
+rejected by the language stage, and link with nothing, hold no benchmark item and no secret in the others;
+repeated rows with one doc_id and one text are one row after near duplicates and are kept by the others; a
+row without doc_id is linked with nothing; of equally good representatives the smallest doc_id stays; an
+empty table gives an empty result; very long texts are processed whole; columns of any name are passed on
+by all stages but the last, which returns the documents' columns, then source_size, target, taken and
+first_slot, and size (words of the text).
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumetry.llm.common import release, shared_folder
+from vellumetry.llm.common import shared_folder
 from vellumetry.llm.decontaminate import clean
 from vellumetry.llm.jaccard import one_of_each
 from vellumetry.llm.language import accepted, train
@@ -19,43 +25,30 @@ from vellumetry.llm.mixing import mix
 from vellumetry.llm.secrets import redact
 
 
-def stage(work):
-    @functools.wraps(work)
-    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark)
-        return work(spark, docs, sf_dir)
-
-    return begun
-
-
-@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the labelled languages; the others go."""
     return accepted(docs, train(docs))
 
 
-@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of smallest doc_id, for each group linked at 0.8 on five-word shingles."""
     return one_of_each(docs)
 
 
-@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind in brackets and n_chars counted again."""
     return redact(docs)
 
 
-@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of, and how many; texts stay in the stage before, by doc_id."""
-    return mix(docs, keep=("lang", "n_chars")).where("taken > 0")
+    """The documents that the mix takes words of, whole texts with them, how many words it takes, and the slot
+    of the schedule that takes the first. ``mixing.pieces`` gives the words slot by slot."""
+    return mix(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
 
 
 STAGES = [
@@ -66,7 +59,8 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: The language stage is a trained model, which SQL cannot express; stages are tested by brute force.
+#: The language stage is a trained model, which SQL cannot express; tests hold each stage, on its own input,
+#: against a brute-force version.
 ORACLE_SQL = None
 
 
