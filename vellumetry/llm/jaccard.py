@@ -12,9 +12,10 @@ Documents are sets of word-shingle hashes (see ``shingles``); two link when
   these has is no list. Lists are sorted by set size, and a probe visits only the block of sizes that can
   match; positions bound the intersection, so entries too far in are skipped. A list of over HOT entries
   is cut into chunks that meet two at a time, each in a task of its own.
-* Derived answers. Only pivots that met in a list are verified against each other. How far a member is
-  from its pivot bounds how far it is from the other pivot's members, so members are asked, first against
-  the other pivot and then against each other, only where that bound leaves a link open.
+* Derived answers. Only pivots that met in a list are verified against each other. What a member differs by
+  from its pivot is known, so its answers follow from the pivot's: how many shingles it has apart from
+  another set is the two differences less twice what they have in common. Members are asked only where the
+  sizes of the differences leave a link open, and then by an index of the differences, rare shingles first.
 * Pairs are screened by parity bitmaps, whose distance never exceeds the number of shingles that only
   one of the sets has. Every pair left is verified on whole sets.
 
@@ -163,7 +164,19 @@ def _links(k: str, percent: int) -> Column:
 
 
 def overlaps(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, tmp: Scratch) -> DataFrame:
-    """pairs (a, b and others) of set ids with na, nb and k, the exact size of the intersection.
+    """pairs (a, b and others) of set ids with na, nb and k, the exact size of the intersection."""
+    return _paired(pairs, heads, docs, width, tmp, k=F.size(F.array_intersect("sa", "sb")).cast("long"))
+
+
+def differences(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, tmp: Scratch) -> DataFrame:
+    """pairs (a, b and others) with na, nb and d: the shingles that only a has, then those that only b has, each
+    part in the order of the hashes."""
+    parts = F.concat(F.sort_array(F.array_except("sa", "sb")), F.sort_array(F.array_except("sb", "sa")))
+    return _paired(pairs, heads, docs, width, tmp, d=parts)
+
+
+def _paired(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, tmp: Scratch, **made: Column) -> DataFrame:
+    """pairs (a, b and others) with na, nb and what is made of the whole sets sa and sb.
 
     A set in more than SPLIT pairs as ``b`` is sent to several tasks, each with a part of the pairs."""
 
@@ -185,8 +198,7 @@ def overlaps(pairs: DataFrame, heads: DataFrame, docs: DataFrame, width: int, tm
     right = right.select("b", "sb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     dealt = pairs.join(broadcast_if_small(parts), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     both = dealt.join(left, "a").join(right, ["b", "part"]).drop("part")
-    k = F.size(F.array_intersect("sa", "sb")).cast("long")
-    out = both.withColumns({"na": F.size("sa").cast("long"), "nb": F.size("sb").cast("long"), "k": k}).drop("sa", "sb")
+    out = both.withColumns({"na": F.size("sa").cast("long"), "nb": F.size("sb").cast("long"), **made}).drop("sa", "sb")
     out = tmp.write(out.dropDuplicates(["a", "b"]))
     tmp.drop(parts, asked, known)
     return out
@@ -352,13 +364,13 @@ def between(met: DataFrame, members: DataFrame, heads: DataFrame, sets: DataFram
     follow from the answers for their roots."""
     ratio = (100 - percent) / (100 + percent)
     asked = tmp.write(met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "root"))
-    span = members.join(broadcast_if_small(asked), "root", "left_semi").groupBy("root").agg(F.max("far").alias("far"), F.max("n").alias("most"))
+    span = members.join(broadcast_if_small(asked), "root", "left_semi").groupBy("root").agg(F.max("far").alias("far"), F.max("n").alias("most"), F.count("*").alias("many"))
     about = sets.join(broadcast_if_small(asked).withColumnRenamed("root", "sid"), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    about = about.join(span.withColumnRenamed("root", "sid"), "sid", "left").select("sid", "bits", F.coalesce("far", F.lit(0)).alias("far"), F.greatest("n", "most").alias("n"))
+    about = about.join(span.withColumnRenamed("root", "sid"), "sid", "left").select("sid", "bits", F.coalesce("far", F.lit(0)).alias("far"), F.greatest("n", "most").alias("n"), F.coalesce("many", F.lit(0)).alias("many"))
     about = tmp.write(about)
     pairs = met
     for x in ("a", "b"):
-        pairs = pairs.join(about.select(F.col("sid").alias(x), F.col("bits").alias(f"bits{x}"), F.col("far").alias(f"far{x}"), F.col("n").alias(f"most{x}")), x)
+        pairs = pairs.join(about.select(F.col("sid").alias(x), F.col("bits").alias(f"bits{x}"), F.col("far").alias(f"far{x}"), F.col("n").alias(f"most{x}"), F.col("many").alias(f"many{x}")), x)
     reach = F.col("fara") + F.col("farb") + ratio * (F.col("mosta") + F.col("mostb")) + 1e-6
     pairs = tmp.write(pairs.where(_apart("bitsa", "bitsb") <= reach).drop("bitsa", "bitsb"))
     tmp.drop(asked)
@@ -369,37 +381,56 @@ def between(met: DataFrame, members: DataFrame, heads: DataFrame, sets: DataFram
     tried = overlaps(pairs, heads, docs, width, tmp)
     links = tmp.write(tried.where(_links("k", percent)).select("a", "b"))
     gap = F.col("na") + F.col("nb") - 2 * F.col("k")
-    unsure = tried.where(~_links("k", percent)).select("a", "b", "na", "nb", "fara", "farb", "mosta", "mostb", gap.alias("gap"))
-    unsure = tmp.write(unsure.where((F.col("gap") <= reach) & (F.col("fara") + F.col("farb") > 0)))
+    # p is the root with more members, q the other one.
+    turned = F.col("manya") < F.col("manyb")
+    named = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(n) for n, x, y in (("p", "a", "b"), ("q", "b", "a"), ("farp", "fara", "farb"), ("farq", "farb", "fara"), ("mostp", "mosta", "mostb"), ("mostq", "mostb", "mosta"))]
+    unsure = tried.where(~_links("k", percent) & (gap <= reach) & (F.col("fara") + F.col("farb") > 0)).select("a", "b", *named, gap.alias("gap"))
+    unsure = tmp.write(unsure)
     tmp.drop(tried, pairs)
     unsure = _still_apart(unsure, links, tmp)
     if unsure.isEmpty():
         return links
+    more = tmp.write(_member_links(unsure, members, heads, docs, width, percent, tmp))
+    return tmp.write(links.union(more.select("p", "q")).distinct())
 
-    # Members of either side against the other side's root.
-    own = members.select(F.col("sid").alias("x"), "n", "root", "far")
-    a_side = unsure.join(own, F.col("root") == F.col("a")).where(F.col("gap") <= F.col("far") + F.col("farb") + ratio * (F.col("n") + F.col("mostb")) + 1e-6)
-    b_side = unsure.join(own, F.col("root") == F.col("b")).where(F.col("gap") <= F.col("far") + F.col("fara") + ratio * (F.col("n") + F.col("mosta")) + 1e-6)
-    ask = a_side.select("x", F.col("b").alias("y"), "a", "b", "far").union(b_side.select("x", F.col("a").alias("y"), "a", "b", "far"))
-    ask = tmp.write(ask.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("a").alias("ra"), F.col("b").alias("rb"), "far"))
-    if ask.isEmpty():
-        return links
-    tried = overlaps(ask, heads, docs, width, tmp)
-    links = tmp.write(links.union(tried.where(_links("k", percent)).select("ra", "rb")).distinct())
-    unsure = _still_apart(unsure, links, tmp)
 
-    # Members of both sides against each other, where the distances so far leave a link open.
-    some = tried.select(F.col("a").alias("x"), F.col("b").alias("y"), "ra", "rb", "far", F.col("na").alias("n"), (F.col("na") + F.col("nb") - 2 * F.col("k")).alias("gap"))
-    some = some.join(unsure.select(F.col("a").alias("ra"), F.col("b").alias("rb")), ["ra", "rb"], "left_semi")
-    left = some.where("y = rb").select("ra", "rb", F.col("x").alias("a"), F.col("n").alias("n1"), F.col("far").alias("far1"), F.col("gap").alias("gap1"))
-    right = some.where("y = ra").select("ra", "rb", F.col("x").alias("b"), F.col("n").alias("n2"), F.col("far").alias("far2"), F.col("gap").alias("gap2"))
-    each = ratio * (F.col("n1") + F.col("n2")) + 1e-6
-    ask = left.join(right, ["ra", "rb"]).where((F.col("gap1") <= each + F.col("far2")) & (F.col("gap2") <= each + F.col("far1")))
-    ask = tmp.write(ask.select("a", "b", "ra", "rb"))
-    if ask.isEmpty():
-        return links
-    tried = overlaps(ask, heads, docs, width, tmp)
-    return tmp.write(links.union(tried.where(_links("k", percent)).select("ra", "rb")).distinct())
+def _member_links(unsure: DataFrame, members: DataFrame, heads: DataFrame, docs: DataFrame, width: int, percent: int, tmp: Scratch) -> DataFrame:
+    """(p, q) of the pairs of roots some of whose sets link, by the differences of these sets from p.
+
+    x is a member of p, y is q or a member of q; dx and dy are what they differ by from p. They are
+    |dx| + |dy| - 2 |dx and dy| shingles apart, and link if that is at most ``ratio`` of their sizes' sum. y does
+    not link with p itself (else that is the answer), so |dy| > ratio * (|p| + |y|), and the differences must
+    have more than (|dx| - ratio * (|x| - |p|)) / 2 in common: their beginnings meet."""
+    ratio = (100 - percent) / (100 + percent)
+    own = members.select(F.col("sid").alias("s"), "n", "root", "far")
+    # Of p's members those far enough for one of p's pairs; of q's those far enough for this pair.
+    least = unsure.groupBy("p").agg(F.min(F.col("gap") - F.col("farq") - ratio * F.col("mostq")).alias("least"))
+    xs = own.join(least, F.col("root") == F.col("p")).where(F.col("far") + ratio * F.col("n") >= F.col("least") - 1e-6)
+    ys = unsure.join(own, F.col("root") == F.col("q")).where(F.col("gap") <= F.col("far") + F.col("farp") + ratio * (F.col("n") + F.col("mostp")) + 1e-6)
+    ys = unsure.select(F.col("q").alias("a"), F.col("p").alias("b"), "q").union(ys.select(F.col("s").alias("a"), F.col("p").alias("b"), "q"))
+    dx = differences(tmp.write(xs.select(F.col("s").alias("a"), F.col("p").alias("b"))), heads, docs, width, tmp)
+    dy = differences(tmp.write(ys), heads, docs, width, tmp)
+    dx = dx.select(F.col("b").alias("p"), F.col("a").alias("x"), F.col("na").alias("nx"), F.col("nb").alias("np"), F.col("d").alias("dx"), F.size("d").alias("lx"))
+    dy = dy.select(F.col("b").alias("p"), "q", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("nb").alias("np"), F.col("d").alias("dy"), F.size("d").alias("ly"))
+    near = F.col("ly") <= ratio * (F.col("np") + F.col("ny")) + 1e-9
+    direct, dy = dy.where(near).select("p", "q"), dy.where(~near)
+
+    def beginning(d: DataFrame, one: str, common: Column) -> DataFrame:
+        """Its length less what must be in common, and one; the shingles there with their places."""
+        upto = F.col(f"l{one}") - F.floor(common - 1e-9).cast("int")
+        kept = ["p", "q", one] if one == "y" else ["p", one]
+        return d.withColumn("upto", upto).where("upto > 0").select(*kept, f"l{one}", f"n{one}", F.posexplode(F.slice(f"d{one}", F.lit(1), F.col("upto"))).alias(f"i{one}", "token"))
+
+    left = beginning(dx, "x", F.greatest(F.lit(0.0), (F.col("lx") - ratio * (F.col("nx") - F.col("np"))) / 2))
+    right = beginning(dy, "y", F.greatest(F.lit(0.0), (F.col("ly") - ratio * (F.col("np") + F.col("ny"))) / 2))
+    enough = (F.col("lx") + F.col("ly") - ratio * (F.col("nx") + F.col("ny"))) / 2 - 1e-6
+    met = left.join(right, ["p", "token"]).where(F.least(F.col("lx") - F.col("ix"), F.col("ly") - F.col("iy")) >= enough)
+    met = met.select("p", "q", "x", "y").distinct()
+    both = met.join(dx.select("p", "x", "nx", "lx", "dx"), ["p", "x"]).join(dy.select("p", "q", "y", "ny", "ly", "dy"), ["p", "q", "y"])
+    apart = F.col("lx") + F.col("ly") - 2 * F.size(F.array_intersect("dx", "dy"))
+    # As in _links, in whole numbers: 100 * (n - apart) / 2 >= percent * (n + apart) / 2, n the sizes' sum.
+    n = F.col("nx") + F.col("ny")
+    return direct.union(both.where(100 * (n - apart) >= percent * (n + apart)).select("p", "q")).distinct()
 
 
 def _still_apart(pairs: DataFrame, links: DataFrame, tmp: Scratch) -> DataFrame:
