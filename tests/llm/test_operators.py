@@ -19,7 +19,7 @@ from vellumetry.llm import queries as Q
 from vellumetry.llm.oracles import ORACLES
 
 LONG = "word " * 40_000
-EXTRA = ["host string", "path string", "rule string", "score double", "row string", "key string", "bits string"]
+EXTRA = ["host string", "path string", "rule string", "score double", "row string", "key string", "bits string", "base string", "spans string", "uid long", "size long", "taken long", "sid long"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(EXTRA)
 
 
@@ -34,7 +34,7 @@ def odd(spark, tmp_path_factory):
     texts = [None, "", "   ", "one", "two words", "ae\u0301 \u00dfx \U0001f600", LONG, "same text of six words here", "same text of six words here", "password=hunter22 " + "AKIA" + "Q" * 16, "mail bob@x.example or +1 555 000 1111 then bob@x.example"]
     docs = [(i, t, ["en", None][i % 2], ["a", None, "b"][i % 3], None) for i, t in enumerate(texts)]
     docs += [(None, "no id at all", None, None, 3), (7, texts[7], "en", "b", 4), (7, "another text of the same id", "en", "b", 4)]
-    docs = [(*d, *["x", "y", "z", 0.5, "r", "k", "b"]) for d in docs]
+    docs = [(*d, *["x", "y", "z", 0.5, "r", "k", "b", "c", "s", 1, 2, 3, 4]) for d in docs]
     pages = [(1, "http://A.Example.org/es/x?q", "p" * 1500), (2, "no scheme", "p" * 1500), (3, None, None), (None, "https://com/fr/\n", "p" * 1500), (4, "x://fr.com/de/", "short"), (4, "x://fr.com/de/", "short"), (5, "http://org", "short")]
     out = {}
     for name, d, p, b in (("odd", docs, pages, [(1, None), (2, ""), (3, "two words"), (None, "x")]), ("empty", [], [], [])):
@@ -545,6 +545,40 @@ def test_skip_edges_carry_labels_across_a_document():
     assert base[0] == [(0, 9, 30)] and (0, text.rindex("maria"), text.rindex(" answered")) in every[0]
 
 
+def test_added_spans_on_planted_repeats(spark):
+    """Precision and recall of the fitted field: mentions of an address's name, and numbers without their plus."""
+    from vellumetry.llm.pii import find, fit
+
+    every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = fit(every)
+    rng = np.random.default_rng(1)
+    fill = "then some more words came and went by " * 4
+    texts, want = [], []
+    for _ in range(60):
+        name, number = f"{rng.choice(['maria', 'tom', 'lee'])}{rng.integers(10, 99)}.{rng.choice(['ab', 'xy'])}", str(rng.integers(10**6, 10**7))
+        t = f"Write to {name}@site.example today. {fill} Later {name} answered. {fill} Call +1 555 {number} now. {fill} or dial 555 {number} instead, 12 times in 2024."
+        texts.append(t)
+        a, b = t.index(f"Later {name}") + 6, t.index("dial 555") + 9
+        want.append({(0, a, a + len(name)), (3, b, b + len(number))})
+    base, found = find(field, texts)
+    added = [set(f) - set(b) for f, b in zip(found, base)]
+    hit = sum(any(k == kind and s < end and start < e for k, s, e in got) for w, got in zip(want, added) for kind, start, end in w)
+    right = sum(any(k == kind and s < end and start < e for kind, start, end in w) for w, got in zip(want, added) for k, s, e in got)
+    assert hit >= 0.9 * 120 and right >= 0.9 * sum(map(len, added))
+    plain = [r.text or "" for r in every.select("text").collect()]
+    base, found = find(field, plain)
+    assert sum(len(set(f) - set(b)) for f, b in zip(found, base)) <= 5
+
+
+def test_neighbouring_added_tokens_are_one_span():
+    from vellumetry.llm.pii import joined, nodes_of
+
+    text = "call 12 3456 78901234 or 99 then 12 5"
+    assert joined(text, [(3, 33, 37)], [(3, 5, 7), (3, 8, 12), (3, 13, 21), (3, 25, 27), (3, 33, 37)]) == [(3, 5, 21), (3, 25, 27), (3, 33, 37)]
+    spans = [(1, 0, 1), (1, 2, 3), (1, 4, 5), (1, 6, 7), (1, 8, 9), (2, 0, 40)]
+    assert [n[2] for n in nodes_of("1 2 3 4 5 then 7 and the 9 that is beyond 8 it", spans)][-2:] == [3, -1]
+
+
 def test_loopy_messages_are_exact_on_a_tree():
     from itertools import product
 
@@ -631,6 +665,34 @@ def test_licenses_by_wording(spark):
     assert rank("Released under the MIT License.", TEMPLATES)[0][1] == "MIT"
 
 
+def test_license_scan_is_brute_force(spark):
+    """Every whole notice sentence that only one license has is found, and nothing else is."""
+    from vellumetry.llm.licenses import TEMPLATES
+
+    def plain(t):
+        return f" {' '.join(re.findall('[A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*', t.lower()))} "
+
+    notices: dict[str, set] = {}
+    for name, text in TEMPLATES.items():
+        for sentence in map(plain, re.split(r"(?<=[a-z0-9)])[.]\s", text.split("\n\n")[0])):
+            if len(sentence.split()) >= 4:
+                notices.setdefault(sentence, set()).add(name)
+    folder = "/root/testdata/sf0.01"
+    docs = pd.read_parquet(f"{folder}/documents.parquet")
+    want = {(i, *names) for i, t in zip(docs.doc_id, map(plain, docs.text)) for sentence, names in notices.items() if len(names) == 1 and sentence in t}
+    got = Q.op1_license_scan(spark, folder).toPandas()
+    assert want and set(zip(got.doc_id, got.license)) == want
+
+
+def test_apache_header_under_a_copyright_line():
+    from vellumetry.llm.licenses import TEMPLATES, licenses_in
+
+    header = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License."
+    text = f"Copyright 2020 Acme Inc.\n\n{header}\n"
+    (hit,) = licenses_in(text, {}, TEMPLATES)
+    assert hit[0] == "Apache-2.0" and hit[1] == 26 and hit[2] >= len(text) - 3
+
+
 def test_whole_license_texts_under_dated_copyright_lines(spark):
     from vellumetry.llm.licenses import TEMPLATES, licenses_in
 

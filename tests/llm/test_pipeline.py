@@ -1,26 +1,96 @@
-"""Each stage on its own input, and what it must not lose."""
+"""Each stage on its own input against a brute-force version, and what it must not lose."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import DOCS, odd  # noqa: F401
+from tests.llm.test_operators import DOCS, PATTERNS, components, odd, shingles  # noqa: F401
 from vellumetry.llm.common import shared_folder
 
 
-def test_stages(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+@pytest.fixture(scope="module")
+def steps(spark, sf_dir):
+    """The tables between the stages, the first one's input first."""
+    tables = [spark.read.parquet(f"{sf_dir}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES:
         path = shared_folder(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        assert docs.columns == columns
-        counts.append(docs.count())
-    assert counts[1] >= 0.99 * counts[0] and counts[4] == counts[3]
-    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).toPandas()
-    assert (mixed.taken > 0).all() and mixed.doc_id.is_unique
+        stage(spark, tables[-1], sf_dir).write.parquet(path)
+        tables.append(spark.read.parquet(path))
+    return [t.toPandas().set_index("doc_id").sort_index() for t in tables]
+
+
+def test_columns_and_counts(steps):
+    for t in steps[1:5]:
+        assert list(t.columns) == list(steps[0].columns)
+    assert len(steps[1]) >= 0.99 * len(steps[0]) and len(steps[4]) == len(steps[3])
+
+
+def test_language_stage(spark, sf_dir, steps):
+    """Rejected are texts whose cross-entropy, word by word, is beyond the bound of their best language."""
+    from vellumetry.llm.language import train
+
+    model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    kept = set()
+    for i, text in steps[0].text.items():
+        total = sum(model.score_words([w])[0] for w in (text or "").lower().split()) if text and text.split() else None
+        if total is None or not total[-1]:
+            continue
+        h = total[:-1] / total[-1]
+        m = model.models[int(h.argmin())]
+        if h.min() <= m.mean + model.tolerance + 4 * m.spread / total[-1] ** 0.5:
+            kept.add(i)
+    assert kept == set(steps[1].index)
+
+
+def test_near_duplicate_stage(steps):
+    before = steps[1]
+    of = components([shingles(t, 5) for t in before.text], list(before.index), 80)
+    assert set(steps[2].index) == {i for i, root in of.items() if i == root}
+
+
+def test_decontamination_stage(sf_dir, steps):
+    """Documents with a whole item's words in a row go, documents that share no eight words with any item stay."""
+
+    def words(t):
+        return re.findall(r"[^\W_]+", t.lower())
+
+    items = [words(t) for t in pd.read_parquet(f"{sf_dir}/benchmark.parquet").text]
+    windows = {tuple(w[k : k + 8]) for w in items for k in range(max(1, len(w) - 7))}
+    for i, text in steps[2].text.items():
+        w = words(text)
+        flat = f" {' '.join(w)} "
+        if any(f" {' '.join(item)} " in flat for item in items):
+            assert i not in steps[3].index
+        elif not any(tuple(w[k : k + n]) in windows for n in range(1, 9) for k in range(len(w) - n + 1)):
+            assert i in steps[3].index
+
+
+def test_secret_stage(steps):
+    """Base matches, overlapping ones together, are replaced; where there are none the text stays."""
+    for i, text in steps[3].text.items():
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PATTERNS) for m in p.finditer(text) if ok(m))
+        out, at = "", 0
+        for a, k, b in spans:
+            if a >= at:
+                out += text[at:a] + f"[{PATTERNS[k][0]}]"
+            at = max(at, b)
+        want = out + text[at:]
+        got = steps[4].loc[i]
+        assert got.n_chars == len(got.text) and (got.text == want or "[random]" in got.text)
+
+
+def test_mixing_stage(steps):
+    """Texts are those of the stage before; what a source gives comes near its target; other documents gave nothing."""
+    before, mixed = steps[4], steps[5]
+    assert (mixed.taken > 0).all() and mixed.index.is_unique and (mixed.text == before.text.loc[mixed.index]).all()
+    size = before.text.map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)))
+    assert (mixed["size"] == size.loc[mixed.index]).all() and (mixed.taken <= 2 * mixed["size"]).all()
+    by = mixed.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (by.taken - by.target).abs().max() < 1
 
 
 @pytest.mark.parametrize("kind", ["odd", "empty"])

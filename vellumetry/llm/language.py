@@ -226,7 +226,7 @@ def _grams(word: Column) -> Column:
 
 def train(labelled: DataFrame, docs_per_language: int = 600, tolerance: float = 1.5) -> Identifier:
     """Fit on rows with doc_id, text and lang (null texts and languages are left out)."""
-    rows = labelled.where("lang is not null and text is not null")
+    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = min(docs_per_language, max(1, SAMPLE // max(len(sizes), 1)))
     parts = [(lang, min(1.0, each / n), min(each, n) >= 10 * ASIDE) for lang, n in sizes.items()]

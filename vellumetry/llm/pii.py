@@ -6,16 +6,22 @@ name before the at sign, or digits that end alike), share skip potentials howeve
 each group of such tokens is linked one to the next, and a group of over two also to a hub, so evidence
 is two steps away and the number of edges grows with the tokens. Base matches are evidence, and documents
 without any are run too. Loopy message passing, until no message changes by more than ``tolerance`` (or
-``rounds``, where it does not settle), then gives every token its marginals, and a token outside
-base spans whose best kind is sure enough is added as a span of that kind.
+``rounds``, where it does not settle), then gives every token its marginals. A token outside base spans
+whose best kind is sure enough is added as a span of that kind; neighbours of one kind, with nothing
+but blanks, hyphens or brackets between, are one span.
 
 Potentials are fitted piece by piece on a bounded sample (at most about ``sample_docs`` texts with such
-tokens): the node part is a multinomial logistic regression of the label on the token's shape, the edge
-parts are smoothed log ratios of label pairs.
+tokens): the node part is a multinomial logistic regression of the label on the token's shape, the chain
+part is smoothed log ratios of label pairs over what independent labels would give. So is the skip part, with
+two differences. A token that no base pattern matches is not known to be no personal data, so edges between
+such a token and a matched one say nothing and are left out. And as repeats of matched tokens are few, it
+begins with AGREEING edges that have one label at both ends, which the sample's edges add to or outvote.
 
 Spans are ``kind:start:end`` in code points, end exclusive; base spans stay as they are. Defined
 results: null text counts as empty; a text without spans has counts 0 and the hash of the empty
-string; repeated rows get their row each; an empty table gives an empty result and fits nothing.
+string; repeated rows get their row each; an empty table gives an empty result and fits nothing; base
+spans of different kinds may overlap, and a token in several has the label of the first; a very long text is
+one graph, worked on alone; of the columns only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +118,7 @@ def nodes_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             end -= 1
         while j < len(ordered) and ordered[j][1] <= start:
             j += 1
-        label = next((k + 1 for s, e, k in ordered[j : j + 4] if s < end and start < e), -1)
+        label = next((k + 1 for s, e, k in takewhile(lambda x: x[0] < end, islice(ordered, j, None)) if start < e), -1)
         out.append((start, end, label, text[start:end]))
     return out
 
@@ -231,7 +238,32 @@ def find(field: Field | None, texts: list[str]) -> tuple[list[list[tuple[int, in
             i, start, end, _, _ = owners[n]
             if start >= 0:
                 every[i].append((int(best[n]) - 1, start, end))
-    return base, [sorted(s) for s in every]
+    return base, [joined(t, b, e) for t, b, e in zip(texts, base, every)]
+
+
+_BETWEEN = re.compile(r"[\x20().-]{0,3}")
+
+
+def joined(text: str, base: list[tuple[int, int, int]], every: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """All spans in order; added ones of a kind that follow each other at once are one."""
+    out: list[tuple[int, int, int]] = []
+    for kind, start, end in sorted(set(every) - set(base), key=lambda s: s[1]):
+        if out and out[-1][0] == kind and _BETWEEN.fullmatch(text, out[-1][2], start):
+            out[-1] = (kind, out[-1][1], end)
+        else:
+            out.append((kind, start, end))
+    return sorted([*base, *out])
+
+
+#: Skip edges that agree, before the sample's are counted.
+AGREEING = 200
+
+
+def log_ratios(pair: np.ndarray, added: float, most: float) -> np.ndarray:
+    """How much more often two labels meet than independent ones would, from symmetric counts and ``added`` to each."""
+    pair = pair + added
+    prior = pair.sum(axis=0) / pair.sum()
+    return np.clip(np.log(pair / pair.sum() / np.outer(prior, prior)), -most, most)
 
 
 def fit(docs: DataFrame, sample_docs: int = 2000) -> Field | None:
@@ -248,7 +280,8 @@ def fit(docs: DataFrame, sample_docs: int = 2000) -> Field | None:
                 nodes = nodes_of(text, base_spans(text))
                 shapes, edges, kinds = graph(nodes, 0, text)
                 labels = [max(x[2], 0) for x in nodes]
-                seen = [(-1, "".join("1" if v else "0" for v in s), y) for s, y in zip(shapes, labels)]
+                bits = ["".join("1" if v else "0" for v in s) for s in shapes]
+                seen = [(-1, s, y) for s, y in zip(bits, labels)]
                 seen += [(k, str(labels[a]), labels[b]) for (a, b), k in zip(edges, kinds)]
                 for key in seen:
                     counts[key] = counts.get(key, 0) + 1
@@ -268,18 +301,17 @@ def fit(docs: DataFrame, sample_docs: int = 2000) -> Field | None:
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         node += 0.5 * (x.T @ ((y - p) * weight[:, None]) / weight.sum() - 1e-4 * node)
-    prior = np.bincount(shape["label"], weights=weight, minlength=len(LABELS)) + 1
-    prior /= prior.sum()
+    share = np.bincount(shape["label"], weights=weight, minlength=len(LABELS)) + 1
     parts = []
-    for k in (0, 1):
-        pair = np.ones((len(LABELS), len(LABELS)))
+    for k, start, added, most in ((0, 0, 1.0, 4.0), (1, AGREEING, 0.1, 6.0)):
+        pair = np.diag(start * share / share.sum())
         for r in got[got["part"] == k].itertuples():
-            pair[int(r.what), r.label] += r.n
-            pair[r.label, int(r.what)] += r.n
-        parts.append(np.clip(np.log(pair / pair.sum() / np.outer(prior, prior)), -4, 4))
-    # Tokens that a skip edge links have one label: the same potential for each, none learned against it.
-    skip = np.minimum(parts[1], 0) * (1 - np.eye(len(LABELS))) + np.diag(np.maximum(np.diag(parts[1]), 2.0))
-    return Field(node, parts[0], skip)
+            a, b = int(r.what), int(r.label)
+            if k == 0 or (a > 0) == (b > 0):
+                pair[a, b] += r.n / 2
+                pair[b, a] += r.n / 2
+        parts.append(log_ratios(pair, added, most))
+    return Field(node, *parts)
 
 
 def _text_of(spans: list[tuple[int, int, int]]) -> str:
