@@ -196,6 +196,15 @@ def test_message_parts_and_names(spark):
     assert got[3].cid == "k@x"
 
 
+def test_oversized_sheets(spark):
+    assert values(spark, T.oversized_range, ["A1:AE5", "A1:AD200", "A1:B201", "ZZ999", "A1:5", None]) == [True, False, True, False, False, False]
+    streams = [[("Workbook", 500_001)], [("Book", 500_001), ("Workbook", 9)], [("Book", 500_001)], []]
+    assert values(spark, T.oversized_workbook, streams, "array<struct<name:string,size:long>>") == [True, False, True, False]
+    package = zipped(**{"xl/worksheets/sheet1.xml": b'<worksheet><dimension ref="A1:C3"/></worksheet>', "xl/worksheets/sheet2.xml": b'<dimension  ref="A1:C300"/>', "xl/worksheets/other.xml": b""})
+    got = C.oversized_sheets(spark.createDataFrame([(1, bytearray(package))], "doc_id long, content binary")).collect()
+    assert [tuple(r) for r in got] == [(1, True)]
+
+
 def test_page_budget(spark):
     from vellumetry.operators.pages import max_page_px
 

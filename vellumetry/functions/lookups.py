@@ -57,10 +57,21 @@ EXTENSIONS_OF = {
 EXTENSIONS = {ext: label for label, exts in EXTENSIONS_OF.items() for ext in exts.split()}
 
 #: Extensions of formats that carry macros.
-MACRO = "docm dotm xlsm xltm xlam xlsb xla pptm ppsm potm ppam ppa".split()
+MACRO = ["docm", "dotm", "xlsm", "xltm", "xlam", "xlsb", "xla", "pptm", "ppsm", "potm", "ppam", "ppa"]
 
 #: Media types that are text though they do not begin with text/.
-TEXT_MIME = [f"application/{x}" for x in "json x-powershell x-pem-file javascript xml x-yaml toml x-httpd-php x-sh x-csh".split()]
+TEXT_MIME = [
+    "application/json",
+    "application/x-powershell",
+    "application/x-pem-file",
+    "application/javascript",
+    "application/xml",
+    "application/x-yaml",
+    "application/toml",
+    "application/x-httpd-php",
+    "application/x-sh",
+    "application/x-csh",
+]
 
 #: What a magic library's media type says about a label, first match wins.
 MAGIC = [
@@ -74,7 +85,7 @@ MAGIC = [
     ("application/rtf", "rtf"),
     ("text/csv", "csv"),
 ]
-RECHECKED = "docx xlsx pptx doc xls ppt rtf txt csv".split()
+RECHECKED = ["docx", "xlsx", "pptx", "doc", "xls", "ppt", "rtf", "txt", "csv"]
 
 #: The export filter's application for each label; writer for the rest.
 APPLICATION = {

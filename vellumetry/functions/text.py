@@ -53,9 +53,22 @@ def column_number(letters: Column) -> Column:
 
 
 def oversized_range(ref: Column, max_col: int = 30, max_row: int = 200) -> Column:
-    """Whether the far corner of a sheet's dimension lies beyond the limits."""
-    col, row = (F.regexp_extract(ref, r"([A-Z]+)([0-9]+)$", i) for i in (1, 2))
-    return F.coalesce((col != "") & ((column_number(col) > max_col) | (row.try_cast("long") > max_row)), F.lit(False))
+    """Whether the far corner of a sheet's dimension, which has two corners, lies beyond the limits."""
+    end = F.regexp_extract(ref, "^[^:]*:([^:]*)$", 1)
+    col, row = F.regexp_replace(end, "[^A-Za-z]", ""), F.regexp_replace(end, "[^0-9]", "")
+    return F.coalesce((col != "") & (row != "") & ((column_number(col) > max_col) | (row.try_cast("decimal(38,0)") > max_row)), F.lit(False))
+
+
+#: Fixed value: bytes of a compound file's workbook beyond which its sheets count as oversized.
+WORKBOOK_BYTES = 500_000
+
+
+def oversized_workbook(streams: Column) -> Column:
+    """Of the streams (name, size) of a compound file: whether the first of Workbook and Book is too large."""
+    def size(name: str) -> Column:
+        return F.get(F.filter(streams, lambda s: s["name"] == name), F.lit(0))["size"]
+
+    return F.coalesce(F.coalesce(size("Workbook"), size("Book")) > WORKBOOK_BYTES, F.lit(False))
 
 
 def landscape_patch(xml: Column) -> Column:

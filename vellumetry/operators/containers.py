@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookups import ALTCHUNK_TYPES
+from ..functions.text import oversized_range
 
 MEMBER_BYTES, TOTAL_BYTES, ENTRIES = 256 << 20, 512 << 20, 10_000
 MHT_PARTS, MHT_BYTES = 4000, 512 << 20
@@ -181,6 +182,13 @@ def rewrite_cids(html: DataFrame, parts: DataFrame) -> DataFrame:
     return html.join(_names(parts, F.col("cid")), "doc_id", "left").select("doc_id", F.when(F.col("names").isNull(), F.col("html")).otherwise(joined).alias("html"))
 
 
+def oversized_sheets(files: DataFrame) -> DataFrame:
+    """(doc_id, oversized): whether any worksheet of a package has a dimension beyond the limits."""
+    sheets = zip_members(files, r"^xl/worksheets/sheet\d+\.xml$")
+    ref = F.regexp_extract(F.decode("data", "UTF-8"), r'<dimension\s+ref="([^"]+)"', 1)
+    return sheets.groupBy("doc_id").agg(F.bool_or(oversized_range(ref)).alias("oversized"))
+
+
 #: Fixed value: the attributes whose quoted values are rewritten.
 URL_ATTRIBUTE = r"(?i)((?:src|href|background)\s*=\s*)(\"[^\"]*\"|'[^']*')"
 

@@ -50,6 +50,13 @@ def tally(jobs: DataFrame, by: str) -> DataFrame:
     return jobs.rollup(by).agg(F.count_if(F.col("status") == "done").alias("done"), F.count("*").alias("total"))
 
 
+def tally_against(now: DataFrame, baseline: DataFrame, by: str) -> DataFrame:
+    """A tally beside a baseline's (by, done, total): base_done, base_total and whether the share done fell."""
+    base = baseline.select(F.col(by).alias("__by"), F.col("done").alias("base_done"), F.col("total").alias("base_total"))
+    worse = F.col("done") * F.col("base_total") < F.col("base_done") * F.col("total")
+    return now.join(base, F.col(by).eqNullSafe(F.col("__by")), "left").select(by, "done", "total", "base_done", "base_total", F.coalesce(worse, F.lit(False)).alias("worse"))
+
+
 def counts(jobs: DataFrame, *by: str) -> DataFrame:
     return jobs.groupBy(*by).agg(F.count("*").alias("n"))
 

@@ -118,6 +118,23 @@ def shard_ranges(docs: DataFrame, pages: str, cpus: int, by_memory: int) -> Data
     return out.select("doc_id", "shard", (F.col("shard") * each + 1).alias("first"), last.alias("last"))
 
 
+def document_peak_mb(pages: DataFrame, dpi: int, cap_px: int = 0) -> DataFrame:
+    """(doc_id, peak_mb): the raster memory of each document's largest page."""
+    return pages.groupBy("doc_id").agg(F.max(peak_mb(F.col("width_mm"), F.col("height_mm"), F.lit(dpi), cap_px)).alias("peak_mb"))
+
+
+def shard_dpi(pages: DataFrame, shards: DataFrame, dpi: int, max_px: int) -> DataFrame:
+    """(doc_id, shard, first, last, dpi): the resolution of each range, lowered for its own largest page only.
+
+    pages has doc_id, page, width_mm and height_mm; shards are those of ``shard_ranges``."""
+    px = F.col("width_mm") / 25.4 * dpi * (F.col("height_mm") / 25.4 * dpi)
+    sized = pages.select("doc_id", "page", px.alias("px"))
+    met = shards.join(sized, "doc_id").where((F.col("page") >= F.col("first")) & (F.col("page") <= F.col("last")))
+    peak = met.groupBy("doc_id", "shard").agg(F.max("px").alias("peak"))
+    out = shards.join(peak, ["doc_id", "shard"], "left")
+    return out.select("doc_id", "shard", "first", "last", effective_dpi(dpi, F.coalesce("peak", F.lit(0.0)), max_px).alias("dpi"))
+
+
 def clamp_warnings(pages: DataFrame, dpi: int) -> DataFrame:
     """Per document the pages whose resolution fell below 95 % of what was asked."""
     eff = F.col("width_px") * 25.4 / F.col("width_mm")

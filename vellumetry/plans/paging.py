@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import pages as P
@@ -129,6 +130,21 @@ def shard_ranges(spark, t):
     return P.shard_ranges(t("part").select(F.col("p_partkey").alias("doc_id"), "p_size"), "p_size", 8, 6)
 
 
+@query("""
+WITH p AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_suppkey) AS page, l_quantity * 40 AS w, l_tax * 10000 + 50 AS h FROM lineitem),
+d AS (SELECT doc_id, count(*) AS pages, max(least(w / 25.4 * 150 * (h / 25.4 * 150), 2e7) * 4 / 1048576) AS peak_mb FROM p GROUP BY 1), n AS (SELECT *, CASE WHEN pages < 4 THEN 1 ELSE least(4, 6, pages) END AS n FROM d),
+s AS (SELECT doc_id, pages, peak_mb, n, pages // n AS e, unnest(range(0, n)) AS shard FROM n),
+r AS (SELECT doc_id, peak_mb, shard, shard * e + 1 AS first, CASE WHEN shard = n - 1 THEN pages ELSE (shard + 1) * e END AS last FROM s),
+k AS (SELECT r.doc_id, shard, first, last, any_value(peak_mb) AS peak_mb, max(w / 25.4 * 150 * (h / 25.4 * 150)) AS px FROM r JOIN p ON p.doc_id = r.doc_id AND page BETWEEN first AND last GROUP BY ALL)
+SELECT doc_id, shard::INT AS shard, first::INT AS first, last::INT AS last, CASE WHEN px > 2e7 THEN least(greatest(36, floor(150 * sqrt(2e7 / px))::INT), 150) ELSE 150 END::INT AS dpi, peak_mb FROM k""")
+def shard_dpi(spark, t):
+    """Lines as pages: each range of pages has its own resolution, and each document its peak."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_suppkey")
+    pages = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("page"), (F.col("l_quantity") * 40).alias("width_mm"), (F.col("l_tax") * 10000 + 50).alias("height_mm"))
+    shards = P.shard_ranges(pages.groupBy("doc_id").agg(F.count("*").alias("pages")), "pages", 8, 6)
+    return P.shard_dpi(pages, shards, 150, 20_000_000).join(P.document_peak_mb(pages, 150, 20_000_000), "doc_id")
+
+
 @query(f"""
 WITH p AS (SELECT doc_id, page, width_px * 25.4 / width_mm AS eff FROM {_SIZES} WHERE width_mm > 0)
 SELECT doc_id, count(*) AS pages, min(round_even(eff, 0))::INT AS lowest FROM p WHERE eff < 0.95 * 1500 GROUP BY doc_id""")

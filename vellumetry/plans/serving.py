@@ -110,6 +110,16 @@ def corpus_tally(spark, t):
     return J.tally(_jobs(t), "event_type")
 
 
+@query(f"""
+WITH n AS (SELECT event_type, count(*) FILTER (WHERE status = 'done') AS done, count(*) AS total FROM {_JOBS} GROUP BY ROLLUP (event_type)),
+b AS (SELECT event_type, count(*) FILTER (WHERE status = 'done') AS done, count(*) AS total FROM {_JOBS} WHERE value > 20 GROUP BY ROLLUP (event_type))
+SELECT n.event_type, n.done, n.total, b.done AS base_done, b.total AS base_total, coalesce(n.done * b.total < b.done * n.total, false) AS worse FROM n LEFT JOIN b ON n.event_type IS NOT DISTINCT FROM b.event_type""")
+def tally_against(spark, t):
+    """All jobs against a baseline, the jobs of larger values."""
+    jobs = _jobs(t)
+    return J.tally_against(J.tally(jobs, "event_type"), J.tally(jobs.where("value > 20"), "event_type"), "event_type")
+
+
 @query(f"SELECT status, event_type, count(*) AS n FROM {_JOBS} GROUP BY 1, 2")
 def conversion_counter(spark, t):
     return J.counts(_jobs(t), "status", "event_type")
