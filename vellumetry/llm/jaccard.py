@@ -46,7 +46,7 @@ _U = np.uint64
 #: Shingles that are ordered by how frequent they are; the others come before them.
 ORDERED = 200_000
 #: Shingle hashes counted together when frequent ones are looked for.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Min-hashes that group sets, those that compare them inside a group, and the least that must agree.
 KEYS, MARKS, AGREE = 4, 32, 16
 #: Rounds of election at most; sets that have not joined by then meet in the index.
@@ -54,7 +54,7 @@ ROUNDS = 4
 #: A parity bitmap has as many bits as the set has members, rounded up to one of these.
 BITMAPS = [1 << b for b in (10, 13, 16, 19, 22)]
 #: Entries of a list that are compared in one task, and pairs that are looked at together there.
-HOT, PAIRS = 20_000, 1_000_000
+HOT, PAIRS = 20_000, 250_000
 #: Pairs of one set that are verified in one task.
 SPLIT = 64
 
@@ -132,8 +132,8 @@ def sketches(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) ->
         known, rank = shared.value
         none = np.zeros(0, dtype=_U)
         for whole in batches:
-            for first in range(0, whole.num_rows, 2048):
-                batch = whole.slice(first, 2048)
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
                 size, sid, keys, marks, bits, prefix = [], [], [], [], [], []
                 for s in shingle_sets(batch.column(1), width):
                     size.append(len(s))

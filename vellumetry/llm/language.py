@@ -39,7 +39,7 @@ _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _MARK = 0x10FFFF
 #: Words whose scores a task keeps; it starts afresh beyond that.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
@@ -180,8 +180,9 @@ class _Scores(dict):
             self.fresh, self.used = [], end
 
 
-#: Words of a text that are looked up at a time.
-_PART = 200_000
+#: Texts that are decoded at a time, and words that are looked up at a time.
+ROWS = 500
+_PART = 20_000
 
 
 def _totals(scores: _Scores, texts: list[str | None]) -> np.ndarray:
@@ -308,7 +309,7 @@ def identify(docs: DataFrame, model: Identifier, keep: list[str], name: str = ""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(shared.value)
-        for batch in batches:
+        for batch in (b.slice(first, ROWS) for b in batches for first in range(0, b.num_rows, ROWS)):
             langs, s, h, no = predict(scores, batch.column(at).to_pylist())
             yield pa.record_batch([*batch.columns[len(alone) :], pa.array(langs, pa.string()), pa.array(s, pa.float64()), pa.array(h, pa.float64()), pa.array(no, pa.bool_())], names=schema.names)
 

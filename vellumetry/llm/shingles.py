@@ -20,7 +20,7 @@ _RATIO = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_RATIO, -1, 2**64)
 _STEP = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 #: Bytes hashed at a time; a document longer than this makes a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
