@@ -83,6 +83,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BR
     return F.broadcast(df) if small else df
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -81,8 +81,28 @@ def op10_pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, fit(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import limited
+
+    return limited(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_license_scan, op2_media_columns, op3_ngram_jaccard_join, op4_language_id, op5_warc_normaliser, op6_benchmark_decontamination, op7_url_filters, op8_source_mixing, op9_secret_scan, op10_pii_scan)
+    ops = (op1_license_scan, op2_media_columns, op3_ngram_jaccard_join, op4_language_id, op5_warc_normaliser, op6_benchmark_decontamination, op7_url_filters, op8_source_mixing, op9_secret_scan, op10_pii_scan, op11_merkle_manifest, op12_fill_in_middle, op13_token_counts)
     return {f.__name__: f for f in ops}
 
 
