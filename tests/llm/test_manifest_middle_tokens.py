@@ -162,29 +162,62 @@ def token_rows():
     return texts + ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14))) for _ in range(600)] + ["same text here"] * 40
 
 
-@pytest.mark.parametrize("frequent", [1, 20, 50_000])
-def test_token_counts_are_the_librarys(spark, monkeypatch, frequent):
-    """Whatever part of the pre-tokens is broadcast."""
+@pytest.mark.parametrize("size", [1, 300, 16 << 20])
+def test_token_counts_are_the_librarys(spark, monkeypatch, size):
+    """Whatever the chunks: of one text each, of a few, of all."""
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_counts, "FREQUENT", frequent)
     whole = Tokenizer.from_file(PATH)
     rows = [(None if i == 2 else i, t, None, None, None, 7, "p", "x", "y") for i, t in enumerate(token_rows())]
-    got = token_counts.token_counts(spark.createDataFrame(rows, FIELDS), PATH, keep=("doc_id", "text", "a.b")).select("row.text", "n_bytes", "n_tokens").collect()
-    want = [(t, len((t or "").encode()), len(whole.encode(t or "", add_special_tokens=False).ids)) for t in token_rows()]
+    monkeypatch.setattr(token_counts, "CHUNK_BYTES", size)
+    docs = spark.createDataFrame(rows, FIELDS)
+    got = token_counts.token_counts(docs, PATH, keep=("doc_id", "text", "a.b")).select("row.doc_id", "row.text", "n_bytes", "n_tokens").collect()
+    want = [(r[0], r[1], len((r[1] or "").encode()), len(whole.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
-def test_a_tokenizer_that_keeps_spaces_is_cut_whole():
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_of_any_tokenizer(name):
+    """One that drops white space is cut by words, one that keeps it text by text."""
+    import numpy as np
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = public_tokenizers.path(name)
     cutter, whole = token_counts.Cutter(path), Tokenizer.from_file(path)
-    assert not cutter.by_word and token_counts.Cutter(PATH).by_word
+    assert cutter.by_word == name.startswith("word")
+    chunk = token_counts.Chunk(cutter)
     for text in token_rows()[1:]:
-        special, counts = cutter.frequencies(text)
-        assert special + sum(k * len(cutter.model.tokenize(p)) for p, k in counts.items()) == len(whole.encode(text, add_special_tokens=False).ids)
+        chunk.add(text)
+    names, fixed, data = chunk.frequencies()
+    assert len(set(names)) == len(names) and max(map(len, names)) <= token_counts.LONG
+    pieces = np.array([cutter.pieces(p) for p in names])
+    for text, f, d in zip(token_rows()[1:], fixed, data):
+        codes, times = token_counts.unpacked(d)
+        assert (np.diff(codes) > 0).all() and (times > 0).all()
+        assert f + pieces[codes] @ times == len(whole.encode(text, add_special_tokens=False).ids)
+
+
+def test_each_distinct_pre_token_is_counted_once(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+
+    class Model:
+        def pieces(self, p):
+            asked.append(p)
+            return len(p)
+
+    monkeypatch.setattr(token_counts, "_cutter", lambda path: Model())
+    frames = []
+
+    class Keys:
+        def mapInArrow(self, work, schema):
+            batches = [pa.record_batch([pa.array(range(len(k))), pa.array([7] * len(k), pa.int32()), pa.array(k)], names=["chunk", "code", "key"]) for k in (["a", "a", "bb"], ["bb", "bb", "c"])]
+            frames.extend(work(iter(batches)))
+
+    token_counts._pieces(Keys(), PATH)
+    assert asked == ["a", "bb", "c"] and [b.column(2).to_pylist() for b in frames] == [[1, 1, 2], [2, 2, 1]]
 
 
 def test_limits_and_the_tables_counts(spark, sf_dir):
