@@ -163,15 +163,14 @@ def token_rows():
 
 
 @pytest.mark.parametrize("size", [1, 300, 16 << 20])
-def test_token_counts_are_the_librarys(spark, monkeypatch, size):
+def test_token_counts_are_the_librarys(spark, size):
     """Whatever the chunks: of one text each, of a few, of all."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(PATH)
     rows = [(None if i == 2 else i, t, None, None, None, 7, "p", "x", "y") for i, t in enumerate(token_rows())]
-    monkeypatch.setattr(token_counts, "CHUNK_BYTES", size)
     docs = spark.createDataFrame(rows, FIELDS)
-    got = token_counts.token_counts(docs, PATH, keep=("doc_id", "text", "a.b")).select("row.doc_id", "row.text", "n_bytes", "n_tokens").collect()
+    got = token_counts.token_counts(docs, PATH, keep=("doc_id", "text", "a.b"), chunk_bytes=size).select("row.doc_id", "row.text", "n_bytes", "n_tokens").collect()
     want = [(r[0], r[1], len((r[1] or "").encode()), len(whole.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 

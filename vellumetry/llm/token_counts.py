@@ -196,9 +196,9 @@ class Chunk:
 _STORED = "chunk long, n_bytes long, fixed long, counts binary, keys array<string>"
 
 
-def _frequencies(rows: DataFrame, path: str) -> DataFrame:
+def _frequencies(rows: DataFrame, path: str, chunk_bytes: int) -> DataFrame:
     """row, uid and text in. Out: for each text row, chunk, n_bytes, fixed and counts, and for each chunk a row with its keys."""
-    kind = rows.schema["row"]
+    kind = T.StructField("row", rows.schema["row"].dataType)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = _cutter(path)
@@ -217,7 +217,7 @@ def _frequencies(rows: DataFrame, path: str) -> DataFrame:
         for part in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             begin = 0
             for i, (uid, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                if first is not None and chunk.bytes + len(text) > CHUNK_BYTES:
+                if first is not None and chunk.bytes + len(text) > chunk_bytes:
                     own.append(part.column(0).slice(begin, i - begin))
                     yield flush()
                     chunk, first, own, begin = Chunk(cutter), None, [], i
@@ -257,13 +257,13 @@ def _summed(texts: pa.Table, pieces: pa.Table) -> pa.Table:
     return pa.table({"row": texts["row"], "n_bytes": texts["n_bytes"], "n_tokens": pa.array(out, pa.int64())})
 
 
-def token_counts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``row`` (a struct of the columns named in keep), n_bytes and n_tokens, for every row.
 
     path: a tokenizer file of the ``tokenizers`` library that all executors can read at this place."""
     with Scratch(docs.sparkSession) as tmp:
         rows = docs.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"), F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        stored = tmp.write(_frequencies(rows, path))
+        stored = tmp.write(_frequencies(rows, path, chunk_bytes))
         keys = stored.where("keys is not null").select("chunk", F.posexplode("keys").alias("code", "key"))
         pieces = _pieces(keys.repartition("key").sortWithinPartitions("key"), path)
         texts = stored.where("keys is null").select("row", "chunk", "n_bytes", "fixed", "counts")
