@@ -89,12 +89,33 @@ RECHECKED = ["docx", "xlsx", "pptx", "doc", "xls", "ppt", "rtf", "txt", "csv"]
 
 #: The export filter's application for each label; writer for the rest.
 APPLICATION = {
-    "calc": "xlsx xlsm xls ods fods csv xlsb".split(),
-    "impress": "pptx pptm ppt pps ppsx odp fodp".split(),
-    "draw": "odg fodg xps oxps".split(),
+    "calc": ["xlsx", "xlsm", "xls", "ods", "fods", "csv", "xlsb"],
+    "impress": ["pptx", "pptm", "ppt", "pps", "ppsx", "odp", "fodp"],
+    "draw": ["odg", "fodg", "xps", "oxps"],
 }
-TWO_PASS = "xls ods fods csv xlsb".split()
-FOCUSABLE = "xlsx xlsm xls xlsb ods fods csv".split()
+TWO_PASS = ["xls", "ods", "fods", "csv", "xlsb"]
+FOCUSABLE = ["xlsx", "xlsm", "xls", "xlsb", "ods", "fods", "csv"]
+
+#: Labels and extensions of one family are told apart by their content alone, so a file that is named
+#: for another label of its family keeps its name. What is in no family is one of its own.
+FAMILIES = {
+    "word-ooxml": ["docx", "docm", "dotx", "dotm"],
+    "word-ole": ["doc", "dot"],
+    "calc-ooxml": ["xlsx", "xlsm", "xltx", "xltm", "xlam"],
+    "calc-ole": ["xls", "xlt", "xla"],
+    "calc-bin": ["xlsb"],
+    "impress-ooxml": ["pptx", "pptm", "ppsx", "ppsm", "potx", "potm", "ppam"],
+    "impress-ole": ["ppt", "pps", "pot", "ppa"],
+    "rtf": ["rtf"],
+    "odf-text": ["odt", "ott", "fodt"],
+    "odf-calc": ["ods", "ots", "fods"],
+    "odf-impress": ["odp", "otp", "fodp"],
+    "odf-draw": ["odg", "otg", "fodg"],
+    "text": ["txt", "csv", "md"],
+}
+
+#: The export filter that puts each sheet on a page of its own.
+ONE_PAGE_SHEETS = 'calc_pdf_Export:{"SinglePageSheets":{"type":"boolean","value":"true"}}'
 
 #: Barcode format names in plain-text scanner output.
 QR_FORMATS = {
@@ -156,6 +177,11 @@ def application_of(label: Column) -> Column:
     return out
 
 
+def family_of(name: Column) -> Column:
+    """The family of a label or an extension."""
+    return F.coalesce(lookup({member: family for family, members in FAMILIES.items() for member in members}, name), name)
+
+
 def is_text_mime(mime: Column) -> Column:
     return F.coalesce(F.startswith(mime, F.lit("text/")) | mime.isin(TEXT_MIME), F.lit(False))
 

@@ -82,7 +82,7 @@ def landscape_patch(xml: Column) -> Column:
 
 def css_value(value: Column) -> Column:
     """Quotes off both ends; three-digit hex colours doubled."""
-    bare = F.regexp_replace(F.trim(value), "^[\"']+|[\"']+$", "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"^\s+|\s+$", ""), '^"+|"+$', ""), "^'+|'+$", "")
     return F.regexp_replace(bare, "^#([0-9a-fA-F])([0-9a-fA-F])([0-9a-fA-F])$", "#$1$1$2$2$3$3")
 
 
@@ -102,31 +102,64 @@ def font_rung(size: Column) -> Column:
     return out.otherwise("7")
 
 
-def inherited_props(style: Column) -> dict[str, Column]:
-    """align, color, family, size, bold and decoration of a style attribute, null where absent."""
+#: How a property is found in a style; its value ends at a semicolon.
+_STYLE = {
+    "background": r"(?i)background(?:-color)?\s*:\s*([^;]+)",
+    "color": r"(?i)(?<!-)color\s*:\s*([^;]+)",
+    "text-align": r"(?i)text-align\s*:\s*(center|left|right|justify)",
+    "font-family": r"(?i)font-family\s*:\s*([^;]+)",
+    "font-size": r"(?i)font-size\s*:\s*([^;]+)",
+    "font-weight": r"(?i)font-weight\s*:\s*([^;]+)",
+    "text-decoration": r"(?i)text-decoration\s*:\s*([^;]+)",
+}
+
+
+def _style(style: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(style, _STYLE[name], 1), F.lit(""))
 
-    def get(name: str) -> Column:
-        found = F.regexp_extract(F.lower(style), rf"(?:^|;)\s*{name}\s*:\s*([^;]*)", 1)
-        return F.when(found != "", F.trim(found))
 
-    weight = get("font-weight")
+def css_background(style: Column) -> Column:
+    return css_value(_style(style, "background"))
+
+
+def inherited_props(style: Column) -> dict[str, Column]:
+    """align, color, family, size, weight and decoration of a style, null where absent or not understood."""
+    weight, line = (F.lower(css_value(_style(style, name))) for name in ("font-weight", "text-decoration"))
+    number = F.when(weight.rlike("^[0-9]+$"), F.when(F.length(F.regexp_replace(weight, "^0+", "")) > 9, F.lit(10**9)).otherwise(weight.try_cast("int")))
     return {
-        "align": get("text-align"),
-        "color": css_value(get("color")),
-        "family": css_value(F.substring_index(get("font-family"), ",", 1)),
-        "size": font_rung(get("font-size")),
-        "bold": F.coalesce(weight.isin("bold", "bolder") | (weight.try_cast("int") >= 600), F.lit(False)),
-        "decoration": get("text-decoration"),
+        "align": F.lower(_style(style, "text-align")),
+        "color": css_value(_style(style, "color")),
+        "family": css_value(F.get(split_unquoted(_style(style, "font-family"), ","), F.lit(0))),
+        "size": font_rung(_style(style, "font-size")),
+        "weight": F.when(weight.isin("bold", "bolder") | (number >= 600), "bold").when(weight.isin("normal", "lighter") | (number < 600), "normal"),
+        "decoration": F.when(line.contains("underline"), "underline").when(line.contains("none"), "none"),
     }
 
 
+def split_unquoted(text: Column, sep: str) -> Column:
+    """Pieces of text between separators that stand outside quotes; an open quote runs to the end, and an empty
+    last piece is none."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"""{sep}|"[^"]*(?:"|\z)|'[^']*(?:'|\z)|[^{sep}"']+"""), F.lit(0))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(s: Column, t: Column) -> Column:
+        ended = F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), F.lit("").alias("now"))
+        return F.when(t == sep, ended).otherwise(F.struct(s["done"].alias("done"), F.concat(s["now"], t).alias("now")))
+
+    return F.aggregate(tokens, zero, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+
+
 def declarations(style: Column) -> Column:
-    """MAP of lower-cased name to value, for styles without quoted semicolons; empty ones dropped."""
-    pairs = F.transform(F.split(style, ";"), lambda d: F.struct(F.lower(F.trim(F.substring_index(d, ":", 1))).alias("key"), F.when(F.locate(":", d) > 0, F.trim(F.regexp_extract(d, r"^[^:]*:(.*)$", 1))).alias("value")))
+    """MAP of lower-cased name to value in the order of the names' first coming; empty ones dropped."""
+    pairs = F.transform(split_unquoted(style, ";"), lambda d: F.struct(F.lower(_bare(F.substring_index(d, ":", 1))).alias("key"), F.when(F.locate(":", d) > 0, _bare(F.regexp_extract(d, r"(?s)^[^:]*:(.*)\z", 1))).alias("value")))
     kept = F.filter(pairs, lambda p: (p["key"] != "") & p["value"].isNotNull() & (p["value"] != ""))
-    # Of equal names the last wins.
-    last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    # Of equal names the last value holds, in the first one's place.
+    first = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, 1, i), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(F.transform(first, lambda p: F.struct(p["key"].alias("key"), F.element_at(F.filter(kept, lambda q: q["key"] == p["key"]), -1)["value"].alias("value"))))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
 def non_text_ops(stream: Column) -> Column:

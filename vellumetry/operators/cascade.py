@@ -1,8 +1,9 @@
-"""Style inheritance as joins: what each element of a page looks like, in legacy attribute terms.
+"""Style inheritance: what each element of a page looks like, in legacy attribute terms, and the page with these put in.
 
-Elements come out of a parser as rows with the path of their open ancestors. A declaration belongs to an
-element by tag, by class, by both, or by its own style attribute, in that order of strength. An
-inherited property is that of the nearest ancestor that sets it; a background is not inherited.
+A small parser gives the start tags as rows, with the places of their tags in the source and the element
+they stand in. What an element is declared to be comes from joins with the style blocks: by tag, by class, by tag and
+class, then by its own style attribute. An inherited property is that of the nearest element around it that sets
+it; a background is not inherited. The page is then spliced: only tags that change are written anew.
 """
 
 from __future__ import annotations
@@ -14,96 +15,194 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import css_value, font_rung
+from ..functions.text import css_background, declarations, inherited_props
 
 #: Elements that hold inherited values, that take bgcolor, align, and text decoration.
-CONTAINERS = "table tr td th div p span".split()
-BACKGROUND_ON = "table td th tr".split()
-ALIGN_ON = "td th p div".split()
-TEXT_ON = "td th div p span".split()
-
-
-class _Elements(HTMLParser):
-    def __init__(self):
-        super().__init__()
-        self.rows: list[tuple] = []
-        self.open: list[int] = []
-
-    def handle_starttag(self, tag, attrs):
-        given = dict(attrs)
+CONTAINERS = ["table", "tr", "td", "th", "div", "p", "span"]
+BACKGROUND_ON = ["table", "td", "th", "tr"]
+ALIGN_ON = ["td", "th", "p", "div"]
+TEXT_ON = ["td", "th", "div", "p", "span"]
+#: What is handed down, by the names of ``inherited_props``.
+HANDED_DOWN = ["align", "color", "family", "size", "weight", "decoration"]
+
+
+class _Tags(HTMLParser):
+    """Start tags and style blocks with their places, counted in code points."""
+
+    def __init__(self, text: str):
+        super().__init__(convert_charrefs=False)
+        self.text, self.rows, self.open, self.block = text, [], [], None
+        self.lines = [0]
+        for i, c in enumerate(text):
+            if c == "\n":
+                self.lines.append(i + 1)
+
+    def here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def handle_starttag(self, tag, attrs, closed=False):
+        start = self.here()
+        if tag == "style" and not closed:
+            self.block = start
+            return
+        given = {k: v or "" for k, v in attrs}
+        around = self.open[-1] if self.open else None
         pos = len(self.rows)
-        self.rows.append((pos, tag, (given.get("class") or "").split(), given.get("style") or "", "bgcolor" in given, "align" in given, [*self.open, pos]))
-        if tag in CONTAINERS:
+        self.rows.append({"pos": pos, "tag": tag, "around": around, "start": start, "stop": start + len(self.get_starttag_text()), "close": None, "closed": closed, "names": list(given), "given": list(given.values())})
+        if tag in CONTAINERS and not closed:
             self.open.append(pos)
 
     def handle_startendtag(self, tag, attrs):
-        depth = len(self.open)
-        self.handle_starttag(tag, attrs)
-        del self.open[depth:]
+        self.handle_starttag(tag, attrs, closed=True)
 
     def handle_endtag(self, tag):
-        if tag in CONTAINERS and self.open:
-            self.open.pop()
+        if tag == "style":
+            end = self.text.find(">", self.here())
+            self._drop(len(self.text) if end < 0 else end + 1)
+        elif tag in CONTAINERS and self.open:
+            self.rows[self.open.pop()]["close"] = self.here()
+
+    def _drop(self, stop: int) -> None:
+        if self.block is not None:
+            self.rows.append({"pos": len(self.rows), "tag": "style", "around": None, "start": self.block, "stop": stop, "close": stop, "closed": True, "names": [], "given": []})
+            self.block = None
 
+    def read(self) -> list[dict]:
+        try:
+            self.feed(self.text)
+            self.close()
+        except AssertionError:  # markup that the parser gives up on: such a page stays as it is
+            return []
+        self._drop(len(self.text))
+        return self.rows
 
-_SCHEMA = "doc_id long, pos int, tag string, classes array<string>, style string, has_bgcolor boolean, has_align boolean, path array<int>"
+
+_SCHEMA = "doc_id long, pos int, tag string, around int, start int, stop int, close int, closed boolean, names array<string>, given array<string>"
 
 
 def elements(html: DataFrame) -> DataFrame:
-    """(doc_id, pos, tag, classes, style, has_bgcolor, has_align, path) of every start tag."""
+    """(doc_id, pos, tag, around, start, stop, close, closed, names, given) of every start tag and style block.
+
+    around is the innermost open container; close is where the end tag that ends it begins; names and given are
+    the attributes. A style block is one row from its start tag to its end."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in _SCHEMA.split(", ")]
         for pdf in frames:
             for doc_id, text in zip(pdf["doc_id"], pdf["html"]):
-                parser = _Elements()
-                parser.feed(text or "")
-                yield pd.DataFrame([(doc_id, *r) for r in parser.rows], columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+                rows = pd.DataFrame([{"doc_id": doc_id, **r} for r in _Tags(text or "").read()], columns=columns)
+                yield rows.astype({"around": "Int32", "close": "Int32"})
 
     return html.select("doc_id", "html").mapInPandas(read, _SCHEMA)
 
 
-def declared(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, pos, prop, value): the strongest declaration of each property on each element itself.
-
-    rules has doc_id, selector, prop, value, as css_rules gives them."""
-    tag, classes = F.col("tag"), F.col("classes")
-    by_class = F.flatten(F.transform(classes, lambda c, i: F.array(F.struct(F.concat(F.lit("."), c).alias("selector"), (2 * i + 1).alias("rank")), F.struct(F.concat(tag, F.lit("."), c).alias("selector"), (2 * i + 2).alias("rank")))))
-    selectors = F.concat(F.array(F.struct(tag.alias("selector"), F.lit(0).alias("rank"))), by_class)
-    sheet = found.select("doc_id", "pos", F.explode(selectors).alias("s")).select("doc_id", "pos", "s.selector", "s.rank").join(rules, ["doc_id", "selector"])
-    inline = found.where("style <> ''").select("doc_id", "pos", F.posexplode(F.split("style", ";")).alias("i", "d")).where(F.contains("d", F.lit(":")))
-    inline = inline.select("doc_id", "pos", F.lower(F.trim(F.substring_index("d", ":", 1))).alias("prop"), F.trim(F.regexp_extract("d", r"(?s)^[^:]*:(.*)$", 1)).alias("value"), (1_000_000 + F.col("i")).alias("rank"))
-    every = sheet.select("doc_id", "pos", "prop", "value", "rank").unionByName(inline).where("value <> ''")
-    return every.groupBy("doc_id", "pos", "prop").agg(F.max_by("value", "rank").alias("value"))
+def own_styles(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds ``styled``, the style of each element itself: its own declarations over those of the style blocks.
+
+    rules has doc_id, selector, prop, value and at, as css_rules gives them. In a document without rules a style
+    attribute stays as it is written; else all is written again, each property where it first came."""
+    tag = F.col("tag")
+    inline = F.coalesce(F.try_element_at("given", F.nullif(F.array_position("names", "style"), F.lit(0)).cast("int")), F.lit(""))
+    classes = F.split(F.trim(F.regexp_replace(F.coalesce(F.try_element_at("given", F.nullif(F.array_position("names", "class"), F.lit(0)).cast("int")), F.lit("")), r"\s+", " ")), " ")
+    found = found.withColumns({"inline": inline, "classes": F.filter(classes, lambda c: c != "")})
+    by_class = F.flatten(F.transform("classes", lambda c: F.array(F.concat(F.lit("."), c), F.concat(tag, F.lit("."), c))))
+    marked = found.select("doc_id", "pos", F.posexplode(F.concat(F.array(tag), by_class)).alias("rank", "selector"))
+    sheet = marked.join(rules, ["doc_id", "selector"]).select("doc_id", "pos", "prop", "value", "rank", "at")
+    styled = rules.select("doc_id").distinct()
+    last = F.struct(F.lit(0).alias("b"), F.lit(0).alias("r"), F.lit(0).alias("i"))
+    own = found.where("inline <> ''").join(styled, "doc_id", "left_semi").select("doc_id", "pos", F.posexplode(F.map_entries(declarations(F.col("inline")))).alias("i", "d"))
+    own = own.select("doc_id", "pos", F.col("d.key").alias("prop"), F.col("d.value").alias("value"), (1_000_000 + F.col("i")).alias("rank"), last.alias("at"))
+    place = F.struct("rank", "at")
+    each = sheet.unionByName(own).groupBy("doc_id", "pos", "prop").agg(F.min(place).alias("first"), F.max_by("value", place).alias("value"))
+    lists = each.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("first", "prop", "value"))).alias("all"))
+    whole = F.array_join(F.transform("all", lambda d: F.concat(d["prop"], F.lit(":"), d["value"])), "; ")
+    out = found.join(lists, ["doc_id", "pos"], "left").join(styled.withColumn("ruled", F.lit(True)), "doc_id", "left")
+    style = F.when(F.col("ruled"), F.coalesce(whole, F.lit(""))).otherwise(F.col("inline"))
+    return out.select(*found.columns, style.alias("styled"))
+
+
+def effective(html: DataFrame, rules: DataFrame) -> DataFrame:
+    """The elements with ``styled``, ``background`` and what each has of HANDED_DOWN, its own or handed down."""
+    own = own_styles(elements(html), rules)
+    props = inherited_props(F.col("styled"))
+    own = own.withColumns({"background": css_background(F.col("styled")), **{k: F.nullif(props[k], F.lit("")) for k in HANDED_DOWN}})
+
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One document: elements in order, so what is around an element is known before it."""
+        pdf = pdf.sort_values("pos")
+        around = [None if pd.isna(a) else int(a) for a in pdf["around"]]
+        for k in HANDED_DOWN:
+            values: list = []
+            for a, v in zip(around, pdf[k]):
+                values.append(v if not pd.isna(v) else None if a is None else values[a])
+            pdf[k] = values
+        return pdf.astype({"around": "Int32", "close": "Int32"})
+
+    return own.groupBy("doc_id").applyInPandas(hand_down, own.schema)
+
+
+def _added(found: DataFrame) -> DataFrame:
+    """The elements with bgcolor, align, color, face, size, bold and underline, null or false where they get none."""
+    text = F.col("tag").isin(TEXT_ON) & ~F.col("closed")
+
+    def missing(name: str) -> Column:
+        return ~F.array_contains("names", name)
+
+    return found.withColumns({
+        "bgcolor": F.when(F.col("tag").isin(BACKGROUND_ON) & missing("bgcolor"), F.col("background")),
+        "align": F.when(F.col("tag").isin(ALIGN_ON) & missing("align"), F.col("align")),
+        "color": F.when(text, F.col("color")),
+        "face": F.when(text, F.col("family")),
+        "size": F.when(text, F.col("size")),
+        "bold": F.coalesce(text & (F.col("weight") == "bold"), F.lit(False)),
+        "underline": F.coalesce(text & (F.col("decoration") == "underline"), F.lit(False)),
+    })
 
 
 def legacy_attributes(html: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, pos, tag, bgcolor, align, color, face, size, bold, underline) of elements that get any."""
-    found = elements(html)
-    own = declared(found, rules)
-    kept = found.where(F.col("tag").isin(CONTAINERS))
-    up = kept.select("doc_id", "pos", F.posexplode("path").alias("depth", "at"))
-    near = up.join(own.withColumnRenamed("pos", "at"), ["doc_id", "at"])
-    lower = F.lower("value")
-
-    def value_of(prop: Column) -> Column:
-        heavy = lower.isin("bold", "bolder") | (lower.try_cast("int") >= 600)
-        return (
-            F.when(prop == "text-align", F.when(lower.isin("center", "left", "right", "justify"), lower))
-            .when(prop == "color", css_value(F.col("value")))
-            .when(prop == "font-family", css_value(F.substring_index("value", ",", 1)))
-            .when(prop == "font-size", font_rung(F.col("value")))
-            .when(prop == "font-weight", F.when(heavy, "bold"))
-            .when(prop == "text-decoration", F.when(F.contains(lower, F.lit("underline")), "underline"))
-        )
-
-    near = near.withColumn("v", value_of(F.col("prop"))).where("v is not null")
-    names = {"text-align": "align", "color": "color", "font-family": "face", "font-size": "size", "font-weight": "bold", "text-decoration": "underline"}
-    nearest = near.groupBy("doc_id", "pos").agg(*[F.max_by(F.when(F.col("prop") == p, F.col("v")), F.when(F.col("prop") == p, F.col("depth"))).alias(n) for p, n in names.items()])
-    ground = own.where(F.col("prop").isin("background", "background-color")).groupBy("doc_id", "pos").agg(F.min_by("value", "prop").alias("bg"))
-    out = kept.join(nearest, ["doc_id", "pos"], "left").join(ground, ["doc_id", "pos"], "left")
-    text = F.col("tag").isin(TEXT_ON)
-    shown = out.select(
-        "doc_id", "pos", "tag", F.when(F.col("tag").isin(BACKGROUND_ON) & ~F.col("has_bgcolor"), css_value(F.col("bg"))).alias("bgcolor"), F.when(F.col("tag").isin(ALIGN_ON) & ~F.col("has_align"), F.col("align")).alias("align"),
-        *[F.when(text, F.col(c)).alias(c) for c in ("color", "face", "size")], *[F.coalesce(text & F.col(c).isNotNull(), F.lit(False)).alias(c) for c in ("bold", "underline")],
-    )
+    shown = _added(effective(html, rules)).select("doc_id", "pos", "tag", "bgcolor", "align", "color", "face", "size", "bold", "underline")
     return shown.where("bgcolor is not null or align is not null or color is not null or face is not null or size is not null or bold or underline")
+
+
+def inject(html: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, html) with the computed attributes in the tags and legacy elements round the text.
+
+    Style blocks are left out, as what they say is in the tags. Every tag that gets nothing, and all between
+    tags, is byte for byte as it was."""
+    every = _added(effective(html, rules))
+    escaped = lambda c: F.replace(c, F.lit('"'), F.lit("&quot;"))
+    # Attributes in their order, a new style in the old one's place, what is added behind.
+    styled = F.when((F.col("styled") != "") & (F.col("styled") != F.col("inline")), F.col("styled"))
+    given = F.zip_with("names", "given", lambda n, v: F.struct(n.alias("name"), F.when(n == "style", F.coalesce(styled, v)).otherwise(v).alias("value")))
+    more = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("name"), F.col(c).alias("value"))) for c in ("bgcolor", "align")]
+    more.append(F.when(~F.array_contains("names", "style") & styled.isNotNull(), F.struct(F.lit("style").alias("name"), styled.alias("value"))))
+    attributes = F.concat(given, F.array_compact(F.array(*more)))
+    parts = F.transform(attributes, lambda a: F.when(a["value"] == "", F.concat(F.lit(" "), a["name"])).otherwise(F.concat(F.lit(" "), a["name"], F.lit('="'), escaped(a["value"]), F.lit('"'))))
+    tag = F.concat(F.lit("<"), F.col("tag"), F.array_join(parts, ""), F.when(F.col("closed"), " />").otherwise(">"))
+    changed = F.col("bgcolor").isNotNull() | F.col("align").isNotNull() | styled.isNotNull()
+    font = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f' {c}="'), F.col(c), F.lit('"'))) for c in ("color", "face", "size")])), "")
+    fonts = F.col("color").isNotNull() | F.col("face").isNotNull() | F.col("size").isNotNull()
+    opened = F.concat(F.when(fonts, F.concat(F.lit("<font"), font, F.lit(">"))).otherwise(""), F.when(F.col("bold"), "<b>").otherwise(""), F.when(F.col("underline"), "<u>").otherwise(""))
+    shut = F.concat(F.when(F.col("underline"), "</u>").otherwise(""), F.when(F.col("bold"), "</b>").otherwise(""), F.when(fonts, "</font>").otherwise(""))
+    block = (F.col("tag") == "style") & F.col("close").isNotNull()
+    edits = F.array(
+        F.when(block, F.struct("start", F.col("stop").alias("end"), F.lit("").alias("text"))).when(changed, F.struct("start", F.col("stop").alias("end"), tag.alias("text"))),
+        F.when(opened != "", F.struct(F.col("stop").alias("start"), F.col("stop").alias("end"), opened.alias("text"))),
+        F.when((shut != "") & F.col("close").isNotNull(), F.struct(F.col("close").alias("start"), F.col("close").alias("end"), shut.alias("text"))),
+    )
+    lists = every.select("doc_id", "pos", F.posexplode(edits).alias("k", "e")).where("e is not null").groupBy("doc_id").agg(F.collect_list(F.struct("e.start", "e.end", "pos", "k", "e.text")).alias("edits"))
+
+    def splice(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            done = []
+            for text, edits in zip(pdf["html"], pdf["edits"]):
+                out, at = [], 0
+                for e in sorted(edits if edits is not None else (), key=lambda e: (e["start"], e["end"], e["pos"], e["k"])):
+                    out += [text[at : e["start"]], e["text"]]
+                    at = e["end"]
+                done.append(text if text is None else "".join([*out, text[at:]]))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "html": done})
+
+    return html.select("doc_id", "html").join(lists, "doc_id", "left").mapInPandas(splice, "doc_id long, html string")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
-from ..functions import text as T
 
 
 def export_plan(label: Column) -> dict[str, Column]:
@@ -16,24 +15,64 @@ def export_plan(label: Column) -> dict[str, Column]:
     return {"application": app, "two_pass": twice, "steps": F.when(twice, F.array(F.lit("xlsx"), app)).otherwise(F.array(app))}
 
 
-def filters_to_try(label: Column, ext: Column) -> Column:
-    """Distinct applications in order: the label's, the extension's, then writer."""
-    return F.array_distinct(F.array_compact(F.array(L.application_of(label), F.when(L.extension_label(ext).isNotNull(), L.application_of(L.extension_label(ext))), F.lit("writer"))))
+def rasterizer(name: Column, dpi: int) -> Column:
+    """The resolution argument of a rasterizer; null for an unknown one."""
+    return F.when(name == "pdfium", F.format_string("--scale=%.6f", F.lit(dpi / 72))).when(name == "pdftoppm", F.lit(f"-r {dpi}"))
 
 
-def needs_rename(label: Column, ext: Column) -> Column:
-    """Whether a file should be staged under its label's name: other application and other name."""
-    return (L.application_of(label) != L.application_of(L.extension_label(ext))) & (label != ext)
+#: How long a whole number may be, what recognition languages and lists of barcode formats look
+#: like, and words for yes.
+MOST_DIGITS = 4300
+LANGUAGES, FORMATS = r"^[A-Za-z0-9_+\-]+\z", r"^(?!,)(?!.*,,)[a-z0-9_,]*[a-z0-9_]\z"
+YES = ["1", "true", "yes", "on"]
+_SPACE = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-def rasterizer(name: Column, dpi: int) -> Column:
-    """The resolution argument of a rasterizer; null for an unknown one."""
-    return F.when(name == "pdfium", F.format_string("--scale=%.6f", F.lit(dpi / 72))).when(name == "pdftoppm", F.lit(f"-r {dpi}"))
+def _stripped(raw: Column) -> Column:
+    return F.regexp_replace(raw, _SPACE, "")
 
 
 def option_clamp(raw: Column, default: int, low: int, high: int) -> Column:
-    """A whole-number option within its bounds; malformed text is the default."""
-    return F.greatest(F.lit(low), F.least(F.coalesce(raw.try_cast("int"), F.lit(default)), F.lit(high)))
+    """A whole-number option within its bounds, however long it is; text that is no whole number is the default."""
+    text = _stripped(raw)
+    digits = F.regexp_replace(text, "[+_-]", "")
+    # Single strokes may stand between digits. No pattern here repeats a group, which would go as deep as the text is long.
+    whole = text.rlike(r"^[+-]?[0-9][0-9_]*\z") & ~text.contains("__") & ~F.endswith(text, F.lit("_")) & (F.length(digits) <= MOST_DIGITS)
+    # Ten digits are beyond every bound.
+    bare = F.regexp_replace(digits, "^0+(?=[0-9])", "")
+    size = F.when(F.length(bare) > 9, F.lit(10**9)).otherwise(bare.try_cast("int"))
+    value = F.when(whole, F.when(F.startswith(text, F.lit("-")), -size).otherwise(size))
+    return F.greatest(F.lit(low), F.least(F.coalesce(value, F.lit(default)), F.lit(high)))
+
+
+def option_flag(raw: Column, default: bool) -> Column:
+    """A switch: on if it says so, off for any other text, the default where it is not given."""
+    return F.when(raw.isNull(), F.lit(default)).otherwise(F.lower(_stripped(raw)).isin(YES))
+
+
+def option_text(raw: Column, pattern: str, default: str) -> Column:
+    """Text of a fixed shape; any other is the default."""
+    text = F.coalesce(_stripped(raw), F.lit(""))
+    return F.when(text.rlike(pattern), text).otherwise(default)
+
+
+def convert_options(params: Column, timeout: Column) -> Column:
+    """All options of one conversion from its untrusted parameters (a map of texts), each validated and clamped."""
+
+    def p(name: str) -> Column:
+        return F.element_at(params, name)
+
+    return F.struct(
+        F.greatest(F.lit(1), F.least(timeout, F.lit(600))).alias("timeout_s"),
+        option_flag(p("QR"), True).alias("qr_enabled"),
+        option_text(p("QR_FORMATS"), FORMATS, "qr_code,micro_qr_code,rmqr_code").alias("qr_formats"),
+        option_clamp(p("QR_TIMEOUT_S"), 10, 1, 120).alias("qr_timeout_s"),
+        option_flag(p("OCR"), False).alias("ocr_enabled"),
+        option_flag(p("OCR_ALL"), False).alias("ocr_all"),
+        option_text(p("OCR_LANG"), LANGUAGES, "eng+Latin").alias("ocr_lang"),
+        option_clamp(p("OCR_PSM"), 3, 0, 13).alias("ocr_psm"),
+        option_clamp(p("OCR_TIMEOUT_S"), 60, 1, 600).alias("ocr_timeout_s"),
+    )
 
 
 def security_block(backend: Column, disclose: Column) -> Column:
@@ -64,45 +103,3 @@ def warning(code: Column, message: Column) -> Column:
     """A warning as the record has it: cut to size, and never without a code."""
     code = F.when(F.coalesce(code, F.lit("")) == "", "warning").otherwise(code)
     return F.struct(cut("warning_code", code).alias("code"), cut("warning_message", F.coalesce(message, F.lit(""))).alias("message"))
-
-
-def page_node() -> Column:
-    """A page of the record: its size, its picture, and those of its hashes that are well formed."""
-    hashes = [F.when(T.valid_hash(F.col(c), n).isNotNull(), F.struct(F.lit(c).alias("algo"), F.col(c).alias("value"))) for c, n in (("phash", 16), ("colorhash", None), ("sha256", 64))]
-    dims = F.struct(F.col("width_mm").alias("width"), F.col("height_mm").alias("height"), F.lit("mm").alias("unit"))
-    return F.struct(F.col("page").alias("index"), dims.alias("dims"), F.concat(F.lit("p"), F.col("page").cast("string")).alias("image"), F.array_compact(F.array(*hashes)).alias("hashes"))
-
-
-def envelope(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """One nested record a document: status, detection, pages in order, artifacts, warnings, summed time.
-
-    docs has doc_id, reject_reason, label, mime, confidence, has_pdf and warnings (an array of code and
-    message); pages has doc_id, page, ms, file, trimmed_file, focused_file (null where there is none),
-    width_mm, height_mm, phash, colorhash and sha256. A rejection is a status, and such a record has no pages,
-    artifacts or detection; its pages are left out before the shuffle."""
-    live = docs.where("reject_reason is null").select("doc_id")
-    files = F.array(*[F.struct(F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(tail)).alias("id"), F.col(c).alias("path"), F.lit("image").alias("kind")) for c, tail in (("file", ""), ("trimmed_file", "-trimmed"), ("focused_file", "-focused"))])
-    files = F.filter(files, lambda f: f["path"].isNotNull())
-    got = pages.join(live, "doc_id", "left_semi").select("doc_id", "ms", F.struct("page", page_node().alias("node"), files.alias("files")).alias("p"))
-    got = got.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("ms").alias("total_ms"))
-    out = docs.join(got, "doc_id", "left")
-    ok = F.col("reject_reason").isNull()
-
-    def listed(values: Column, kind: str) -> Column:
-        return F.coalesce(F.when(ok, values), F.array().cast(kind))
-
-    node, file = (got.select(F.col("p")[0][c].alias("x")).schema["x"].dataType for c in ("node", "files"))
-    pdf = F.when(F.col("has_pdf"), F.array(F.struct(F.lit("document-pdf").alias("id"), F.lit("document.pdf").alias("path"), F.lit("pdf").alias("kind")))).otherwise(F.array().cast(file))
-    seen = F.struct(F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("mime", F.lit("application/octet-stream")).alias("mime"), T.clamp_confidence(F.col("confidence")).alias("confidence"))
-    return out.select(
-        "doc_id", F.when(ok, "ok").otherwise("rejected").alias("status"), "reject_reason", F.when(ok, seen).alias("detected"),
-        listed(F.transform("p", lambda x: x["node"]), f"array<{node.simpleString()}>").alias("pages"),
-        listed(F.concat(F.coalesce(F.flatten(F.transform("p", lambda x: x["files"])), F.array().cast(file)), pdf), file.simpleString()).alias("artifacts"),
-        F.transform(F.coalesce("warnings", F.array().cast("array<struct<code:string,message:string>>")), lambda w: warning(w["code"], w["message"])).alias("warnings"),
-        F.coalesce("total_ms", F.lit(0)).cast("long").alias("total_ms"),
-    )
-
-
-def json_record(record: Column) -> Column:
-    """JSON text; optional keys that are null are absent."""
-    return F.to_json(record, {"ignoreNullFields": "true"})

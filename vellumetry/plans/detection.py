@@ -103,7 +103,7 @@ def mht_sniff(spark, t):
 
 @query("""SELECT page_id AS doc_id, regexp_extract(html, '<style>([a-z]+)\\{', 1) AS selector, regexp_extract(html, '<style>[a-z]+\\{([a-z]+):', 1) AS prop, regexp_extract(html, '<style>[a-z]+\\{[a-z]+:([^}]*)\\}', 1) AS value FROM pages""")
 def css_rules(spark, t):
-    return C.css_rules(t("pages").select(F.col("page_id").alias("doc_id"), "html"))
+    return C.css_rules(t("pages").select(F.col("page_id").alias("doc_id"), "html")).drop("at")
 
 
 @query("""
@@ -147,11 +147,11 @@ def font_rungs(spark, t):
 
 @query("""
 WITH c AS (SELECT p_partkey, lpad(((p_size * 37) % 1000)::VARCHAR, 3, '0') AS c, p_size FROM part)
-SELECT p_partkey, '#' || c[1:1] || c[1:1] || c[2:2] || c[2:2] || c[3:3] || c[3:3] AS color, 'center' AS align, p_size * 20 >= 600 AS bold, 'arial' AS family FROM c""")
+SELECT p_partkey, '#' || c[1:1] || c[1:1] || c[2:2] || c[2:2] || c[3:3] || c[3:3] AS color, 'center' AS align, p_size * 20 >= 600 AS bold, 'Arial' AS family FROM c""")
 def inherited_props(spark, t):
     c = F.lpad(((F.col("p_size") * 37) % 1000).cast("string"), 3, "0")
     props = T.inherited_props(F.concat(F.lit("color: '#"), c, F.lit("'; Text-Align: center; font-family: \"Arial\", serif; font-weight:"), (F.col("p_size") * 20).cast("string")))
-    return t("part").select("p_partkey", *[props[k].alias(k) for k in ("color", "align", "bold", "family")])
+    return t("part").select("p_partkey", props["color"].alias("color"), props["align"].alias("align"), (props["weight"] == "bold").alias("bold"), props["family"].alias("family"))
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as T
+from ..operators import attempts as A
 from ..operators import cascade, containers, scanners
 from ..operators import detect as D
 from ..operators import jobs as J
@@ -50,10 +51,23 @@ def content_warnings(spark, t):
     return t("documents").select("doc_id", F.array_join(D.ole_warnings(streams), ",").alias("ole"), F.array_join(D.ooxml_warnings(entries), ",").alias("ooxml"))
 
 
-@query("SELECT p_partkey, 'b' || p_size::VARCHAR AS color, 3::BIGINT AS n FROM part")
+@query(r"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN '"' ELSE '' END || replace(replace(replace(replace(text[1:400], '.', ';'), ' ', ': '), 'a', '"'), ',', '''') AS style FROM conversations),
+w(conv_id, turn, i, quote, n, ch, style) AS (SELECT conv_id, turn, 0, '', 0, '', style FROM d
+  UNION ALL SELECT conv_id, turn, i + 1, CASE WHEN quote <> '' THEN CASE WHEN style[i + 1] = quote THEN '' ELSE quote END WHEN style[i + 1] IN ('"', '''') THEN style[i + 1] ELSE '' END,
+   n + (quote = '' AND style[i + 1] = ';')::INT, CASE WHEN quote = '' AND style[i + 1] = ';' THEN '' ELSE style[i + 1] END, style FROM w WHERE i < length(style)),
+p AS (SELECT conv_id, turn, n, string_agg(ch, '' ORDER BY i) AS piece FROM w WHERE i > 0 GROUP BY ALL),
+v AS (SELECT conv_id, turn, n, lower(regexp_replace(split_part(piece, ':', 1), '^\s+|\s+$', '', 'g')) AS name, regexp_replace(piece[position(':' IN piece) + 1:], '^\s+|\s+$', '', 'g') AS value FROM p WHERE contains(piece, ':')),
+k AS (SELECT conv_id, turn, name, arg_max(value, n) AS value, min(n) AS n FROM v WHERE name <> '' AND value <> '' GROUP BY ALL)
+SELECT d.conv_id, d.turn, count(k.name) AS n, coalesce(string_agg(k.name || '=' || k.value, '|' ORDER BY k.n), '') AS declared FROM d LEFT JOIN k USING (conv_id, turn) GROUP BY ALL""")
 def css_declarations(spark, t):
-    props = T.declarations(F.concat(F.lit("Color: a; margin:0 ; ;x:; COLOR:b"), F.col("p_size").cast("string"), F.lit("; width : 2px")))
-    return t("part").select("p_partkey", F.element_at(props, "color").alias("color"), F.size(props).cast("long").alias("n"))
+    """Turns as styles, their points semicolons and many of their letters quotes: what is declared, in order."""
+    text = F.substring("text", 1, 400)
+    for old, new in ((".", ";"), (" ", ": "), ("a", '"'), (",", "'")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    props = T.declarations(F.concat(F.when(F.length("text") % 3 == 0, '"').otherwise(""), text))
+    pairs = F.transform(F.map_entries(props), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return t("conversations").select("conv_id", "turn", F.size(pairs).cast("long").alias("n"), F.array_join(pairs, "|").alias("declared"))
 
 
 @query("""
@@ -77,12 +91,12 @@ def style_cascade(spark, t):
 
 
 @query("""
-SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'calc,writer' WHEN 1 THEN 'writer' WHEN 2 THEN 'impress,draw,writer' ELSE 'writer,calc' END AS tries, p_size % 4 IN (2, 3) AS renamed,
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'calc_pdf_Export:{"SinglePageSheets":{"type":"boolean","value":"true"}};calc_pdf_Export;writer_pdf_Export' WHEN 2 THEN 'impress_pdf_Export;writer_pdf_Export' ELSE 'writer_pdf_Export' END AS tries, p_size % 4 IN (1, 2) AS renamed,
 CASE p_size % 3 WHEN 0 THEN '--scale=2.083333' WHEN 1 THEN '-r 150' END AS raster, p_size % 2 = 0 AS argv_ok, p_size % 4 = 0 AS focus FROM part""")
 def fallback_plans(spark, t):
     label, ext = _of("p_size", ["xlsx", "docx", "pptx", "txt"]), _of("p_size", ["xlsm", "doc", "odg", "csv"])
     return t("part").select(
-        "p_partkey", F.array_join(O.filters_to_try(label, ext), ",").alias("tries"), O.needs_rename(label, ext).alias("renamed"), O.rasterizer(_of("p_size", ["pdfium", "pdftoppm", "none"]), 150).alias("raster"),
+        "p_partkey", F.array_join(A.filters_to_try(label), ";").alias("tries"), A.needs_rename(label, ext).alias("renamed"), O.rasterizer(_of("p_size", ["pdfium", "pdftoppm", "none"]), 150).alias("raster"),
         T.positional_ok(_of("p_size", ["in.doc", "-in.doc"])).alias("argv_ok"), label.isin(L.FOCUSABLE).alias("focus"),
     )
 
@@ -98,3 +112,13 @@ def jobs_by_id(spark, t):
 def scanner_arguments(spark, t):
     formats = _of("turn", ["qr_code,rmqr_code", "micro_qr_code", "aztec"])
     return t("conversations").select("conv_id", "turn", scanners.old_format_names(formats).alias("formats"), scanners.found_nothing(_of("turn", ["No barcode found\n", "Text: x"])).alias("nothing"))
+
+
+@query("""
+SELECT page_id, md5(coalesce(h, '')) AS html, length(h) - length(html) AS added FROM (SELECT page_id, html, replace(regexp_replace(html, '(?s)<style>p\\{margin:0\\}</style>', ''), '<p>', '<p style="margin:0">') AS h FROM pages)""")
+def legacy_html(spark, t):
+    """Pages with what their style blocks say put into the tags, all else as it was."""
+    pages = t("pages").select(F.col("page_id").alias("doc_id"), "html")
+    done = cascade.inject(pages, containers.css_rules(pages)).withColumnRenamed("html", "new")
+    got = pages.join(done, "doc_id")
+    return got.select(F.col("doc_id").alias("page_id"), F.md5(F.coalesce("new", F.lit(""))).alias("html"), (F.length("new") - F.length("html")).cast("long").alias("added"))

@@ -9,7 +9,8 @@ from ..functions import text as T
 from ..operators import containers as C
 from ..operators import jobs as J
 from ..operators import scanners as S
-from ..operators.plans import cut, envelope, export_plan, option_clamp, security_block, warning, warnings_in_order
+from ..operators.envelope import details, envelope
+from ..operators.plans import cut, export_plan, option_clamp, security_block, warning, warnings_in_order
 from .registry import query
 
 _C = "conversations"
@@ -214,26 +215,48 @@ def envelope_truncation(spark, t):
 
 
 @query("""
-WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR) AS h, l_linenumber % 2 = 0 AS trimmed, max(l_discount) > 0.05 AS focused, max(l_quantity) AS w, max(l_tax) AS x FROM lineitem GROUP BY 1, 2),
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, md5(l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR) AS h, l_linenumber % 2 = 0 AS trimmed, max(l_discount) > 0.05 AS focused, max(l_quantity) AS w, max(l_tax) AS x, max(l_partkey) AS part FROM lineitem GROUP BY 1, 2),
 p AS (SELECT k, count(*) AS pages, sum(n) AS ms, string_agg('p' || n::VARCHAR || '=page-' || lpad(n::VARCHAR, 3, '0') || '.png' || CASE WHEN trimmed THEN ';p' || n::VARCHAR || '-trimmed=page-' || lpad(n::VARCHAR, 3, '0') || '-trimmed.png' ELSE '' END
  || CASE WHEN focused THEN ';p' || n::VARCHAR || '-focused=page-' || lpad(n::VARCHAR, 3, '0') || '-focused.png' ELSE '' END, ';' ORDER BY n) AS files,
- string_agg(n::VARCHAR || CASE WHEN x > 0.04 THEN '' ELSE ':phash=' || h[1:16] END || ':colorhash=' || h[1:14] || ':sha256=' || h || h, ';' ORDER BY n) AS hashes, sum(w) AS width FROM l GROUP BY k)
-SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'rejected' ELSE 'ok' END AS status, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce(pages, 0) END AS pages, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE coalesce(ms, 0) END::BIGINT AS total_ms,
-CASE WHEN o_orderstatus = 'F' THEN '' ELSE concat_ws(';', files, CASE WHEN o_orderkey % 3 = 0 THEN 'document-pdf=document.pdf' END) END AS artifacts, CASE WHEN o_orderstatus = 'F' THEN '' ELSE coalesce(hashes, '') END AS hashes,
-CASE WHEN o_orderstatus <> 'F' THEN greatest(0.0, least(1.0, o_totalprice / 200000)) END::DOUBLE AS confidence, repeat(o_orderpriority, 20)[1:64] AS code FROM orders LEFT JOIN p ON k = o_orderkey""")
+ string_agg(n::VARCHAR || CASE WHEN x > 0.04 THEN '' ELSE ':phash=' || h[1:16] END || ':colorhash=' || h[1:14] || ':sha256=' || h || h, ';' ORDER BY n) AS hashes,
+ string_agg(CASE WHEN trimmed THEN '0:blank_page' ELSE (w::BIGINT % 4)::VARCHAR || ':' END || ':' || md5(repeat(h, part::INT)[1:10000]) || ':' || (32 * part)::VARCHAR, ';' ORDER BY n) AS scans FROM l GROUP BY k),
+d AS (SELECT *, o_orderstatus = 'F' AS no, repeat('not let in: ' || o_orderpriority, 200)[1:2000] AS reason, CASE WHEN o_orderpriority LIKE '1%' THEN 'unknown' ELSE lower(o_orderpriority[3:]) END AS label FROM orders)
+SELECT o_orderkey AS doc_id, CASE WHEN no THEN 'rejected' ELSE 'ok' END AS status, CASE WHEN no THEN 'unknown' ELSE label END AS detected, CASE WHEN no THEN 'application/octet-stream' ELSE 'application/' || lower(o_orderpriority) END AS content_type,
+CASE WHEN no THEN 0 ELSE greatest(0.0, least(1.0, o_totalprice / 200000)) END::DOUBLE AS confidence, CASE WHEN no THEN 'rejected' ELSE label END AS label, CASE WHEN no THEN reason END AS reason,
+CASE WHEN no THEN 0 ELSE coalesce(pages, 0) END AS pages, CASE WHEN no THEN 0 ELSE coalesce(ms, 0) END::BIGINT AS total_ms, CASE WHEN NOT no THEN o_custkey END AS page_count_total, CASE WHEN NOT no THEN o_custkey % 3 = 0 END AS truncated,
+CASE WHEN no THEN '' ELSE concat_ws(';', files, CASE WHEN o_orderkey % 3 = 0 THEN 'document-pdf=document.pdf' END) END AS artifacts, CASE WHEN no THEN '' ELSE coalesce(hashes, '') END AS hashes, CASE WHEN no THEN '' ELSE coalesce(scans, '') END AS scans,
+CASE WHEN no THEN 'rejected=' || reason ELSE repeat(o_orderpriority, 20)[1:64] || '=;warning=' || o_orderpriority END AS warnings, CASE WHEN NOT no THEN o_orderpriority || '"' || chr(10) END AS read_back, CASE WHEN NOT no THEN o_custkey END AS read_count FROM d LEFT JOIN p ON k = o_orderkey""")
 def envelopes(spark, t):
-    """Orders as documents and lines as pages, each with its files and hashes, of which some are malformed."""
+    """Orders as documents and lines as pages: files, hashes (some malformed), scanner records, and metadata read back out of the record."""
     n = F.col("l_linenumber")
     h = F.md5(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), n.cast("string")))
-    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_discount", "l_quantity", "l_tax")])
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_discount", "l_quantity", "l_tax", "l_partkey")])
+    part = F.col("l_partkey").cast("int")
     pages = lines.select(
         F.col("l_orderkey").alias("doc_id"), n.alias("page"), n.alias("ms"), T.page_file(n).alias("file"), F.when(n % 2 == 0, T.page_file(n, "trimmed")).alias("trimmed_file"), F.when(F.col("l_discount") > 0.05, T.page_file(n, "focused")).alias("focused_file"),
         F.col("l_quantity").alias("width_mm"), F.col("l_quantity").alias("height_mm"), F.when(F.col("l_tax") > 0.04, "no hash").otherwise(F.substring(h, 1, 16)).alias("phash"), F.substring(h, 1, 14).alias("colorhash"), F.concat(h, h).alias("sha256"),
+        F.when(n % 2 == 1, F.array_repeat(F.lit("code"), (F.col("l_quantity").cast("long") % 4).cast("int"))).alias("qr"), F.when(n % 2 == 0, "blank_page").alias("qr_skipped"),
+        F.repeat(h, part).alias("ocr_text"), (32 * part).alias("ocr_char_count"), F.lit(None).cast("string").alias("ocr_skipped"),
     )
-    docs = t("orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "unsupported_type").alias("reject_reason"), F.lit("docx").alias("label"), F.lit("x").alias("mime"), (F.col("o_totalprice") / 200_000).alias("confidence"),
-        (F.col("o_orderkey") % 3 == 0).alias("has_pdf"), F.array(F.struct(F.repeat("o_orderpriority", F.lit(20)).alias("code"), F.lit(None).cast("string").alias("message"))).alias("warnings"),
+    priority = F.col("o_orderpriority")
+    seen = F.struct(F.when(~F.startswith(priority, F.lit("1")), F.lower(F.substring(priority, 3, 100))).otherwise("").alias("label"), F.concat(F.lit("application/"), F.lower(priority)).alias("mime"), (F.col("o_totalprice") / 200_000).alias("confidence"))
+    render = F.struct(F.col("o_custkey").alias("page_count_total"), (F.col("o_custkey") % 3 == 0).alias("truncated"))
+    notes = F.struct(F.concat(priority, F.lit('"\n')).alias("priority"))
+    first, second = F.struct(F.repeat(priority, F.lit(20)).alias("code")), F.struct(F.lit("").alias("code"), priority.alias("message"))
+    whole = F.concat(F.lit('{"input":{"detected":'), F.to_json(seen), F.lit('},"render":'), F.to_json(render), F.lit(',"notes":['), F.to_json(notes), F.lit('],"warnings":['), F.to_json(first), F.lit(",7,"), F.to_json(second), F.lit("]}"))
+    no = F.when(F.col("o_orderstatus") == "F", F.repeat(F.concat(F.lit("not let in: "), priority), F.lit(200)))
+    docs = t("orders").select(F.col("o_orderkey").alias("doc_id"), no.alias("reject_reason"), (F.col("o_orderkey") % 3 == 0).alias("has_pdf"), F.parse_json(whole).alias("meta"))
+    r = envelope(docs, pages)
+    record = F.struct(*r.columns)
+    children, about = F.col("payload.children"), F.col("payload.metadata")
+    scans = F.transform(F.flatten(F.transform(children, lambda p: p["children"])), lambda x: F.concat_ws(":", x["qr_count"].cast("string"), F.coalesce(x["qr_skipped"], F.lit("")), F.md5(x["ocr_text"]), x["ocr_char_count"].cast("string")))
+    hashes = F.transform(children, lambda p: F.concat_ws(":", p["index"].cast("string"), F.transform(p["hashes"], lambda x: F.concat(x["algo"], F.lit("="), x["value"]))))
+
+    def joined(c, one, two):
+        return F.array_join(F.transform(c, lambda a: F.concat(a[one], F.lit("="), a[two])), ";").alias(c)
+
+    return r.select(
+        "doc_id", "status", F.col("detected.label").alias("detected"), "payload.content_type", "detected.confidence", about["label"].alias("label"), about["reason"].alias("reason"), F.size(children).cast("long").alias("pages"), "total_ms",
+        about["page_count_total"].alias("page_count_total"), about["truncated"].alias("truncated"), joined("artifacts", "id", "path"), F.array_join(hashes, ";").alias("hashes"), F.array_join(scans, ";").alias("scans"), joined("warnings", "code", "message"),
+        F.try_variant_get(details(record), "$.notes[0].priority", "string").alias("read_back"), F.try_variant_get(details(record), "$.render.page_count_total", "long").alias("read_count"),
     )
-    files = F.array_join(F.transform("artifacts", lambda a: F.concat(a["id"], F.lit("="), a["path"])), ";")
-    hashes = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["index"].cast("string"), F.transform(p["hashes"], lambda x: F.concat(x["algo"], F.lit("="), x["value"])))), ";")
-    return envelope(docs, pages).select("doc_id", "status", F.size("pages").cast("long").alias("pages"), "total_ms", files.alias("artifacts"), hashes.alias("hashes"), F.col("detected.confidence").alias("confidence"), F.col("warnings")[0]["code"].alias("code"))
