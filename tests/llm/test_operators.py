@@ -471,20 +471,86 @@ def test_battery_is_brute_force(spark):
     assert (got.p.loc[random] < 0.01).mean() < 0.06 and (got.p.loc[patterned] < 1e-6).all()
 
 
-def test_random_secrets_of_each_encoding(spark, docs):
+def planted_secrets(docs, low, high, seed=7):
+    """(rows, number planted): the documents, random tokens of each encoding, then glued words."""
+    rng = np.random.default_rng(seed)
+    words = sorted({w for t in docs.text for w in re.findall("[A-Za-z]{3,}", t)})
+    planted = [prefix + "".join(rng.choice(list(a), int(rng.integers(low, high)))) for prefix, a in zip(["sk-", "", "", ""], ALPHABETS.values()) for _ in range(50)]
+    glued = ["".join(w.capitalize() if i % 2 and k % 2 else w.lower() for k, w in enumerate(rng.choice(words, 12)))[: int(rng.integers(20, 50))] for i in range(400)]
+    texts = [f"the key {t} and more" for t in planted + glued]
+    return pd.concat([docs[["doc_id", "text"]], pd.DataFrame({"doc_id": range(10**6, 10**6 + len(texts)), "text": texts})]), len(planted)
+
+
+@pytest.mark.parametrize("low,high", [(20, 24), (24, 32), (32, 56)])
+def test_random_secrets_of_each_encoding(spark, docs, low, high):
     """Planted secrets are found, glued words are not, whatever prefix a secret has."""
     from vellumetry.llm.secrets import digest
 
-    rng = np.random.default_rng(7)
-    words = sorted({w for t in docs.text for w in re.findall("[A-Za-z]{3,}", t)})
-    planted = [prefix + "".join(rng.choice(list(a), int(rng.integers(32, 56)))) for prefix, a in zip(["sk-", "", "", ""], ALPHABETS.values()) for _ in range(50)]
-    glued = ["".join(w.capitalize() if i % 2 else w.lower() for w in rng.choice(words, 12))[: int(rng.integers(20, 50))] for i in range(200)]
-    texts = [f"the key {t} and more" for t in planted + glued]
-    rows = pd.concat([docs[["doc_id", "text"]], pd.DataFrame({"doc_id": range(10**6, 10**6 + len(texts)), "text": texts})])
-    got = digest(spark.createDataFrame(rows)).toPandas().set_index("doc_id").spans
-    found = got.loc[10**6 : 10**6 + 199].str.contains("random")
-    assert found.mean() >= 0.9 and all(found.iloc[k : k + 50].mean() >= 0.8 for k in range(0, 200, 50))
-    assert got.loc[10**6 + 200 :].str.contains("random").mean() <= 0.02
+    rows, n = planted_secrets(docs, low, high)
+    got = digest(spark.createDataFrame(rows)).toPandas().set_index("doc_id").sort_index().spans
+    found = got.loc[10**6 : 10**6 + n - 1].str.contains("random")
+    assert len(found) == n and all(found.iloc[k : k + 50].mean() >= 0.9 for k in range(0, n, 50))
+    assert got.loc[10**6 + n :].str.contains("random").mean() <= 0.02
+
+
+def test_spans_selected_are_brute_force(spark, docs):
+    """Which tokens are tested, which are reported, and which of a run and its pieces is the span."""
+    from vellumetry.llm import secrets as S
+
+    rng = np.random.default_rng(11)
+    rows, _ = planted_secrets(docs, 20, 40, seed=3)
+    body = ["".join(rng.choice(list(ALPHABETS["base64"]), 30)).replace("+", "x").replace("/", "y") for _ in range(6)]
+    more = [f"{body[0]}-{body[1]} {body[0]}", f"a_{body[2]}/{body[3]}", f"token={body[4]} {body[4]}-notsorandomwordsatall", "1" * 40, f"\U0001f600{body[5]}\U0001f600"]
+    rows = pd.concat([rows, pd.DataFrame({"doc_id": range(2 * 10**6, 2 * 10**6 + len(more)), "text": more})])
+    table = spark.createDataFrame(rows)
+    got = {r.doc_id: r.spans for r in S.digest(table).collect()}
+    want, tested = {}, {}
+    for i, text in zip(rows.doc_id, rows.text):
+        base = [tuple(map(int, x.split(":")[1:])) for x in (got[i].split(",") if got[i] else []) if not x.startswith("random")]
+        spans = {m.span() for p in (S.TOKEN, S.PIECE) for m in re.finditer(p, text or "")}
+        kept = []
+        for start, end in spans:
+            own = text[start:end]
+            plain = own.translate(str.maketrans("", "", "-_"))
+            token = plain if re.fullmatch("[0-9a-fA-F]{20,}", plain) else own
+            if not re.fullmatch("[0-9+/_-]*", token) and not any(a < end and start < b for a, b in base):
+                kept.append((start, end, token))
+        tested[i] = kept
+    tokens = sorted({t for kept in tested.values() for _, _, t in kept})
+    runs = S.glued_runs(table).cache()
+    pairs = S.letter_pairs(runs)
+    scored = {r.token: (r["class"], r.bin) for r in S.p_ordinary(spark.createDataFrame([(t,) for t in tokens], "token string"), S.ordinary(runs, pairs), pairs).collect()}
+    cut = {}
+    for c in {c for c, _ in scored.values()}:
+        bins = [b for k, b in scored.values() if k == c]
+        fit = [b for b in set(bins) if 10 ** (-b / 10) <= S.RATE * sum(x >= b for x in bins) / len(bins)]
+        cut[c] = min(fit) if fit else 10**9
+    for i, kept in tested.items():
+        hit = {(a, b) for a, b, t in kept if scored[t][1] >= cut[scored[t][0]]}
+        want[i] = sorted((a, b) for a, b in hit if not any(c <= a and b <= d and (c, d) != (a, b) for c, d in hit))
+    assert {i: [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x.startswith("random")] for i, s in got.items()} == want
+    assert sum(map(len, want.values())) > 190
+
+
+def test_letter_pairs_are_brute_force(spark):
+    from vellumetry.llm import secrets as S
+
+    runs = ["abcabx", "ABBA", "zz"]
+    got = S.letter_pairs(spark.createDataFrame([(r,) for r in runs], "token string"))
+    counts = {}
+    for r in runs:
+        for p in zip(r.lower(), r.lower()[1:]):
+            counts[p] = counts.get(p, 0) + 1
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    want = {(a, b): math.log((26 * counts.get((a, b), 0) + S.SMOOTH) / (sum(n for (x, _), n in counts.items() if x == a) + S.SMOOTH)) for a in letters for b in letters}
+    assert got == pytest.approx(list(want.values()))
+    tokens = ["abab12ab", "1a1a1", "z", "a-b"]
+    scores = []
+    for t in tokens:
+        seen = [want[p] if p in want else S.CHANGE for p in zip(t, t[1:]) if all(c.isalnum() for c in p) and any(c.isalpha() for c in p)]
+        scores.append(sum(seen) / (len(seen) + S.BLANK))
+    rows = spark.createDataFrame(list(enumerate(tokens)), "i int, token string").select("i", S.pair_score(F.col("token"), got).alias("b")).orderBy("i").collect()
+    assert [r.b for r in rows] == pytest.approx(scores, abs=1e-5)
 
 
 def test_false_discovery_limits_are_brute_force(spark):

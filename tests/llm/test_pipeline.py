@@ -101,3 +101,34 @@ def test_stages_on_awkward_tables(spark, odd, kind):  # noqa: F811
         if name != "mixing":
             assert got.columns == docs.columns
         assert got.count() <= docs.count()
+
+
+NAMES = ["a.b", "__rejected", "__lang_pred", "_rejected", "__id", "__hash", "id", "hash", "rows", "__found", "found", "row", "uid", "is", "new", "text_hash", "component_id", "size", "rank", "a`b", "spans", "lang_pred"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_columns_of_any_name(spark, sf_dir, name, stage):
+    """A stage passes every other column on, whatever its name, with the values of its row."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 120")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in NAMES])
+    got = stage(spark, wide, sf_dir)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert rows and all(r[n] == f"{n}:{r['doc_id']}" for r in rows for n in NAMES)
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in stage(spark, docs, sf_dir).collect())
+
+
+def test_mix_and_judge_take_columns_of_any_name(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from vellumetry.llm.mixing import mix
+    from vellumetry.llm.url_filter import judge
+
+    odd = [n for n in NAMES if n not in ("size", "rank")]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in odd])
+    assert all(r[n] == f"{n}:{r['doc_id']}" for r in mix(docs, keep=tuple(odd)).collect() for n in odd)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("*", *[F.concat(F.lit(f"{n}:"), F.col("page_id").cast("string")).alias(n) for n in odd])
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    assert all(r[n] == f"{n}:{r['page_id']}" for r in judge(pages, rules).collect() for n in odd)

@@ -88,6 +88,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with as many marks before it as it takes not to be one of those taken, whatever their case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

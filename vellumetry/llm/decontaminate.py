@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, free
 from .shingles import chunks, combine, words_in
 
 WINDOW, LEAST = 8, 0.3
@@ -208,7 +208,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, least: float, tmp
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in whose text no item is found. Null texts stay."""
     with Scratch(docs.sparkSession) as tmp:
-        met = find(docs, benchmark)
+        met, name = find(docs, benchmark), free("found", docs.columns)
         tmp.tables.append(met)
-        found = tmp.keep(tmp.write(met.select(F.col("text_hash").alias("__found")).distinct()))
-    return docs.join(broadcast_if_small(found), F.xxhash64("text") == F.col("__found"), "left_anti")
+        found = tmp.keep(tmp.write(met.select(F.col("text_hash").alias(name)).distinct()))
+    return docs.join(broadcast_if_small(found), F.xxhash64("text") == F.col(name), "left_anti")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, components
+from .common import Scratch, broadcast_if_small, components, free
 from .shingles import mix, shingle_sets
 
 _U = np.uint64
@@ -447,13 +447,14 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """The rows of docs that have the smallest doc_id of their component, each text of an id once.
 
     Rows without doc_id link with nothing and stay; so do wordless ones."""
+    own, mark, rows = (free(x, docs.columns) for x in ("id", "hash", "rows"))
     with Scratch(docs.sparkSession) as tmp:
         found = jaccard_components(docs, width, percent)
         tmp.tables.append(found)
-        key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+        key = [F.col("doc_id").alias(own), F.col("text_hash").alias(mark)]
         others = tmp.keep(tmp.write(found.where("component_id <> doc_id").select(*key).distinct()))
-        again = found.where("component_id = doc_id").groupBy(*key).agg(F.count("*").alias("rows")).where("rows > 1")
-        again = broadcast_if_small(tmp.keep(tmp.write(again.select("__id", "__hash"))))
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+        again = found.where("component_id = doc_id").groupBy(*key).agg(F.count("*").alias(rows)).where(F.col(rows) > 1)
+        again = broadcast_if_small(tmp.keep(tmp.write(again.select(own, mark))))
+    same = (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(mark))
     kept = docs.join(broadcast_if_small(others), same, "left_anti")
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

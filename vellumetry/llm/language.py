@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted
+
 ORDER = 4
 _LETTERS = regex.compile(r"\p{L}+")
 #: Texts that all languages together are fitted on at most, and the part of them, one in so many, set aside.
@@ -302,23 +304,29 @@ def identify(docs: DataFrame, model: Identifier, keep: list[str], name: str = ""
 
     ``name`` goes before the four new names, where the input may already have such columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    alone = [] if "text" in keep else ["text"]
-    kept = docs.select(*alone, *keep)
-    at = kept.columns.index("text")
-    schema = T.StructType([*kept.schema.fields[len(alone) :], *(T.StructField(name + f.name, f.dataType) for f in OUT.fields)])
+    # The columns go as one struct, so their names may be any; the text is read out of it if it is one of them.
+    row = F.struct(*[F.col(quoted(c)) for c in keep]).alias("row")
+    at = keep.index("text") if "text" in keep else None
+    kept = docs.select(row) if at is not None else docs.select(row, "text")
+    schema = T.StructType([kept.schema["row"], *OUT.fields])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(shared.value)
         for batch in (b.slice(first, ROWS) for b in batches for first in range(0, b.num_rows, ROWS)):
-            langs, s, h, no = predict(scores, batch.column(at).to_pylist())
-            yield pa.record_batch([*batch.columns[len(alone) :], pa.array(langs, pa.string()), pa.array(s, pa.float64()), pa.array(h, pa.float64()), pa.array(no, pa.bool_())], names=schema.names)
+            texts = batch.column(1) if at is None else batch.column(0).field(at)
+            langs, s, h, no = predict(scores, texts.to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(s, pa.float64()), pa.array(h, pa.float64()), pa.array(no, pa.bool_())], names=schema.names)
 
-    return kept.mapInArrow(score, schema)
+    found = kept.mapInArrow(score, schema)
+    return found.select(*[F.col("row")[c].alias(c) for c in keep], *[F.col(f.name).alias(name + f.name) for f in OUT.fields])
 
 
 def accepted(docs: DataFrame, model: Identifier) -> DataFrame:
     """The rows of docs whose text the model does not reject."""
-    return identify(docs, model, docs.columns, name="__").where("not __rejected").select(*docs.columns)
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return identify(docs, model, docs.columns, name=prefix).where(~F.col(f"{prefix}rejected")).select(*map(quoted, docs.columns))
 
 
 def held_out(doc_id: Column) -> Column:

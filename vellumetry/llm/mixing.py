@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, broadcast_if_small, words
+from .common import Scratch, broadcast_if_small, quoted, words
 
 WEIGHTS = (3, 1, 2)
 PERCENT, CAP = 150, 2
@@ -76,7 +76,7 @@ def _before(df: DataFrame, keys: list[str], bucket: str, value: str, name: str)
 def _placed(docs: DataFrame, seed: int, keep: tuple[str, ...], tmp: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, placed, sources): the input's rows with ``uid`` and ``is`` (a struct of the columns kept); where
     each lies in its source's shuffled words; one row per source."""
-    kept = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("is")
+    kept = F.struct(F.lit(0).alias("_"), *[F.col(quoted(c)) for c in keep]).alias("is")
     rows = docs.select(kept, "doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("uid"))
     rows = tmp.write(rows)
     sized = rows.select("uid", "doc_id", "source", "size", shuffle_key(F.col("doc_id"), seed).alias("key"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, quoted
 
 #: Rules of a block that are swept in one row.
 BLOCK = 500
@@ -117,7 +117,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     with Scratch(pages.sparkSession) as tmp:
         known = rules.where("host is not null and path is not null").withColumn("key", host_key(F.col("host")))
         known = tmp.write(known.groupBy("key", "path").agg(F.max(F.struct(F.concat("host", "path").alias("rule"), "verdict")).alias("is")))
-        urls = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("row"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+        urls = pages.select(F.struct(*[F.col(quoted(c)) for c in pages.columns]).alias("row"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
         urls = tmp.write(urls.withColumn("uid", F.monotonically_increasing_id()))
 
         hosts = known.select("key").distinct()
