@@ -284,18 +284,16 @@ def _met(token: np.ndarray, cluster: np.ndarray, meta: np.ndarray, percent: int)
         begin = end
 
 
-def index_pairs(sets: DataFrame, members: DataFrame, frequent: np.ndarray, percent: int, tmp: Scratch) -> DataFrame:
-    """(a, b): roots that have, or whose members have, a prefix shingle in common; sets has sid, n, prefix."""
-    spark = sets.sparkSession
+def index_pairs(sets: DataFrame, members: DataFrame, percent: int, tmp: Scratch) -> DataFrame:
+    """(a, b): roots that have, or whose members have, a prefix shingle in common; sets has sid, n, prefix, one row a set."""
     of = broadcast_if_small(members).select("sid", "root")
     lists = sets.join(of, "sid", "left").select(F.coalesce("root", "sid").alias("cluster"), "n", F.posexplode("prefix").alias("i", "token"))
-    # A rare shingle's list is short; of the frequent ones, at most ORDERED, the long lists are found by counting.
-    some = spark.createDataFrame(pa.table({"token": pa.array(frequent.view(np.int64))}))
-    hot = lists.join(F.broadcast(some), "token", "left_semi").groupBy("token").count().where(F.col("count") > HOT)
-    hot = tmp.write(hot.select("token", F.ceil(F.col("count") / HOT).cast("int").alias("chunks")))
+    # The long lists are found by counting all.
+    hot = lists.groupBy("token").count().where(F.col("count") > HOT)
+    hot = broadcast_if_small(tmp.write(hot.select("token", F.ceil(F.col("count") / HOT).cast("int").alias("chunks"))))
     meta = (F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("i").cast("long"), 2)).alias("meta")
-    plain = lists.join(F.broadcast(hot), "token", "left_anti").select(F.col("token").alias("list"), "cluster", meta)
-    cut = lists.join(F.broadcast(hot), "token").withColumn("own", F.pmod(F.xxhash64("cluster"), F.col("chunks")).cast("int"))
+    plain = lists.join(hot, "token", "left_anti").select(F.col("token").alias("list"), "cluster", meta)
+    cut = lists.join(hot, "token").withColumn("own", F.pmod(F.xxhash64("cluster"), F.col("chunks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     part = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     cut = cut.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "cluster", (meta + part).alias("meta"))
@@ -336,11 +334,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         frequent = frequent_shingles(docs, width)
         full = tmp.write(sketches(docs, width, percent, frequent))
         sets = full.where("doc_id is not null and n > 0")
-        heads = sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
+        heads = sets.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("prefix").alias("prefix"))
         heads = tmp.write(heads)
         known = docs.where("doc_id is not null")
         members = elect(heads, known, width, percent, tmp)
-        met = index_pairs(sets, members, frequent, percent, tmp)
+        met = index_pairs(heads, members, percent, tmp)
         links = between(met, members, heads, sets, known, width, percent, tmp)
         tmp.drop(met)
 
