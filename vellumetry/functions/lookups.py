@@ -117,6 +117,24 @@ FAMILIES = {
 #: The export filter that puts each sheet on a page of its own.
 ONE_PAGE_SHEETS = 'calc_pdf_Export:{"SinglePageSheets":{"type":"boolean","value":"true"}}'
 
+#: Extensions that are sampled from a corpus, and beginnings of the media types that such files have.
+SAMPLE_EXTENSIONS = ["doc", "docx", "docm", "rtf", "txt", "csv", "xls", "xlsx", "xlsm", "xlsb", "ppt", "pptx", "pptm", "pps", "ppsx", "odt", "ods", "odp"]
+SAMPLE_MIME = [
+    "application/msword",
+    "application/vnd.ms-",
+    "application/vnd.openxmlformats",
+    "application/vnd.oasis.opendocument",
+    "application/x-ole",
+    "application/CDFV2",
+    "application/cdfv2",
+    "application/x-cdf",
+    "application/zip",
+    "application/x-zip",
+    "application/octet-stream",
+    "text/",
+    "application/rtf",
+]
+
 #: Barcode format names in plain-text scanner output.
 QR_FORMATS = {
     "qrcode": "qr_code",

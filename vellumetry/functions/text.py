@@ -71,13 +71,15 @@ def oversized_workbook(streams: Column) -> Column:
     return F.coalesce(F.coalesce(size("Workbook"), size("Book")) > WORKBOOK_BYTES, F.lit(False))
 
 
+#: Characters of a sheet's name that are kept, a sheet's page setup, and its end.
+SHEET_NAME = 255
+PAGE_SETUP, SHEET_END = r"(?is)<pageSetup\b[^/]*/?>|<pageSetup\b.*?</pageSetup>", "(?is)</worksheet>"
+
+
 def landscape_patch(xml: Column) -> Column:
     """Every page setup becomes landscape; without one it goes before the first end of the sheet."""
     setup = '<pageSetup orientation="landscape"/>'
-    return F.when(xml.rlike("<pageSetup[^>]*>"), F.regexp_replace(xml, r"<pageSetup[^>]*/>|<pageSetup[^>]*>", setup)).when(
-        F.locate("</worksheet>", xml) > 0,
-        F.concat(F.substring_index(xml, "</worksheet>", 1), F.lit(setup), F.substring(xml, F.locate("</worksheet>", xml), F.length(xml))),
-    ).otherwise(xml)
+    return F.when(xml.rlike(PAGE_SETUP), F.regexp_replace(xml, PAGE_SETUP, setup)).otherwise(F.regexp_replace(xml, r"(?is)\A(.*?)</worksheet>", f"$1{setup}</worksheet>"))
 
 
 def css_value(value: Column) -> Column:
@@ -151,15 +153,16 @@ def split_unquoted(text: Column, sep: str) -> Column:
 
 def declarations(style: Column) -> Column:
     """MAP of lower-cased name to value in the order of the names' first coming; empty ones dropped."""
-    pairs = F.transform(split_unquoted(style, ";"), lambda d: F.struct(F.lower(_bare(F.substring_index(d, ":", 1))).alias("key"), F.when(F.locate(":", d) > 0, _bare(F.regexp_extract(d, r"(?s)^[^:]*:(.*)\z", 1))).alias("value")))
+    pairs = F.transform(split_unquoted(style, ";"), lambda d: F.struct(F.lower(stripped(F.substring_index(d, ":", 1))).alias("key"), F.when(F.locate(":", d) > 0, stripped(F.regexp_extract(d, r"(?s)^[^:]*:(.*)\z", 1))).alias("value")))
     kept = F.filter(pairs, lambda p: (p["key"] != "") & p["value"].isNotNull() & (p["value"] != ""))
     # Of equal names the last value holds, in the first one's place.
     first = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, 1, i), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(F.transform(first, lambda p: F.struct(p["key"].alias("key"), F.element_at(F.filter(kept, lambda q: q["key"] == p["key"]), -1)["value"].alias("value"))))
 
 
-def _bare(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+def stripped(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def non_text_ops(stream: Column) -> Column:
@@ -198,6 +201,10 @@ def page_file(index: Column, variant: str = "") -> Column:
     return F.format_string(f"page-%03d{'-' + variant if variant else ''}.png", index)
 
 
+#: Names that a document's artifacts have.
+ARTIFACT_FILE = r"page-\d{1,4}(-trimmed|-focused)?\.png|document\.pdf|metadata\.json"
+
+
 def valid_page_file(name: Column) -> Column:
     return name.rlike(r"^page-\d{1,4}(-trimmed|-focused)?\.png$")
 

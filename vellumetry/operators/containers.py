@@ -88,33 +88,6 @@ def zip_members(files: DataFrame, names: str, total: int = TOTAL_BYTES, count: i
     return files.select("doc_id", "content").mapInPandas(read, "doc_id long, name string, data binary")
 
 
-def sheet_list(workbook: Column) -> Column:
-    """(name, state, type) of the sheets in a workbook's XML, namespaces or not; nameless ones dropped."""
-    tags = F.regexp_extract_all(workbook, F.lit(r"(<(?:[A-Za-z0-9]+:)?sheet\b[^>]*>)"), F.lit(1))
-
-    def attribute(tag: Column, name: str, default: str) -> Column:
-        v = F.regexp_extract(tag, rf'\b{name}="([^"]*)"', 1)
-        return F.when(v == "", default).otherwise(v)
-
-    rows = F.transform(tags, lambda t: F.struct(F.substring(attribute(t, "name", ""), 1, 255).alias("name"), attribute(t, "state", "visible").alias("state"), attribute(t, "type", "worksheet").alias("type")))
-    safe = ~workbook.rlike(r"(?i)<!DOCTYPE|<!ENTITY")
-    return F.filter(F.when(safe, rows).otherwise(F.array().cast("array<struct<name:string,state:string,type:string>>")), lambda s: s["name"] != "")
-
-
-def altchunks(refs: DataFrame, rels: DataFrame, types: DataFrame) -> DataFrame:
-    """(doc_id, pos, part_name, content_type) of sub-documents in the order the document refers to them.
-
-    refs: doc_id, pos, rel_id. rels: doc_id, rel_id, type, target, target_mode. types: doc_id,
-    part_name, content_type. External targets, other relations and other types are left out."""
-    target = F.regexp_replace("target", r"^\./", "")
-    path = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/word/"), target))
-    path = F.regexp_replace(path, r"/[^/]+/\.\./", "/")
-    inner = rels.where(F.col("type").endswith("/aFChunk") & (F.coalesce("target_mode", F.lit("Internal")) != "External"))
-    inner = inner.select("doc_id", "rel_id", path.alias("part_name"))
-    known = types.where(F.col("content_type").isin(list(ALTCHUNK_TYPES)))
-    return refs.join(inner, ["doc_id", "rel_id"]).join(known, ["doc_id", "part_name"]).select("doc_id", "pos", "part_name", "content_type")
-
-
 def altchunk_policy(chunks: DataFrame) -> DataFrame:
     """Per document: error for a type that cannot be rendered or for two that can, else substitute."""
     good = F.col("content_type").isin([t for t, ok in ALTCHUNK_TYPES.items() if ok])
@@ -129,10 +102,18 @@ def _file_name(name: str) -> str:
     return _UNSAFE.sub("_", name.replace("\\", "/").rpartition("/")[2]).strip("._")
 
 
+def _decoded(data: bytes, charset: str | None) -> str | None:
+    try:
+        return data.decode(charset or "utf-8", "replace")
+    except (LookupError, ValueError):
+        return None
+
+
 def mht_parts(files: DataFrame) -> DataFrame:
-    """(doc_id, pos, root, ctype, cid, cloc, local_name, payload): leaf parts of MIME messages, within the caps.
+    """(doc_id, pos, root, ctype, cid, cloc, local_name, payload, text): leaf parts of MIME messages, within the caps.
 
-    The first HTML part is the root and has no local name. Another part is named for its location, or for
+    The first HTML part is the root and has no local name; its text is read in the character set it names, else
+    in UTF-8, and is null for a set that is not known. Another part is named for its location, or for
     its digest; a name that is taken gets ``_1``, ``_2`` … at its end. Empty parts are left out. The caps are
     looked at before a part is taken, so the last one may overshoot; the root does not count."""
 
@@ -158,10 +139,10 @@ def mht_parts(files: DataFrame) -> DataFrame:
                             name = f"{base}_{again}"
                         taken.add(name)
                         size += len(data)
-                    out.append((doc_id, len(out), root, kind, cid or None, place or None, name, data))
-                yield pd.DataFrame(out, columns=["doc_id", "pos", "root", "ctype", "cid", "cloc", "local_name", "payload"])
+                    out.append((doc_id, len(out), root, kind, cid or None, place or None, name, data, _decoded(data, part.get_content_charset()) if root else None))
+                yield pd.DataFrame(out, columns=["doc_id", "pos", "root", "ctype", "cid", "cloc", "local_name", "payload", "text"])
 
-    return files.select("doc_id", "content").mapInPandas(read, "doc_id long, pos int, root boolean, ctype string, cid string, cloc string, local_name string, payload binary")
+    return files.select("doc_id", "content").mapInPandas(read, "doc_id long, pos int, root boolean, ctype string, cid string, cloc string, local_name string, payload binary, text string")
 
 
 def _names(parts: DataFrame, key: Column) -> DataFrame:

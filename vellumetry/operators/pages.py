@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lookups import FOCUSABLE, SAMPLE_EXTENSIONS, SAMPLE_MIME
+
 MAX_PAGES, MIN_BLANK = 50, 20
 
 
@@ -168,6 +170,31 @@ def artifacts(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", F.explode(made).alias("a")).select("doc_id", "a.*")
 
 
+def kept_crops(label: Column, blank: Column, trimmed: Column, focused: Column) -> tuple[Column, Column]:
+    """(trimmed, focused): a blank page keeps neither crop, and only sheets are focused."""
+    shown = ~F.coalesce(blank, F.lit(False))
+    return F.when(shown, trimmed), F.when(shown & label.isin(FOCUSABLE), focused)
+
+
+def by_position(pages: DataFrame, *facts: DataFrame) -> DataFrame:
+    """The pages with the columns of each table of facts, by doc_id and page; the i-th row of facts is page i's.
+
+    Facts have doc_id, page (from 1, without gaps) and columns of their own, which are null for a page beyond them;
+    facts beyond the pages are left out."""
+    for f in facts:
+        pages = pages.join(f, ["doc_id", "page"], "left")
+    return pages
+
+
+def wanted(files: DataFrame) -> DataFrame:
+    """The files of wanted extensions whose media type is one that such files can have."""
+    mime = F.col("mime")
+    fits = F.lit(False)
+    for p in SAMPLE_MIME:
+        fits = fits | F.startswith(mime, F.lit(p))
+    return files.where(F.col("ext").isin(SAMPLE_EXTENSIONS) & F.coalesce(fits, F.lit(False)))
+
+
 def sampled(files: DataFrame, per_extension: int) -> DataFrame:
     """The first N files of each extension by path.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..functions.text import stripped
 
 
 def export_plan(label: Column) -> dict[str, Column]:
@@ -25,16 +26,12 @@ def rasterizer(name: Column, dpi: int) -> Column:
 MOST_DIGITS = 4300
 LANGUAGES, FORMATS = r"^[A-Za-z0-9_+\-]+\z", r"^(?!,)(?!.*,,)[a-z0-9_,]*[a-z0-9_]\z"
 YES = ["1", "true", "yes", "on"]
-_SPACE = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
-def _stripped(raw: Column) -> Column:
-    return F.regexp_replace(raw, _SPACE, "")
-
 
 def option_clamp(raw: Column, default: int, low: int, high: int) -> Column:
     """A whole-number option within its bounds, however long it is; text that is no whole number is the default."""
-    text = _stripped(raw)
+    text = stripped(raw)
     digits = F.regexp_replace(text, "[+_-]", "")
     # Single strokes may stand between digits. No pattern here repeats a group, which would go as deep as the text is long.
     whole = text.rlike(r"^[+-]?[0-9][0-9_]*\z") & ~text.contains("__") & ~F.endswith(text, F.lit("_")) & (F.length(digits) <= MOST_DIGITS)
@@ -47,12 +44,12 @@ def option_clamp(raw: Column, default: int, low: int, high: int) -> Column:
 
 def option_flag(raw: Column, default: bool) -> Column:
     """A switch: on if it says so, off for any other text, the default where it is not given."""
-    return F.when(raw.isNull(), F.lit(default)).otherwise(F.lower(_stripped(raw)).isin(YES))
+    return F.when(raw.isNull(), F.lit(default)).otherwise(F.lower(stripped(raw)).isin(YES))
 
 
 def option_text(raw: Column, pattern: str, default: str) -> Column:
     """Text of a fixed shape; any other is the default."""
-    text = F.coalesce(_stripped(raw), F.lit(""))
+    text = F.coalesce(stripped(raw), F.lit(""))
     return F.when(text.rlike(pattern), text).otherwise(default)
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_PIXELS, SIDE = 100_000_000, 1024
+#: Lobes of the kernel that pictures are resampled with.
+LOBES = 3
 TRIM = T.StructType().add("crop_height", T.IntegerType()).add("removed_percent", T.DoubleType()).add("background", T.StringType())
 FOCUS = T.StructType().add("crop_box", T.ArrayType(T.IntegerType())).add("removed_percent", T.DoubleType())
 HASHES = T.StructType().add("phash", T.StringType()).add("colorhash", T.StringType())
@@ -97,18 +99,33 @@ def focus(a: np.ndarray, tolerance: int = 10, least: float = 0.08) -> dict | Non
     return {"crop_box": [left, top, right, bottom], "removed_percent": round(removed * 100, 1)}
 
 
-def shrink(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area average onto a smaller grid."""
-    ys, xs = np.arange(height) * a.shape[0] // height, np.arange(width) * a.shape[1] // width
-    sums = np.add.reduceat(np.add.reduceat(a.astype(np.float64), ys, axis=0), xs, axis=1)
-    tall = np.diff(np.append(ys, a.shape[0]))[:, None]
-    wide = np.diff(np.append(xs, a.shape[1]))[None, :]
-    area = tall * wide
-    return sums / (area[..., None] if a.ndim == 3 else area)
-
-
-def grow(a: np.ndarray, least: int) -> np.ndarray:
-    return np.repeat(np.repeat(a, -(-least // a.shape[0]), axis=0), -(-least // a.shape[1]), axis=1) if min(a.shape[:2]) < least else a
+def windowed_sinc(old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, weights): where each of the new samples begins in the old ones, and its weights of these (LOBES lobes
+    of a sinc under the first lobe of a wider one). Going down, the kernel is as wide as the step."""
+    step = old / new
+    wide = max(step, 1.0)
+    centre = (np.arange(new) + 0.5) * step
+    first = np.maximum((centre - LOBES * wide + 0.5).astype(int), 0)
+    last = np.minimum((centre + LOBES * wide + 0.5).astype(int), old)
+    taps = np.arange((last - first).max())
+    x = (first[:, None] + taps + 0.5 - centre[:, None]) / wide
+    weights = np.where((np.abs(x) < LOBES) & (first[:, None] + taps < last[:, None]), np.sinc(x) * np.sinc(x / LOBES), 0.0)
+    return first, weights / weights.sum(axis=1, keepdims=True)
+
+
+def resampled(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A picture of bytes at another size: across, then down, each rounded to bytes; a side that stays is not touched."""
+    for axis, new in ((1, width), (0, height)):
+        if a.shape[axis] == new:
+            continue
+        first, weights = windowed_sinc(a.shape[axis], new)
+        rows = np.moveaxis(a, axis, 0)
+        out = np.zeros((new, *rows.shape[1:]))
+        shape = (new, *[1] * (a.ndim - 1))
+        for k in range(weights.shape[1]):
+            out += weights[:, k].reshape(shape) * rows[np.minimum(first + k, len(rows) - 1)]
+        a = np.moveaxis(np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8), 0, axis)
+    return a
 
 
 def _light(a: np.ndarray) -> np.ndarray:
@@ -120,7 +137,7 @@ def phash(a: np.ndarray) -> str:
     """64 bits of the low cosine coefficients above their median, most significant first.
 
     Coefficients are rounded, so that a flat picture has its one coefficient and no noise."""
-    small = shrink(np.rint(_light(grow(a, 32)) / 1000), 32, 32)
+    small = resampled(np.rint(_light(a) / 1000).astype(np.uint8), 32, 32).astype(np.float64)
     n = np.arange(32)
     cosine = np.cos(np.pi * (2 * n[None, :] + 1) * n[:8, None] / 64)
     low = np.round(cosine @ small @ cosine.T, 6).ravel()
@@ -158,7 +175,7 @@ def downscaled(a: np.ndarray) -> np.ndarray:
     if max(h, w) <= SIDE:
         return a
     ratio = min(SIDE / h, SIDE / w)
-    return np.rint(shrink(a, max(1, int(h * ratio)), max(1, int(w * ratio)))).astype(np.uint8)
+    return resampled(a, max(1, int(h * ratio)), max(1, int(w * ratio)))
 
 
 def facts(a: np.ndarray) -> dict:

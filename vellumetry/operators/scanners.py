@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.lookups import QR_FORMATS
-from ..functions.text import normal_format
+from ..functions.text import normal_format, stripped
 
 FLOOR_S, KILLED = 30, -9
 QR_RESULT = "array<struct<format:string,value:string,position:string,error_correction_level:string,is_mirrored:boolean,raw_bytes_hex:string>>"
@@ -59,6 +59,13 @@ def ocr_text(stdout: Column) -> Column:
     return F.regexp_replace(stdout, r"\n+\z", "")
 
 
+def scan_timeouts(left_s: Column, warm_s: Column) -> tuple[Column, Column]:
+    """(warm, cold): whole seconds a page may take in the warm scanner, and in the cold one after the warm one took
+    warm_s in vain. What the warm try took is taken off, so both together stay within the budget; a try has a second."""
+    spent = F.greatest(F.lit(0.0), left_s - F.coalesce(warm_s, F.lit(0.0)))
+    return F.floor(F.greatest(F.lit(0.0), left_s)).cast("int"), F.greatest(F.lit(1), F.floor(spent).cast("int"))
+
+
 def warm_or_cold(warm: Column, cold: Column) -> tuple[Column, Column]:
     """(text, warning): the warm result if there is one, else the cold one with a warning."""
     return F.coalesce(warm, cold), F.when(warm.isNull(), "ocr_warm_fallback")
@@ -90,7 +97,7 @@ def plain_blocks(stdout: Column) -> Column:
 
     def field(b: Column, name: str) -> Column:
         line = rf"(?ms)\A(?:.*^)?[^\S\n]*{name}[^\S\n]*:([^\n]*)$"
-        return F.when(b.rlike(line), F.trim(F.regexp_extract(b, line, 1)))
+        return F.when(b.rlike(line), stripped(F.regexp_extract(b, line, 1)))
 
     def made(b: Column) -> Column:
         raw, text = F.coalesce(field(b, "Format"), F.lit("")), F.coalesce(field(b, "Text"), F.lit(""))

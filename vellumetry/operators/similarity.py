@@ -12,7 +12,7 @@ from ..functions.hashing import hamming
 BANDED_RADIUS = 7
 
 
-def _banded(df: DataFrame, radius: int) -> DataFrame:
+def banded(df: DataFrame, radius: int) -> DataFrame:
     """One row a band. Of radius + 1 bands at least one is equal for two words within the radius."""
     n = radius + 1
     edges = [64 * i // n for i in range(n + 1)]
@@ -28,8 +28,8 @@ def near_words(signatures: DataFrame, radius: int) -> DataFrame:
     banded, so no row count makes a band large. Exact for every radius; up to BANDED_RADIUS the bands are
     selective."""
     words = signatures.groupBy("w").agg(F.count("*").alias("n"))
-    banded = _banded(words, radius)
-    left, right = (banded.select(F.col("w").alias(f"w{x}"), F.col("n").alias(f"n{x}"), "band", "bits") for x in "ab")
+    cut = banded(words, radius)
+    left, right = (cut.select(F.col("w").alias(f"w{x}"), F.col("n").alias(f"n{x}"), "band", "bits") for x in "ab")
     near = left.join(right, ["band", "bits"]).where(F.col("wa") <= F.col("wb"))
     near = near.withColumn("distance", hamming(F.col("wa"), F.col("wb"))).where(F.col("distance") <= radius)
     return near.select("wa", "wb", "na", "nb", "distance").distinct()
@@ -56,8 +56,8 @@ def search(queries: DataFrame, signatures: DataFrame, radius: int, k: int | None
     Both sides have id and w. Distinct words meet in bands, an equi-join; ids are put back after that. With k,
     a word gives its k first ids only, as no query can take more of them."""
     asked, known = queries.select("w").distinct(), signatures.select("w").distinct()
-    q = _banded(asked, radius).withColumnRenamed("w", "wq")
-    hit = q.join(_banded(known, radius), ["band", "bits"]).withColumn("distance", hamming(F.col("wq"), F.col("w"))).where(F.col("distance") <= radius).select("wq", "w", "distance").distinct()
+    q = banded(asked, radius).withColumnRenamed("w", "wq")
+    hit = q.join(banded(known, radius), ["band", "bits"]).withColumn("distance", hamming(F.col("wq"), F.col("w"))).where(F.col("distance") <= radius).select("wq", "w", "distance").distinct()
     rows = signatures.select("id", "w")
     if k is not None:
         # Partial ranks inside salts first, so a word that many rows share is not ranked in one task.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chains, detection, more, packages, paging, serving  # noqa: F401  each registers its queries
+from . import chains, detection, more, office, packages, paging, serving  # noqa: F401  each registers its queries
 from .registry import QUERIES, SQL
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import containers as C
 from ..operators import detect as D
+from ..operators import pages as P
 from ..operators import raster as R
 from ..streaming.jobs import counts_by_window
 from .registry import query
@@ -45,27 +46,21 @@ def ooxml_gate(spark, t):
     return got.select("doc_id", D.ooxml_gate(F.col("names"), F.col("packed"), F.col("sizes")).alias("ok"), F.size("names").cast("long").alias("entries"))
 
 
-@query("SELECT conv_id AS doc_id, 'S' || turn::VARCHAR AS name, CASE WHEN turn % 3 = 1 THEN 'hidden' ELSE 'visible' END AS state, 'worksheet' AS type FROM conversations GROUP BY conv_id, turn")
-def sheet_xml(spark, t):
-    xml = C.zip_members(_packages(t), r"^xl/workbook\.xml$").select("doc_id", F.explode(C.sheet_list(F.decode("data", "UTF-8"))).alias("s"))
-    return xml.select("doc_id", "s.name", "s.state", "s.type")
-
-
 @query("""
 WITH c AS (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY 1, 2)
 SELECT conv_id AS doc_id, '<p>' || string_agg('<img src="img' || turn::VARCHAR || '.png"><a href="img' || turn::VARCHAR || '.png">http://x.example/a/img' || turn::VARCHAR || '.png</a>', '' ORDER BY turn) || '<img src="cid:none"></p>' AS html,
 sum(octet_length(encode(text)))::BIGINT AS bytes FROM c WHERE text <> '' GROUP BY conv_id""")
 def mht_unpack(spark, t):
-    """A message a conversation: a page, and a part for each turn that holds its text."""
+    """A message a conversation: a page in a character set of its own, and a part for each turn that holds its text."""
     c = t("conversations").groupBy(F.col("conv_id").alias("doc_id"), "turn").agg(F.min("text").alias("text")).where("text <> ''")
     turn = F.col("turn").cast("string")
     images = F.concat(F.lit("\n--b\nContent-Type: image/png\nContent-Transfer-Encoding: base64\nContent-ID: <Pic"), turn, F.lit("@x>\nContent-Location: http://x.example/a/img"), turn, F.lit(".png\n\n"), F.base64(F.encode("text", "UTF-8")))
     tags = F.concat(F.lit('<img src="cid:pic'), turn, F.lit('@X"><a href="http://x.example/a/img'), turn, F.lit('.png">http://x.example/a/img'), turn, F.lit(".png</a>"))
     parts = c.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("turn", images.alias("part"), tags.alias("tag")))).alias("p"))
     html = F.concat(F.lit("<p>"), F.array_join(F.col("p")["tag"], ""), F.lit('<img src="cid:none"></p>'))
-    message = F.concat(F.lit('MIME-Version: 1.0\nContent-Type: multipart/related; boundary="b"\n\n--b\nContent-Type: text/html\n\n'), html, F.array_join(F.col("p")["part"], ""), F.lit("\n--b--\n"))
+    message = F.concat(F.lit('MIME-Version: 1.0\nContent-Type: multipart/related; boundary="b"\n\n--b\nContent-Type: text/html; charset="UTF-16LE"\nContent-Transfer-Encoding: base64\n\n'), F.base64(F.encode(html, "UTF-16LE")), F.array_join(F.col("p")["part"], ""), F.lit("\n--b--\n"))
     found = C.mht_parts(parts.select("doc_id", message.cast("binary").alias("content")))
-    pages = found.where("root").select("doc_id", F.trim(F.decode("payload", "UTF-8")).alias("html"))
+    pages = found.where("root").select("doc_id", F.col("text").alias("html"))
     pages = C.rewrite_urls(C.rewrite_cids(pages, found), found)
     sizes = found.where("not root").groupBy("doc_id").agg(F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
     return pages.join(sizes, "doc_id")
@@ -91,21 +86,24 @@ def _rasters(t):
                 side = pa.array([240] * len(out), pa.int32())
                 yield pa.record_batch([part, side, side, pa.array(out, pa.binary())], names=["doc_id", "height", "width", "data"])
 
-    pages = t("part").select(F.col("p_partkey").cast("long")).mapInArrow(draw, "doc_id long, height int, width int, data binary")
+    # The keys are few bytes and the pictures many, so they are dealt over all cores before they are drawn.
+    keys = t("part").select(F.col("p_partkey").cast("long"))
+    pages = keys.repartition(keys.sparkSession.sparkContext.defaultParallelism, "p_partkey").mapInArrow(draw, "doc_id long, height int, width int, data binary")
     return pages.select("doc_id", F.struct("height", "width", "data").alias("raster"))
 
 
 @query("""
 WITH p AS (SELECT p_partkey AS k, 40 + 3 * (p_partkey % 10) AS top, 20 + p_partkey % 70 AS lft, p_partkey % 3 <> 0 AS box FROM part)
 SELECT k AS doc_id, CASE WHEN box THEN top + 100 END::INT AS crop_height, CASE WHEN box THEN round((1 - (top + 100) / 240.0) * 100, 1) END::DOUBLE AS trimmed_percent,
-CASE WHEN box THEN (lft - 12)::VARCHAR || ',' || (top - 12)::VARCHAR || ',' || (lft + 102)::VARCHAR || ',' || (top + 92)::VARCHAR END AS box, NOT box AS blank,
+CASE WHEN box AND k % 5 <> 0 THEN (lft - 12)::VARCHAR || ',' || (top - 12)::VARCHAR || ',' || (lft + 102)::VARCHAR || ',' || (top + 92)::VARCHAR END AS box, NOT box AS blank,
 CASE WHEN box THEN '0e000000000f00' ELSE '0f000000000000' END AS colorhash FROM p""")
 def raster_crops(spark, t):
     from ..functions.hashing import blank_signature
 
     r = R.page_facts(_rasters(t), ["doc_id"])
     blank = blank_signature(F.col("phash"), F.col("colorhash"))
-    return r.select("doc_id", F.col("trimmed.crop_height").alias("crop_height"), F.col("trimmed.removed_percent").alias("trimmed_percent"), F.array_join("focused.crop_box", ",").alias("box"), blank.alias("blank"), "colorhash")
+    trimmed, focused = P.kept_crops(F.when(F.col("doc_id") % 5 == 0, "docx").otherwise("xlsx"), blank, F.col("trimmed"), F.col("focused"))
+    return r.select("doc_id", trimmed["crop_height"].alias("crop_height"), trimmed["removed_percent"].alias("trimmed_percent"), F.array_join(focused["crop_box"], ",").alias("box"), blank.alias("blank"), "colorhash")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2")

@@ -49,7 +49,9 @@ ON a.conv_id = b.conv_id AND a.turn = b.turn""")
 def zip_join(spark, t):
     c = t("conversations")
     facts = c.groupBy("conv_id", "turn").agg(F.max(F.length("text")).cast("long").alias("n_chars"), F.bool_or(F.col("text").rlike("[0-9]")).alias("has_digit"))
-    return c.select("conv_id", "turn", "role").join(facts, ["conv_id", "turn"])
+    at = [F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page")]
+    met = P.by_position(c.select(*at, "role"), facts.select(*at, "n_chars"), facts.select(*at, "has_digit"))
+    return met.select(F.col("doc_id").alias("conv_id"), (F.col("page") - 1).cast("int").alias("turn"), "role", "n_chars", "has_digit")
 
 
 _SHEETS = "SELECT conv_id AS doc_id, turn, role || turn::VARCHAR AS name, CASE turn % 3 WHEN 0 THEN 'visible' WHEN 1 THEN 'hidden' ELSE 'visible' END AS state, CASE WHEN turn % 4 = 2 THEN 'macro' ELSE 'worksheet' END AS type FROM conversations"
@@ -168,6 +170,19 @@ def page_budgets(spark, t):
     return m.select("p_partkey", "gb", P.max_page_px(F.col("gb"), F.when(F.col("p_partkey") % 5 == 0, (F.col("p_partkey") * 100_000).cast("string")).otherwise("none")).alias("max_px"), P.concurrent_ops(F.col("gb"), F.lit(250.0)).alias("ops"))
 
 
+@query("""
+WITH f AS (SELECT event_id AS file_id, 'u' || user_id || '/f' || event_id || '.' || ['docx', 'exe', 'xls', 'csv', 'html', 'odg', 'ppsx'][user_id % 7 + 1] AS path, ['docx', 'exe', 'xls', 'csv', 'html', 'odg', 'ppsx'][user_id % 7 + 1] AS ext,
+ CASE event_type WHEN 'view' THEN 'application/vnd.ms-excel' WHEN 'error' THEN 'image/png' WHEN 'click' THEN 'text/plain' WHEN 'signup' THEN 'application/CDFV2-unknown' END AS mime FROM events)
+SELECT file_id, ext, path, r FROM (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY path, file_id) AS r FROM f WHERE ext IN ('docx', 'xls', 'csv', 'ppsx') AND mime <> 'image/png') WHERE r <= 20""")
+def corpus_sample(spark, t):
+    """The first twenty files of each wanted extension, of those whose media type fits."""
+    kind, ext = F.col("event_type"), F.get(F.array(*map(F.lit, ["docx", "exe", "xls", "csv", "html", "odg", "ppsx"])), (F.col("user_id") % 7).cast("int"))
+    mime = F.when(kind == "view", "application/vnd.ms-excel").when(kind == "error", "image/png").when(kind == "click", "text/plain").when(kind == "signup", "application/CDFV2-unknown")
+    path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/f"), F.col("event_id").cast("string"), F.lit("."), ext)
+    files = t("events").select(F.col("event_id").alias("file_id"), path.alias("path"), T.extension_hint(path).alias("ext"), mime.alias("mime"))
+    return P.sampled(P.wanted(files), 20).select("file_id", "ext", "path", F.col("r").cast("long").alias("r"))
+
+
 @query("""
 WITH f AS (SELECT page_id AS file_id, url AS path, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+\\.([^.]+)$', 1)) AS ext FROM pages)
 SELECT file_id, ext, path, r FROM (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY path, file_id) AS r FROM f) WHERE r <= 5""")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import text as T
-from ..operators import containers as C
 from ..operators import jobs as J
 from ..operators import scanners as S
 from ..operators.envelope import details, envelope
@@ -38,6 +37,17 @@ def ocr_gating(spark, t):
     return p.select("conv_id", "turn", S.ocr_skipped(F.col("conv_id") % 5 != 0, F.col("turn") % 4 == 0, F.col("conv_id") % 2 == 0, worth, F.col("left_s"), _pick("turn", [0, -9, 1])).alias("skipped"))
 
 
+@query("""
+WITH p AS (SELECT conv_id, turn, length(text) * 100 AS ms FROM conversations),
+b AS (SELECT *, 60.0 - coalesce(sum(ms) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000.0 AS left_s FROM p)
+SELECT conv_id, turn, floor(greatest(0, left_s))::INT AS warm, greatest(1, floor(greatest(0, left_s - ms / 1000.0)))::INT AS cold FROM b""")
+def ocr_timeouts(spark, t):
+    """Seconds that the warm scanner may take for a page, and the cold one after the warm one failed."""
+    p = S.with_time_left(t(_C).select("conv_id", "turn", (F.length("text") * 100).alias("duration_ms")), 60, "conv_id", "turn")
+    warm, cold = S.scan_timeouts(F.col("left_s"), F.col("duration_ms") / 1000)
+    return p.select("conv_id", "turn", warm.alias("warm"), cold.alias("cold"))
+
+
 @query("""
 SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'error' END AS kind, rtrim(text, chr(10)) AS text, length(rtrim(text, chr(10)))::BIGINT AS char_count,
 CASE WHEN turn % 2 = 0 THEN 'warm' ELSE 'cold' END AS used, CASE WHEN turn % 2 = 1 THEN 'ocr_warm_fallback' END AS warning FROM conversations""")
@@ -66,7 +76,7 @@ def qr_parse_plain(spark, t):
     turn = F.col("turn").cast("string")
     mirrored = F.when(F.col("turn") % 2 == 0, "True").otherwise("no")
     out = F.concat(
-        F.lit('Text: "old"\nText: "'), "role", F.lit("\nFormat: QRCode\nPosition: 1x1 2x2\nEC Level:  M\nIsMirrored: "), mirrored, F.lit("\n \nText: "), turn,
+        F.lit('Text: "old"\nText: "'), "role", F.lit("\nFormat: QRCode\nPosition: 1x1 2x2\nEC Level:  M\nIsMirrored: "), mirrored, F.lit("\n \nText:\t "), turn,
         F.lit("\nFormat:   UPC-A\nBytes: AB\n\nText: no format\n\n\nFormat: NewCode-7\r\nText: \""), "role", F.lit('"\n'),
     )
     r = t(_C).select("conv_id", "turn", F.explode(S.plain_blocks(out)).alias("r"))
@@ -169,19 +179,6 @@ def host_paths(spark, t):
     return J.host_path(paths, spark.createDataFrame([("/sandbox", "/host"), ("/sandbox/in", "/host/jobs")], "prefix string, host string"))
 
 
-@query("""
-WITH r AS (SELECT conv_id, turn, turn % 4 <> 3 AS inner_rel, CASE turn % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/msword' ELSE 'image/png' END AS ctype FROM conversations)
-SELECT conv_id AS doc_id, CASE WHEN count(*) FILTER (WHERE ctype = 'application/msword') > 0 THEN 'unsupported_type' WHEN count(*) FILTER (WHERE ctype = 'text/html') > 1 THEN 'several' ELSE 'substitute' END AS action
-FROM r WHERE inner_rel AND ctype <> 'image/png' GROUP BY conv_id""")
-def altchunk_join(spark, t):
-    c = t(_C).select(F.col("conv_id").alias("doc_id"), "turn").distinct()
-    rid = F.concat(F.lit("rId"), F.col("turn").cast("string"))
-    refs = c.select("doc_id", F.col("turn").alias("pos"), rid.alias("rel_id"))
-    rels = c.select("doc_id", rid.alias("rel_id"), F.lit("http://schemas.openxmlformats.org/officeDocument/2006/relationships/aFChunk").alias("type"), F.concat(F.lit("part"), F.col("turn").cast("string")).alias("target"), F.when(F.col("turn") % 4 == 3, "External").alias("target_mode"))
-    types = c.select("doc_id", F.concat(F.lit("/word/part"), F.col("turn").cast("string")).alias("part_name"), _pick("turn", ["text/html", "application/msword", "image/png"]).alias("content_type"))
-    return C.altchunk_policy(C.altchunks(refs, rels, types))
-
-
 @query("""
 SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'calc' WHEN 1 THEN 'impress' WHEN 2 THEN 'draw' WHEN 3 THEN 'writer' WHEN 4 THEN 'calc' ELSE 'writer' END AS application, p_size % 6 = 4 AS two_pass,
 CASE p_size % 6 WHEN 4 THEN 'xlsx,calc' ELSE CASE p_size % 6 WHEN 0 THEN 'calc' WHEN 1 THEN 'impress' WHEN 2 THEN 'draw' ELSE 'writer' END END AS steps, least(greatest(p_size * 10, 1), 120) AS qr_timeout FROM part""")
