@@ -751,33 +751,65 @@ def test_license_scan_is_brute_force(spark):
 
 
 def test_apache_header_under_a_copyright_line():
-    from vellumetry.llm.licenses import TEMPLATES, licenses_in
+    from vellumetry.llm.licenses import TEMPLATES, Known, licenses_in
 
     header = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License."
     text = f"Copyright 2020 Acme Inc.\n\n{header}\n"
-    (hit,) = licenses_in(text, {}, TEMPLATES)
+    (hit,) = licenses_in(text, Known(), TEMPLATES)
     assert hit[0] == "Apache-2.0" and hit[1] == 26 and hit[2] >= len(text) - 3
 
 
 def test_whole_license_texts_under_dated_copyright_lines(spark):
-    from vellumetry.llm.licenses import TEMPLATES, licenses_in
+    from vellumetry.llm.licenses import TEMPLATES, Known, licenses_in
 
     folder = Path(Q.__file__).parent / "license_texts"
     names = ["MIT", "ISC", "BSD-3-Clause", "Unlicense"]
     whole = {n: (folder / f"{n}.txt").read_text().replace("<year>", "2023").replace("<owner>", "The Apache Software Foundation") for n in names}
     for name, text in whole.items():
-        (hit,) = licenses_in(f"Prose about birds.\n{text}", {}, TEMPLATES)
+        (hit,) = licenses_in(f"Prose about birds.\n{text}", Known(), TEMPLATES)
         assert hit[0] == name and hit[2] - hit[1] >= 0.9 * len(text.strip())
-    (hit,) = licenses_in(" ".join(whole["MIT"].split()), {}, TEMPLATES)
+    (hit,) = licenses_in(" ".join(whole["MIT"].split()), Known(), TEMPLATES)
     assert hit[0] == "MIT" and not hit[4]
     gpl = "Copyright (C) 2019 Bob Roe\nThis program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY. See the GNU General Public License for more details."
-    assert [h[0] for h in licenses_in(gpl, {}, TEMPLATES)] == ["GPL-3.0"]
-    assert [h[0] for h in licenses_in(gpl.replace("General", "Affero General"), {}, TEMPLATES)] == ["AGPL-3.0"]
-    assert {h[0] for h in licenses_in((folder / "GPL-2.0.txt").read_text(), {}, TEMPLATES)} == {"GPL-2.0"}
+    assert [h[0] for h in licenses_in(gpl, Known(), TEMPLATES)] == ["GPL-3.0"]
+    assert [h[0] for h in licenses_in(gpl.replace("General", "Affero General"), Known(), TEMPLATES)] == ["AGPL-3.0"]
+    assert {h[0] for h in licenses_in((folder / "GPL-2.0.txt").read_text(), Known(), TEMPLATES)} == {"GPL-2.0"}
     notice = "This work is licensed under the GNU General Public License, version 3."
-    assert licenses_in(notice + "\n" + "The&&& annd*** onndble%%% thea*** ndor*** " * 300, {}, TEMPLATES)[0][:3] == ("GPL-3.0", 0, 69)
+    assert licenses_in(notice + "\n" + "The&&& annd*** onndble%%% thea*** ndor*** " * 300, Known(), TEMPLATES)[0][:3] == ("GPL-3.0", 0, 69)
     two = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
-    assert [h[:3] for h in licenses_in(two, {}, TEMPLATES)] == [("MIT", 0, 30), ("Apache-2.0", 32, 78)]
+    assert [h[:3] for h in licenses_in(two, Known(), TEMPLATES)] == [("MIT", 0, 30), ("Apache-2.0", 32, 78)]
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"])
+def test_a_whole_license_is_one_row(name):
+    """Sentences without a cue word lie inside the row, as they are the template's wording."""
+    from vellumetry.llm.licenses import TEMPLATES, Known, licenses_in
+
+    whole = (Path(Q.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+    text = f"Prose about birds.\n\n{whole}\n\nMore prose, about mills and rivers."
+    hits = [h for h in licenses_in(text, Known(), TEMPLATES) if h[0] == name]
+    longest = max(hits, key=lambda h: h[2] - h[1])
+    assert len(hits) == 1 and longest[2] - longest[1] >= 0.9 * len(whole.strip())
+
+
+def test_notices_apart_stay_apart():
+    from vellumetry.llm.licenses import TEMPLATES, Known, licenses_in
+
+    notice = "Released under the MIT License."
+    text = f"{notice}\n" + "The old mill grinds barley before noon.\n" * 30 + notice
+    assert [(h[0], h[1]) for h in licenses_in(text, Known(), TEMPLATES)] == [("MIT", 0), ("MIT", len(text) - len(notice))]
+
+
+def test_remembered_blocks_are_bounded(monkeypatch):
+    from vellumetry.llm import licenses
+
+    monkeypatch.setattr(licenses, "KNOWN_CHARS", 100)
+    known = licenses.Known()
+    for i in range(50):
+        known.put(f"{i:010d}", [])
+        assert sum(map(len, known)) == known.chars <= 100
+    known.put("x" * 101, [])
+    assert "x" * 101 not in known
 
 
 def test_license_template_ranked_after_many_variants(monkeypatch):

@@ -11,10 +11,14 @@ segment is cut back where the template's next word in the sentence is such a wor
 never half of "version 3". Dated copyright statements are left out of the comparison. A segment stands
 if it is LONG words, or a whole sentence of the template, or MATCHED of the sentences it lies in with
 wording that no other template has as well. Of segments that overlap, that with most wording stands, so
-a block gives several licenses; neighbouring segments of one license are one row.
+a block gives several licenses; neighbouring segments of one license are one row. Segments of one license
+that stand in different blocks are one row too if MATCHED of the words between them are the template's, in its
+order: so a whole license text, most of whose sentences hold no cue, is one row.
 
 Defined results: null and empty texts have no blocks; repeated rows give their rows each; a document
-without a confirmed segment gives no row; other columns of the input are ignored.
+without a confirmed segment gives no row; an empty table gives an empty result; of templates that save and match
+as much the first by name stands; very long texts are scanned whole, block by block; other columns of the input
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -233,15 +237,58 @@ def identify(block: str, templates: dict[str, str]) -> list[tuple[str, int, int,
     return out
 
 
-def licenses_in(text: str, known: dict[str, list[tuple]], templates: dict[str, str]) -> list[tuple[str, int, int, float, list[str], list[str]]]:
+#: Rows that a task turns to Python strings at a time.
+ROWS = 256
+#: Blocks that a task remembers, and the characters that all of them may have.
+KNOWN, KNOWN_CHARS = 10_000, 8 << 20
+
+
+class Known(dict):
+    """Blocks and their segments, as many as KNOWN and KNOWN_CHARS allow."""
+
+    chars = 0
+
+    def put(self, block: str, hits: list[tuple]) -> None:
+        if len(self) >= KNOWN or self.chars + len(block) > KNOWN_CHARS:
+            self.clear()
+            self.chars = 0
+        if len(block) <= KNOWN_CHARS:
+            self[block] = hits
+            self.chars += len(block)
+
+
+def _between(gap: str, template: str) -> list[str] | None:
+    """What a gap between two segments has beside the template's wording; None if too much to be of the license."""
+    words = _words(gap)[0]
+    own, sentence = _template(template)
+    # Every word of the template is matched once at most.
+    if MATCHED * len(words) > len(own):
+        return None
+    used = {j + k for runs in segments(words, own, sentence) for _, j, n in runs for k in range(n)}
+    return [w for j, w in enumerate(words) if j not in used] if len(used) >= MATCHED * len(words) else None
+
+
+def _joined(text: str, hits: list[tuple], templates: dict[str, str]) -> list[tuple]:
+    out: list[tuple] = []
+    for hit in hits:
+        more = _between(text[out[-1][2] : hit[1]], templates[hit[0]]) if out and out[-1][0] == hit[0] else None
+        if more is None:
+            out.append(hit)
+        else:
+            name, start, _, saving, added, missing = out[-1]
+            out[-1] = (name, start, hit[2], max(saving, hit[3]), added + more + hit[4], missing + hit[5])
+    return out
+
+
+def licenses_in(text: str, known: Known, templates: dict[str, str]) -> list[tuple[str, int, int, float, list[str], list[str]]]:
     """The confirmed segments of a text. A long one that ends with its block is followed into the pieces after it."""
 
     def named(block: str) -> list[tuple]:
-        if block not in known:
-            if len(known) >= 10_000:
-                known.clear()
-            known[block] = identify(block, templates)
-        return known[block]
+        hits = known.get(block)
+        if hits is None:
+            hits = identify(block, templates)
+            known.put(block, hits)
+        return hits
 
     out, blocks = [], blocks_of(text)
     for (start, end), (limit, _) in zip(blocks, [*blocks[1:], (len(text), 0)]):
@@ -253,7 +300,7 @@ def licenses_in(text: str, known: dict[str, list[tuple]], templates: dict[str, s
             if {h[0] for h in hits} <= {h[0] for h in more} and more[-1][2] > hits[-1][2]:
                 hits = more
         out += [(name, start + a, start + b, *rest) for name, a, b, *rest in hits]
-    return out
+    return _joined(text, out, templates)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -262,8 +309,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[tuple]] = {}
-        for batch in batches:
+        known = Known()
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for hit in licenses_in(text, known, templates):

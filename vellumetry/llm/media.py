@@ -39,6 +39,8 @@ from .common import shared_folder, written
 WIDTH = 192
 ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
+#: Byte ranges that a read is planned in at most, beside one more an archive.
+RANGES = 50_000
 BATCH_BYTES = 4 << 20
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -156,7 +158,10 @@ class MediaReader(DataSourceReader):
             known = zip(table["archive"].to_pylist(), table["bytes"].to_pylist())
         else:
             known = ((f"{self.path}/{i.base_name}", i.size) for i in store.get_file_info(fs.FileSelector(path)) if i.base_name.endswith(".tar"))
-        return [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size in known for at in range(0, size, self.range_bytes)]
+        known = list(known)
+        # Ranges grow with the total, so that the driver plans RANGES of them and one more an archive at most.
+        step = max(self.range_bytes, -(-sum(size for _, size in known) // RANGES))
+        return [ByteRange(name, at, min(at + step, size)) for name, size in known for at in range(0, size, step)]
 
     def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # a folder without archives

@@ -145,6 +145,8 @@ class Field:
     sure: float = 0.9
     rounds: int = 200
     tolerance: float = 1e-7
+    #: Chain and skip edges of the sample that the field was fitted on.
+    edges: tuple[int, int] = (0, 0)
 
     def marginals(self, shapes: np.ndarray, evidence: np.ndarray, edges: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """Loopy sum-product; edges (E, 2) of node numbers, kinds 0 chain, 1 skip; evidence -1 if none."""
@@ -267,8 +269,10 @@ def log_ratios(pair: np.ndarray, added: float, most: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample_docs: int = 2000) -> Field | None:
-    """A field from a bounded sample of texts with nodes; None if there are none."""
-    some = docs.where("text is not null").where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
+    """A field from a bounded sample of rows with nodes in their texts; None if there are none.
+
+    Rows are drawn by id and text, so of a text that many rows share, as many come in as its share of the rows is."""
+    some = docs.where("text is not null").where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id", "text").alias("h"))
     n = some.count()
     sample = some.where(F.pmod(F.col("h"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample_docs / max(n, 1))).select("text")
 
@@ -311,7 +315,8 @@ def fit(docs: DataFrame, sample_docs: int = 2000) -> Field | None:
                 pair[a, b] += r.n / 2
                 pair[b, a] += r.n / 2
         parts.append(log_ratios(pair, added, most))
-    return Field(node, *parts)
+    counts = {k: int(got[got["part"] == k]["n"].sum()) for k in (0, 1)}
+    return Field(node, *parts, edges=(counts[0], counts[1]))
 
 
 def _text_of(spans: list[tuple[int, int, int]]) -> str:
