@@ -69,12 +69,18 @@ def histogram(values: DataFrame, value: str, buckets: list[float], *by: str) ->
     return wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.le", "r.n")
 
 
-def in_flight(jobs: DataFrame, by: str) -> DataFrame:
-    """(by, t, running): jobs running after each start or end, in each value of ``by``."""
+def in_flight(jobs: DataFrame, by: str, width: float = 3600) -> DataFrame:
+    """(by, t, running): jobs running after each start or end, in each value of ``by``; times are numbers.
+
+    Steps are summed inside spans of ``width``, and spans among themselves, so no window holds all steps of a value."""
     starts = jobs.where("started_at is not null").select(by, F.col("started_at").alias("t"), F.lit(1).alias("d"))
     ends = jobs.where("finished_at is not null and started_at is not null").select(by, F.col("finished_at").alias("t"), F.lit(-1).alias("d"))
-    steps = starts.union(ends).groupBy(by, "t").agg(F.sum("d").alias("d"))
-    return steps.select(by, "t", F.sum("d").over(Window.partitionBy(by).orderBy("t")).alias("running"))
+    steps = starts.union(ends).groupBy(by, "t").agg(F.sum("d").alias("d")).withColumn("__span", F.floor(F.col("t") / width))
+    carried = steps.groupBy(F.col(by).alias("__by"), F.col("__span").alias("__at")).agg(F.sum("d").alias("d"))
+    carried = carried.select("__by", "__at", F.coalesce(F.sum("d").over(Window.partitionBy("__by").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__carried"))
+    inside = F.sum("d").over(Window.partitionBy(by, "__span").orderBy("t"))
+    each = steps.withColumn("__inside", inside).join(carried, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__span") == F.col("__at")))
+    return each.select(by, "t", (F.col("__inside") + F.col("__carried")).alias("running"))
 
 
 def forwardable(params: DataFrame, allowed: DataFrame, reserved: DataFrame) -> DataFrame:

@@ -163,15 +163,18 @@ def column_letters(spark, t):
     return t("part").select("p_partkey", hi.alias("hi"), lo.alias("lo"), T.column_number(letters).alias("n"), T.oversized_range(F.concat(F.lit("A1:"), letters, (F.col("p_size") * 10).cast("string"))).alias("oversized"))
 
 
-@query("""
-SELECT conv_id, turn, turn % 3 <> 2 AS lang_ok, turn % 4 < 2 AS formats_ok, CASE turn % 4 WHEN 0 THEN 'qr_code' WHEN 1 THEN 'rmqr_code' WHEN 2 THEN 'ean_13' ELSE 'data_matrix' END AS format FROM conversations""")
+@query(r"""
+WITH s AS (SELECT conv_id, turn, replace(text[1:14], ' ', '+') AS lang, replace(lower(text[1:30]), ' ', CASE WHEN turn % 2 = 0 THEN ',' ELSE ' | ' END) AS formats, text[1:12] AS format FROM conversations WHERE text IS NOT NULL),
+n AS (SELECT *, list_transform(regexp_split_to_array(formats, '[,|]'), lambda x: trim(x)) AS names FROM s),
+f AS (SELECT *, regexp_replace(regexp_replace(format, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g') AS split FROM n)
+SELECT conv_id, turn, regexp_full_match(lang, '[A-Za-z]{2,}(_[A-Za-z]+)*(\+[A-Za-z]{2,}(_[A-Za-z]+)*)*') AS lang_ok, len(names) BETWEEN 1 AND 32 AND len(list_filter(names, lambda x: NOT (length(x) <= 40 AND regexp_full_match(x, '[a-z0-9]+(_[a-z0-9]+)*')))) = 0 AS formats_ok,
+regexp_replace(lower(regexp_replace(split, '[^A-Za-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') AS format FROM f""")
 def validators(spark, t):
-    def pick(xs):
-        return F.get(F.array(*[F.lit(x) for x in xs]), F.col("turn") % len(xs))
-
-    lang = pick(["eng+Latin", "chi_sim", "eng;rm"])
-    formats = pick(["qr_code,ean_13", "aztec| itf", "QR", "a,,b"])
-    return t("conversations").select("conv_id", "turn", T.valid_lang(lang).alias("lang_ok"), T.valid_formats(formats).alias("formats_ok"), T.normal_format(pick(["QRCode", "RMQRCode", "EAN-13", "Data Matrix"])).alias("format"))
+    """The beginnings of turns as recognition languages, as lists of formats and as a format's name."""
+    text = F.col("text")
+    lang = F.replace(F.substring(text, 1, 14), F.lit(" "), F.lit("+"))
+    formats = F.replace(F.lower(F.substring(text, 1, 30)), F.lit(" "), F.when(F.col("turn") % 2 == 0, ",").otherwise(" | "))
+    return t("conversations").where("text is not null").select("conv_id", "turn", T.valid_lang(lang).alias("lang_ok"), T.valid_formats(formats).alias("formats_ok"), T.normal_format(F.substring(text, 1, 12)).alias("format"))
 
 
 _W = "(SELECT vec_id AS id, list_reduce(list_prepend(0::UBIGINT, list_transform(range(1, 65), lambda i: CASE WHEN e[i] > list_median(e) THEN (1::UBIGINT << (64 - i)) ELSE 0::UBIGINT END)), lambda a, b: a + b) AS w FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))"

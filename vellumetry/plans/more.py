@@ -29,26 +29,60 @@ def artifact_route(spark, t):
     return artifact(files, jobs, F.col("job_id"), F.lit(3)).select("job_id", "http", "file")
 
 
-@query("""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'xls' WHEN 1 THEN 'docx' WHEN 2 THEN 'pptx' ELSE 'docx' END AS office, CASE doc_id % 3 WHEN 0 THEN 'odg' WHEN 1 THEN 'ods' ELSE 'odt' END AS odf FROM documents""")
-def relabelled(spark, t):
-    mime = _of("doc_id", ["application/vnd.ms-excel", "application/zip", "application/zip", "text/plain"])
-    dirs = F.when(F.col("doc_id") % 4 == 2, F.array(F.lit("ppt/slides/a.xml"))).when(F.col("doc_id") % 4 == 1, F.array(F.lit("ppt/a"), F.lit("word/b"))).otherwise(F.array().cast("array<string>"))
-    marker = _of("doc_id", ["application/vnd.oasis.opendocument.graphics", "application/vnd.oasis.opendocument.spreadsheet", "application/x"])
-    return t("documents").select("doc_id", D.magic_label(F.lit("docx"), mime, dirs).alias("office"), D.odf_label(F.lit("odt"), marker).alias("odf"))
+#: Names and types that a word stands for, by its length; {} is the word itself.
+_MIMES = ["application/vnd.ms-excel", "application/zip", "text/rtf", "image/{}", "application/vnd.openxmlformats-officedocument.presentationml.{}", "text/csv", "application/msword", "application/{}"]
+_LABELS = ["docx", "xlsx", "odt", "txt", "pdf", "pptx", "odg"]
+_FOLDERS = ["ppt/{}", "word/{}", "xl/{}", "{}", "word"]
+_MARKERS = ["text", "spreadsheet", "presentation", "graphics", "{}"]
+_STREAMS = ["WordDocument", "VBA/{}", "Macros", "{}", "EncryptedPackage", "1Table", "{}", "Book/{}", "{}", "{}", "PP97_DUALSTORAGE"]
+_ENTRIES = ["word/document.xml", "xl/{}.bin", "{}.exe", "odd/{}.vbs", "word/{}.bin", "{}.txt", "docProps/{}.js", "xl/workbook.xml", "{}.dllx"]
 
 
-@query("""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ole_macro_only_payload' WHEN 1 THEN '' WHEN 2 THEN 'ole_encrypted' ELSE '' END AS ole,
-CASE doc_id % 3 WHEN 0 THEN 'ooxml_empty_core_document,ooxml_suspicious_entries' WHEN 1 THEN '' ELSE 'ooxml_suspicious_entries' END AS ooxml FROM documents""")
-def content_warnings(spark, t):
-    streams = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("_VBA_PROJECT"))).when(F.col("doc_id") % 4 == 1, F.array(F.lit("Macros/x"), F.lit("WordDocument"))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("EncryptedPackage"))).otherwise(F.array(F.lit("Workbook")))
+def _stands_for(word, names: list):
+    def filled(x: str):
+        return F.concat(*[p for i, part in enumerate(x.split("{}")) for p in ([word] if i else []) + [F.lit(part)]])
+
+    return F.get(F.array(*map(filled, names)), F.length(word) % len(names))
+
 
-    def entry(name, size):
-        return F.struct(F.lit(name).alias("name"), F.lit(size).cast("long").alias("size"))
+def _sql_for(word: str, names: list) -> str:
+    return f"CASE length({word}) % {len(names)} " + " ".join(f"WHEN {i} THEN replace('{x}', '{{}}', {word})" for i, x in enumerate(names)) + " END"
 
-    entries = F.when(F.col("doc_id") % 3 == 0, F.array(entry("word/document.xml", 0), entry("x/run.exe", 9))).when(F.col("doc_id") % 3 == 1, F.array(entry("word/document.xml", 7), entry("word/a.bin", 9))).otherwise(F.array(entry("odd/p.vbs", 1)))
-    return t("documents").select("doc_id", F.array_join(D.ole_warnings(streams), ",").alias("ole"), F.array_join(D.ooxml_warnings(entries), ",").alias("ooxml"))
+
+def _words(t, n: int):
+    return t("documents").select("doc_id", F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, n).alias("w")).where(F.size("w") == n)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1:6] AS w FROM documents), e AS (SELECT * FROM d WHERE len(w) = 6),
+f AS (SELECT doc_id, {_sql_for('w[1]', _MIMES)} AS mime, {_sql_for('w[2]', _LABELS)} AS label, list_transform(w[3:5], lambda x: {_sql_for('x', _FOLDERS)}) AS dirs, 'application/vnd.oasis.opendocument.' || {_sql_for('w[6]', _MARKERS)} AS marker FROM e),
+g AS (SELECT *, CASE WHEN contains(mime, 'presentationml') THEN 'pptx' WHEN contains(mime, 'wordprocessingml') THEN 'docx' WHEN contains(mime, 'spreadsheetml') THEN 'xlsx' WHEN contains(mime, 'vnd.ms-powerpoint') THEN 'ppt' WHEN contains(mime, 'msword') THEN 'doc'
+  WHEN contains(mime, 'vnd.ms-excel') THEN 'xls' WHEN contains(mime, 'text/rtf') OR contains(mime, 'application/rtf') THEN 'rtf' WHEN contains(mime, 'text/csv') THEN 'csv' END AS said,
+  len(list_filter(dirs, lambda x: starts_with(x, 'ppt/'))) > 0 AS p, len(list_filter(dirs, lambda x: starts_with(x, 'word/'))) > 0 AS w, len(list_filter(dirs, lambda x: starts_with(x, 'xl/'))) > 0 AS x FROM f)
+SELECT doc_id, CASE WHEN label IN ('docx', 'xlsx', 'pptx', 'txt') THEN coalesce(said, CASE WHEN label <> 'txt' AND p::INT + w::INT + x::INT = 1 THEN CASE WHEN p THEN 'pptx' WHEN w THEN 'docx' ELSE 'xlsx' END END, label) ELSE label END AS office,
+CASE WHEN label IN ('odt', 'odg') THEN CASE WHEN ends_with(marker, '.text') THEN 'odt' WHEN ends_with(marker, '.spreadsheet') THEN 'ods' WHEN ends_with(marker, '.presentation') THEN 'odp' WHEN ends_with(marker, '.graphics') THEN 'odg' ELSE label END ELSE label END AS odf FROM g""")
+def relabelled(spark, t):
+    """Labels as the first words of documents have them, corrected by media type, folders and marker."""
+    w = [F.get("w", F.lit(i)) for i in range(6)]
+    label = _stands_for(w[1], _LABELS)
+    dirs = F.transform(F.slice("w", 3, 3), lambda x: _stands_for(x, _FOLDERS))
+    marker = F.concat(F.lit("application/vnd.oasis.opendocument."), _stands_for(w[5], _MARKERS))
+    return _words(t, 6).select("doc_id", D.magic_label(label, _stands_for(w[0], _MIMES), dirs).alias("office"), D.odf_label(label, marker).alias("odf"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1:7] AS w FROM documents), e AS (SELECT * FROM d WHERE len(w) = 7),
+f AS (SELECT doc_id, list_transform(w[1:3], lambda x: {_sql_for('x', _STREAMS)}) AS streams, list_transform(w[4:7], lambda x: {{'name': {_sql_for('x', _ENTRIES)}, 'size': greatest(length(x) - 4, 0)}}) AS entries FROM e),
+g AS (SELECT *, list_contains(streams, 'EncryptedPackage') AS locked, len(list_filter(streams, lambda x: contains(x, 'VBA') OR contains(x, 'Macros'))) > 0 AS vba,
+  len(list_filter(streams, lambda x: x IN ('PowerPoint Document', 'PP97_DUALSTORAGE', 'WordDocument', '1Table', '0Table', 'Workbook', 'Book'))) > 0 AS content FROM f)
+SELECT doc_id, concat_ws(',', CASE WHEN vba AND NOT content AND NOT locked THEN 'ole_macro_only_payload' END, CASE WHEN locked THEN 'ole_encrypted' END) AS ole,
+concat_ws(',', CASE WHEN len(list_filter(entries, lambda x: x.name IN ('word/document.xml', 'xl/workbook.xml') AND x.size = 0)) > 0 THEN 'ooxml_empty_core_document' END,
+ CASE WHEN len(list_filter(entries, lambda x: regexp_matches(x.name, '\\.(bin|exe|vbs|js)$') AND NOT regexp_matches(x.name, '^(word|xl|docProps)/'))) > 0 THEN 'ooxml_suspicious_entries' END) AS ooxml FROM g""")
+def content_warnings(spark, t):
+    """Stream names and package entries as the first words of documents have them."""
+    streams = F.transform(F.slice("w", 1, 3), lambda x: _stands_for(x, _STREAMS))
+    entries = F.transform(F.slice("w", 4, 4), lambda x: F.struct(_stands_for(x, _ENTRIES).alias("name"), F.greatest(F.length(x) - 4, F.lit(0)).cast("long").alias("size")))
+    return _words(t, 7).select("doc_id", F.array_join(D.ole_warnings(streams), ",").alias("ole"), F.array_join(D.ooxml_warnings(entries), ",").alias("ooxml"))
 
 
 @query(r"""
