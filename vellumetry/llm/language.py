@@ -20,11 +20,11 @@ summed; ``accepted`` passes all other columns on, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -68,6 +68,8 @@ class CharModel:
     @classmethod
     def fit(cls, grams: list[str], counts: np.ndarray) -> CharModel:
         """From the counts of all n-grams of orders 1 to ORDER (marks included)."""
+        import pandas as pd  # on the driver alone: workers stay without it, 45 MB smaller
+
         out = cls()
         table = pd.DataFrame({"g": grams, "c": counts.astype(float)})
         table["n"] = table["g"].str.len()
@@ -90,8 +92,8 @@ class CharModel:
         return out
 
     @staticmethod
-    def _sorted(grams: pd.Series, values: pd.Series, n: int) -> tuple[np.ndarray, np.ndarray]:
-        hashes = _hashes_of(grams.tolist(), n)
+    def _sorted(grams: Iterable[str], values: Any, n: int) -> tuple[np.ndarray, np.ndarray]:
+        hashes = _hashes_of(list(grams), n)
         order = np.argsort(hashes)
         return hashes[order], values.to_numpy(dtype=np.float32)[order]
 
