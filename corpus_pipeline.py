@@ -25,18 +25,30 @@ from vellumetry.llm.mixing import mix
 from vellumetry.llm.secrets import redact
 
 
+#: Rows of the Arrow batches that stages send to Python: with whole texts, batches of Spark's 10,000 rows take much
+#: of an executor's memory outside its heap, which is not given back.
+ARROW_ROWS = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the labelled languages; the others go."""
+    _small_batches(spark)
     return accepted(docs, train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of smallest doc_id, for each group linked at 0.8 on five-word shingles."""
+    _small_batches(spark)
     return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    _small_batches(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
