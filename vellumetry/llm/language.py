@@ -105,13 +105,15 @@ class CharModel:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return np.where(keys[at] == h, values[at], np.float32(missing))
 
-    def surprise(self, hashes: list[np.ndarray], depth: np.ndarray) -> np.ndarray:
-        """-log p at each position; hashes[n] are those of order n, depth the marks and letters so far."""
+    def surprise(self, hashes: list[tuple[np.ndarray, np.ndarray]], depth: np.ndarray) -> np.ndarray:
+        """-log p at each position; hashes[n] are the distinct ones of order n, sorted, and which each position has;
+        depth is the marks and letters so far. Sorted, few hashes are found fast in the sorted arrays."""
         p = np.full(len(depth), self.floor, dtype=np.float32)
-        p = self._find(self.grams[0], hashes[1], 0.0) + p
+        p = self._find(self.grams[0], hashes[1][0], 0.0)[hashes[1][1]] + p
         for n in range(2, ORDER + 1):
-            back = np.concatenate([hashes[n - 1][:1], hashes[n - 1][:-1]])
-            more = self._find(self.grams[n - 1], hashes[n], 0.0) + self._find(self.histories[n - 1], back, 1.0) * p
+            back = self._find(self.histories[n - 1], hashes[n - 1][0], 1.0)[hashes[n - 1][1]]
+            back = np.concatenate([back[:1], back[:-1]])
+            more = self._find(self.grams[n - 1], hashes[n][0], 0.0)[hashes[n][1]] + back * p
             p = np.where(depth >= n, more, p)
         return -np.log(np.maximum(p, 1e-12))
 
@@ -151,7 +153,7 @@ class Identifier:
         np.maximum.accumulate(last, out=last)
         start = np.concatenate([[0], last[:-1]])  # the mark before each position, itself excluded
         depth = np.arange(len(codes)) - start + 1
-        hashes = [None, *(_gram_hashes(codes, n) for n in range(1, ORDER + 1))]
+        hashes = [None, *(np.unique(_gram_hashes(codes, n), return_inverse=True) for n in range(1, ORDER + 1))]
         word = np.concatenate([[-1], np.repeat(np.array(owner), lengths)])
         real = word >= 0
         for k, m in enumerate(self.models):
