@@ -178,13 +178,14 @@ URL_ATTRIBUTE = r"(?i)((?:src|href|background)\s*=\s*)(\"[^\"]*\"|'[^']*')"
 
 def rewrite_urls(html: DataFrame, parts: DataFrame) -> DataFrame:
     """(doc_id, html) with the locations of the document's own parts, and the last segments of these, replaced
-    by local names in quoted src, href and background values, the longest first."""
+    by local names in quoted src, href and background values: the longest first, of one length in the order of
+    the parts. Of parts with one location the last gives the name."""
     known = parts.where("not root and cloc is not null")
     short = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.regexp_replace("cloc", r"\\", "/"), "/"), -1), "[^A-Za-z0-9._-]", "_"), "^[._]+|[._]+$", "")
-    both = known.select("doc_id", "root", "pos", "local_name", F.explode(F.array_distinct(F.array(F.col("cloc"), short))).alias("key"))
-    names = _names(both, F.col("key"))
-    # Longest keys first; of keys of one length, in the order of the parts' keys.
-    ordered = F.array_sort(F.transform(F.map_entries("names"), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("key"), e["value"].alias("name"))))
+    both = known.select("doc_id", "pos", "local_name", F.posexplode(F.array_distinct(F.array(F.col("cloc"), short))).alias("k", "key")).where("key <> ''")
+    place = F.struct("pos", "k")
+    each = both.groupBy("doc_id", "key").agg(F.max_by("local_name", place).alias("name"), F.min(place).alias("first"))
+    names = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("n"), "first", "key", "name"))).alias("ordered"))
     found = F.regexp_extract_all("html", F.lit(URL_ATTRIBUTE), F.lit(0))
     between = F.split("html", URL_ATTRIBUTE, -1)
 
@@ -193,8 +194,8 @@ def rewrite_urls(html: DataFrame, parts: DataFrame) -> DataFrame:
         return F.concat(F.regexp_extract(m, URL_ATTRIBUTE, 1), F.aggregate("ordered", value, lambda v, e: F.replace(v, e["key"], e["name"])))
 
     joined = F.array_join(F.flatten(F.zip_with(between, F.transform(found, changed), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    rows = html.join(names, "doc_id", "left").withColumn("ordered", ordered)
-    return rows.select("doc_id", F.when(F.col("names").isNull(), F.col("html")).otherwise(joined).alias("html"))
+    rows = html.join(names, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("ordered").isNull(), F.col("html")).otherwise(joined).alias("html"))
 
 
 def css_rules(html: DataFrame) -> DataFrame:

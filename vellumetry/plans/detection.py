@@ -107,10 +107,9 @@ def css_rules(spark, t):
 
 
 @query("""
-WITH p AS (SELECT page_id, list_distinct(regexp_extract_all(html, '<a href="(/[A-Za-z0-9]+)"', 1)) AS links FROM pages),
-k AS (SELECT page_id, links, list_transform(list_sort(list_transform(list_distinct(list_concat(links, list_transform(links, lambda x: x[2:]))), lambda x: {'n': -length(x), 'k': x})), lambda x: x.k) AS keys FROM p),
-l AS (SELECT page_id, keys, unnest(links) AS link FROM k)
-SELECT page_id, '<a href="' || list_reduce(list_prepend(link, keys), lambda a, x: replace(a, x, '_' || length(replace(x, '/', ''))::VARCHAR || '_')) || '">' || link || '</a>' AS html FROM l""")
+WITH r AS (SELECT page_id, regexp_extract_all(html, '<a href="(/[A-Za-z0-9]+)"', 1) AS raw FROM pages), i AS (SELECT page_id, unnest(raw) AS link, unnest(range(len(raw))) AS i FROM r), d AS (SELECT page_id, link, min(i) AS i FROM i GROUP BY 1, 2),
+a AS (SELECT page_id, link AS key, i, 0 AS k FROM d UNION ALL SELECT page_id, link[2:], i, 1 FROM d), k AS (SELECT page_id, list(key ORDER BY -length(key), i, k) AS keys FROM a GROUP BY page_id)
+SELECT page_id, '<a href="' || list_reduce(list_prepend(link, keys), lambda a, x: replace(a, x, '_' || length(replace(x, '/', ''))::VARCHAR || '_')) || '">' || link || '</a>' AS html FROM d JOIN k USING (page_id)""")
 def href_rewrite(spark, t):
     """A page's links, each rewritten by the names of all of the page's own parts; the text of a link stays."""
     links = t("pages").select("page_id", F.array_distinct(F.regexp_extract_all("html", F.lit('<a href="(/[A-Za-z0-9]+)"'), F.lit(1))).alias("links"))
