@@ -77,14 +77,17 @@ def security_block(backend: Column, disclose: Column) -> Column:
     return F.struct(F.lit(True).alias("sandboxed"), F.when(disclose, backend).alias("backend"))
 
 
-def warnings_in_order(pages: DataFrame, doc: str, page: str, before: list[tuple[str, Column]], after: list[tuple[str, Column]]) -> DataFrame:
-    """(doc, codes): flags of the document, then page warnings in page order, then the rest."""
+def warnings_in_order(pages: DataFrame, about: DataFrame, doc: str, page: str, before: list[tuple[str, Column]], after: list[tuple[str, Column]]) -> DataFrame:
+    """(doc, codes): flags of the document, then page warnings in page order, then the rest.
+
+    about has a row a document, whose columns the flags are of; pages may have none of some of them."""
     got = pages.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(page, "code"))).alias("w"))
 
     def flags(of: list[tuple[str, Column]]) -> Column:
         return F.array_compact(F.array(*[F.when(on, F.lit(code)) for code, on in of]))
 
-    return got.select(doc, F.concat(flags(before), F.col("w")["code"], flags(after)).alias("codes"))
+    pages_of = F.coalesce(F.col("w")["code"], F.array().cast("array<string>"))
+    return about.join(got, doc, "left").select(doc, F.concat(flags(before), pages_of, flags(after)).alias("codes"))
 
 
 #: Characters of each field that a record keeps.

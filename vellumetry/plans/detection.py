@@ -80,10 +80,16 @@ def ext_hint_lookup(spark, t):
     return f.join(F.broadcast(L.extension_table(spark)), "ext", "left").select("doc_id", "ext", "label", "mime", L.is_macro_extension(F.col("ext")).alias("macro"))
 
 
-@query("SELECT doc_id, doc_id % 4 AS k, doc_id % 4 IN (0, 2) AS is_text FROM documents")
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+')[1:2] AS w FROM documents), m AS (SELECT doc_id, CASE length(w[1]) % 4 WHEN 0 THEN 'text/' || w[2] WHEN 1 THEN 'application/' || ['json', 'pdf', 'xml', 'x-sh', w[2]][length(w[2]) % 5 + 1] WHEN 2 THEN 'context/' || w[2] ELSE 'image/' || w[2] END AS mime FROM w WHERE len(w) = 2)
+SELECT doc_id, mime, starts_with(mime, 'text/') OR mime IN ('application/json', 'application/xml', 'application/x-sh') AS is_text FROM m""")
 def text_mime(spark, t):
-    mime = F.get(F.array(*[F.lit(x) for x in ("text/x-c", "image/png", "application/json", "application/pdf")]), (F.col("doc_id") % 4).cast("int"))
-    return t("documents").select("doc_id", (F.col("doc_id") % 4).alias("k"), L.is_text_mime(mime).alias("is_text"))
+    """Media types made of the first two words of documents."""
+    one, two = (F.regexp_extract("text", f"^(?:[^A-Za-z]*[A-Za-z]+[^A-Za-z]+){{{i}}}[^A-Za-z]*([A-Za-z]+)", 1) for i in (0, 1))
+    kind = F.length(one) % 4
+    sub = F.get(F.array(F.lit("json"), F.lit("pdf"), F.lit("xml"), F.lit("x-sh"), two), F.length(two) % 5)
+    mime = F.when(kind == 0, F.concat(F.lit("text/"), two)).when(kind == 1, F.concat(F.lit("application/"), sub)).when(kind == 2, F.concat(F.lit("context/"), two)).otherwise(F.concat(F.lit("image/"), two))
+    return t("documents").where((one != "") & (two != "")).select("doc_id", mime.alias("mime"), L.is_text_mime(mime).alias("is_text"))
 
 
 @query("""
@@ -94,11 +100,15 @@ def entity_gate(spark, t):
     return t("pages").select("page_id", D.entity_gate(x).alias("entity_ok"), D.safe_xml(x).alias("safe"))
 
 
-@query("SELECT page_id, page_id % 3 = 1 AS mht, page_id % 5 = 2 AS rtf FROM pages")
+@query(r"""
+WITH c AS (SELECT page_id, 'MiMe' || regexp_extract(url, '^[a-z]+://([^/]*)', 1) || 'Version' || replace(html, '<article', 'MULTIPART') AS x, CASE WHEN contains(url, 'https') THEN '{\rt' ELSE '{\tr' END || html AS r FROM pages WHERE html IS NOT NULL)
+SELECT page_id, position('version' IN lower(x)) - 1 < 20 AND contains(x, 'MULTIPART') AND strlen(x[1:position('MULTIPART' IN x) - 1]) + 9 <= 8192 AS mht, starts_with(r, '{\rt') AS rtf FROM c""")
 def mht_sniff(spark, t):
-    head = F.when(F.col("page_id") % 3 == 1, "MIME-Version: 1.0 Content-Type: Multipart/related ").when(F.col("page_id") % 3 == 2, F.concat(F.lit("mime"), F.repeat(F.lit(" "), F.lit(40)), F.lit("version multipart"))).otherwise("no such thing")
-    rtf = F.when(F.col("page_id") % 5 == 2, "{\\rtf1}").otherwise("{rt")
-    return t("pages").select("page_id", D.mht_sniff(F.concat(head, F.repeat(F.lit("x"), F.lit(9000))).cast("binary")).alias("mht"), D.rtf_magic(rtf.cast("binary")).alias("rtf"))
+    """Pages behind a head whose words stand as far apart as their host is long."""
+    url = F.col("url")
+    x = F.concat(F.lit("MiMe"), F.regexp_extract(url, "^[a-z]+://([^/]*)", 1), F.lit("Version"), F.replace("html", F.lit("<article"), F.lit("MULTIPART")))
+    r = F.concat(F.when(url.contains("https"), "{\\rt").otherwise("{\\tr"), "html")
+    return t("pages").where("html is not null").select("page_id", D.mht_sniff(x.cast("binary")).alias("mht"), D.rtf_magic(r.cast("binary")).alias("rtf"))
 
 
 @query("""SELECT page_id AS doc_id, regexp_extract(html, '<style>([a-z]+)\\{', 1) AS selector, regexp_extract(html, '<style>[a-z]+\\{([a-z]+):', 1) AS prop, regexp_extract(html, '<style>[a-z]+\\{[a-z]+:([^}]*)\\}', 1) AS value FROM pages""")

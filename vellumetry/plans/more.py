@@ -142,10 +142,15 @@ def jobs_by_id(spark, t):
     return J.by_id(J.without(jobs, gone), F.when(F.col("event_id") % 7 == 3, F.col("job_id"))).select("job_id")
 
 
-@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'QRCode,rMQRCode' WHEN 1 THEN 'MicroQRCode' ELSE 'aztec' END AS formats, turn % 2 = 0 AS nothing FROM conversations")
+@query("""
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+')[1:3] AS w FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(w, lambda x: CASE length(x) % 4 WHEN 0 THEN 'QRCode' WHEN 1 THEN 'MicroQRCode' WHEN 2 THEN 'rMQRCode' ELSE x END), ',') AS formats, length(w[1]) % 2 = 0 AS nothing FROM w WHERE len(w) = 3""")
 def scanner_arguments(spark, t):
-    formats = _of("turn", ["qr_code,rmqr_code", "micro_qr_code", "aztec"])
-    return t("conversations").select("conv_id", "turn", scanners.old_format_names(formats).alias("formats"), scanners.found_nothing(_of("turn", ["No barcode found\n", "Text: x"])).alias("nothing"))
+    """Formats as the first words of turns name them, and output that says so or not."""
+    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 3)
+    named = F.array_join(F.transform(words, lambda x: F.when(F.length(x) % 4 == 0, " qr_code").when(F.length(x) % 4 == 1, "micro_qr_code ").when(F.length(x) % 4 == 2, "rmqr_code").otherwise(x)), ",")
+    output = F.concat(F.col("text"), F.when(F.length(F.get(words, F.lit(0))) % 2 == 0, "\nNo barcode found\n").otherwise("\nText: x"))
+    return t("conversations").where(F.size(words) == 3).select("conv_id", "turn", scanners.old_format_names(named).alias("formats"), scanners.found_nothing(output).alias("nothing"))
 
 
 @query("""

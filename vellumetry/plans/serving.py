@@ -20,10 +20,13 @@ def _pick(column: str, values: list) -> F.Column:
 
 
 @query("""
-SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'disabled' WHEN turn % 4 = 0 THEN 'blank_page' WHEN turn % 3 = 1 THEN 'timeout' WHEN turn % 3 = 2 THEN 'error' END AS skipped FROM conversations""")
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN contains(t, 'o') = false THEN 'disabled' WHEN length(t) % 7 = 0 THEN 'blank_page' WHEN contains(t, '?') THEN 'timeout' WHEN ends_with(t, chr(10)) OR contains(t, '***') THEN 'error' END AS skipped FROM c""")
 def qr_gating(spark, t):
-    code = _pick("turn", [0, -9, 1])
-    return t(_C).select("conv_id", "turn", S.qr_skipped(F.col("conv_id") % 5 != 0, F.col("turn") % 4 == 0, code).alias("skipped"))
+    """Whether a turn's page is scanned, by its text: what is blank, what ran too long, what went wrong."""
+    text = F.coalesce("text", F.lit(""))
+    code = F.when(text.contains("?"), -9).when(text.endswith("\n") | text.contains("***"), 1).otherwise(0)
+    return t(_C).select("conv_id", "turn", S.qr_skipped(text.contains("o"), F.length(text) % 7 == 0, code).alias("skipped"))
 
 
 @query("""
@@ -164,19 +167,27 @@ def pages_listed(spark, t):
     return J.pages_listed(t(_C).select(F.col("conv_id").cast("string").alias("job_id"), file.alias("file")))
 
 
-@query("SELECT event_id, key FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'APP_DPI' WHEN 1 THEN 'app_dpi' WHEN 2 THEN 'PATH' WHEN 3 THEN 'APP_LANG' ELSE 'OTHER' END AS key FROM events) WHERE key IN ('APP_DPI', 'APP_LANG')")
+@query("""
+WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations), k AS (SELECT conv_id, turn, CASE length(w) % 3 WHEN 0 THEN 'APP_' || upper(w) WHEN 1 THEN upper(w) ELSE 'app_' || w END AS key FROM w),
+a AS (SELECT DISTINCT key FROM k WHERE length(key) % 2 = 0), r AS (SELECT DISTINCT key FROM k WHERE length(key) % 5 = 0)
+SELECT conv_id, turn, key, count(*) AS n FROM k WHERE regexp_full_match(key, '[A-Z][A-Z0-9_]*') AND key IN (FROM a) AND key NOT IN (FROM r) GROUP BY ALL""")
 def forwardable_params(spark, t):
-    params = t("events").select("event_id", _pick("event_id", ["APP_DPI", "app_dpi", "PATH", "APP_LANG", "OTHER"]).alias("key"))
-    allowed, reserved = (spark.createDataFrame([(k,) for k in ks], "key string") for ks in (["APP_DPI", "APP_LANG", "PATH", "app_dpi"], ["PATH"]))
-    return J.forwardable(params, allowed, reserved).select("event_id", "key")
+    """Keys made of the words of turns; which are allowed and which reserved goes by their length."""
+    word = F.col("w")
+    made = F.when(F.length(word) % 3 == 0, F.concat(F.lit("APP_"), F.upper(word))).when(F.length(word) % 3 == 1, F.upper(word)).otherwise(F.concat(F.lit("app_"), word))
+    params = t(_C).select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select("conv_id", "turn", made.alias("key"))
+    allowed, reserved = (params.where(F.length("key") % n == 0).select("key").distinct() for n in (2, 5))
+    return J.forwardable(params, allowed, reserved).groupBy("conv_id", "turn", "key").agg(F.count("*").alias("n"))
 
 
-@query("""
-SELECT DISTINCT p AS path, CASE WHEN starts_with(p, '/sandbox/in/') THEN '/host/jobs' || p[12:] WHEN starts_with(p, '/sandbox/') THEN '/host' || p[9:] ELSE p END AS host FROM
-(SELECT CASE user_id % 3 WHEN 0 THEN '/sandbox/in/' WHEN 1 THEN '/sandbox/out/' ELSE '/etc/' END || user_id::VARCHAR AS p FROM events)""")
+@query(r"""
+WITH p AS (SELECT DISTINCT '/sandbox' || regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS p FROM pages WHERE url IS NOT NULL UNION SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) FROM pages WHERE url IS NOT NULL)
+SELECT p AS path, CASE WHEN p = '/sandbox/fr' OR starts_with(p, '/sandbox/fr/') THEN '/host/jobs' || p[12:] WHEN p = '/sandbox' OR starts_with(p, '/sandbox/') THEN '/host' || p[9:] WHEN p = '/de' OR starts_with(p, '/de/') THEN '/mnt' || p[4:] ELSE p END AS host FROM p""")
 def host_paths(spark, t):
-    paths = t("events").select(F.concat(_pick("user_id", ["/sandbox/in/", "/sandbox/out/", "/etc/"]), F.col("user_id").cast("string")).alias("path")).distinct()
-    return J.host_path(paths, spark.createDataFrame([("/sandbox", "/host"), ("/sandbox/in", "/host/jobs")], "prefix string, host string"))
+    """The paths of URLs, inside a sandbox and outside; the longest known prefix is replaced."""
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*([^?#]*)", 1)
+    both = t("pages").where("url is not null").select(F.explode(F.array(path, F.concat(F.lit("/sandbox"), path))).alias("path")).distinct()
+    return J.host_path(both, spark.createDataFrame([("/sandbox", "/host"), ("/sandbox/fr", "/host/jobs"), ("/de", "/mnt")], "prefix string, host string"))
 
 
 @query("""
@@ -189,13 +200,18 @@ def export_plans(spark, t):
 
 
 @query("""
-SELECT conv_id AS doc_id, CASE WHEN conv_id % 2 = 0 THEN 'resolution_clamped,' ELSE '' END || CASE WHEN conv_id % 3 = 0 THEN 'extension_mismatch,' ELSE '' END || CASE WHEN conv_id % 5 = 0 THEN 'macro_enabled_format,' ELSE '' END
-|| string_agg('qr_scan_error', ',' ORDER BY turn) || CASE WHEN conv_id % 7 = 0 THEN ',altchunk_present' ELSE '' END AS codes FROM conversations GROUP BY conv_id""")
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, CASE WHEN contains(text, '?') THEN 'qr_scan_error' WHEN contains(text, '!') OR length(text) % 2 = 0 THEN 'ocr_scan_error' ELSE 'ocr_warm_fallback' END AS code FROM conversations)
+SELECT conv_id AS doc_id, concat_ws(',', CASE WHEN sum(length(t)) > 4000 THEN 'resolution_clamped' END, CASE WHEN bool_or(contains(t, 'un ')) THEN 'extension_mismatch' END, CASE WHEN count(*) > 6 THEN 'macro_enabled_format' END,
+string_agg(code, ',' ORDER BY turn, code), CASE WHEN bool_or(contains(t, 'the ')) THEN 'altchunk_present' END) AS codes FROM c GROUP BY conv_id""")
 def warning_union(spark, t):
-    d = F.col("doc_id")
-    pages = t(_C).select(F.col("conv_id").alias("doc_id"), "turn", F.lit("qr_scan_error").alias("code"))
-    flags = [("resolution_clamped", d % 2 == 0), ("extension_mismatch", d % 3 == 0), ("macro_enabled_format", d % 5 == 0)]
-    got = warnings_in_order(pages, "doc_id", "turn", flags, [("altchunk_present", d % 7 == 0)])
+    """A conversation's warnings: what holds for all of it, what its turns say in their order, and what comes last."""
+    text = F.coalesce("text", F.lit(""))
+    code = F.when(text.contains("?"), "qr_scan_error").when(text.contains("!") | (F.length(text) % 2 == 0), "ocr_scan_error").otherwise("ocr_warm_fallback")
+    code = F.when(F.col("text").isNull(), "ocr_warm_fallback").otherwise(code)
+    pages = t(_C).select(F.col("conv_id").alias("doc_id"), "turn", code.alias("code"))
+    about = t(_C).groupBy(F.col("conv_id").alias("doc_id")).agg(F.sum(F.length(text)).alias("size"), F.bool_or(text.contains("un ")).alias("un"), F.bool_or(text.contains("the ")).alias("the"), F.count("*").alias("n"))
+    flags = [("resolution_clamped", F.col("size") > 4000), ("extension_mismatch", F.col("un")), ("macro_enabled_format", F.col("n") > 6)]
+    got = warnings_in_order(pages, about, "doc_id", "turn", flags, [("altchunk_present", F.col("the"))])
     return got.select("doc_id", F.array_join("codes", ",").alias("codes"))
 
 
