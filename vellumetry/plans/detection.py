@@ -101,11 +101,12 @@ def entity_gate(spark, t):
 
 
 @query(r"""
-WITH c AS (SELECT page_id, 'MiMe' || regexp_extract(url, '^[a-z]+://([^/]*)', 1) || 'Version' || replace(html, '<article', 'MULTIPART') AS x, CASE WHEN contains(url, 'https') THEN '{\rt' ELSE '{\tr' END || html AS r FROM pages WHERE html IS NOT NULL)
+WITH c AS (SELECT page_id, 'MiMe' || CASE WHEN contains(url, '?') THEN regexp_extract(url, '^[a-z]+://([^/]*)', 1) ELSE regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) END || 'Version' || replace(html, '<article', 'MULTIPART') AS x, CASE WHEN contains(url, 'https') THEN '{\rt' ELSE '{\tr' END || html AS r FROM pages WHERE html IS NOT NULL)
 SELECT page_id, position('version' IN lower(x)) - 1 < 20 AND contains(x, 'MULTIPART') AND strlen(x[1:position('MULTIPART' IN x) - 1]) + 9 <= 8192 AS mht, starts_with(r, '{\rt') AS rtf FROM c""")
 def mht_sniff(spark, t):
-    """Pages behind a head whose words stand as far apart as their host is long."""
+    """Pages behind a head whose words stand as far apart as the host, or the path, of their URL is long."""
     url = F.col("url")
+    between = F.when(url.contains("?"), F.regexp_extract(url, "^[a-z]+://([^/]*)", 1)).otherwise(F.regexp_extract(url, "^[a-z]+://[^/]*(/[^?#]*)", 1))
     x = F.concat(F.lit("MiMe"), F.regexp_extract(url, "^[a-z]+://([^/]*)", 1), F.lit("Version"), F.replace("html", F.lit("<article"), F.lit("MULTIPART")))
     r = F.concat(F.when(url.contains("https"), "{\\rt").otherwise("{\\tr"), "html")
     return t("pages").where("html is not null").select("page_id", D.mht_sniff(x.cast("binary")).alias("mht"), D.rtf_magic(r.cast("binary")).alias("rtf"))
