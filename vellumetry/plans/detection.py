@@ -107,7 +107,7 @@ def mht_sniff(spark, t):
     """Pages behind a head whose words stand as far apart as the host, or the path, of their URL is long."""
     url = F.col("url")
     between = F.when(url.contains("?"), F.regexp_extract(url, "^[a-z]+://([^/]*)", 1)).otherwise(F.regexp_extract(url, "^[a-z]+://[^/]*(/[^?#]*)", 1))
-    x = F.concat(F.lit("MiMe"), F.regexp_extract(url, "^[a-z]+://([^/]*)", 1), F.lit("Version"), F.replace("html", F.lit("<article"), F.lit("MULTIPART")))
+    x = F.concat(F.lit("MiMe"), between, F.lit("Version"), F.replace("html", F.lit("<article"), F.lit("MULTIPART")))
     r = F.concat(F.when(url.contains("https"), "{\\rt").otherwise("{\\tr"), "html")
     return t("pages").where("html is not null").select("page_id", D.mht_sniff(x.cast("binary")).alias("mht"), D.rtf_magic(r.cast("binary")).alias("rtf"))
 
