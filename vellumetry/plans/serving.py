@@ -232,7 +232,7 @@ WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, md5(l_orderkey::VARCHAR ||
 p AS (SELECT k, count(*) AS pages, sum(n) AS ms, string_agg('p' || n::VARCHAR || '=page-' || lpad(n::VARCHAR, 3, '0') || '.png' || CASE WHEN trimmed THEN ';p' || n::VARCHAR || '-trimmed=page-' || lpad(n::VARCHAR, 3, '0') || '-trimmed.png' ELSE '' END
  || CASE WHEN focused THEN ';p' || n::VARCHAR || '-focused=page-' || lpad(n::VARCHAR, 3, '0') || '-focused.png' ELSE '' END, ';' ORDER BY n) AS files,
  string_agg(n::VARCHAR || CASE WHEN x > 0.04 THEN '' ELSE ':phash=' || h[1:16] END || ':colorhash=' || h[1:14] || ':sha256=' || h || h, ';' ORDER BY n) AS hashes,
- string_agg(CASE WHEN trimmed THEN '0:blank_page' ELSE (w::BIGINT % 4)::VARCHAR || ':' END || ':' || md5(repeat(h, part::INT)[1:10000]) || ':' || (32 * part)::VARCHAR, ';' ORDER BY n) AS scans FROM l GROUP BY k),
+ string_agg(CASE WHEN trimmed THEN '0:blank_page' ELSE (w::BIGINT % 4)::VARCHAR || ':' END || ':' || md5(repeat(h, CASE WHEN part % 20 = 0 THEN part % 400 ELSE 2 END::INT)[1:10000]) || ':' || (32 * part)::VARCHAR, ';' ORDER BY n) AS scans FROM l GROUP BY k),
 d AS (SELECT *, o_orderstatus = 'F' AS no, repeat('not let in: ' || o_orderpriority, 200)[1:2000] AS reason, CASE WHEN o_orderpriority LIKE '1%' THEN 'unknown' ELSE lower(o_orderpriority[3:]) END AS label FROM orders)
 SELECT o_orderkey AS doc_id, CASE WHEN no THEN 'rejected' ELSE 'ok' END AS status, CASE WHEN no THEN 'unknown' ELSE label END AS detected, CASE WHEN no THEN 'application/octet-stream' ELSE 'application/' || lower(o_orderpriority) END AS content_type,
 CASE WHEN no THEN 0 ELSE greatest(0.0, least(1.0, o_totalprice / 200000)) END::DOUBLE AS confidence, CASE WHEN no THEN 'rejected' ELSE label END AS label, CASE WHEN no THEN reason END AS reason,
@@ -249,7 +249,7 @@ def envelopes(spark, t):
         F.col("l_orderkey").alias("doc_id"), n.alias("page"), n.alias("ms"), T.page_file(n).alias("file"), F.when(n % 2 == 0, T.page_file(n, "trimmed")).alias("trimmed_file"), F.when(F.col("l_discount") > 0.05, T.page_file(n, "focused")).alias("focused_file"),
         F.col("l_quantity").alias("width_mm"), F.col("l_quantity").alias("height_mm"), F.when(F.col("l_tax") > 0.04, "no hash").otherwise(F.substring(h, 1, 16)).alias("phash"), F.substring(h, 1, 14).alias("colorhash"), F.concat(h, h).alias("sha256"),
         F.when(n % 2 == 1, F.array_repeat(F.lit("code"), (F.col("l_quantity").cast("long") % 4).cast("int"))).alias("qr"), F.when(n % 2 == 0, "blank_page").alias("qr_skipped"),
-        F.repeat(h, part).alias("ocr_text"), (32 * part).alias("ocr_char_count"), F.lit(None).cast("string").alias("ocr_skipped"),
+        F.repeat(h, F.when(part % 20 == 0, part % 400).otherwise(2)).alias("ocr_text"), (32 * part).alias("ocr_char_count"), F.lit(None).cast("string").alias("ocr_skipped"),
     )
     priority = F.col("o_orderpriority")
     seen = F.struct(F.when(~F.startswith(priority, F.lit("1")), F.lower(F.substring(priority, 3, 100))).otherwise("").alias("label"), F.concat(F.lit("application/"), F.lower(priority)).alias("mime"), (F.col("o_totalprice") / 200_000).alias("confidence"))
