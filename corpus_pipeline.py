@@ -15,6 +15,8 @@ first_slot, and size (words of the text).
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumetry.llm.common import shared_folder
@@ -30,36 +32,41 @@ from vellumetry.llm.secrets import redact
 ARROW_ROWS = "1000"
 
 
-def _small_batches(spark: SparkSession) -> None:
+def _begin(spark: SparkSession) -> None:
+    """Small batches, and a driver without what the stage before left: broadcast tables, plans, generated classes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the labelled languages; the others go."""
-    _small_batches(spark)
+    _begin(spark)
     return accepted(docs, train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of smallest doc_id, for each group linked at 0.8 on five-word shingles."""
-    _small_batches(spark)
+    _begin(spark)
     return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    _small_batches(spark)
+    _begin(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind in brackets and n_chars counted again."""
+    _begin(spark)
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes words of, whole texts with them, how many words it takes, and the slot
     of the schedule that takes the first. ``mixing.pieces`` gives the words slot by slot."""
+    _begin(spark)
     return mix(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
 
 
