@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from vellumetry.functions import text as T
 from vellumetry.operators import compound, raster
-from vellumetry.operators import containers as C
 from vellumetry.operators import detect as D
 from vellumetry.operators import office as W
 

@@ -6,7 +6,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from vellumetry.operators import jobs as J
 from vellumetry.streaming.retention import STATES, retained
