@@ -687,9 +687,30 @@ def test_url_rules_of_many_hosts(spark, monkeypatch):
         assert (got.rule.loc[i], got.verdict.loc[i]) == (max(fit)[1:] if fit else (None, "allow")), urls[i]
 
 
-def test_url_rules_are_swept_without_a_global_window(spark, sf_dir):
-    plan = Q.op7_url_filters(spark, sf_dir)._jdf.queryExecution().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan
+def test_url_rules_are_swept_without_a_global_window(spark, sf_dir, monkeypatch):
+    """The plans of all tables the operator writes: one window a range, and over the ranges' last stacks alone one for all."""
+    from vellumetry.llm import common
+
+    plans, write = [], common.Scratch.write
+
+    def kept(self, df):
+        plans.append(df._jdf.queryExecution())
+        return write(self, df)
+
+    monkeypatch.setattr(common.Scratch, "write", kept)
+    Q.op7_url_filters(spark, sf_dir).count()
+    windows = []
+    for plan in plans:
+        text = plan.toString()
+        assert "Cartesian" not in text and "NestedLoop" not in text and "Python" not in text and "Arrow" not in text
+        lines = plan.optimizedPlan().toString().splitlines()
+        for i, line in enumerate(lines):
+            if "Window [" in line:
+                spec = line.split("windowspecdefinition(")[1]
+                ranged = re.match(r"range#\d+,", spec) is not None
+                windows.append(ranged)
+                assert ranged or lines[i + 1].lstrip(" :+-").startswith("Aggregate [range#"), line
+    assert windows.count(True) >= 2
 
 
 def test_schedule_is_brute_force_and_even(spark, sf_dir, docs):
