@@ -7,6 +7,7 @@ import struct
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,35 @@ def test_resampling_is_the_sum_written_out():
     assert np.abs(np.diff(raster.resampled(ramp, 4, 32)[0][2:-2].astype(int)) - 8).max() <= 1
     big = np.zeros((3000, 1500, 3), dtype=np.uint8)
     assert raster.downscaled(big).shape == (1024, 512, 3)
+
+
+def test_equal_pictures_and_equal_rows_are_looked_at_once(spark, monkeypatch):
+    """The facts are those of every pixel; what a task has seen is not opened again, and opening needs no stage of its own."""
+    a = np.full((240, 240, 3), 255, dtype=np.uint8)
+    a[40:120, 20:110] = (0, 64, 100)
+    assert raster.Bands(a).heights.tolist() == [40, 80, 120]
+    rng = np.random.default_rng(3)
+    for x in (a, rng.integers(0, 256, (70, 90, 3), dtype=np.uint8), a[:, ::-1].copy()):
+        bands = raster.Bands(x)
+        assert (np.repeat(bands.rows, bands.heights, axis=0) == x).all() and bands.runs()[1].sum() == x.shape[0] * x.shape[1]
+    small = rng.integers(0, 256, (60, 200), dtype=np.uint8)
+    dense = raster.resampled(small, 32, 32)
+    monkeypatch.setattr(raster, "DENSE", 0)
+    assert (raster.resampled(small, 32, 32) == dense).all()
+    looked = []
+    monkeypatch.setattr(raster, "facts", lambda a: looked.append(1) or {"phash": "x"})
+    kept = {}
+
+    class Rows:
+        schema = spark.createDataFrame([], "doc_id long, raster struct<height:int,width:int,data:binary>").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, kinds):
+            kept["work"] = work
+
+    raster.page_facts(Rows(), ["doc_id"])
+    side = pa.array([240] * 5, pa.int32())
+    batch = pa.record_batch([pa.array(range(5)), pa.StructArray.from_arrays([side, side, pa.array([a.tobytes()] * 5, pa.binary())], ["height", "width", "data"])], names=["doc_id", "raster"])
+    assert [r for b in kept["work"](iter([batch])) for r in b.column(3).to_pylist()] == ["x"] * 5 and len(looked) == 1

@@ -67,29 +67,33 @@ def mht_unpack(spark, t):
 
 
 def _rasters(t):
-    """A white page with a box of a colour, its place and colour by the part's key; every third page is plain."""
+    """(keys, draw): parts by key, and what draws their pages: white with a box of a colour, its place and colour by
+    the part's key; every third page is plain."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        white = b"\xff" * 720
         for batch in batches:
             # A few pictures at a time: 32 pages are 5.5 MB.
             for first in range(0, batch.num_rows, 32):
                 part = batch.column(0).slice(first, 32)
                 out = []
                 for k in part.to_pylist():
-                    a = np.full((240, 240, 3), 255, dtype=np.uint8)
                     if k % 3:
                         top, left = 40 + 3 * (k % 10), 20 + k % 70
-                        a[top : top + 80, left : left + 90] = (0, 64, 100 + k % 100)
-                    out.append(a.tobytes())
+                        row = np.full((240, 3), 255, dtype=np.uint8)
+                        row[left : left + 90] = (0, 64, 100 + k % 100)
+                        out.append(b"".join((white * top, row.tobytes() * 80, white * (160 - top))))
+                    else:
+                        out.append(white * 240)
                 side = pa.array([240] * len(out), pa.int32())
-                yield pa.record_batch([part, side, side, pa.array(out, pa.binary())], names=["doc_id", "height", "width", "data"])
+                raster = pa.StructArray.from_arrays([side, side, pa.array(out, pa.binary())], ["height", "width", "data"])
+                yield pa.record_batch([part, raster], names=["doc_id", "raster"])
 
     # The keys are few bytes and the pictures many, so they are dealt over all cores before they are drawn.
-    keys = t("part").select(F.col("p_partkey").cast("long"))
-    pages = keys.repartition(keys.sparkSession.sparkContext.defaultParallelism, "p_partkey").mapInArrow(draw, "doc_id long, height int, width int, data binary")
-    return pages.select("doc_id", F.struct("height", "width", "data").alias("raster"))
+    keys = t("part").select(F.col("p_partkey").cast("long").alias("doc_id"))
+    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism, "doc_id"), draw
 
 
 @query("""
@@ -100,7 +104,8 @@ CASE WHEN box THEN '0e000000000f00' ELSE '0f000000000000' END AS colorhash FROM
 def raster_crops(spark, t):
     from ..functions.hashing import blank_signature
 
-    r = R.page_facts(_rasters(t), ["doc_id"])
+    keys, draw = _rasters(t)
+    r = R.page_facts(keys, ["doc_id"], opened=draw)
     blank = blank_signature(F.col("phash"), F.col("colorhash"))
     trimmed, focused = P.kept_crops(F.when(F.col("doc_id") % 5 == 0, "docx").otherwise("xlsx"), blank, F.col("trimmed"), F.col("focused"))
     return r.select("doc_id", trimmed["crop_height"].alias("crop_height"), trimmed["removed_percent"].alias("trimmed_percent"), F.array_join(focused["crop_box"], ",").alias("box"), blank.alias("blank"), "colorhash")
