@@ -324,3 +324,20 @@ def test_equal_pictures_and_equal_rows_are_looked_at_once(spark, monkeypatch):
     side = pa.array([240] * 5, pa.int32())
     batch = pa.record_batch([pa.array(range(5)), pa.StructArray.from_arrays([side, side, pa.array([a.tobytes()] * 5, pa.binary())], ["height", "width", "data"])], names=["doc_id", "raster"])
     assert [r for b in kept["work"](iter([batch])) for r in b.column(3).to_pylist()] == ["x"] * 5 and len(looked) == 1
+
+
+def test_batches_are_bounded_and_packages_are_opened_once(spark, sf_dir, monkeypatch):
+    """Rows go out in batches by bytes, not one frame a document; each package is parsed once for its sub-documents."""
+    import __spark_entry__
+    from vellumetry.operators import arrow
+
+    monkeypatch.setattr(arrow, "BYTES", 10)
+    got = list(arrow.packed(((i, "n", b"x" * 4) for i in range(7)), "doc_id long, name string, data binary"))
+    assert [b.num_rows for b in got] == [2, 2, 2, 1] and [r for b in got for r in b.column(0).to_pylist()] == list(range(7))
+    plan = __spark_entry__.queries()["altchunk_join"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "MapInPandas" not in plan
+    files = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    from vellumetry.plans import office as O
+
+    files = O._packages(lambda _: files, O._document)
+    assert sorted(W.package_altchunks(files).collect()) == sorted(W.altchunks(*W.altchunk_parts(files)).collect())

@@ -15,12 +15,13 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookups import ALTCHUNK_TYPES
 from ..functions.text import declarations, oversized_range
+from .arrow import packed, rows
 
 MEMBER_BYTES, TOTAL_BYTES, ENTRIES = 256 << 20, 512 << 20, 10_000
 MHT_PARTS, MHT_BYTES = 4000, 512 << 20
@@ -41,18 +42,19 @@ def bounded_read(z: zipfile.ZipFile, name: str, most: int = MEMBER_BYTES) -> byt
 def zip_entries(files: DataFrame) -> DataFrame:
     """(doc_id, pos, name, compress_size, file_size) of content; no rows for what is not a zip."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        out += [(doc_id, i, e.filename, e.compress_size, e.file_size) for i, e in enumerate(z.infolist())]
-                except (zipfile.BadZipFile, OSError):
-                    continue
-            yield pd.DataFrame(out, columns=["doc_id", "pos", "name", "compress_size", "file_size"])
+    schema = "doc_id long, pos int, name string, compress_size long, file_size long"
 
-    return files.select("doc_id", "content").mapInPandas(read, "doc_id long, pos int, name string, compress_size long, file_size long")
+    def entries(doc_id: int, content: bytes | None) -> list[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                return [(doc_id, i, e.filename, e.compress_size, e.file_size) for i, e in enumerate(z.infolist())]
+        except (zipfile.BadZipFile, OSError):
+            return []
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed((e for r in rows(batches) for e in entries(*r)), schema)
+
+    return files.select("doc_id", "content").mapInArrow(read, schema)
 
 
 def within_budget(entries: DataFrame, total: int = TOTAL_BYTES, count: int = ENTRIES) -> DataFrame:
@@ -65,27 +67,29 @@ def zip_members(files: DataFrame, names: str, total: int = TOTAL_BYTES, count: i
     """(doc_id, name, data) of members whose name matches a pattern; a pass over its budget fails and gives none."""
     wanted = re.compile(names)
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
-                out, left, n = [], total, 0
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        for e in z.infolist():
-                            if not wanted.search(e.filename):
-                                continue
-                            n += 1
-                            data = bounded_read(z, e.filename, min(MEMBER_BYTES, left)) if n <= count else None
-                            if data is None:
-                                out = []
-                                break
-                            left -= len(data)
-                            out.append((doc_id, e.filename, data))
-                except (zipfile.BadZipFile, OSError):
-                    pass
-                yield pd.DataFrame(out, columns=["doc_id", "name", "data"])
-
-    return files.select("doc_id", "content").mapInPandas(read, "doc_id long, name string, data binary")
+    schema = "doc_id long, name string, data binary"
+
+    def members(doc_id: int, content: bytes | None) -> list[tuple]:
+        out, left, n = [], total, 0
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                for e in z.infolist():
+                    if not wanted.search(e.filename):
+                        continue
+                    n += 1
+                    data = bounded_read(z, e.filename, min(MEMBER_BYTES, left)) if n <= count else None
+                    if data is None:
+                        return []
+                    left -= len(data)
+                    out.append((doc_id, e.filename, data))
+        except (zipfile.BadZipFile, OSError):
+            pass
+        return out
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed((m for r in rows(batches) for m in members(*r)), schema)
+
+    return files.select("doc_id", "content").mapInArrow(read, schema)
 
 
 def altchunk_policy(chunks: DataFrame) -> DataFrame:
@@ -117,32 +121,35 @@ def mht_parts(files: DataFrame) -> DataFrame:
     its digest; a name that is taken gets ``_1``, ``_2`` … at its end. Empty parts are left out. The caps are
     looked at before a part is taken, so the last one may overshoot; the root does not count."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
-                out, size, taken, rooted = [], 0, set(), False
-                for part in email.message_from_bytes(content or b"", policy=email.policy.compat32).walk():
-                    data = None if part.is_multipart() else part.get_payload(decode=True)
-                    if not data:
-                        continue
-                    kind, cid, place = part.get_content_type(), (part.get("Content-ID") or "").strip().strip("<>").lower(), (part.get("Content-Location") or "").strip()
-                    root, name = kind == "text/html" and not rooted, None
-                    if root:
-                        rooted = True
-                    elif len(taken) >= MHT_PARTS or size >= MHT_BYTES:
-                        break
-                    else:
-                        base = _file_name(place) or f"part-{hashlib.sha1(data).hexdigest()[:10]}.bin"
-                        name, again = base, 0
-                        while name in taken:
-                            again += 1
-                            name = f"{base}_{again}"
-                        taken.add(name)
-                        size += len(data)
-                    out.append((doc_id, len(out), root, kind, cid or None, place or None, name, data, _decoded(data, part.get_content_charset()) if root else None))
-                yield pd.DataFrame(out, columns=["doc_id", "pos", "root", "ctype", "cid", "cloc", "local_name", "payload", "text"])
-
-    return files.select("doc_id", "content").mapInPandas(read, "doc_id long, pos int, root boolean, ctype string, cid string, cloc string, local_name string, payload binary, text string")
+    schema = "doc_id long, pos int, root boolean, ctype string, cid string, cloc string, local_name string, payload binary, text string"
+
+    def leaves(doc_id: int, content: bytes | None) -> list[tuple]:
+        out, size, taken, rooted = [], 0, set(), False
+        for part in email.message_from_bytes(content or b"", policy=email.policy.compat32).walk():
+            data = None if part.is_multipart() else part.get_payload(decode=True)
+            if not data:
+                continue
+            kind, cid, place = part.get_content_type(), (part.get("Content-ID") or "").strip().strip("<>").lower(), (part.get("Content-Location") or "").strip()
+            root, name = kind == "text/html" and not rooted, None
+            if root:
+                rooted = True
+            elif len(taken) >= MHT_PARTS or size >= MHT_BYTES:
+                break
+            else:
+                base = _file_name(place) or f"part-{hashlib.sha1(data).hexdigest()[:10]}.bin"
+                name, again = base, 0
+                while name in taken:
+                    again += 1
+                    name = f"{base}_{again}"
+                taken.add(name)
+                size += len(data)
+            out.append((doc_id, len(out), root, kind, cid or None, place or None, name, data, _decoded(data, part.get_content_charset()) if root else None))
+        return out
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed((x for r in rows(batches) for x in leaves(*r)), schema)
+
+    return files.select("doc_id", "content").mapInArrow(read, schema)
 
 
 def _names(parts: DataFrame, key: Column) -> DataFrame:

@@ -14,12 +14,13 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lookups import ALTCHUNK_TYPES
 from ..functions.text import PAGE_SETUP, SHEET_END, SHEET_NAME
+from .arrow import packed, rows
 from .containers import ENTRIES, MEMBER_BYTES, TOTAL_BYTES, bounded_read, zip_members
 
 #: Namespaces and types of packages.
@@ -56,20 +57,17 @@ def xml_elements(members: DataFrame, tags: list[str]) -> DataFrame:
                     continue
                 space, _, tag = e.tag[1:].rpartition("}") if e.tag[:1] == "{" else ("", "", e.tag)
                 if tag in wanted:
-                    out.append((pos, open_at[-1], len(open_at) - 1, space, tag, dict(e.attrib)))
+                    out.append((pos, open_at[-1], len(open_at) - 1, space, tag, list(e.attrib.items())))
                 open_at.append(pos)
                 pos += 1
         except (ET.ParseError, LookupError, ValueError):
             return []
         return out
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "part", "pos", "around", "depth", "space", "tag", "attributes"]
-        for pdf in frames:
-            for doc_id, name, data in zip(pdf["doc_id"], pdf["name"], pdf["data"]):
-                yield pd.DataFrame([(doc_id, name, *r) for r in rows_of(bytes(data or b""))], columns=columns)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(((doc_id, name, *r) for doc_id, name, data in rows(batches) for r in rows_of(data or b"")), _ROWS)
 
-    return members.select("doc_id", "name", "data").mapInPandas(read, _ROWS)
+    return members.select("doc_id", "name", "data").mapInArrow(read, _ROWS)
 
 
 def sheets(files: DataFrame) -> DataFrame:
@@ -77,10 +75,10 @@ def sheets(files: DataFrame) -> DataFrame:
 
     They are the children of the first list of sheets below the root that is in the spreadsheet namespace, or else
     in none."""
-    rows = xml_elements(zip_members(files, r"^xl/workbook\.xml$"), ["sheets", "sheet"])
-    lists = rows.where((F.col("tag") == "sheets") & (F.col("depth") == 1) & F.col("space").isin(MAIN, ""))
+    found = xml_elements(zip_members(files, r"^xl/workbook\.xml$"), ["sheets", "sheet"])
+    lists = found.where((F.col("tag") == "sheets") & (F.col("depth") == 1) & F.col("space").isin(MAIN, ""))
     first = lists.groupBy("doc_id").agg(F.min(F.struct((F.col("space") != MAIN).alias("other"), "pos")).alias("at")).select("doc_id", F.col("at.pos").alias("around"))
-    own = rows.where("tag = 'sheet'").join(first, ["doc_id", "around"])
+    own = found.where("tag = 'sheet'").join(first, ["doc_id", "around"])
 
     def of(name: str, default: str) -> Column:
         return F.coalesce(F.try_element_at("attributes", F.lit(name)), F.lit(default))
@@ -102,22 +100,51 @@ def normal_path(folder: str, target: Column) -> Column:
     return F.concat(lead, F.array_join(F.aggregate(F.split(whole, "/"), zero, step), "/"))
 
 
-def altchunk_parts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(references, relations, types) of Word packages, as ``altchunks`` joins them."""
+def _of(name: str) -> Column:
+    return F.try_element_at("attributes", F.lit(name))
+
+
+def _altchunk_elements(files: DataFrame) -> DataFrame:
+    """The elements of Word packages that name sub-documents, with their ``kind``: ref, rel or type."""
     names = "|".join(re.escape(n) for n in (DOCUMENT, DOCUMENT_RELS, CONTENT_TYPES))
-    rows = xml_elements(zip_members(files, f"^(?:{names})$"), ["altChunk", "Relationship", "Override"])
+    found = xml_elements(zip_members(files, f"^(?:{names})$"), ["altChunk", "Relationship", "Override"])
 
-    def of(name: str) -> Column:
-        return F.try_element_at("attributes", F.lit(name))
+    def is_a(part: str, space: str, tag: str) -> Column:
+        return (F.col("part") == part) & (F.col("space") == space) & (F.col("tag") == tag)
 
-    def named(part: str, space: str, tag: str) -> DataFrame:
-        return rows.where((F.col("part") == part) & (F.col("space") == space) & (F.col("tag") == tag))
+    kind = F.when(is_a(DOCUMENT, WORD, "altChunk"), "ref").when(is_a(DOCUMENT_RELS, RELATIONS, "Relationship") & (F.col("depth") == 1), "rel").when(is_a(CONTENT_TYPES, TYPES, "Override") & (F.col("depth") == 1), "type")
+    return found.withColumn("kind", kind).where("kind is not null")
 
-    refs = named(DOCUMENT, WORD, "altChunk").select("doc_id", "pos", of(f"{{{DOCUMENT_RELATIONS}}}id").alias("rel_id"))
-    rels = named(DOCUMENT_RELS, RELATIONS, "Relationship").where("depth = 1")
-    rels = rels.select("doc_id", "pos", of("Id").alias("rel_id"), of("Type").alias("type"), of("Target").alias("target"), of("TargetMode").alias("target_mode"))
-    types = named(CONTENT_TYPES, TYPES, "Override").where("depth = 1")
-    return refs, rels, types.select("doc_id", "pos", F.coalesce(of("PartName"), F.lit("")).alias("part_name"), F.coalesce(of("ContentType"), F.lit("")).alias("content_type"))
+
+def altchunk_parts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(references, relations, types) of Word packages, as ``altchunks`` takes them; each opens the packages anew."""
+    found = _altchunk_elements(files)
+    refs = found.where("kind = 'ref'").select("doc_id", "pos", _of(f"{{{DOCUMENT_RELATIONS}}}id").alias("rel_id"))
+    rels = found.where("kind = 'rel'").select("doc_id", "pos", _of("Id").alias("rel_id"), _of("Type").alias("type"), _of("Target").alias("target"), _of("TargetMode").alias("target_mode"))
+    types = found.where("kind = 'type'")
+    return refs, rels, types.select("doc_id", "pos", F.coalesce(_of("PartName"), F.lit("")).alias("part_name"), F.coalesce(_of("ContentType"), F.lit("")).alias("content_type"))
+
+
+def package_altchunks(files: DataFrame) -> DataFrame:
+    """What ``altchunks`` gives for the packages' own parts, each package opened once: the three kinds of elements meet
+    in groups, by relation, then by part, so none is read again for a join."""
+    found = _altchunk_elements(files).select(
+        "doc_id", "kind", "pos", F.when(F.col("kind") == "ref", _of(f"{{{DOCUMENT_RELATIONS}}}id")).when(F.col("kind") == "rel", _of("Id")).otherwise(F.coalesce(_of("PartName"), F.lit(""))).alias("key"),
+        _of("Type").alias("type"), _of("Target").alias("target"), _of("TargetMode").alias("target_mode"), F.coalesce(_of("ContentType"), F.lit("")).alias("content_type"),
+    )
+    is_type, is_ref = F.col("kind") == "type", F.col("kind") == "ref"
+    found = found.where(F.col("key").isNotNull() & ((F.col("kind") != "rel") | _inner()))
+    last = lambda c, of: F.max_by(F.when(of, F.col(c)), F.when(of, F.col("pos")))
+    # One shuffle: both groupings are within a document.
+    named = found.repartition("doc_id").groupBy("doc_id", is_type.alias("typed"), "key").agg(F.collect_list(F.when(is_ref, F.col("pos"))).alias("places"), last("target", F.col("kind") == "rel").alias("target"), last("content_type", is_type).alias("content_type"))
+    part = F.when(F.col("typed"), F.col("key")).otherwise(normal_path("/word", F.col("target")))
+    met = named.withColumn("part_name", part).where("part_name is not null").groupBy("doc_id", "part_name").agg(F.flatten(F.collect_list("places")).alias("places"), F.max("content_type").alias("content_type"))
+    return met.where(F.col("content_type").isin(list(ALTCHUNK_TYPES))).select("doc_id", F.explode("places").alias("pos"), "part_name", "content_type")
+
+
+def _inner() -> Column:
+    """Relations that are sub-documents inside the package; external and empty targets are none."""
+    return (F.col("type") == ALTCHUNK) & (F.lower(F.coalesce("target_mode", F.lit(""))) != "external") & (F.coalesce("target", F.lit("")) != "") & (F.coalesce("key", F.lit("")) != "")
 
 
 def altchunks(refs: DataFrame, rels: DataFrame, types: DataFrame) -> DataFrame:
@@ -139,24 +166,26 @@ def altchunk_data(files: DataFrame, chunks: DataFrame, total: int = TOTAL_BYTES)
     one that is not there, is left out and the next is tried."""
     each = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "part_name", "content_type"))).alias("chunks"))
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc_id, content, found in zip(pdf["doc_id"], pdf["content"], pdf["chunks"]):
-                out, left = [], total
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for name in (DOCUMENT, DOCUMENT_RELS, CONTENT_TYPES):
-                            left -= z.getinfo(name).file_size
-                        for c in found:
-                            data = bounded_read(z, c["part_name"].lstrip("/"), min(MEMBER_BYTES, left)) if left >= 0 else None
-                            if data is not None:
-                                left -= len(data)
-                                out.append((doc_id, c["pos"], c["part_name"], c["content_type"], data))
-                except (zipfile.BadZipFile, OSError, KeyError):
-                    pass
-                yield pd.DataFrame(out, columns=["doc_id", "pos", "part_name", "content_type", "data"])
-
-    return files.select("doc_id", "content").join(each, "doc_id").mapInPandas(read, "doc_id long, pos int, part_name string, content_type string, data binary")
+    schema = "doc_id long, pos int, part_name string, content_type string, data binary"
+
+    def held(doc_id: int, content: bytes, found: list[dict]) -> Iterator[tuple]:
+        left = total
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for name in (DOCUMENT, DOCUMENT_RELS, CONTENT_TYPES):
+                    left -= z.getinfo(name).file_size
+                for c in found:
+                    data = bounded_read(z, c["part_name"].lstrip("/"), min(MEMBER_BYTES, left)) if left >= 0 else None
+                    if data is not None:
+                        left -= len(data)
+                        yield doc_id, c["pos"], c["part_name"], c["content_type"], data
+        except (zipfile.BadZipFile, OSError, KeyError):
+            pass
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed((x for r in rows(batches) for x in held(*r)), schema)
+
+    return files.select("doc_id", "content").join(each, "doc_id").mapInArrow(read, schema)
 
 
 _SHEET_PART = re.compile(r"xl/worksheets/sheet\d+\.xml$")
@@ -213,9 +242,9 @@ def landscape(content: bytes, total: int = TOTAL_BYTES, count: int = ENTRIES) ->
 def landscape_packages(files: DataFrame) -> DataFrame:
     """(doc_id, content) of spreadsheet packages in landscape; content is null where a package stays out."""
 
-    def rewrite(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc_id, content in zip(pdf["doc_id"], pdf["content"]):
-                yield pd.DataFrame({"doc_id": [doc_id], "content": pd.Series([None if content is None else landscape(bytes(content))], dtype=object)})
+    schema = "doc_id long, content binary"
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(((doc_id, None if content is None else landscape(content)) for doc_id, content in rows(batches)), schema)
 
-    return files.select("doc_id", "content").mapInPandas(rewrite, "doc_id long, content binary")
+    return files.select("doc_id", "content").mapInArrow(rewrite, schema)

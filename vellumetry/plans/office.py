@@ -7,11 +7,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import containers as C
 from ..operators import office as W
+from ..operators.arrow import packed, rows
 from .registry import query
 
 
@@ -24,16 +25,19 @@ def _turns(t):
 def _packages(t, members):
     """(doc_id, content): a zip of what members(doc_id, turns) gives, names and texts."""
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for doc_id, turns in zip(pdf["doc_id"], pdf["turns"]):
-                held = io.BytesIO()
-                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-                    for name, text in members(doc_id, turns):
-                        z.writestr(name, text)
-                yield pd.DataFrame({"doc_id": [doc_id], "content": [held.getvalue()]})
+    schema = "doc_id long, content binary"
 
-    return _turns(t).mapInPandas(pack, "doc_id long, content binary")
+    def package(doc_id, turns) -> bytes:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in members(doc_id, turns):
+                z.writestr(name, text)
+        return held.getvalue()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(((doc_id, package(doc_id, turns)) for doc_id, turns in rows(batches)), schema)
+
+    return _turns(t).mapInArrow(pack, schema)
 
 
 def _attribute(text: str) -> str:
@@ -82,7 +86,7 @@ k AS (SELECT conv_id AS doc_id, turn, x.t AS text, CASE x.r WHEN 'user' THEN 'te
 @query(f"{_CHUNKS} SELECT doc_id, CASE WHEN count(*) FILTER (WHERE content_type = 'application/msword') > 0 THEN 'unsupported_type' WHEN count(*) > 1 THEN 'several' ELSE 'substitute' END AS action FROM k WHERE content_type IS NOT NULL GROUP BY doc_id")
 def altchunk_join(spark, t):
     """What is done about sub-documents, from the package's own document, relations and content types."""
-    return C.altchunk_policy(W.altchunks(*W.altchunk_parts(_packages(t, _document))))
+    return C.altchunk_policy(W.package_altchunks(_packages(t, _document)))
 
 
 @query(f"""
@@ -93,7 +97,7 @@ def altchunk_bytes(spark, t):
     from pyspark.sql.window import Window
 
     files = _packages(t, _document)
-    got = W.altchunk_data(files, W.altchunks(*W.altchunk_parts(files)))
+    got = W.altchunk_data(files, W.package_altchunks(files))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long")
     return got.select("doc_id", nth.alias("nth"), "part_name", "content_type", F.octet_length("data").cast("long").alias("size"), F.md5("data").alias("data"))
 
