@@ -249,3 +249,19 @@ def test_scans_and_sinks(spark, tmp_path):
     assert got[0].ext == "txt" and files.scan_files(spark, str(tmp_path / "in"), "*.doc").count() == 0
     files.write_records(spark.createDataFrame([(1, None), (2, "x")], "doc_id long, note string"), str(tmp_path / "out"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"doc_id":1}', '{"doc_id":2,"note":"x"}']
+
+
+def test_sharded_dpi_is_its_parts_without_joins(spark, sf_dir):
+    """One shuffle, no join and no window; the partitions grow with the rows, so that no task does."""
+    from pyspark.sql import Window
+
+    order = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_suppkey"]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), *order, (F.col("l_quantity") * 40).alias("width_mm"), (F.col("l_tax") * 10000 + 50).alias("height_mm"))
+    got = P.sharded_dpi(lines, order, 150, 20_000_000, 8, 6, rows=100)
+    pages = lines.withColumn("page", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    shards = P.shard_ranges(pages.groupBy("doc_id").agg(F.count("*").alias("pages")), "pages", 8, 6)
+    want = P.shard_dpi(pages, shards, 150, 20_000_000).join(P.document_peak_mb(pages, 150, 20_000_000), "doc_id")
+    assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    assert got.rdd.getNumPartitions() > lines.count() // 100

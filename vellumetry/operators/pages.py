@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.lookups import FOCUSABLE, SAMPLE_EXTENSIONS, SAMPLE_MIME
 
 MAX_PAGES, MIN_BLANK = 50, 20
+#: Rows of pages that one task sorts, about 100 bytes each.
+TASK_ROWS = 500_000
 
 
 def paginate(docs: DataFrame) -> DataFrame:
@@ -110,10 +112,14 @@ def concurrent_ops(memory_gb: Column, peak: Column) -> Column:
     return F.greatest(F.lit(1), F.least(n, F.lit(8))).cast("int")
 
 
+def shard_count(pages: Column, cpus: int, by_memory: int) -> Column:
+    n = F.least(F.lit(max(1, cpus // 2)), F.lit(by_memory), pages)
+    return F.when((pages < 4) | (n <= 1), F.lit(1)).otherwise(n).cast("int")
+
+
 def shard_ranges(docs: DataFrame, pages: str, cpus: int, by_memory: int) -> DataFrame:
     """(doc_id, shard, first, last): pages in even ranges, the last takes the rest; under four pages, one."""
-    n = F.least(F.lit(max(1, cpus // 2)), F.lit(by_memory), F.col(pages))
-    n = F.when((F.col(pages) < 4) | (n <= 1), F.lit(1)).otherwise(n).cast("int")
+    n = shard_count(F.col(pages), cpus, by_memory)
     each = F.floor(F.col(pages) / F.col("n")).cast("int")
     out = docs.where(F.col(pages) >= 1).withColumn("n", n).select("doc_id", pages, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard"))
     last = F.when(F.col("shard") == F.col("n") - 1, F.col(pages).cast("int")).otherwise((F.col("shard") + 1) * each)
@@ -137,6 +143,25 @@ def shard_dpi(pages: DataFrame, shards: DataFrame, dpi: int, max_px: int) -> Dat
     return out.select("doc_id", "shard", "first", "last", effective_dpi(dpi, F.coalesce("peak", F.lit(0.0)), max_px).alias("dpi"))
 
 
+def sharded_dpi(lines: DataFrame, order: list[str], dpi: int, max_px: int, cpus: int, by_memory: int, rows: int = TASK_ROWS) -> DataFrame:
+    """(doc_id, shard, first, last, dpi, peak_mb): what ``shard_ranges``, ``shard_dpi`` and ``document_peak_mb`` give for
+    pages that are numbered by ``order``, with one shuffle and one sort.
+
+    lines has doc_id, width_mm, height_mm and the columns of order. A document's pages meet in one array, so nothing
+    is joined; the rows are dealt into so many partitions that a task has about ``rows`` of them, however many there are."""
+    partitions = max(lines.sparkSession.sparkContext.defaultParallelism, lines.count() // rows + 1)
+    px = F.col("width_mm") / 25.4 * dpi * (F.col("height_mm") / 25.4 * dpi)
+    peak = peak_mb(F.col("width_mm"), F.col("height_mm"), F.lit(dpi), max_px)
+    page = F.struct(*order, px.alias("px"), peak.alias("mb"))
+    docs = lines.select("doc_id", page.alias("p")).repartition(partitions, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    docs = docs.select("doc_id", F.col("p.px").alias("px"), F.array_max("p.mb").alias("peak_mb")).withColumn("pages", F.size("px"))
+    docs = docs.withColumn("n", shard_count(F.col("pages"), cpus, by_memory)).withColumn("each", F.floor(F.col("pages") / F.col("n")).cast("int"))
+    shards = docs.select("doc_id", "px", "peak_mb", "pages", "n", "each", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard"))
+    shards = shards.withColumn("first", F.col("shard") * F.col("each") + 1).withColumn("last", F.when(F.col("shard") == F.col("n") - 1, F.col("pages")).otherwise((F.col("shard") + 1) * F.col("each")))
+    own = F.array_max(F.slice("px", F.col("first"), F.col("last") - F.col("first") + 1))
+    return shards.select("doc_id", "shard", "first", "last", effective_dpi(dpi, F.coalesce(own, F.lit(0.0)), max_px).alias("dpi"), "peak_mb")
+
+
 def clamp_warnings(pages: DataFrame, dpi: int) -> DataFrame:
     """Per document the pages whose resolution fell below 95 % of what was asked."""
     eff = F.col("width_px") * 25.4 / F.col("width_mm")

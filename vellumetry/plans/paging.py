@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import pages as P
@@ -141,10 +140,9 @@ k AS (SELECT r.doc_id, shard, first, last, any_value(peak_mb) AS peak_mb, max(w
 SELECT doc_id, shard::INT AS shard, first::INT AS first, last::INT AS last, CASE WHEN px > 2e7 THEN least(greatest(36, floor(150 * sqrt(2e7 / px))::INT), 150) ELSE 150 END::INT AS dpi, peak_mb FROM k""")
 def shard_dpi(spark, t):
     """Lines as pages: each range of pages has its own resolution, and each document its peak."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_suppkey")
-    pages = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("page"), (F.col("l_quantity") * 40).alias("width_mm"), (F.col("l_tax") * 10000 + 50).alias("height_mm"))
-    shards = P.shard_ranges(pages.groupBy("doc_id").agg(F.count("*").alias("pages")), "pages", 8, 6)
-    return P.shard_dpi(pages, shards, 150, 20_000_000).join(P.document_peak_mb(pages, 150, 20_000_000), "doc_id")
+    order = ["l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_suppkey"]
+    lines = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), *order, (F.col("l_quantity") * 40).alias("width_mm"), (F.col("l_tax") * 10000 + 50).alias("height_mm"))
+    return P.sharded_dpi(lines, order, 150, 20_000_000, 8, 6)
 
 
 @query(f"""
