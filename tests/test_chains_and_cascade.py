@@ -233,3 +233,20 @@ def test_deep_nesting_stays_linear(spark):
     pages = spark.createDataFrame([(1, text)], "doc_id long, html string")
     got = cascade.inject(pages, containers.css_rules(pages)).first().html
     assert got.count('<font color="red">') == 20_001
+
+
+@pytest.mark.parametrize("name,python", [("style_cascade", 2), ("legacy_html", 3)])
+def test_the_cascade_opens_a_page_once(spark, sf_dir, name, python):
+    """A page is parsed once, no frame is made for a document, and elements are not exploded into selectors."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == python and "InPandas" not in plan
+
+
+def test_styles_of_a_row_are_those_of_their_places(spark):
+    """A property stands where it is first set and has what is set last: by tag, class, tag and class, attribute."""
+    html = spark.createDataFrame([(1, '<p class="b a" style="x:9;z:5">t</p><p>u</p><i style="q:1">v</i>'), (2, '<p style=" q : 1">w</p>')], "doc_id long, html string")
+    sheet = spark.createDataFrame([(1, "<style>.a{x:1;y:2} p{y:1;w:0} p.b{w:3;x:4}</style>")], "doc_id long, html string")
+    got = cascade.own_styles(cascade.elements(html), containers.css_rules(sheet))
+    assert [r.styled for r in got.orderBy("doc_id", "pos").collect()] == ["y:2; w:3; x:9; z:5", "y:1; w:0", "q:1", " q : 1"]

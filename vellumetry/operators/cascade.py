@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import css_background, declarations, inherited_props
+from .arrow import packed, rows
 
 #: Elements that hold inherited values, that take bgcolor, align, and text decoration.
 CONTAINERS = ["table", "tr", "td", "th", "div", "p", "span"]
@@ -87,39 +88,40 @@ def elements(html: DataFrame) -> DataFrame:
     around is the innermost open container; close is where the end tag that ends it begins; names and given are
     the attributes. A style block is one row from its start tag to its end."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _SCHEMA.split(", ")]
-        for pdf in frames:
-            for doc_id, text in zip(pdf["doc_id"], pdf["html"]):
-                rows = pd.DataFrame([{"doc_id": doc_id, **r} for r in _Tags(text or "").read()], columns=columns)
-                yield rows.astype({"around": "Int32", "close": "Int32"})
+    columns = [c.split()[0] for c in _SCHEMA.split(", ")][1:]
 
-    return html.select("doc_id", "html").mapInPandas(read, _SCHEMA)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(((doc_id, *(e[c] for c in columns)) for doc_id, text in rows(batches) for e in _Tags(text or "").read()), _SCHEMA)
+
+    return html.select("doc_id", "html").mapInArrow(read, _SCHEMA)
 
 
 def own_styles(found: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``styled``, the style of each element itself: its own declarations over those of the style blocks.
 
-    rules has doc_id, selector, prop, value and at, as css_rules gives them. In a document without rules a style
-    attribute stays as it is written; else all is written again, each property where it first came."""
+    rules has doc_id, selector, prop, value and at, as css_rules gives them; a document's are one map, so an element is
+    joined once and its style is made within its row. In a document without rules a style attribute stays as it is
+    written; else all is written again, each property where it first came."""
     tag = F.col("tag")
     inline = F.coalesce(F.try_element_at("given", F.nullif(F.array_position("names", "style"), F.lit(0)).cast("int")), F.lit(""))
     classes = F.split(F.trim(F.regexp_replace(F.coalesce(F.try_element_at("given", F.nullif(F.array_position("names", "class"), F.lit(0)).cast("int")), F.lit("")), r"\s+", " ")), " ")
     found = found.withColumns({"inline": inline, "classes": F.filter(classes, lambda c: c != "")})
+    sheets = rules.groupBy("doc_id", "selector").agg(F.collect_list(F.struct("at", "prop", "value")).alias("set"))
+    sheets = sheets.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("selector", "set"))).alias("sheet"))
     by_class = F.flatten(F.transform("classes", lambda c: F.array(F.concat(F.lit("."), c), F.concat(tag, F.lit("."), c))))
-    marked = found.select("doc_id", "pos", F.posexplode(F.concat(F.array(tag), by_class)).alias("rank", "selector"))
-    sheet = marked.join(rules, ["doc_id", "selector"]).select("doc_id", "pos", "prop", "value", "rank", "at")
-    styled = rules.select("doc_id").distinct()
+    none = F.array().cast(sheets.select(F.map_values("sheet")[0].alias("x")).schema["x"].dataType)
+
+    def placed(rank: Column, at: Column, prop: Column, value: Column) -> Column:
+        return F.struct(rank.cast("int").alias("rank"), at.alias("at"), prop.alias("prop"), value.alias("value"))
+
+    listed = F.flatten(F.transform(F.concat(F.array(tag), by_class), lambda s, i: F.transform(F.coalesce(F.try_element_at("sheet", s), none), lambda x: placed(i, x["at"], x["prop"], x["value"]))))
     last = F.struct(F.lit(0).alias("b"), F.lit(0).alias("r"), F.lit(0).alias("i"))
-    own = found.where("inline <> ''").join(styled, "doc_id", "left_semi").select("doc_id", "pos", F.posexplode(F.map_entries(declarations(F.col("inline")))).alias("i", "d"))
-    own = own.select("doc_id", "pos", F.col("d.key").alias("prop"), F.col("d.value").alias("value"), (1_000_000 + F.col("i")).alias("rank"), last.alias("at"))
-    place = F.struct("rank", "at")
-    each = sheet.unionByName(own).groupBy("doc_id", "pos", "prop").agg(F.min(place).alias("first"), F.max_by("value", place).alias("value"))
-    lists = each.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("first", "prop", "value"))).alias("all"))
-    whole = F.array_join(F.transform("all", lambda d: F.concat(d["prop"], F.lit(":"), d["value"])), "; ")
-    out = found.join(lists, ["doc_id", "pos"], "left").join(styled.withColumn("ruled", F.lit(True)), "doc_id", "left")
-    style = F.when(F.col("ruled"), F.coalesce(whole, F.lit(""))).otherwise(F.col("inline"))
-    return out.select(*found.columns, style.alias("styled"))
+    own = F.when(F.col("inline") != "", F.transform(F.map_entries(declarations(F.col("inline"))), lambda d, i: placed(1_000_000 + i, last, d["key"], d["value"])))
+    both = found.join(sheets, "doc_id", "left").withColumn("all", F.when(F.col("sheet").isNotNull(), F.array_sort(F.concat(listed, F.coalesce(own, F.array().cast("array<struct<rank:int,at:struct<b:int,r:int,i:int>,prop:string,value:string>>"))))))
+    # In order of place: a property stands where it is first set, with the value that is set last.
+    value = lambda p: F.element_at(F.filter("all", lambda d: d["prop"] == p), -1)["value"]
+    whole = F.array_join(F.transform(F.array_distinct(F.transform("all", lambda d: d["prop"])), lambda p: F.concat(p, F.lit(":"), value(p))), "; ")
+    return both.select(*found.columns, F.when(F.col("sheet").isNotNull(), whole).otherwise(F.col("inline")).alias("styled"))
 
 
 def effective(html: DataFrame, rules: DataFrame) -> DataFrame:
@@ -128,18 +130,25 @@ def effective(html: DataFrame, rules: DataFrame) -> DataFrame:
     props = inherited_props(F.col("styled"))
     own = own.withColumns({"background": css_background(F.col("styled")), **{k: F.nullif(props[k], F.lit("")) for k in HANDED_DOWN}})
 
-    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One document: elements in order, so what is around an element is known before it."""
-        pdf = pdf.sort_values("pos")
-        around = [None if pd.isna(a) else int(a) for a in pdf["around"]]
-        for k in HANDED_DOWN:
-            values: list = []
-            for a, v in zip(around, pdf[k]):
-                values.append(v if not pd.isna(v) else None if a is None else values[a])
-            pdf[k] = values
-        return pdf.astype({"around": "Int32", "close": "Int32"})
-
-    return own.groupBy("doc_id").applyInPandas(hand_down, own.schema)
+    def hand_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents one after the other, elements in order, so what is around an element is known before it."""
+        doc, seen = object(), {}
+        for batch in batches:
+            docs, places, around = (batch.column(c).to_pylist() for c in ("doc_id", "pos", "around"))
+            given = list(zip(*(batch.column(k).to_pylist() for k in HANDED_DOWN)))
+            out = []
+            for d, pos, a, values in zip(docs, places, around, given):
+                if d != doc:
+                    doc, seen = d, {}
+                if a is not None:
+                    values = tuple(o if v is None else v for v, o in zip(values, seen[a]))
+                seen[pos] = values
+                out.append(values)
+            for k, column in zip(HANDED_DOWN, zip(*out)):
+                batch = batch.set_column(batch.schema.get_field_index(k), k, pa.array(column, pa.string()))
+            yield batch
+
+    return own.repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(hand_down, own.schema)
 
 
 def _added(found: DataFrame) -> DataFrame:
@@ -194,15 +203,16 @@ def inject(html: DataFrame, rules: DataFrame) -> DataFrame:
     )
     lists = every.select("doc_id", "pos", F.posexplode(edits).alias("k", "e")).where("e is not null").groupBy("doc_id").agg(F.collect_list(F.struct("e.start", "e.end", "pos", "k", "e.text")).alias("edits"))
 
-    def splice(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            done = []
-            for text, edits in zip(pdf["html"], pdf["edits"]):
-                out, at = [], 0
-                for e in sorted(edits if edits is not None else (), key=lambda e: (e["start"], e["end"], e["pos"], e["k"])):
-                    out += [text[at : e["start"]], e["text"]]
-                    at = e["end"]
-                done.append(text if text is None else "".join([*out, text[at:]]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "html": done})
-
-    return html.select("doc_id", "html").join(lists, "doc_id", "left").mapInPandas(splice, "doc_id long, html string")
+    def spliced(text: str | None, edits: list[dict] | None) -> str | None:
+        out, at = [], 0
+        for e in sorted(edits or (), key=lambda e: (e["start"], e["end"], e["pos"], e["k"])):
+            out += [text[at : e["start"]], e["text"]]
+            at = e["end"]
+        return text if text is None else "".join([*out, text[at:]])
+
+    schema = "doc_id long, html string"
+
+    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed(((doc_id, spliced(text, edits)) for doc_id, text, edits in rows(batches)), schema)
+
+    return html.select("doc_id", "html").join(lists, "doc_id", "left").mapInArrow(splice, schema)
