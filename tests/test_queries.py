@@ -34,3 +34,19 @@ def test_page_summary_needs_no_shuffle(spark, sf_dir):
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["image_totals"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "l_shipdate" not in plan.rpartition("ReadSchema")[2]
+
+
+def test_lines_of_envelopes_are_dealt_once(spark, sf_dir, monkeypatch):
+    """Lines are shuffled while they are narrow, into partitions that grow with them; pages are not shuffled again."""
+    from vellumetry.plans import serving
+
+    monkeypatch.setattr(serving, "PAGES", 100)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["envelopes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 100 + 1
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 3 and all(f", {n})" in x for x in dealt if "REPARTITION_BY_NUM" in x) and sum("REPARTITION_BY_NUM" in x for x in dealt) == 1

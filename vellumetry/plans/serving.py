@@ -13,6 +13,8 @@ from ..operators.plans import cut, export_plan, option_clamp, security_block, wa
 from .registry import query
 
 _C = "conversations"
+#: Pages of records that one task holds.
+PAGES = 200_000
 
 
 def _pick(column: str, values: list) -> F.Column:
@@ -243,7 +245,11 @@ def envelopes(spark, t):
     """Orders as documents and lines as pages: files, hashes (some malformed), scanner records, and metadata read back out of the record."""
     n = F.col("l_linenumber")
     h = F.md5(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), n.cast("string")))
-    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_discount", "l_quantity", "l_tax", "l_partkey")])
+    # Dealt by document while the rows are narrow: no later step shuffles the pages, which are wide.
+    # The partitions grow with the rows, as each row becomes a page of some hundred bytes in the task that holds it.
+    dealt = t("lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_quantity", "l_tax", "l_partkey")
+    dealt = dealt.repartition(max(spark.sparkContext.defaultParallelism, dealt.count() // PAGES + 1), "l_orderkey")
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_discount", "l_quantity", "l_tax", "l_partkey")])
     part = F.col("l_partkey").cast("int")
     pages = lines.select(
         F.col("l_orderkey").alias("doc_id"), n.alias("page"), n.alias("ms"), T.page_file(n).alias("file"), F.when(n % 2 == 0, T.page_file(n, "trimmed")).alias("trimmed_file"), F.when(F.col("l_discount") > 0.05, T.page_file(n, "focused")).alias("focused_file"),
