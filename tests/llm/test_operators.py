@@ -532,6 +532,38 @@ def test_spans_selected_are_brute_force(spark, docs):
     assert sum(map(len, want.values())) > 190
 
 
+def test_null_covers_every_letter_of_every_text(spark, docs):
+    """Each two neighbouring letters of each distinct text are in one run, and the null is of all runs."""
+    from vellumetry.llm import secrets as S
+
+    # Texts at the edges of blocks and classes, signs that lower case would make letters of, copies, and a long text.
+    sizes = [1, 2, 19, 20, 21, 38, 39, 40, S.BLOCK - 1, S.BLOCK, S.BLOCK + 1, S.BLOCK + 18, S.BLOCK + 19, S.BLOCK + 20, 2 * S.BLOCK + 19]
+    rng = np.random.default_rng(2)
+    more = ["".join(rng.choice(list("abcdefgh"), n)) for n in sizes] + ["a\u0130b \u212aelvin", "one two-three\n4 five " * 3, "one two-three\n4 five " * 3, None, "", "12 34", LONG]
+    texts = [*docs.text, *more]
+    glued = sorted({g for t in texts if t and (g := re.sub("[^A-Za-z]", "", t).lower())})
+    runs = [r.token for r in S.glued_runs(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    want, got = {}, {}
+    for seen, counts in ((glued, want), (runs, got)):
+        for x in seen:
+            for p in zip(x.lower(), x.lower()[1:]):
+                counts[p] = counts.get(p, 0) + 1
+    assert got == want
+    # Only a whole text is shorter than a token.
+    assert sorted(r.lower() for r in runs if len(r) < S.LEAST) == [g for g in glued if len(g) < S.LEAST]
+    table = spark.createDataFrame([(r,) for r in runs], "token string")
+    pairs = S.letter_pairs(table)
+    scored = S._scored(table.where(f"length(token) >= {S.LEAST}"), pairs).toPandas()
+    null = {(r["class"], r.mixed): r for r in S.ordinary(table, pairs).collect()}
+    assert set(null) == {(k + 1, mixed) for k in range(len(S.ORDINARY)) for mixed in (False, True)}
+    for (k, mixed), r in null.items():
+        x = scored.score[(scored["class"] == k) & (scored.mixed == mixed)].to_numpy()
+        _, m, sd = S.ORDINARY[k - 1]
+        x, w = np.append(x, [m - sd, m + sd]), np.append(np.ones(len(x)), [S.PRIOR / 2] * 2)
+        assert len(x) > 100 and r["mean"] == pytest.approx(np.average(x, weights=w))
+        assert r.spread == pytest.approx(math.sqrt(max(np.average((x - r["mean"]) ** 2, weights=w), 0.01)))
+
+
 def test_letter_pairs_are_brute_force(spark):
     from vellumetry.llm import secrets as S
 

@@ -18,9 +18,9 @@ counts as rare. The score is log(s) + PAIRS * b.
 
 What is controlled is the share of ordinary tokens among those reported. The null hypothesis is thus the
 ordinary token: how the score is spread, by class of length and by whether a token mixes cases, over words of
-the corpus glued together, one such run of every distinct text, at a place that the text's hash gives. The
-pairs are counted over the same runs. PRIOR runs of fixed values are added, which alone serve a corpus
-without prose. A token's p-value is the share of ordinary runs that score as low; s below FLOOR counts as
+the corpus glued together. All letters of every distinct text are cut into such runs, and as a run ends with the
+letter that the next begins with, every pair of neighbouring letters is counted once, over the same runs. PRIOR
+runs of fixed values are added, which alone serve a corpus without prose. A token's p-value is the share of ordinary runs that score as low; s below FLOOR counts as
 FLOOR, where the fit holds. In each class of length the Benjamini-Hochberg rule at RATE then gives the tokens
 reported, as spans of kind ``random``. The ranks that the rule needs come from counts of p-values in bins, so
 no list of tokens is gathered, and as only the classes' limits are sent to the rows, no token is joined by
@@ -61,6 +61,11 @@ PAIRS, BLANK, SMOOTH, CHANGE = 2.0, 4, 26.0, -2.0
 #: Class of length (its lower end), mean and spread of the score, measured on about 1,300 glued runs
 #: of each class from 10,000 documents of prose, and rounded.
 ORDINARY = ((20, 2.8, 0.97), (24, 3.2, 0.9), (28, 3.5, 0.84), (32, 3.8, 0.74), (40, 4.2, 0.73), (64, 5.0, 0.66), (128, 6.0, 0.55))
+#: Runs that a block of glued letters is cut into: each class of length, in lower case and in mixed.
+RUNS = [(low, camel) for camel in (False, True) for low, _, _ in ORDINARY]
+BLOCK = sum(low - 1 for low, _ in RUNS)
+#: Alphabets of the encodings, in lower case where case does not matter; ``-`` and ``_`` are other signs for ``+`` and ``/``.
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "abcdefghijklmnopqrstuvwxyz234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Matches of one text whose positions are summed one after the other; beyond that in blocks of so many.
 ROW = 64
 KINDS = ("assign", "access", "hex", "random")
@@ -131,6 +136,23 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def _fixed(values, kind: str) -> Column:
+    """A fixed array, to look values up in."""
+    return F.expr(f"cast(array({', '.join('null' if v is None else str(v) for v in values)}) as array<{kind}>)")
+
+
+def _neighbours(values: Column, made) -> Column:
+    """made(a, b) of each two values side by side."""
+    return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), made)
+
+
+def _place(symbol: str, encoding: str) -> int | None:
+    """Place of a symbol in its encoding's alphabet."""
+    alphabet = ALPHABETS[encoding]
+    at = alphabet.find({"-": "+", "_": "/"}.get(symbol, symbol) if encoding == "base64" else symbol.lower())
+    return at if at >= 0 else None
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds encoding, size (of the alphabet), p_uniform, p_runs, p_serial and p (combined) to ``token``."""
     t = F.col("token")
@@ -138,40 +160,32 @@ def battery(tokens: DataFrame) -> DataFrame:
         "encoding",
         F.when(t.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(t.rlike(r"^[A-Z2-7]+$"), "base32").when(t.rlike(r"^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64"),
     )
-    size = F.when(F.col("encoding") == "hex", 16).when(F.col("encoding") == "base32", 32).when(F.col("encoding") == "base36", 36).otherwise(64)
-    named = named.withColumn("size", size.cast("double")).withColumn("c", F.split(t, "")).withColumn("c", F.filter("c", lambda x: x != ""))
-    n = F.size("c").cast("double")
-    # Equal pairs: the sum of squared counts, from one pass over the sorted symbols.
-    run = F.aggregate(F.array_sort("c"), F.struct(F.lit("").alias("last"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sq")), lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"], s["k"] + 1).otherwise(1.0).alias("k"), (s["sq"] + F.when(x == s["last"], 2 * s["k"] + 1).otherwise(1.0)).alias("sq")), lambda s: s["sq"])
-    value = F.transform("c", lambda x: _rank(x, F.col("encoding")).cast("double"))
-    named = named.withColumn("sq", run).withColumn("v", value)
-    chi, df = F.col("sq") * F.col("size") / n - n, F.col("size") - 1
-    p_uniform = _normal_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-    pairs = F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    middle, mean, var = F.col("size") / 2, (F.col("size") - 1) / 2, (F.col("size") * F.col("size") - 1) / 12
-    named = named.withColumn("pairs", pairs)
-    ups = F.size(F.filter("v", lambda x: x >= middle)).cast("double")
-    downs = n - ups
-    runs = 1 + F.size(F.filter("pairs", lambda x: (x["a"] >= middle) != (x["b"] >= middle)))
-    expected = 1 + 2 * ups * downs / n
+    which = F.array_position(F.array(*[F.lit(e) for e in ALPHABETS]), F.col("encoding")).cast("int") - 1
+    named = named.withColumn("size", F.get(_fixed(map(len, ALPHABETS.values()), "double"), which))
+    # Each symbol's place, from the middle of its alphabet; a lambda only looks it up.
+    places = ((e, _place(chr(k), e)) for e in ALPHABETS for k in range(128))
+    table = _fixed([None if at is None else at - (len(ALPHABETS[e]) - 1) / 2 for e, at in places], "double")
+    named = named.withColumn("v", _let(which * 128, lambda at: F.transform(F.split(t, ""), lambda x: F.get(table, at + F.ascii(x)))))
+    n = F.size("v").cast("double")
+    df, var = F.col("size") - 1, (F.col("size") * F.col("size") - 1) / 12
+    # The sum of squared counts, symbol by symbol: no more of these than the alphabet has.
+    sq = F.aggregate(F.array_distinct(F.split(t, "")), F.lit(0.0), lambda s, x: s + F.pow(F.octet_length(t) - F.octet_length(F.replace(t, x, F.lit(""))), F.lit(2.0)))
+    named = named.withColumns({"sq": sq, "products": _neighbours(F.col("v"), lambda a, b: a * b)})
+    # The product of neighbours on both sides of the middle is negative.
+    named = named.withColumns({"ups": F.size(F.filter("v", lambda x: x > 0)).cast("double"), "runs": 1 + F.size(F.filter("products", lambda x: x < 0)), "sum": F.aggregate("products", F.lit(0.0), lambda s, x: s + x)})
+    chi = F.col("sq") * F.col("size") / n - n
+    expected = 1 + 2 * F.col("ups") * (n - F.col("ups")) / n
     spread = F.greatest((expected - 1) * (expected - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-3))
-    p_runs = 2 * _normal_tail(F.abs(runs - expected) / F.sqrt(spread))
-    serial = F.aggregate("pairs", F.lit(0.0), lambda s, x: s + (x["a"] - mean) * (x["b"] - mean)) / (var * F.sqrt(F.greatest(n - 1, F.lit(1.0))))
-    p_serial = 2 * _normal_tail(F.abs(serial))
-    out = named.withColumns({"p_uniform": p_uniform, "p_runs": p_runs, "p_serial": p_serial})
+    z = {
+        "z_uniform": (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)),
+        "z_runs": F.abs(F.col("runs") - expected) / F.sqrt(spread),
+        "z_serial": F.abs(F.col("sum") / (var * F.sqrt(F.greatest(n - 1, F.lit(1.0))))),
+    }
+    named = named.withColumns(z)
+    out = named.withColumns({"p_uniform": _normal_tail(F.col("z_uniform")), "p_runs": 2 * _normal_tail(F.col("z_runs")), "p_serial": 2 * _normal_tail(F.col("z_serial"))})
     x = sum(-2 * F.log(F.greatest(F.col(c), F.lit(1e-300))) for c in ("p_uniform", "p_runs", "p_serial"))
     half = x / 2  # Fisher: chi-squared with six degrees of freedom has a closed tail
-    return out.withColumn("p", F.least(F.exp(-half) * (1 + half + half * half / 2), F.lit(1.0))).drop("c", "v", "sq", "pairs")
-
-
-def _rank(x: Column, encoding: Column) -> Column:
-    """Place of a symbol in its encoding's alphabet."""
-    a = F.ascii(x)
-    digit, letter = a - 48, F.ascii(F.lower(x)) - 97
-    in64 = F.when(x.rlike("[A-Z]"), a - 65).when(x.rlike("[a-z]"), a - 71).when(x.rlike("[0-9]"), a + 4).when(x.isin("+", "-"), 62).otherwise(63)
-    in36 = F.when(x.rlike("[0-9]"), digit).otherwise(letter + 10)
-    in32 = F.when(x.rlike("[2-7]"), a - 24).otherwise(letter)
-    return F.when(encoding == "base64", in64).when(encoding == "base32", in32).otherwise(in36)
+    return out.withColumn("p", F.least(F.exp(-half) * (1 + half + half * half / 2), F.lit(1.0))).drop("v", "sq", "products", "ups", "runs", "sum", *z)
 
 
 def _class_of(length: Column) -> Column:
@@ -181,7 +195,8 @@ def _class_of(length: Column) -> Column:
 def letter_pairs(runs: DataFrame) -> list[float]:
     """log(26 p(second letter | first letter)) of all 26 * 26 pairs, held within -3 and 3, from the pairs of ``token``."""
     low = F.lower("token")
-    cut = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(low, i, F.lit(2)))
+    # Those that begin at odd places, then those at even ones.
+    cut = F.concat(*[F.regexp_extract_all(x, F.lit(".."), F.lit(0)) for x in (low, F.substr(low, F.lit(2)))])
     # No more rows than pairs of letters.
     counts = {r["pair"]: r["n"] for r in runs.select(F.explode(cut).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).collect()}
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -192,15 +207,13 @@ def letter_pairs(runs: DataFrame) -> list[float]:
 def pair_score(token: Column, pairs: list[float]) -> Column:
     """Mean log ratio of the token's pairs of neighbouring letters, and changes between letters and digits, with
     BLANK pairs of ratio 1."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in pairs)), ",").cast("array<double>")
-    # Letters are 0 to 25, digits -1, others null.
-    places = F.transform(F.filter(F.split(F.lower(token), ""), lambda x: x != ""), lambda x: F.when(x.rlike("^[a-z]$"), F.ascii(x) - 97).when(x.rlike("^[0-9]$"), -1))
-
-    def ratio(a: Column, b: Column) -> Column:
-        return F.when((a >= 0) & (b >= 0), F.get(table, a * 26 + b)).when((a >= 0) != (b >= 0), F.lit(CHANGE))
-
-    both = _let(places, lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), ratio))
-    return _let(F.filter(both, lambda x: x.isNotNull()), lambda z: F.aggregate(z, F.lit(0.0), lambda t, x: t + x) / (F.size(z) + BLANK))
+    # Letters are 0 to 25, digits 26, others 27; of two digits, or of others, nothing is counted.
+    places = _fixed([ord(x.lower()) - 97 if x.isalpha() else 26 if x.isdigit() else 27 for x in map(chr, range(128))], "int")
+    table = _fixed([None if max(a, b) == 27 or a == b == 26 else CHANGE if max(a, b) == 26 else f"{pairs[a * 26 + b]:.6f}" for a in range(28) for b in range(28)], "double")
+    found = F.transform(F.split(token, ""), lambda x: F.get(places, F.ascii(x)))
+    both = _let(found, lambda v: _neighbours(v, lambda a, b: F.get(table, a * 28 + b)))
+    counted = F.when(token.rlike("^[A-Za-z]+$"), both).otherwise(F.filter(both, lambda x: x.isNotNull()))
+    return _let(counted, lambda z: F.aggregate(z, F.lit(0.0), lambda t, x: t + x) / (F.size(z) + BLANK))
 
 
 def _scored(tokens: DataFrame, pairs: list[float]) -> DataFrame:
@@ -210,21 +223,43 @@ def _scored(tokens: DataFrame, pairs: list[float]) -> DataFrame:
     return out.withColumn("score", F.log(s) + PAIRS * pair_score(F.col("token"), pairs))
 
 
+def _plan(turn: int) -> str:
+    """The runs of a block, beginning with the one of this number: places of the first letter and of the next run's."""
+    order, out, at = RUNS[turn:] + RUNS[:turn], [], 0
+    for low, camel in order:
+        out.append(f"named_struct('at', {at}, 'next', {at + low - 1}, 'camel', {camel})")
+        at += low - 1
+    return f"array({', '.join(out)})"
+
+
 def glued_runs(docs: DataFrame) -> DataFrame:
-    """(camel, token): runs of words of the texts, glued together, one of every distinct text that is long enough."""
-    h = F.xxhash64("text")
-    lows = F.array(*[F.lit(low) for low, _, _ in ORDINARY])
-    low = F.element_at(lows, (F.pmod(h, F.lit(len(ORDINARY))) + 1).cast("int"))
-    begin = F.pmod(F.shiftright(h, 8), F.greatest(F.length("text") - 8 * low, F.lit(1)))
-    some = docs.where("text is not null").select("text", low.alias("low"), (F.shiftright(h, 5) % 2 == 0).alias("camel"), begin.alias("begin"))
-    piece = F.expr("substring(text, cast(begin + 1 as int), 8 * low)")
-    glued = F.regexp_replace(F.when(F.col("camel"), F.initcap(piece)).otherwise(F.lower(piece)), "[^A-Za-z]", "")
-    return some.select("low", "camel", glued.alias("glued")).where(F.length("glued") >= F.col("low")).select("camel", F.expr("substring(glued, 1, low)").alias("token")).distinct()
+    """``token``: the letters of every distinct text, glued together and cut into runs of each class of length, half of
+    them in lower case, half with the words' first letters as capitals. Neighbouring runs of a text share a letter.
+
+    No letter is left out: the last run of a text takes what is too short for another, and a text of fewer than
+    LEAST letters is one run, of no class."""
+    # Other signs go first: in lower case some of them become letters.
+    words = F.regexp_replace("text", "[^A-Za-z]+", " ")
+    whole = docs.where("text is not null").select(F.replace(F.initcap(words), F.lit(" "), F.lit("")).alias("glued")).where("glued <> ''").distinct()
+    # Blocks keep a place in a long text near; each ends with the first letter of the next.
+    cut = F.regexp_extract_all("glued", F.lit(f".{{{BLOCK}}}(?=.{{{LEAST}}})|.+"), F.lit(0))
+    joined = _let(cut, lambda c: F.transform(c, lambda b, i: F.concat(b, F.coalesce(F.substring(F.get(c, i + 1), 1, 1), F.lit("")))))
+    blocks = whole.select(F.explode(joined).alias("block"))
+    block, n = F.col("block"), F.octet_length("block")
+    plan = F.get(F.expr(f"array({', '.join(map(_plan, range(len(RUNS))))})"), F.pmod(F.xxhash64("block"), F.lit(len(RUNS))).cast("int"))
+    kept = F.filter(plan, lambda r: (r["at"] == 0) | (n - r["at"] >= LEAST))
+
+    def made(r: Column) -> Column:
+        end = F.when(n - r["next"] >= LEAST, r["next"] + 1).otherwise(n)
+        own = F.substring(block, r["at"] + 1, end - r["at"])
+        return F.when(r["camel"], own).otherwise(F.lower(own))
+
+    return blocks.select(F.explode(F.transform(kept, made)).alias("token"))
 
 
 def ordinary(runs: DataFrame, pairs: list[float]) -> DataFrame:
     """(class, mixed, mean, spread) of the score over glued words: a row for each class and each kind of case."""
-    seen = _scored(runs, pairs).where("mixed = camel").select("class", "mixed", F.col("score").alias("x"), F.lit(1.0).alias("w"))
+    seen = _scored(runs.where(F.length("token") >= LEAST), pairs).select("class", "mixed", F.col("score").alias("x"), F.lit(1.0).alias("w"))
     spark = runs.sparkSession
     # The fixed values as PRIOR runs: half of them one spread below the mean, half above.
     fixed = [(k + 1, mixed, m + side * sd, PRIOR / 2) for k, (_, m, sd) in enumerate(ORDINARY) for mixed in (False, True) for side in (-1, 1)]
