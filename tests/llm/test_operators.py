@@ -471,6 +471,24 @@ def test_battery_is_brute_force(spark):
     assert (got.p.loc[random] < 0.01).mean() < 0.06 and (got.p.loc[patterned] < 1e-6).all()
 
 
+def test_tokens_are_cut_into_symbols_once(spark):
+    """What a token costs is counted in passes over its symbols; sums of long tokens, made in blocks, are brute force."""
+    from vellumetry.llm import secrets as S
+
+    rng = np.random.default_rng(4)
+    pairs = [round(float(x), 6) for x in rng.uniform(-3, 3, 26 * 26)]
+    tokens = ["".join(rng.choice(list(a), n)) for a in ALPHABETS.values() for n in (20, 511, 512, 513, 1022, 1023, 1024, 5000)]
+    scored = S._scored(spark.createDataFrame([(t,) for t in tokens], "token string"), pairs)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("split(token") == 1
+    got = scored.toPandas().set_index("token")
+    for t in tokens:
+        ratios = [S.CHANGE if a.isdigit() or b.isdigit() else pairs[(ord(a.lower()) - 97) * 26 + ord(b.lower()) - 97] for a, b in zip(t, t[1:]) if (a + b).isalnum() and not (a + b).isdigit()]
+        b = sum(ratios) / (len(ratios) + S.BLANK)
+        assert got.p.loc[t] == pytest.approx(battery_p(t, got.encoding.loc[t]), rel=1e-3, abs=1e-6)
+        s = max(-math.log10(max(got.p.loc[t], 1e-300)), S.FLOOR)
+        assert got.score.loc[t] == pytest.approx(math.log(s) + S.PAIRS * b, abs=1e-5)
+
+
 def planted_secrets(docs, low, high, seed=7):
     """(rows, number planted): the documents, random tokens of each encoding, then glued words."""
     rng = np.random.default_rng(seed)

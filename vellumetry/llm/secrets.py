@@ -53,6 +53,8 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 #: Tokens for the battery: at least so many of these characters.
 LEAST = 20
 TOKEN, PIECE = f"[A-Za-z0-9+/_-]{{{LEAST},}}", f"[A-Za-z0-9]{{{LEAST},}}"
+#: Whether there is such a token, looked for at the beginnings of runs only.
+LONG = f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST}}}"
 #: False-discovery rate, bins of -log10 p, the least s that counts, and runs that the fixed values stand for.
 RATE, BINS, FLOOR, PRIOR = 0.05, 400, 0.5, 50
 #: Weight of the pairs of letters, pairs that stand for chance in each mean, counts that stand for it in the corpus,
@@ -66,6 +68,10 @@ RUNS = [(low, camel) for camel in (False, True) for low, _, _ in ORDINARY]
 BLOCK = sum(low - 1 for low, _ in RUNS)
 #: Alphabets of the encodings, in lower case where case does not matter; ``-`` and ``_`` are other signs for ``+`` and ``/``.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "abcdefghijklmnopqrstuvwxyz234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: All of their symbols, rows that a table has for each encoding, bits that name such a row, and symbols whose products
+#: and ratios are summed in one long, which then stays below 2 ** 62.
+SYMBOLS = ALPHABETS["base64"] + "-_"
+WIDTH, STATE, SHORT = len(SYMBOLS) + 1, 9, 512
 #: Matches of one text whose positions are summed one after the other; beyond that in blocks of so many.
 ROW = 64
 KINDS = ("assign", "access", "hex", "random")
@@ -108,11 +114,11 @@ def _positions(text: Column, pattern: str, kind: int, keep) -> Column:
     return F.filter(spans, keep) if keep is not None else spans
 
 
-def _base(text: Column) -> Column:
-    """All base spans, sorted by start, then kind."""
+def _base(text: Column, long: Column) -> Column:
+    """All base spans, sorted by start, then kind; long says whether the text has a token of LEAST characters, as
+    every match of the kinds access and hex is."""
     none = F.array().cast(SPAN)
-    low = F.lower(text)
-    cue = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key")
+    cue = _let(F.lower(text), lambda low: low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key"))
     # A match is dropped by the length of its value, which is the match's tail.
     value = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), lambda v: F.length(v))
     assign = _let(value, lambda v: F.filter(_positions(text, ASSIGN, 0, None), lambda s, i: F.get(v, i) >= ASSIGN_LEAST))
@@ -122,8 +128,8 @@ def _base(text: Column) -> Column:
     return F.array_sort(
         F.concat(
             F.when(cue, assign).otherwise(none),
-            F.when(text.contains("AKIA"), access).otherwise(none),
-            F.when(text.rlike(f"[0-9a-f]{{{HEX_LEAST}}}"), hexes).otherwise(none),
+            F.when(long & text.contains("AKIA"), access).otherwise(none),
+            F.when(long & text.rlike(f"[0-9a-f]{{{HEX_LEAST}}}"), hexes).otherwise(none),
         )
     )
 
@@ -138,41 +144,96 @@ def _normal_tail(z: Column) -> Column:
 
 def _fixed(values, kind: str) -> Column:
     """A fixed array, to look values up in."""
-    return F.expr(f"cast(array({', '.join('null' if v is None else str(v) for v in values)}) as array<{kind}>)")
-
-
-def _neighbours(values: Column, made) -> Column:
-    """made(a, b) of each two values side by side."""
-    return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), made)
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _place(symbol: str, encoding: str) -> int | None:
-    """Place of a symbol in its encoding's alphabet."""
+    """Twice a symbol's place in its encoding's alphabet, counted from the middle."""
     alphabet = ALPHABETS[encoding]
     at = alphabet.find({"-": "+", "_": "/"}.get(symbol, symbol) if encoding == "base64" else symbol.lower())
-    return at if at >= 0 else None
+    return 2 * at - len(alphabet) + 1 if at >= 0 else None
+
+
+def _codes(token: Column) -> Column:
+    return F.transform(F.split(token, ""), lambda x: F.ascii(x))
+
+
+def _counted(a: str, b: str) -> bool:
+    """Whether a pair's ratio counts: that of two letters, or of a letter and a digit."""
+    return a.isalnum() and b.isalnum() and (a.isalpha() or b.isalpha())
+
+
+def _neighbours(codes: Column, which: Column, pairs: list[float]) -> Column:
+    """Sums over each two neighbouring symbols: four times the product of their places in the alphabet of this number,
+    and the log ratios, in millionths. Both are in one long, as ``_totals`` reads it, for every SHORT symbols or fewer.
+
+    A sum's last STATE bits are a row of the table, that of the encoding and the symbol last seen. What is looked up
+    there for the next symbol adds the pair's values, the ratio in 32 bits and the product above, and moves on to its row."""
+
+    def value(encoding: str, a: str, b: str) -> int:
+        both = a.isalpha() and b.isalpha()
+        ratio = pairs[(ord(a.lower()) - 97) * 26 + ord(b.lower()) - 97] if both else CHANGE if _counted(a, b) else 0
+        return ((_place(a, encoding) or 0) * (_place(b, encoding) or 0) << 32) + round(1e6 * ratio)
+
+    first, last = min(map(ord, SYMBOLS)), max(map(ord, SYMBOLS))
+    table, columns = [0] * first, [SYMBOLS.find(chr(k)) + 1 for k in range(first, last + 1)]
+    for encoding in ALPHABETS:
+        for row in range(WIDTH):
+            table += [k - row + (value(encoding, SYMBOLS[row - 1], SYMBOLS[k - 1]) << STATE if row and k else 0) for k in columns]
+    steps = _fixed(table, "bigint")
+
+    def summed(block: Column) -> Column:
+        last = F.aggregate(block, (which * WIDTH).cast("long"), lambda s, x: s + F.get(steps, s.bitwiseAND(F.lit((1 << STATE) - 1)).cast("int") * len(columns) + x))
+        return F.shiftright(last, STATE)
 
+    # Blocks share a symbol with the next.
+    many = F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - 2) / (SHORT - 1)).cast("int")), lambda i: F.slice(codes, i * (SHORT - 1) + 1, SHORT))
+    return F.when(F.size(codes) <= SHORT, F.array(summed(codes))).otherwise(F.transform(many, summed))
 
-def battery(tokens: DataFrame) -> DataFrame:
-    """Adds encoding, size (of the alphabet), p_uniform, p_runs, p_serial and p (combined) to ``token``."""
-    t = F.col("token")
+
+def _totals(sums: Column) -> tuple[Column, Column]:
+    """The sum of products and that of ratios."""
+
+    def ratio(x: Column) -> Column:
+        return (x + (1 << 31)).bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(sums, zero, lambda s, x: s + F.shiftright(x - ratio(x), 32)), F.aggregate(sums, zero, lambda s, x: s + ratio(x))
+
+
+def battery(tokens: DataFrame, pairs: list[float] | None = None) -> DataFrame:
+    """Adds encoding, size (of the alphabet), p_uniform, p_runs, p_serial and p (combined) to ``token``; with pairs
+    also b, their ``pair_score``."""
+    t, n = F.col("token"), F.octet_length("token")
     named = tokens.withColumn(
         "encoding",
         F.when(t.rlike(r"^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(t.rlike(r"^[A-Z2-7]+$"), "base32").when(t.rlike(r"^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64"),
     )
-    which = F.array_position(F.array(*[F.lit(e) for e in ALPHABETS]), F.col("encoding")).cast("int") - 1
-    named = named.withColumn("size", F.get(_fixed(map(len, ALPHABETS.values()), "double"), which))
-    # Each symbol's place, from the middle of its alphabet; a lambda only looks it up.
-    places = ((e, _place(chr(k), e)) for e in ALPHABETS for k in range(128))
-    table = _fixed([None if at is None else at - (len(ALPHABETS[e]) - 1) / 2 for e, at in places], "double")
-    named = named.withColumn("v", _let(which * 128, lambda at: F.transform(F.split(t, ""), lambda x: F.get(table, at + F.ascii(x)))))
-    n = F.size("v").cast("double")
-    df, var = F.col("size") - 1, (F.col("size") * F.col("size") - 1) / 12
+
+    def by_encoding(made) -> Column:
+        out = F
+        for e in list(ALPHABETS)[:-1]:
+            out = out.when(F.col("encoding") == e, made(e))
+        return out.otherwise(made(list(ALPHABETS)[-1]))
+
+    def halves(encoding: str) -> Column:
+        """1 for each symbol above the alphabet's middle, 0 for each below it."""
+        known = [x for x in SYMBOLS if _place(x, encoding) is not None]
+        return F.translate(t, "".join(known), "".join("1" if _place(x, encoding) > 0 else "0" for x in known))
+
+    which = by_encoding(lambda e: F.lit(list(ALPHABETS).index(e)))
+    named = named.withColumns({"size": by_encoding(lambda e: F.lit(float(len(ALPHABETS[e])))), "which": which, "halves": by_encoding(halves), "codes": _codes(t)})
     # The sum of squared counts, symbol by symbol: no more of these than the alphabet has.
-    sq = F.aggregate(F.array_distinct(F.split(t, "")), F.lit(0.0), lambda s, x: s + F.pow(F.octet_length(t) - F.octet_length(F.replace(t, x, F.lit(""))), F.lit(2.0)))
-    named = named.withColumns({"sq": sq, "products": _neighbours(F.col("v"), lambda a, b: a * b)})
-    # The product of neighbours on both sides of the middle is negative.
-    named = named.withColumns({"ups": F.size(F.filter("v", lambda x: x > 0)).cast("double"), "runs": 1 + F.size(F.filter("products", lambda x: x < 0)), "sum": F.aggregate("products", F.lit(0.0), lambda s, x: s + x)})
+    sq = F.aggregate(F.array_distinct("codes"), F.lit(0.0), lambda s, x: s + F.pow(n - F.octet_length(F.replace(t, F.char(x), F.lit(""))), F.lit(2.0)))
+    named = named.withColumns({"sq": sq, "sums": _neighbours(F.col("codes"), F.col("which"), pairs or [0.0] * 26 * 26)})
+    # Steps up are counted; there is one step down more if the token begins above the middle, one fewer if it ends there.
+    up = F.floor((n - F.octet_length(F.replace("halves", F.lit("01"), F.lit("")))) / 2)
+    ends = F.startswith("halves", F.lit("1")).cast("int") - F.endswith("halves", F.lit("1")).cast("int")
+    named = named.withColumns({"ups": F.octet_length(F.replace("halves", F.lit("0"), F.lit(""))).cast("double"), "runs": 1 + 2 * up + ends, "sum": _totals(F.col("sums"))[0] / 4})
+    if pairs:
+        named = named.withColumn("b", _pair_mean(t, F.col("sums")))
+    df, var = F.col("size") - 1, (F.col("size") * F.col("size") - 1) / 12
+    n = n.cast("double")
     chi = F.col("sq") * F.col("size") / n - n
     expected = 1 + 2 * F.col("ups") * (n - F.col("ups")) / n
     spread = F.greatest((expected - 1) * (expected - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-3))
@@ -184,8 +245,9 @@ def battery(tokens: DataFrame) -> DataFrame:
     named = named.withColumns(z)
     out = named.withColumns({"p_uniform": _normal_tail(F.col("z_uniform")), "p_runs": 2 * _normal_tail(F.col("z_runs")), "p_serial": 2 * _normal_tail(F.col("z_serial"))})
     x = sum(-2 * F.log(F.greatest(F.col(c), F.lit(1e-300))) for c in ("p_uniform", "p_runs", "p_serial"))
-    half = x / 2  # Fisher: chi-squared with six degrees of freedom has a closed tail
-    return out.withColumn("p", F.least(F.exp(-half) * (1 + half + half * half / 2), F.lit(1.0))).drop("v", "sq", "products", "ups", "runs", "sum", *z)
+    out = out.withColumn("half", x / 2)  # Fisher: chi-squared with six degrees of freedom has a closed tail
+    half = F.col("half")
+    return out.withColumn("p", F.least(F.exp(-half) * (1 + half + half * half / 2), F.lit(1.0))).drop("which", "halves", "codes", "sq", "sums", "ups", "runs", "sum", "half", *z)
 
 
 def _class_of(length: Column) -> Column:
@@ -204,23 +266,24 @@ def letter_pairs(runs: DataFrame) -> list[float]:
     return [max(-3.0, min(3.0, math.log((26 * counts.get(a + b, 0) + SMOOTH) / (first[a] + SMOOTH)))) for a in letters for b in letters]
 
 
+def _pair_mean(token: Column, sums: Column) -> Column:
+    """The mean of the pairs' ratios; where all are letters, all pairs count."""
+    kinds = F.translate(token, SYMBOLS, "".join("a" if x.isalpha() else "0" if x.isdigit() else "-" for x in SYMBOLS))
+    counted = F.when(token.rlike("^[A-Za-z]+$"), F.octet_length(token) - 1).otherwise(F.regexp_count(kinds, F.lit("a(?=[a0])|0(?=a)")))
+    return _totals(sums)[1] / 1e6 / (counted + BLANK)
+
+
 def pair_score(token: Column, pairs: list[float]) -> Column:
     """Mean log ratio of the token's pairs of neighbouring letters, and changes between letters and digits, with
     BLANK pairs of ratio 1."""
-    # Letters are 0 to 25, digits 26, others 27; of two digits, or of others, nothing is counted.
-    places = _fixed([ord(x.lower()) - 97 if x.isalpha() else 26 if x.isdigit() else 27 for x in map(chr, range(128))], "int")
-    table = _fixed([None if max(a, b) == 27 or a == b == 26 else CHANGE if max(a, b) == 26 else f"{pairs[a * 26 + b]:.6f}" for a in range(28) for b in range(28)], "double")
-    found = F.transform(F.split(token, ""), lambda x: F.get(places, F.ascii(x)))
-    both = _let(found, lambda v: _neighbours(v, lambda a, b: F.get(table, a * 28 + b)))
-    counted = F.when(token.rlike("^[A-Za-z]+$"), both).otherwise(F.filter(both, lambda x: x.isNotNull()))
-    return _let(counted, lambda z: F.aggregate(z, F.lit(0.0), lambda t, x: t + x) / (F.size(z) + BLANK))
+    return _pair_mean(token, _let(_codes(token), lambda c: _neighbours(c, F.lit(0), pairs)))
 
 
 def _scored(tokens: DataFrame, pairs: list[float]) -> DataFrame:
     """Adds score, mixed (whether the alphabet has both cases) and class to ``token``."""
     s = F.greatest(-F.log10(F.greatest(F.col("p"), F.lit(1e-300))), F.lit(FLOOR))
-    out = battery(tokens).withColumns({"mixed": F.col("encoding") == "base64", "class": _class_of(F.length("token"))})
-    return out.withColumn("score", F.log(s) + PAIRS * pair_score(F.col("token"), pairs))
+    out = battery(tokens, pairs).withColumns({"mixed": F.col("encoding") == "base64", "class": _class_of(F.length("token"))})
+    return out.withColumn("score", F.log(s) + PAIRS * F.col("b"))
 
 
 def _plan(turn: int) -> str:
@@ -286,7 +349,7 @@ def limits(tested: DataFrame) -> DataFrame:
     return steps.where(edge <= RATE * F.col("rank") / F.col("m")).groupBy("class").agg(F.min("bin").alias("cut"))
 
 
-def _candidates(text: Column) -> Column:
+def _candidates(text: Column, long: Column) -> Column:
     """Spans and the strings to test of runs and of the pieces inside them."""
     spans = F.array_distinct(F.concat(_positions(text, TOKEN, 3, None), _positions(text, PIECE, 3, None)))
 
@@ -297,14 +360,15 @@ def _candidates(text: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), token.alias("token"))
 
     found = F.filter(F.transform(spans, made), lambda t: ~t["token"].rlike("^[0-9+/_-]*$"))
-    return F.when(text.rlike(TOKEN), found).otherwise(F.array().cast("array<struct<start:long,end:long,token:string>>"))
+    return F.when(long, found).otherwise(F.array().cast("array<struct<start:long,end:long,token:string>>"))
 
 
 def scan(docs: DataFrame, keep: list[str], tmp: Scratch) -> DataFrame:
     """``row`` (a struct of the columns named in keep), ``base`` and ``spans`` (arrays of start, kind, end), for
     every row. It reads tables of tmp."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"), text.alias("text")).select("row", _base(F.col("text")).alias("base"), _candidates(F.col("text")).alias("tokens"))
+    found = docs.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"), text.alias("text")).withColumn("long", F.col("text").rlike(LONG))
+    found = found.select("row", _base(F.col("text"), F.col("long")).alias("base"), _candidates(F.col("text"), F.col("long")).alias("tokens"))
     # Tokens that a base span touches are known already.
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))  # of stored columns
     found = tmp.write(found.withColumn("tokens", free).withColumn("uid", F.when(F.size("tokens") > 0, F.monotonically_increasing_id())))
