@@ -489,6 +489,15 @@ def test_tokens_are_cut_into_symbols_once(spark):
         assert got.score.loc[t] == pytest.approx(math.log(s) + S.PAIRS * b, abs=1e-5)
 
 
+def test_plans_of_the_secret_scan_are_small(spark):
+    """The driver keeps what plans print, of every execution: no table of fixed values makes them long."""
+    from vellumetry.llm import secrets as S
+
+    pairs = [-1.234567 - k / 1e6 for k in range(26 * 26)]
+    scored = S._scored(spark.createDataFrame([("a" * 20,)], "token string"), pairs)
+    assert len(scored._jdf.queryExecution().executedPlan().toString()) < 100_000
+
+
 def planted_secrets(docs, low, high, seed=7):
     """(rows, number planted): the documents, random tokens of each encoding, then glued words."""
     rng = np.random.default_rng(seed)

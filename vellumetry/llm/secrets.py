@@ -68,10 +68,11 @@ RUNS = [(low, camel) for camel in (False, True) for low, _, _ in ORDINARY]
 BLOCK = sum(low - 1 for low, _ in RUNS)
 #: Alphabets of the encodings, in lower case where case does not matter; ``-`` and ``_`` are other signs for ``+`` and ``/``.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "abcdefghijklmnopqrstuvwxyz234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: All of their symbols, rows that a table has for each encoding, bits that name such a row, and symbols whose products
-#: and ratios are summed in one long, which then stays below 2 ** 62.
+#: All of their symbols, the codes they have, and the signs that tables of pairs have a row for: none of these, letters
+#: in either case, digits.
 SYMBOLS = ALPHABETS["base64"] + "-_"
-WIDTH, STATE, SHORT = len(SYMBOLS) + 1, 9, 512
+CODES = range(min(map(ord, SYMBOLS)), max(map(ord, SYMBOLS)) + 1)
+ROWS = "abcdefghijklmnopqrstuvwxyz0"
 #: Matches of one text whose positions are summed one after the other; beyond that in blocks of so many.
 ROW = 64
 KINDS = ("assign", "access", "hex", "random")
@@ -158,47 +159,42 @@ def _codes(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda x: F.ascii(x))
 
 
-def _counted(a: str, b: str) -> bool:
-    """Whether a pair's ratio counts: that of two letters, or of a letter and a digit."""
-    return a.isalnum() and b.isalnum() and (a.isalpha() or b.isalpha())
+def _looked_up(values: Column, row: Column, code: Column) -> Column:
+    """The value for a symbol's code in a table with a row for each of several things, as ``_table`` makes it."""
+    return F.get(values, row * len(CODES) + code)
 
 
-def _neighbours(codes: Column, which: Column, pairs: list[float]) -> Column:
-    """Sums over each two neighbouring symbols: four times the product of their places in the alphabet of this number,
-    and the log ratios, in millionths. Both are in one long, as ``_totals`` reads it, for every SHORT symbols or fewer.
+def _table(rows: list[list[int]], kind: str) -> Column:
+    """Rows of values, one for each of CODES. Plans hold and print fixed values, several times over, and the driver
+    keeps what they print: so a table may have a few thousand values, not one for each pair of symbols and encoding."""
+    return _fixed([0] * CODES.start + [x for row in rows for x in row], kind)
 
-    A sum's last STATE bits are a row of the table, that of the encoding and the symbol last seen. What is looked up
-    there for the next symbol adds the pair's values, the ratio in 32 bits and the product above, and moves on to its row."""
 
-    def value(encoding: str, a: str, b: str) -> int:
-        both = a.isalpha() and b.isalpha()
-        ratio = pairs[(ord(a.lower()) - 97) * 26 + ord(b.lower()) - 97] if both else CHANGE if _counted(a, b) else 0
-        return ((_place(a, encoding) or 0) * (_place(b, encoding) or 0) << 32) + round(1e6 * ratio)
+def _products(codes: Column, which: Column) -> Column:
+    """The sum, over each two neighbouring symbols, of four times the product of their places in the alphabet of this
+    number. The sum's last seven bits are 64 and the place of the symbol last seen."""
+    places = _table([[_place(chr(k), e) or 0 if chr(k) in SYMBOLS else 0 for k in CODES] for e in ALPHABETS], "int")
 
-    first, last = min(map(ord, SYMBOLS)), max(map(ord, SYMBOLS))
-    table, columns = [0] * first, [SYMBOLS.find(chr(k)) + 1 for k in range(first, last + 1)]
-    for encoding in ALPHABETS:
-        for row in range(WIDTH):
-            table += [k - row + (value(encoding, SYMBOLS[row - 1], SYMBOLS[k - 1]) << STATE if row and k else 0) for k in columns]
-    steps = _fixed(table, "bigint")
-
-    def summed(block: Column) -> Column:
-        last = F.aggregate(block, (which * WIDTH).cast("long"), lambda s, x: s + F.get(steps, s.bitwiseAND(F.lit((1 << STATE) - 1)).cast("int") * len(columns) + x))
-        return F.shiftright(last, STATE)
+    def step(s: Column, x: Column) -> Column:
+        last = s.bitwiseAND(F.lit(127)) - 64
+        return s - last + _looked_up(places, which, x) * (last * 128 + 1)
 
-    # Blocks share a symbol with the next.
-    many = F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - 2) / (SHORT - 1)).cast("int")), lambda i: F.slice(codes, i * (SHORT - 1) + 1, SHORT))
-    return F.when(F.size(codes) <= SHORT, F.array(summed(codes))).otherwise(F.transform(many, summed))
+    return F.shiftright(F.aggregate(codes, F.lit(64).cast("long"), step), 7)
 
 
-def _totals(sums: Column) -> tuple[Column, Column]:
-    """The sum of products and that of ratios."""
+def _ratios(codes: Column, pairs: list[float]) -> Column:
+    """The sum, over each two neighbouring symbols, of their log ratio, in millionths. The sum's last five bits are the
+    table's row of the symbol last seen; what is looked up there for the next adds the ratio and moves on to its row."""
 
-    def ratio(x: Column) -> Column:
-        return (x + (1 << 31)).bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)
+    def ratio(a: int, b: int) -> int:
+        """Of symbols by row; it counts if both are letters, or one a letter and one a digit."""
+        if not a or not b or a == b == len(ROWS):
+            return 0
+        return round(1e6 * (CHANGE if len(ROWS) in (a, b) else pairs[(a - 1) * 26 + b - 1]))
 
-    zero = F.lit(0).cast("long")
-    return F.aggregate(sums, zero, lambda s, x: s + F.shiftright(x - ratio(x), 32)), F.aggregate(sums, zero, lambda s, x: s + ratio(x))
+    to = [ROWS.find("0" if chr(k).isdigit() else chr(k).lower()) + 1 for k in CODES]
+    steps = _table([[(ratio(row, k) << 5) + k - row for k in to] for row in range(len(ROWS) + 1)], "bigint")
+    return F.shiftright(F.aggregate(codes, F.lit(0).cast("long"), lambda s, x: s + _looked_up(steps, s.bitwiseAND(F.lit(31)).cast("int"), x)), 5)
 
 
 def battery(tokens: DataFrame, pairs: list[float] | None = None) -> DataFrame:
@@ -225,13 +221,13 @@ def battery(tokens: DataFrame, pairs: list[float] | None = None) -> DataFrame:
     named = named.withColumns({"size": by_encoding(lambda e: F.lit(float(len(ALPHABETS[e])))), "which": which, "halves": by_encoding(halves), "codes": _codes(t)})
     # The sum of squared counts, symbol by symbol: no more of these than the alphabet has.
     sq = F.aggregate(F.array_distinct("codes"), F.lit(0.0), lambda s, x: s + F.pow(n - F.octet_length(F.replace(t, F.char(x), F.lit(""))), F.lit(2.0)))
-    named = named.withColumns({"sq": sq, "sums": _neighbours(F.col("codes"), F.col("which"), pairs or [0.0] * 26 * 26)})
+    named = named.withColumns({"sq": sq, "sum": _products(F.col("codes"), F.col("which")) / 4})
     # Steps up are counted; there is one step down more if the token begins above the middle, one fewer if it ends there.
     up = F.floor((n - F.octet_length(F.replace("halves", F.lit("01"), F.lit("")))) / 2)
     ends = F.startswith("halves", F.lit("1")).cast("int") - F.endswith("halves", F.lit("1")).cast("int")
-    named = named.withColumns({"ups": F.octet_length(F.replace("halves", F.lit("0"), F.lit(""))).cast("double"), "runs": 1 + 2 * up + ends, "sum": _totals(F.col("sums"))[0] / 4})
+    named = named.withColumns({"ups": F.octet_length(F.replace("halves", F.lit("0"), F.lit(""))).cast("double"), "runs": 1 + 2 * up + ends})
     if pairs:
-        named = named.withColumn("b", _pair_mean(t, F.col("sums")))
+        named = named.withColumn("b", _pair_mean(t, F.col("codes"), pairs))
     df, var = F.col("size") - 1, (F.col("size") * F.col("size") - 1) / 12
     n = n.cast("double")
     chi = F.col("sq") * F.col("size") / n - n
@@ -247,7 +243,7 @@ def battery(tokens: DataFrame, pairs: list[float] | None = None) -> DataFrame:
     x = sum(-2 * F.log(F.greatest(F.col(c), F.lit(1e-300))) for c in ("p_uniform", "p_runs", "p_serial"))
     out = out.withColumn("half", x / 2)  # Fisher: chi-squared with six degrees of freedom has a closed tail
     half = F.col("half")
-    return out.withColumn("p", F.least(F.exp(-half) * (1 + half + half * half / 2), F.lit(1.0))).drop("which", "halves", "codes", "sq", "sums", "ups", "runs", "sum", "half", *z)
+    return out.withColumn("p", F.least(F.exp(-half) * (1 + half + half * half / 2), F.lit(1.0))).drop("which", "halves", "codes", "sq", "ups", "runs", "sum", "half", *z)
 
 
 def _class_of(length: Column) -> Column:
@@ -266,17 +262,17 @@ def letter_pairs(runs: DataFrame) -> list[float]:
     return [max(-3.0, min(3.0, math.log((26 * counts.get(a + b, 0) + SMOOTH) / (first[a] + SMOOTH)))) for a in letters for b in letters]
 
 
-def _pair_mean(token: Column, sums: Column) -> Column:
+def _pair_mean(token: Column, codes: Column, pairs: list[float]) -> Column:
     """The mean of the pairs' ratios; where all are letters, all pairs count."""
     kinds = F.translate(token, SYMBOLS, "".join("a" if x.isalpha() else "0" if x.isdigit() else "-" for x in SYMBOLS))
     counted = F.when(token.rlike("^[A-Za-z]+$"), F.octet_length(token) - 1).otherwise(F.regexp_count(kinds, F.lit("a(?=[a0])|0(?=a)")))
-    return _totals(sums)[1] / 1e6 / (counted + BLANK)
+    return _ratios(codes, pairs) / 1e6 / (counted + BLANK)
 
 
 def pair_score(token: Column, pairs: list[float]) -> Column:
     """Mean log ratio of the token's pairs of neighbouring letters, and changes between letters and digits, with
     BLANK pairs of ratio 1."""
-    return _pair_mean(token, _let(_codes(token), lambda c: _neighbours(c, F.lit(0), pairs)))
+    return _pair_mean(token, _codes(token), pairs)
 
 
 def _scored(tokens: DataFrame, pairs: list[float]) -> DataFrame:
